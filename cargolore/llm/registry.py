@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolore.llm import decontaminate
+from cargolore.llm import decontaminate, line_dedup, mixing, token_counts, toxicity
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op3_line_dedup": (line_dedup.query, line_dedup.SQL),
     "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
+    "op5_token_counts": (token_counts.query, None),
+    "op7_toxicity": (toxicity.query, None),
+    "op10_mixing": (mixing.query, mixing.SQL),
 }
 
 
