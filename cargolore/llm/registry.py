@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolore.llm import decontaminate, line_dedup, mixing, token_counts, toxicity
+from cargolore.llm import (
+    decontaminate,
+    embedding_dedup,
+    jaccard_join,
+    language_id,
+    line_dedup,
+    mixing,
+    pii,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_pii": (pii.query, None),
+    "op2_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
     "op3_line_dedup": (line_dedup.query, line_dedup.SQL),
     "op4_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op5_token_counts": (token_counts.query, None),
+    "op6_embedding_dedup": (embedding_dedup.query, embedding_dedup.SQL),
     "op7_toxicity": (toxicity.query, None),
+    "op8_jaccard_join": (jaccard_join.query, jaccard_join.SQL),
+    "op9_language_id": (language_id.query, None),
     "op10_mixing": (mixing.query, mixing.SQL),
+    "llm_page_language": (language_id.pages_query, None),
 }
 
 

@@ -57,7 +57,8 @@ FEATURES = (
 _WORD = re.compile(r"[^\W_]+(?:[@$!+0-9]+[^\W_]*)*")
 _STRETCH = re.compile(r"(\w)\1{2,}")
 _LEET = str.maketrans(LEET)
-_START = 6
+#: Lengths of word beginnings; of several in the lexicon the longest counts.
+_STARTS = (7, 6, 5, 4)
 
 
 def words_of(text: str) -> list[str]:
@@ -69,6 +70,14 @@ def plain(word: str) -> str:
     return _STRETCH.sub(r"\1", word.translate(_LEET))
 
 
+def start_of(word: str, odds: dict) -> float | None:
+    """The log-odds of the longest beginning of a word that the lexicon has."""
+    for k in _STARTS:
+        if len(word) > k and (found := odds.get(word[:k])) is not None:
+            return found
+    return None
+
+
 def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: dict, start_odds: dict) -> list[float]:
     """The values of ``FEATURES`` for one whole text."""
     text = text or ""
@@ -80,7 +89,7 @@ def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: d
     changed = [i for i, (a, b) in enumerate(zip(words, odd, strict=True)) if a is not b and a != b]
     hits = [i for i, w in enumerate(odd) if w in fixed or w in word_odds]
     own = [word_odds[odd[i]] for i in hits if odd[i] in word_odds]
-    starts = [start_odds[s] for w in odd if (s := w[:_START]) in start_odds]
+    starts = [o for w in odd if len(w) > 4 and (o := start_of(w, start_odds))]
     fixed_hits = sum(odd[i] in fixed for i in hits)
     pronouns = [i for i, w in enumerate(words) if w in second]
     near = 0.0
@@ -126,7 +135,7 @@ def lexicon(train: DataFrame) -> tuple[dict, dict]:
             kinds, terms, labels = [], [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {plain(w) if not w.isalpha() else w for w in words_of(text or "")}
-                for kind, found in ((0, own), (1, {w[:_START] for w in own if len(w) > _START})):
+                for kind, found in ((0, own), (1, {w[:k] for k in _STARTS for w in own if len(w) > k})):
                     terms += found
                     kinds += [kind] * len(found)
                     labels += [toxic] * len(found)
