@@ -37,9 +37,9 @@ from cargolore.llm.common import materialize
 #: Labelled documents that are learned from, at most.
 TRAIN_ROWS = 24_000
 #: Words and word beginnings in the learned lexicon, at most.
-LEXICON_ROWS = 4_000
-#: Labelled documents that a lexicon entry needs.
-LEXICON_DOCS = 4
+LEXICON_ROWS = 1_000
+#: Labelled documents that a lexicon entry needs, and its log-odds in standard errors.
+LEXICON_DOCS, LEXICON_Z = 4, 3.3
 THRESHOLD = 0.7
 
 # A small general lexicon and second-person pronouns.
@@ -146,7 +146,8 @@ def lexicon(train: DataFrame) -> tuple[dict, dict]:
     rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "kind int, term string, toxic int")
     counts = rows.groupBy("kind", "term").agg(F.sum("toxic").alias("a"), F.count("*").alias("b")).where(F.col("b") >= LEXICON_DOCS)
     odds = F.log((F.col("a") + 0.5) / (one + 1)) - F.log((F.col("b") - F.col("a") + 0.5) / (n - one + 1))
-    best = counts.withColumn("odds", odds).where("odds > 1.5").orderBy(F.desc("odds"), F.desc("b"), "kind", "term").limit(LEXICON_ROWS).collect()
+    z = F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") - F.col("a") + 0.5))
+    best = counts.withColumn("odds", odds).withColumn("z", z).where(F.col("z") >= LEXICON_Z).orderBy(F.desc("z"), "kind", "term").limit(LEXICON_ROWS).collect()
     return {r.term: r.odds for r in best if r.kind == 0}, {r.term: r.odds for r in best if r.kind == 1}
 
 
