@@ -1,4 +1,4 @@
-"""All registered queries of the library."""
+"""All registered queries of the library, each a function of tables and its SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cargolore.plans import evaluation, rankings, reference, results, texts
+from cargolore.plans.tables import Tables, sql
+
+_MODULES = (results, texts, rankings, reference, evaluation)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _bound(run) for module in _MODULES for name, (run, _) in module.QUERIES.items()}
+
+
+def _bound(run: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: run(Tables(spark, folder))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql(text) for module in _MODULES for name, (_, text) in module.QUERIES.items() if text}
