@@ -21,14 +21,17 @@ from cargolore.llm.mixing import mix_query
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without an accepted language go."""
-    found = identify(docs, docs.select("text", "lang"), host=F.col("source"))
-    return found.where("accepted").select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "text", "source")
+    found = identify(packed, docs.select("text", "lang"), host=F.col("source"))
+    return found.where("accepted").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines held by an earlier document go, and ``n_chars`` follows."""
-    kept = dedup_lines(docs).select(*docs.columns)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))).alias("row")
+    kept = dedup_lines(docs.select("doc_id", "text", rest))
+    values = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return kept.select(*(values.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
