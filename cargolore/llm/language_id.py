@@ -15,7 +15,8 @@ Defined cases: null or empty texts, and texts without a letter, have the
 language ``und`` and are rejected; a null host or address gives the prior of all
 hosts; null ids are ids, repeated rows get equal results; with no labelled rows
 all is ``und``.  An empty table gives no rows.  Columns other than those named
-are passed on.
+are passed on; a column with the name of an added one is replaced.  Names that
+begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ PULL = 20.0
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 #: Host priors up to so many rows are sent to all executors.
 BROADCAST_HOSTS = 100_000
+ADDED = ("language", "confidence", "text_language", "accepted")
 # Languages of some address suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt"}
 
@@ -178,7 +180,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text: str = "text", host:
         "confidence": F.when(letters, F.array_max("__post")).otherwise(F.lit(0.0)),
         "text_language": best(F.col("__evidence")),
     })
-    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= accept)).select(*docs.columns, "language", "confidence", "text_language", "accepted")
+    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= accept)).select(*(c for c in docs.columns if c not in ADDED), *ADDED)
 
 
 def page_columns() -> dict[str, Column]:

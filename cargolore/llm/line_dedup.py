@@ -15,7 +15,9 @@ batch the smallest ``doc_id``; all of that document's lines with the key stay.
 Defined cases: a null or empty text is one empty line, kept; an id of null is a
 document of its own kind that comes after all others; rows with equal ids are
 one document for ownership and are all returned.  Empty tables give no rows.
-Columns other than ``doc_id`` and ``text`` are not read.
+Columns other than ``doc_id`` and ``text`` are passed on unread; a column with the
+name of an added one is replaced.  Names that begin with two underscores are
+reserved.
 """
 
 from __future__ import annotations
@@ -173,8 +175,9 @@ def drop_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) ->
             table = table.append_column("n_lines", pa.array(before, pa.int64())).append_column("n_dropped", pa.array(dropped, pa.int64()))
             yield from table.combine_chunks().to_batches()
 
-    out = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
-    return joined.select(*docs.columns, "__lost").mapInArrow(run, out)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    out = docs.select(*kept).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}).schema
+    return joined.select(*kept, "__lost").mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = BATCHES, path: str | None = None, fanout: int = FANOUT) -> DataFrame:

@@ -15,7 +15,8 @@ holds a pattern whole.
 Defined cases: a null or empty text has size 0 and is never taken; a source of
 null is a source, the last one; rows with equal ids are taken or left each on
 its own, but alike if their texts are equal in size; an empty table gives no
-rows.  Columns other than those named are not read.
+rows.  Other columns are passed on unread; a column with the name of an added one
+is replaced.  Names that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def mix(
     return (
         both.withColumn("repeats", repeats.cast("long"))
         .withColumn("taken", F.col("repeats") * F.col("size"))
-        .select(*docs.columns, "size", "pattern", "repeats", "taken")
+        .select(*(c for c in docs.columns if c not in ("size", "pattern", "repeats", "taken")), "size", "pattern", "repeats", "taken")
     )
 
 

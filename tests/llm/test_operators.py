@@ -1,0 +1,518 @@
+"""Each corpus operator against a plain version on a small table with nulls,
+empty and long texts, ties, repeated rows, and columns with clashing names."""
+
+import collections
+import hashlib
+import importlib.util
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cargolore.llm import components, decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, pii, substring_dedup, token_counts, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, size string, language string, n_words string, n_lines int, pattern string, h1 string, home string, rep string, cluster string"
+WS = " \t\n\x0b\f\r"
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return [r.choice("the of and ten red blue sea".split()) + str(r.randrange(400)) for _ in range(n)]
+
+
+def sample():
+    a, b, c = words(80, 1), words(60, 2), words(50, 3)
+    texts = [
+        " ".join(a), " ".join(a), " ".join(a[:79] + ["end"]), "intro " + " ".join(b[5:50]) + " outro", " ".join(b), "x y " * 60, "", None, "   \n \t", "Shared line of text\nown one\n  shared LINE of text \nShared line of text",
+        "Shared line of text", "short\nshort\nShort line", " ".join(words(3000, 4)), "mail anna@example.com or +1 (443) 555-5793, card 4111 1111 1111 1111, ip 10.0.0.300 and 1.2.3.4.5.6.7.8; token = \"9b0b3c6a43eb78aa99cbd7049c572391524f37a8\"",
+        " ".join(c[:13]) + " und " + " ".join(c), "Ünïcödé é wörter \U0001f600 a@b.co " + " ".join(b[:36]), "a@b@c.de x@y 12345678901234567890 +12 0.1.2.3", "four words only here", "four words only here",
+    ]
+    rows = [(i, t, "en" if i % 2 else "fr", None if i == 5 else f"s{i % 3}", len(t or ""), 1, "s", "l", "w", 1, "p", "h", "m", "r", "c") for i, t in enumerate(texts)]
+    return [*rows, rows[0], (None, "Shared line of text", None, None, 0, 1, "s", "l", "w", 1, "p", "h", "m", "r", "c")]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return sample()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+def multiset(found):
+    return collections.Counter(found)
+
+
+# op1
+
+BASE = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub(r"[^0-9]", "", m)) <= 19 and checks(re.sub(r"[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub(r"[^0-9]", "", m)) <= 15),
+)
+
+
+def checks(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain_spans(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in BASE for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+@pytest.fixture(scope="module")
+def span_model(spark):
+    return pii.fit(spark)
+
+
+def test_pii_base_spans(docs, rows, span_model):
+    got = pii.detect(docs, span_model).select("doc_id", F.transform("base", lambda b: F.concat_ws(":", b["kind"], b["s"].cast("string"), b["e"].cast("string"))).alias("b")).collect()
+    assert multiset((r.doc_id, tuple(r.b)) for r in got) == multiset((r[0], tuple(plain_spans(r[1]))) for r in rows)
+
+
+def test_pii_random_texts(spark, span_model):
+    r = random.Random(5)
+    texts = ["".join(r.choice("aB1.@+- ()9_%\n4é") for _ in range(r.randrange(120))) for _ in range(400)] + ["1" * 5000, "a" * 20000, "+1" * 3000, "1 " * 9000, "a.b@c." * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.b for x in pii.detect(df, span_model).select("doc_id", F.transform("base", lambda b: F.concat_ws(":", b["kind"], b["s"].cast("string"), b["e"].cast("string"))).alias("b")).collect()}
+    assert got == {i: plain_spans(t) for i, t in enumerate(texts)}
+
+
+def test_pii_adds_secrets_only(docs, span_model):
+    added = {(r.doc_id, x.kind, x.m) for r in pii.detect(docs, span_model).select("doc_id", "added").collect() for x in r.added}
+    assert {a for a in added if a[1] == "secret"} == {(13, "secret", "9b0b3c6a43eb78aa99cbd7049c572391524f37a8")}
+
+
+def test_pii_redacts(docs, span_model):
+    text = pii.redact(docs.where("doc_id = 13"), span_model).first().text
+    assert not any(x in text for x in ("anna@", "4111", "555-5793", "9b0b3c"))
+    assert text.startswith("mail [REDACTED] or [REDACTED], card [REDACTED], ip 10.0.0.300")
+
+
+def test_pii_held_out_accuracy(spark, span_model):
+    table = pii.training_rows(spark, 6000).where("id >= 4000") if "id" in pii.training_rows(spark, 10).columns else pii.training_rows(spark, 3000).where("part = 2")
+    named = table.select("label", F.struct(*(c.alias(n) for c, n in zip(pii.features(F.col("x")), pii.FEATURES, strict=True))).alias("f"))
+    right = named.selectExpr(f"avg(CAST((({span_model.sql}) >= 0.5) = (label = 1) AS INT)) AS a").first().a
+    assert right > 0.9
+
+
+# op2
+
+
+def plain_substrings(rows, size=35):
+    split = [(r[1] or "").encode().split() for r in rows]
+    seen = collections.Counter(tuple(w[i : i + size]) for w in split for i in range(len(w) - size + 1))
+    out = []
+    for r, w in zip(rows, split, strict=True):
+        gone = {i + j for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for j in range(size)}
+        out.append((r[0], len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
+    return out
+
+
+def test_substring_dedup(docs, rows):
+    got = substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert multiset(map(tuple, got)) == multiset(plain_substrings(rows))
+
+
+def test_substring_dedup_random(spark):
+    r = random.Random(3)
+    pool = [words(r.randrange(36, 90), 100 + i) for i in range(12)]
+    texts = []
+    for i in range(150):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            p = list(r.choice(pool))
+            if r.random() < 0.5:
+                p[r.randrange(len(p))] = "edit"
+            parts += p[r.randrange(10) :] + words(r.randrange(30), 1000 + i)
+        texts.append((i, " ".join(parts)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substring_dedup.dedup_substrings(df).select("doc_id", "n_words", "n_removed", "text").collect()
+    assert multiset(map(tuple, got)) == multiset(plain_substrings(texts))
+
+
+def test_suffix_automaton():
+    r = random.Random(1)
+    for _ in range(200):
+        seqs = [[r.choice("ab") for _ in range(r.randrange(12))] for _ in range(3)]
+        machine = substring_dedup.SuffixAutomaton()
+        for s in seqs:
+            machine.add(s)
+        probe, size = [r.choice("ab") for _ in range(15)], r.randrange(1, 5)
+        runs = {tuple(s[i : i + size]) for s in seqs for i in range(len(s) - size + 1)}
+        want = {i + j for i in range(len(probe) - size + 1) if tuple(probe[i : i + size]) in runs for j in range(size)}
+        assert {k for a, b in machine.spans(probe, size) for k in range(a, b)} == want
+
+
+# op3
+
+
+def plain_lines(rows):
+    def keys(text):
+        return [line.strip(WS).translate({c: c + 32 for c in range(65, 91)}) for line in (text or "").split("\n")]
+
+    last = 2**63 - 1
+    held = collections.defaultdict(set)
+    for r in rows:
+        for k in keys(r[1]):
+            if len(k) >= 10:
+                held[k].add(last if r[0] is None else r[0])
+    out = []
+    for r in rows:
+        own = last if r[0] is None else r[0]
+        kept = [line for line, k in zip((r[1] or "").split("\n"), keys(r[1]), strict=True) if not (len(k) >= 10 and len(held[k]) > 1 and min(held[k]) != own)]
+        n = (r[1] or "").count("\n") + 1
+        out.append((r[0], n, n - len(kept), "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 3, 6])
+def test_line_dedup(docs, rows, batches):
+    got = line_dedup.dedup_lines(docs, batches=batches).select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit(""))).collect()
+    assert multiset(map(tuple, got)) == multiset(plain_lines(rows))
+
+
+def test_line_runs_stay_and_compact(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    first = spark.createDataFrame([(1, "a line to keep"), (2, "another long line")], "doc_id long, text string")
+    line_dedup.dedup_lines(first, batches=1, path=path).collect()
+    later = spark.createDataFrame([(0, "A line to KEEP \nnew line of text")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(later, batches=1, path=path).first().text == "new line of text"
+    for i in range(4):
+        line_dedup.dedup_lines(spark.createDataFrame([(10 + i, f"line number {i} of many")], "doc_id long, text string"), batches=1, path=path).collect()
+    runs = line_dedup.LineRuns(spark, path)
+    assert len(runs.runs()) <= 3
+    assert runs.known().count() == runs.known().select("h1", "h2").distinct().count() == 7
+
+
+# op4
+
+
+def plain_hits(rows, items, size=13):
+    def cut(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    out = []
+    split = [(i, cut(t)) for i, t in items]
+    for r in rows:
+        w, hit, found = cut(r[1]), set(), set()
+        for item, v in split:
+            k = min(size, len(v))
+            runs = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else set()
+            for i in range(len(w) - k + 1 if k else 0):
+                if tuple(w[i : i + k]) in runs:
+                    hit |= set(range(i, i + k))
+                    found.add(item)
+        out.append((r[0], len(w), len(hit), tuple(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+ITEMS = [(1, " ".join(words(50, 3))), (2, "Ten words, BUT not one that is here at all no"), (3, "own one"), (4, ""), (5, None), (6, " ".join(words(40, 2)).upper()), (7, "x y " * 10)]
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 40])
+def test_decontaminate(spark, docs, rows, block_words):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    plain_rows = [r for r in rows if r[0] is not None][:-1] if block_words == 40 else rows
+    some = docs if block_words != 40 else spark.createDataFrame(plain_rows, SCHEMA)
+    got = decontaminate.decontaminate(some, bench, block_words=block_words).select("doc_id", "n_words", "n_hit", "item_ids", "contaminated").collect()
+    assert multiset((a, b, c, tuple(d), e) for a, b, c, d, e in got) == multiset(plain_hits(plain_rows, ITEMS))
+
+
+def test_proximity(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so gamma alpha x delta beta it is"), (2, "alpha x x x x x beta gamma delta"), (3, "alpha beta gamma delta")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.near_item_ids) for r in decontaminate.decontaminate(docs, bench, slop=2).collect()}
+    assert got == {1: (0, [1]), 2: (0, []), 3: (4, [1])}
+
+
+# op5
+
+
+def test_token_counts_and_rollup(spark, docs, rows, tmp_path):
+    counts = token_counts.count_tokens(docs)
+    plain = sorted(len((r[1] or "").encode().split()) for r in rows)
+    assert sorted(r.n_tokens for r in counts.where("tokenizer = 'words'").collect()) == plain
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted(r.n_tokens for r in counts.where("tokenizer <> 'words'").collect()) == sorted(len(enc.encode_ordinary(r[1] or "")) for r in rows)
+    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/totals")
+
+    def totals():
+        return {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.totals().collect()}
+
+    def want(kept):
+        out = collections.defaultdict(lambda: [0, 0])
+        for r in kept.collect():
+            out[r.source, r.lang, r.tokenizer][0] += 1
+            out[r.source, r.lang, r.tokenizer][1] += r.n_tokens
+        return {k: tuple(v) for k, v in out.items()}
+
+    assert totals() == {}
+    rollup.commit("one", counts)
+    rollup.commit("one", counts)  # again: nothing changes
+    assert totals() == want(counts)
+    ledger = counts.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "tokenizer"])
+    rollup2 = token_counts.TokenRollup(spark, f"file://{tmp_path}/totals2")
+    rollup2.commit("a", ledger)
+    revised = ledger.where("doc_id <> 3").withColumn("n_tokens", F.col("n_tokens") + F.when(F.col("doc_id") == 4, 7).otherwise(0))
+    rollup2.commit("b", token_counts.ledger_changes(ledger, revised))
+    rollup = rollup2
+    assert totals() == want(revised)
+    rollup2.compact()
+    rollup2.commit("a", ledger)  # folded already
+    assert totals() == want(revised)
+
+
+# op6
+
+
+def test_embedding_dedup(spark):
+    r = random.Random(2)
+    base = [[r.gauss(0, 1) for _ in range(16)] for _ in range(60)]
+    vectors = [(i, v) for i, v in enumerate(base)]
+    vectors += [(100 + i, [x * 3 + r.gauss(0, 0.05) for x in base[i % 7]]) for i in range(60)]
+    vectors += [(200, base[3]), (201, base[3]), (202, None), (203, [0.0] * 16), (204, [float("nan")] * 16), (205, [None] * 16), (206, [1.0, 2.0]), (207, [2.0, 4.0]), (208, []), (None, base[0])]
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+
+    def cos(a, b):
+        ok = all(v and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in (a, b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.dist(a, [0] * len(a)) / math.dist(b, [0] * len(b)) if ok and len(a) == len(b) else -1
+
+    known = [(i, v) for i, v in vectors if i is not None]
+    link = {i: {j for j, w in known if j != i and cos(v, w) >= 0.9} for i, v in known}
+    want = {}
+    for i, _ in known:
+        reach, todo = {i}, [i]
+        while todo:
+            todo += [k for k in link[todo.pop()] if k not in reach and not reach.add(k)]
+        want[i] = (len(link[i]), min(reach), min(reach) == i)
+    assert got.pop(None) == (0, None, True)
+    assert got == want
+
+
+def test_embedding_recall_on_all_rows(spark):
+    import numpy as np
+
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array([r.embedding for r in v.orderBy("vec_id").collect()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.9).sum() - len(x))
+    found = embedding_dedup.near_duplicates(v).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * want <= found <= want
+
+
+# op7
+
+
+def test_toxicity(spark):
+    folder = "/root/testdata/sf0.01"
+    got = toxicity.query(spark, folder)
+    rows = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [r for r in rows if r.held_out and r.lang == "en"]
+    yes, no = [r.score for r in held if r.toxic], [r.score for r in held if not r.toxic]
+    assert sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / max(1, len(yes) * len(no)) > 0.85
+
+
+def test_toxicity_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    assert {r.score for r in toxicity.fit(none).score(docs, ("doc_id",)).collect()} == {0.0}
+
+
+def test_obfuscation_is_undone():
+    assert toxicity.plain("1d10t") == "idiot"
+    assert toxicity.plain("stuuupid") == "stupid"
+
+
+# op8
+
+
+def plain_join(rows):
+    def shingles(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {r[0]: shingles(r[1]) for r in rows if r[0] is not None}
+    link = {a: {b for b, y in sets.items() if a != b and x and y and len(x & y) >= 0.8 * len(x | y)} for a, x in sets.items()}
+    out = {None: (None, 0, True)}
+    for i in sets:
+        reach, todo = {i}, [i]
+        while todo:
+            todo += [k for k in link[todo.pop()] if k not in reach and not reach.add(k)]
+        out[i] = (min(reach), len(link[i]), min(reach) == i)
+    return out
+
+
+def test_jaccard_join(docs, rows):
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.class_id, r.n_links, r.kept) for r in got} == plain_join(rows)
+
+
+def test_jaccard_join_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 16)
+    r, base, texts = random.Random(9), words(120, 7), []
+    for i in range(120):
+        w = list(base if i % 3 else words(120, 50 + i))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(1000)}"
+        texts.append((i, " ".join(w)))
+    got = {x.doc_id: (x.class_id, x.n_links, x.kept) for x in jaccard_join.jaccard_join(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = plain_join(texts)
+    want.pop(None)
+    assert got == want
+
+
+def test_pruning_bound():
+    need = jaccard_join.least_agreements(0.8, 1e-6, 64, 16)
+    assert need == sorted(need)
+    n, m = 32, need[1]
+    tail = sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
+    assert tail >= 1e-6 > tail - math.comb(n + 1, m) * 0.8**m * 0.2 ** (n + 1 - m)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in parent if any(x in e for e in edges if e[0] != e[1])}
+
+
+# op9
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs, docs.where("doc_id % 2 = 0").select("text", "lang"), host=F.col("source")).where("doc_id % 2 = 1 AND length(text) > 200")
+    assert got.selectExpr("avg(CAST(language = lang AS INT)) AS a").first().a > 0.97
+    assert got.where("NOT accepted").count() <= 0.01 * got.count()
+
+
+def test_language_edges(docs, rows):
+    got = language_id.identify(docs, docs.select("text", "lang"), host=F.col("source"))
+    assert set(got.columns) == set(docs.columns) | set(language_id.ADDED)
+    assert got.count() == len(rows)
+    assert {r.language for r in got.where("text IS NULL OR trim(text) = ''").collect()} == {"und"}
+    assert language_id.identify(docs.limit(0), docs.select("text", "lang").limit(0)).count() == 0
+    assert {r.language for r in language_id.identify(docs, docs.select("text", "lang").limit(0)).collect()} == {"und"}
+
+
+def test_page_evidence(spark):
+    pages = spark.createDataFrame([(1, "https://www.x.fr/a", '<html lang="fr-FR"><p>x</p>'), (2, "http://y.com/de/1", "<html><p>y</p>"), (3, None, None)], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.declared, r.suffix) for r in pages.select("page_id", *(c.alias(n) for n, c in language_id.page_columns().items())).collect()}
+    assert got == {1: ("www.x.fr", "fr", "fr"), 2: ("y.com", None, "de"), 3: (None, None, None)}
+
+
+# op10
+
+
+def test_targets_stop_at_the_limit():
+    got = mixing.targets({"a": 10, "b": 100, "c": 1000}, {"a": 3, "b": 2, "c": 1})
+    assert got == {"a": 30, "b": 300, "c": 780}
+    assert mixing.cycle_weights(["b", None, "a", "c", "d"]) == {"a": 1, "b": 2, "c": 3, "d": 1, None: 2}
+
+
+def test_mixing(spark, docs, rows):
+    got = mixing.mix_query(docs).collect()
+    assert got == mixing.mix_query(docs.repartition(5)).collect() or multiset(map(tuple, got)) == multiset(map(tuple, mixing.mix_query(docs.repartition(5)).collect()))
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").encode().split())
+    goal = mixing.targets(dict(sizes), mixing.cycle_weights(list(sizes)))
+    by_size = {n: s for s, n in sizes.items()}
+    assert all(r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0 and r.target == goal[by_size[r.source_size]] for r in got)
+    for s, n in sizes.items():
+        taken = sum(r.taken for r in got if r.source_size == n)
+        assert abs(taken - goal[s]) <= max(r.size for r in got if r.source_size == n)
+    assert mixing.mix_query(docs.limit(0)).count() == 0
+
+
+def test_flow_over_overlapping_sources():
+    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 12, "b": 12})
+    assert sum(flow.values()) == 24
+    used = collections.Counter()
+    for (p, _), n in flow.items():
+        used[p] += n
+    assert used["a",] == 10  # no word is repeated while an unused one serves
+    assert used["a", "b"] + used["b",] == 14
+
+
+def test_mix_of_overlapping_sources(spark):
+    df = spark.createDataFrame([(i, "w " * (5 + i % 3), ["a"] if i % 2 else ["a", "b"]) for i in range(60)], "doc_id long, text string, source array<string>")
+    got = mixing.mix(df).collect()
+    assert abs(sum(r.taken for r in got) - sum(r["size"] for r in got)) <= 10
+
+
+# empty tables
+
+
+def test_empty(spark, docs, span_model):
+    none = docs.limit(0)
+    assert pii.detect(none, span_model).count() == 0
+    assert substring_dedup.dedup_substrings(none).count() == 0
+    assert line_dedup.dedup_lines(none).count() == 0
+    assert decontaminate.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    assert decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
+    assert token_counts.count_tokens(none).count() == 0
+    assert jaccard_join.jaccard_join(none).count() == 0
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_pipeline(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    path = f"{tmp_path}/in"
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    now = spark.read.parquet(f"{path}/documents.parquet")
+    state = [tuple(r) for r in now.collect()]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, now, path)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in now.schema]
+        out.write.parquet(f"{path}/{i}")
+        now = spark.read.parquet(f"{path}/{i}")
+        got = [tuple(r) for r in now.collect()]
+        if i == 1:
+            want = [(*r[:4], len(t) if r[1] is not None else None, *r[5:]) for r, (_, _, _, t) in zip(state, plain_lines(state), strict=True) for r in [(r[0], t if r[1] is not None else None, *r[2:])]]
+        elif i == 2:
+            classes = plain_join(state)
+            want = [r for r in state if classes[r[0]][2]]
+        elif i == 3:
+            want = [r for r, h in zip(state, plain_hits(state, ITEMS), strict=True) if not h[4]]
+        else:
+            want = [r for r in state if r in got]
+            assert all(r[1] and re.search(r"\w", r[1]) for r in got)
+        assert multiset(got) == multiset(want)
+        state = got
+    assert isinstance(corpus_pipeline.run(spark, path).schema, T.StructType)
+    final = corpus_pipeline.STAGES[-1][1](spark, now, path)
+    assert final.count() == len(state)
