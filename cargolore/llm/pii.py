@@ -115,7 +115,7 @@ def luhn(digits: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """For each base kind the spans that pass its check."""
-    small = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+    small = r"^0*+(?:[0-9]{0,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
     checks = {
         "email": None,
         "ip": lambda x: F.forall(F.split(x["m"], r"\."), lambda p: p.rlike(small)),
@@ -285,18 +285,17 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: SpanModel | None = None, mark: str = "[REDACTED]") -> DataFrame:
     """``doc_id, text`` with every span replaced by ``mark``."""
     model = model or fit(docs.sparkSession)
-    both = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
-    found = detect(both.select(F.struct("doc_id", "text").alias("doc_id"), "text"), model)
+    found = detect(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row")
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("doc_id.text")
+    text = F.col("row.text")
 
     def step(a: Column, x: Column) -> Column:
         hidden = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
         return F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), hidden.alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
 
     out = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.select("doc_id.doc_id", out.alias("text"))
+    return found.select("row.doc_id", out.alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
