@@ -77,7 +77,8 @@ def valid_list_name(name: Column) -> Column:
 def staleness(finished: Column, now: dt.datetime | Column) -> Column:
     """Whole days since an instant, not below 0."""
     now = now if isinstance(now, Column) else F.lit(now)
-    return F.greatest(F.lit(0), F.floor((F.unix_seconds(now) - F.unix_seconds(finished)) / 86400)).cast("int")
+    seconds = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(finished.cast("timestamp"))
+    return F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("int")
 
 
 def severity(days: Column, kind: Column) -> Column:

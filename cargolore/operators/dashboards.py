@@ -53,7 +53,7 @@ def filter_results(
 def result_rows(results: DataFrame) -> DataFrame:
     """The list view of results."""
     return results.select(
-        "result_id", "origin", "destination", "created_at", "abstained", top("hs_code").alias("top_code"), top("score").alias("top_score"),
+        "result_id", "origin", "destination", "created_at", F.coalesce("abstained", F.lit(False)).alias("abstained"), top("hs_code").alias("top_code"), top("score").alias("top_score"),
         F.coalesce(F.size("sanction_matches"), F.lit(0)).alias("sanctions_count"), strongest("sanction_matches", "similarity").alias("max_sanction_similarity"),
         F.coalesce(F.size("rule_matches"), F.lit(0)).alias("rules_count"), strongest("rule_matches", "delta").alias("max_rule_delta"), F.round(risk(), 6).alias("risk"),
     )
@@ -89,7 +89,7 @@ def score_histogram(results: DataFrame, buckets: int = 10) -> DataFrame:
 
 def override_rate(results: DataFrame, feedback: DataFrame) -> DataFrame:
     """By day, joined rows, overridden ones, and their share, and the same over distinct results."""
-    both = results.select("result_id", F.to_date("created_at").alias("day")).join(feedback.select("result_id", "kind"), "result_id", "left")
+    both = results.select("result_id", F.date_format("created_at", "yyyy-MM-dd").alias("day")).join(feedback.select("result_id", "kind"), "result_id", "left")
     over = F.coalesce(F.col("kind") == "override", F.lit(False))
     return both.groupBy("day").agg(
         F.count("*").alias("total"), F.count_if(over).alias("overridden"), F.round(F.count_if(over) / F.count("*"), 6).alias("rate"),
@@ -145,7 +145,7 @@ def children(codes: DataFrame) -> DataFrame:
 def rule_history(rules: DataFrame) -> DataFrame:
     """Versions of each rule, the newest first."""
     own = Window.partitionBy("name").orderBy(F.desc("version"))
-    return rules.withColumns({"age": F.row_number().over(own), "is_latest": F.row_number().over(own) == 1})
+    return rules.withColumns({"age": F.row_number().over(own).cast("long"), "is_latest": F.row_number().over(own) == 1})
 
 
 def batch_progress(rows: DataFrame) -> DataFrame:

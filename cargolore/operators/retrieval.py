@@ -25,7 +25,7 @@ def rank(rows: DataFrame, by: Column | list[Column], k: int | None = None, key:
     order = by if isinstance(by, list) else [by]
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     ranked = ranked if k is None else ranked.where(F.col(name) <= k)
-    return ranked.withColumn(name, F.col(name) - 1)
+    return ranked.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:

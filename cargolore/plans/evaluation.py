@@ -15,7 +15,7 @@ def _ranked(t: Tables) -> DataFrame:
     return t["gold"].join(lists, "query_id", "left").withColumn("predicted", F.coalesce("predicted", F.array().cast("array<string>")))
 
 
-_RANKED = "WITH ra AS (SELECT g.query_id, gold, coalesce(list(hs_code ORDER BY place) FILTER (hs_code IS NOT NULL), []) AS predicted FROM gold AS g LEFT JOIN ranked AS r ON r.query_id = g.query_id GROUP BY ALL)\n"
+_RANKED = "WITH ra AS (SELECT g.query_id, gold, coalesce(list(hs_code ORDER BY place, hs_code) FILTER (hs_code IS NOT NULL), []) AS predicted FROM gold AS g LEFT JOIN ranked AS r ON r.query_id = g.query_id GROUP BY ALL)\n"
 _CONFUSION = _RANKED + ", cm AS (SELECT substring(gold, 1, 2) AS gold_chapter, coalesce(substring(predicted[1], 1, 2), '??') AS predicted_chapter, count(*) AS n FROM ra GROUP BY ALL)\n"
 
 
@@ -35,7 +35,7 @@ def _parity(t: Tables) -> DataFrame:
     return ev.parity(rows, k=3, recall_k=4)
 
 
-_PARITY = """WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber) AS a, list(l_partkey ORDER BY l_extendedprice, l_partkey) AS b, coalesce(list(DISTINCT l_partkey) FILTER (l_quantity > 25), []) AS rel FROM lineitem GROUP BY 1),
+_PARITY = """WITH l AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS a, list(l_partkey ORDER BY l_extendedprice, l_partkey) AS b, coalesce(list(DISTINCT l_partkey) FILTER (l_quantity > 25), []) AS rel FROM lineitem GROUP BY 1),
 m AS (SELECT len(list_intersect(a[1:3], b[1:3]))::DOUBLE / len(list_distinct(list_concat(a[1:3], b[1:3]))) AS j, coalesce(len(list_intersect(list_distinct(b[1:4]), rel))::DOUBLE / nullif(len(rel), 0), 0) AS r,
   CASE WHEN len(rel) > 0 THEN list_sum(list_transform(range(1, len(b[1:3]) + 1), lambda i: CASE WHEN list_contains(rel, b[i]) THEN 1 / log2(i + 1) ELSE 0 END)) / list_sum(list_transform(range(1, least(3, len(rel)) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS n FROM l)
 SELECT round(avg(j), 6) AS jaccard, round(avg(r), 6) AS recall, round(avg(n), 6) AS ndcg, count(*) AS n FROM m"""
@@ -66,7 +66,7 @@ def _ltr(t: Tables) -> DataFrame:
 
 
 def _perturbed(t: Tables) -> DataFrame:
-    gold = t["codes"].where("p_partkey % 10 = 0").select("description", "hs_code")
+    gold = t["codes"].select("description", "hs_code")
     return ev.perturb(gold, F.array(*(F.lit(x) for x in ("steel", "copper", "brass", "plated")))).groupBy("kind").agg(F.count("*").alias("n"))
 
 

@@ -73,7 +73,7 @@ def _merged_rules(t: Tables) -> DataFrame:
 
 
 def _expanded(t: Tables) -> DataFrame:
-    wanted = t["codes"].where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.expr("array(substring(hs_code, 1, 2 + 2 * cast(p_partkey % 3 as int)), '9999')").alias("hs_codes"))
+    wanted = t["codes"].select(F.col("p_partkey").alias("id"), F.expr("array(substring(hs_code, 1, 2 + 2 * cast(p_partkey % 3 as int)), '9999')").alias("hs_codes"))
     return tm.expand_prefixes(wanted, t["taxonomy"]).select("id", F.array_join("hs_codes", ",").alias("hs_codes"))
 
 
@@ -125,10 +125,10 @@ def _versions(t: Tables) -> DataFrame:
 
 def _policies(t: Tables) -> DataFrame:
     day = F.expr("DATE '2024-01-01' + cast(event_id % 60 as int)")
-    return t["events"].where("event_id < 200").select(F.col("event_id").alias("policy_id"), F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")).alias("key"), F.col("value").cast("string").alias("value"), day.alias("valid_from"), F.expr("CASE WHEN event_id % 3 = 0 THEN DATE '2024-02-15' END").alias("valid_to"))
+    return t["events"].select(F.col("event_id").alias("policy_id"), F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")).alias("key"), F.col("value").cast("string").alias("value"), day.alias("valid_from"), F.expr("CASE WHEN event_id % 3 = 0 THEN DATE '2024-02-15' END").alias("valid_to"))
 
 
-_POLICIES = """WITH po AS (SELECT event_id AS policy_id, 'k' || event_id % 7 AS key, DATE '2024-01-01' + (event_id % 60)::INT AS valid_from, CASE WHEN event_id % 3 = 0 THEN DATE '2024-02-15' END AS valid_to FROM events WHERE event_id < 200),
+_POLICIES = """WITH po AS (SELECT event_id AS policy_id, 'k' || event_id % 7 AS key, DATE '2024-01-01' + (event_id % 60)::INT AS valid_from, CASE WHEN event_id % 3 = 0 THEN DATE '2024-02-15' END AS valid_to FROM events),
 sn AS (SELECT * FROM po WHERE valid_from <= DATE '2024-02-20' AND (valid_to IS NULL OR valid_to > DATE '2024-02-20') QUALIFY row_number() OVER (PARTITION BY key ORDER BY valid_from DESC, policy_id DESC) = 1)
 """
 _DAY = dt.date(2024, 2, 20)
@@ -171,7 +171,7 @@ QUERIES = {
         SELECT created_by, action, count(*) AS n FROM ac WHERE action IS NOT NULL GROUP BY ALL"""),
     "prefix_expansion": (
         _expanded,
-        """WITH w AS (SELECT p_partkey AS id, substring(hs_code, 1, (2 + 2 * (p_partkey % 3))::INT) AS p FROM codes WHERE p_partkey % 50 = 0)
+        """WITH w AS (SELECT p_partkey AS id, substring(hs_code, 1, (2 + 2 * (p_partkey % 3))::INT) AS p FROM codes)
         SELECT id, string_agg(DISTINCT hs_code, ',' ORDER BY hs_code) AS hs_codes FROM w JOIN taxonomy ON level = 6 AND starts_with(hs_code, p) GROUP BY id"""),
     "hs_rollup": (
         _rolled,

@@ -27,7 +27,7 @@ def nested(t: Tables) -> DataFrame:
 _FLAT = """WITH best AS (SELECT result_id, arg_min(hs_code, (-score, line)) AS code, arg_min(chapter, (-score, line)) AS chapter, arg_min(score, (-score, line)) AS score FROM candidate GROUP BY result_id),
 m AS (SELECT result_id, count(*) AS n, max(similarity) AS s FROM "match" GROUP BY result_id), h AS (SELECT result_id, count(*) AS n, max(delta) AS s FROM hit GROUP BY result_id),
 f AS (SELECT r.*, code, chapter, best.score, coalesce(m.n, 0) AS n_m, coalesce(m.s, 0.0) AS s_m, coalesce(h.n, 0) AS n_h, coalesce(h.s, 0.0) AS s_h FROM result AS r LEFT JOIN best USING (result_id) LEFT JOIN m USING (result_id) LEFT JOIN h USING (result_id)),
-v AS (SELECT result_id, origin, destination, created_at, abstained, code AS top_code, score AS top_score, n_m::INT AS sanctions_count, s_m AS max_sanction_similarity, n_h::INT AS rules_count, s_h AS max_rule_delta,
+v AS (SELECT result_id, origin, destination, created_at, coalesce(abstained, FALSE) AS abstained, code AS top_code, score AS top_score, n_m::INT AS sanctions_count, s_m AS max_sanction_similarity, n_h::INT AS rules_count, s_h AS max_rule_delta,
       round(s_m + 0.5 * s_h + CASE WHEN coalesce(abstained, FALSE) THEN 0.3 ELSE 0.0 END, 6) AS risk FROM f)
 """
 
@@ -69,7 +69,7 @@ QUERIES = {
     "score_histogram": (lambda t: d.score_histogram(nested(t)), _FLAT + "SELECT CASE WHEN score < 0 THEN 0 WHEN score >= 1 THEN 11 ELSE 1 + floor(score * 10)::BIGINT END AS bucket, count(*) AS n FROM f WHERE score IS NOT NULL GROUP BY 1"),
     "override_rate_trend": (
         lambda t: d.override_rate(t["result"], t["feedback"]),
-        """SELECT created_at::DATE AS day, count(*) AS total, count(*) FILTER (kind = 'override') AS overridden, round(count(*) FILTER (kind = 'override') / count(*), 6) AS rate,
+        """SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (kind = 'override') AS overridden, round(count(*) FILTER (kind = 'override') / count(*), 6) AS rate,
            count(DISTINCT r.result_id) AS results, count(DISTINCT r.result_id) FILTER (kind = 'override') AS results_overridden FROM result AS r LEFT JOIN feedback AS f USING (result_id) GROUP BY 1"""),
     "rule_scope_heatmap": (
         lambda t: d.route_counts(t["rules"].where("active").select(F.col("rule_origin").alias("origin"), F.col("rule_destination").alias("destination")), "*"),

@@ -29,23 +29,23 @@ DERIVED = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
              JOIN part ON l_partkey = part.p_partkey JOIN codes AS c ON c.p_partkey = l_partkey JOIN iso AS f ON f.n_nationkey = s_nationkey JOIN iso AS t ON t.n_nationkey = c_nationkey""",
     "goods": """
-        SELECT p_partkey AS id, CASE (p_partkey / 5) % 4 WHEN 0 THEN 'EU' WHEN 1 THEN 'BIS' WHEN 2 THEN 'KW:metals' ELSE 'KW:foods' END AS source, 'R' || CAST(p_partkey AS STRING) AS source_record_id,
+        SELECT p_partkey AS id, CASE p_partkey % 20 WHEN 0 THEN 'EU' WHEN 5 THEN 'BIS' WHEN 10 THEN 'KW:metals' ELSE 'KW:foods' END AS source, 'R' || CAST(p_partkey AS STRING) AS source_record_id,
                description, ARRAY(hs_code) AS hs_codes, 'blocked' AS restriction_type, CAST(NULL AS STRING) AS provenance_url,
                CASE p_partkey % 3 WHEN 0 THEN DATE '1993-01-01' WHEN 1 THEN DATE '1996-06-01' ELSE NULL END AS valid_from,
                CASE p_partkey % 7 WHEN 0 THEN DATE '1997-01-01' WHEN 1 THEN DATE '2030-01-01' ELSE NULL END AS valid_to,
                TIMESTAMP '2020-01-01 00:00:00' AS sys_from, CASE WHEN p_partkey % 9 = 0 THEN TIMESTAMP '2021-01-01 00:00:00' ELSE NULL END AS sys_to
-        FROM codes WHERE p_partkey % 5 = 0""".replace("(p_partkey / 5) % 4", "p_partkey % 20"),
+        FROM codes WHERE p_partkey % 5 = 0""",
     "rules": """
         SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE f.iso END AS rule_origin, CASE WHEN p_partkey % 3 = 1 THEN NULL ELSE t.iso END AS rule_destination,
                CASE WHEN p_partkey % 2 = 0 THEN 'blocked' ELSE 'license' END AS restriction_type, p_partkey % 8 <> 0 AS active
         FROM part JOIN iso AS f ON f.n_nationkey = p_partkey % 25 JOIN iso AS t ON t.n_nationkey = (p_partkey * 3) % 25 WHERE p_partkey % 5 = 0
         UNION ALL SELECT p_partkey, f.iso, NULL, 'license', TRUE FROM part JOIN iso AS f ON f.n_nationkey = (p_partkey * 7) % 25 WHERE p_partkey % 10 = 0""",
     "screening": """
-        SELECT p_partkey AS rule_id, 'rule ' || CAST(p_partkey % 40 AS STRING) AS name, CAST(1 + p_partkey / 40 AS INT) AS version, p_name AS phrase, CASE p_partkey % 3 WHEN 0 THEN 'any_of' WHEN 1 THEN 'all_of' ELSE 'odd' END AS mode,
+        SELECT p_partkey AS rule_id, 'rule ' || CAST(p_partkey % 40 AS STRING) AS name, CAST(1 + (p_partkey - p_partkey % 40) / 40 AS INT) AS version, p_name AS phrase, CASE p_partkey % 3 WHEN 0 THEN 'any_of' WHEN 1 THEN 'all_of' ELSE 'odd' END AS mode,
                CASE WHEN p_partkey % 2 = 0 THEN ARRAY(p_name, p_type) ELSE NULL END AS group_phrases, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE f.iso END AS rule_origin, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE t.iso END AS rule_destination,
                0.3 + (p_partkey % 5) * 0.1 AS threshold, p_partkey % 6 <> 0 AS active, CASE WHEN p_partkey % 5 = 0 THEN 'analyst' WHEN p_partkey % 5 = 1 THEN 'sanctions_source:EU' ELSE 'sanctions_source:KW:' || substring(p_type, 1, 5) END AS created_by,
                CASE WHEN p_partkey % 3 = 1 THEN CAST(20000 AS DOUBLE) ELSE NULL END AS min_value, CASE WHEN p_partkey % 4 = 1 THEN 'EUR' ELSE NULL END AS only_currency
-        FROM part JOIN iso AS f ON f.n_nationkey = p_partkey % 25 JOIN iso AS t ON t.n_nationkey = (p_partkey * 11) % 25 WHERE p_partkey <= 120""".replace("CAST(1 + p_partkey / 40 AS INT)", "CAST(1 + (p_partkey - p_partkey % 40) / 40 AS INT)"),
+        FROM (SELECT p_name, min(p_partkey) AS p_partkey, min(p_type) AS p_type FROM part GROUP BY p_name) AS named JOIN iso AS f ON f.n_nationkey = p_partkey % 25 JOIN iso AS t ON t.n_nationkey = (p_partkey * 11) % 25""",
     "result": """
         SELECT o_orderkey AS result_id, o_orderdate AS created_at, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE f.iso END AS origin, t.iso AS destination,
                CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS abstained
@@ -66,9 +66,9 @@ DERIVED = {
     "ranked": """
         SELECT l_orderkey AS query_id, l_linenumber AS place, c.hs_code FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey""",
     "branch": """
-        SELECT l_orderkey AS query_id, c.hs_code, 0 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS pos, (101 - l_partkey % 100) / CAST(128 AS DOUBLE) AS value FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey
-        UNION ALL SELECT l_orderkey, c.hs_code, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) - 1, (1 + l_suppkey % 64) / CAST(64 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 2 = 1
-        UNION ALL SELECT l_orderkey, c.hs_code, 2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) - 1, (1 + l_linenumber % 8) / CAST(8 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 3 = 0""",
+        SELECT l_orderkey AS query_id, c.hs_code, 0 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS pos, (101 - l_partkey % 100) / CAST(128 AS DOUBLE) AS value FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey
+        UNION ALL SELECT l_orderkey, c.hs_code, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_suppkey % 64) / CAST(64 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 2 = 1
+        UNION ALL SELECT l_orderkey, c.hs_code, 2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_linenumber % 8) / CAST(8 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 3 = 0""",
     "gold": """
         SELECT o_orderkey AS query_id, c.hs_code AS gold FROM orders JOIN codes AS c ON c.p_partkey = 1 + o_orderkey % 50""",
 }

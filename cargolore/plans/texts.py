@@ -76,7 +76,7 @@ SELECT p_partkey, CASE WHEN several THEN round(least(1.0, 0.4 + 0.2 * k), 6)::DO
 
 
 def _conditions(t):  # noqa: ANN001, ANN202
-    s = t["shipment"].where("l_orderkey % 5 = 0")
+    s = t["shipment"]
     none = "cast(null as map<string,string>)"
     cond = F.expr(f"""CASE l_orderkey % 4 WHEN 0 THEN named_struct('min_value', 30000d, 'max_value', cast(null as double), 'currency_in', cast(null as array<string>), 'metadata_eq', {none})
         WHEN 1 THEN named_struct('min_value', cast(null as double), 'max_value', 20000d, 'currency_in', array('USD', 'EUR'), 'metadata_eq', {none})
@@ -86,7 +86,7 @@ def _conditions(t):  # noqa: ANN001, ANN202
     return s.select("query_id", predicates.satisfied(cond, value, F.col("currency"), meta).alias("ok"))
 
 
-_CONDITIONS = """SELECT query_id, CASE l_orderkey % 4 WHEN 0 THEN query_id % 7 <> 0 AND value >= 30000 WHEN 1 THEN query_id % 7 <> 0 AND value <= 20000 AND currency IN ('USD', 'EUR') WHEN 2 THEN query_id % 2 = 0 ELSE TRUE END AS ok FROM shipment WHERE l_orderkey % 5 = 0"""
+_CONDITIONS = """SELECT query_id, CASE l_orderkey % 4 WHEN 0 THEN query_id % 7 <> 0 AND value >= 30000 WHEN 1 THEN query_id % 7 <> 0 AND value <= 20000 AND currency IN ('USD', 'EUR') WHEN 2 THEN query_id % 2 = 0 ELSE TRUE END AS ok FROM shipment"""
 
 
 def _combined(t):  # noqa: ANN001, ANN202

@@ -145,6 +145,20 @@ def with_crosswalk(controls: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return controls.join(own, clean(controls["control_code"]) == own["__c"], "left").drop("__c").withColumn("hs_codes", F.coalesce("hs_codes", F.array().cast("array<string>")))
 
 
+def read_annex(raw: DataFrame, source: str, country: str) -> DataFrame:
+    """An annex of goods with tariff codes and a direction: rows without a
+    usable code are dropped; routes follow the direction."""
+    direction = find(raw, ("direction",), required=False)
+    direction = F.lit("export_to") if direction is None else F.lower(F.trim(direction))
+    out = raw.select(
+        F.lit(source).alias("source"), F.trim(find(raw, TEXT_HEADERS)).alias("description"),
+        level_codes(split_codes(find(raw, ("hs_codes", "hs_code", "cn_code", "cn code", "code")))).alias("hs_codes"), F.lit("blocked").alias("restriction_type"),
+        country_rules(direction, F.lit(country), F.lit(None).cast("string")).alias("routes"),
+    )
+    record = F.concat(F.lit(f"{source}-"), F.substring(F.sha1("description"), 1, 12))
+    return out.where((F.size("hs_codes") > 0) & (F.col("description") != "")).withColumn("source_record_id", record)
+
+
 def country_program(spark: SparkSession, program: dict) -> DataFrame:
     """A parsed country program (``yaml.safe_load`` of its file).
 

@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows that DuckDB gives, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
@@ -22,7 +23,7 @@ def duck():
 def plain(frame):
     """Rows as sorted tuples of text, columns by name, floats to nine digits."""
     def cell(v):
-        if v is None or v != v:
+        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return ""
         return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

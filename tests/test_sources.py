@@ -76,6 +76,12 @@ def test_crosswalk(spark):
     assert {r.control_code: r.hs_codes for r in reference.with_crosswalk(controls, walk).collect()} == {"1A001": ["12", "854231"], "9z9": []}
 
 
+def test_annex(spark):
+    raw = spark.createDataFrame([("Pumps", "8413.70; x", "import_from"), ("No code", "n/a", "both")], "Description string, `CN code` string, Direction string")
+    row = reference.read_annex(raw, "EU-A", "RU").first()
+    assert (row.hs_codes, [tuple(r) for r in row.routes]) == (["841370"], [("RU", None)])
+
+
 def test_results_need_a_stamp(spark, tmp_path):
     sinks.write_results(spark.createDataFrame([(1, "v1")], "id int, versions string"), str(tmp_path / "r"))
     with pytest.raises(Exception, match="version stamp"):
