@@ -199,6 +199,7 @@ def _verify(threshold: float, tolerance: float):  # noqa: ANN202
         size = np.array([len(s) for s in sets])
         links = np.zeros(len(ids), np.int64)
         left, right = [], []
+        own = np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]]
         sign = minhash(np.concatenate(sets), size, HASHES, SEED + 1)
         edge = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1]))
         for start, stop in zip(edge, np.append(edge[1:], len(ids)), strict=True):
@@ -212,10 +213,12 @@ def _verify(threshold: float, tolerance: float):  # noqa: ANN202
                 common = overlaps(sets, i, j)
                 keep = common >= threshold * (size[i] + size[j] - common) - 1e-9
                 i, j = i[keep], j[keep]
-                np.add.at(links, i, copies[j])
-                np.add.at(links, j, copies[i])
-                left.append(i)
-                right.append(j)
+                # a document's rows (repeated, or several texts) are linked as one
+                pairs = np.unique(np.stack([np.minimum(own[i], own[j]), np.maximum(own[i], own[j])]), axis=1)
+                np.add.at(links, pairs[0], copies[pairs[1]])
+                np.add.at(links, pairs[1], copies[pairs[0]])
+                left.append(pairs[0])
+                right.append(pairs[1])
         some = np.flatnonzero(links)
         root = roots(len(ids), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(ids))
         return pa.table({"rep": ids[some], "n": links[some], "root": ids[root][some]})
@@ -248,7 +251,8 @@ def jaccard_join(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     # clusters of one block are packed together by hash, others stand alone
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(-1 - F.col("cluster"))
     placed = near.join(sized, "cluster").select("rep", "copies", "cluster", "blocks", pack.cast("long").alias("pack"))
-    with_text = known.join(placed, known["doc_id"] == placed["rep"]).select("rep", "copies", "cluster", "blocks", "pack", "text")
+    # always by sort-merge: the plan is the same at every size
+    with_text = known.join(placed.hint("shuffle_merge"), known["doc_id"] == placed["rep"]).select("rep", "copies", "cluster", "blocks", "pack", "text")
     sets = with_text.mapInArrow(_sets(words), "rep bigint, copies bigint, cluster bigint, blocks int, pack bigint, grams binary").where(F.length("grams") > 0)
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
