@@ -33,7 +33,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def lexical_logit(query: Column, text: Column) -> Column:
-    """The default pair scorer: a logit from shared words and shared trigrams.
+    """The default pair scorer: a logit from shared words and shared trigrams.
 
     Any ``pandas_udf`` of two strings can stand in for it."""
     return 6 * (0.6 * set_similarity(F.array_distinct(words(query)), F.array_distinct(words(text))) + 0.4 * set_similarity(trigrams(query), trigrams(text))) - 3

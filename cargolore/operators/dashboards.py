@@ -67,6 +67,17 @@ def page(results: DataFrame, sort: str = "recent", limit: int = 50, offset: int
     return result_rows(results).orderBy(*first, F.desc("created_at"), F.asc("result_id")).offset(offset).limit(limit)
 
 
+def with_shipments(results: DataFrame, shipments: DataFrame) -> DataFrame:
+    """Results with the columns of their shipments that they do not have."""
+    own = [c for c in shipments.columns if c == "query_id" or c not in results.columns]
+    return results.join(shipments.select(*own), "query_id")
+
+
+def count_results(results: DataFrame) -> DataFrame:
+    """One row: how many results a page is taken from."""
+    return results.agg(F.count("*").alias("n"))
+
+
 def chapter_volume(results: DataFrame) -> DataFrame:
     """A1."""
     return results.groupBy(F.coalesce(top("chapter"), F.lit("?")).alias("chapter")).agg(F.count("*").alias("n"))

@@ -21,7 +21,7 @@ META = ("level", "chapter", "title", "description")
 
 
 def rank(rows: DataFrame, by: Column | list[Column], k: int | None = None, key: str = "query_id", name: str = "pos") -> DataFrame:
-    """``rows`` with their place within ``key`` (from 0); only the first ``k`` if given."""
+    """``rows`` with their place within ``key`` (from 0); only the first ``k`` if given."""
     order = by if isinstance(by, list) else [by]
     ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     ranked = ranked if k is None else ranked.where(F.col(name) <= k)
@@ -69,7 +69,7 @@ def sparse_topk(queries: DataFrame, index: DataFrame, k: int = TOP_K, key: str =
 
 
 def entity_topk(entities: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Codes by the summed weights of a query's (type, value) pairs."""
+    """Codes by the summed weights of a query's (type, value) pairs."""
     found = entities.distinct().join(index, ["entity_type", "entity_value"]).groupBy("query_id", "hs_code").agg(F.sum("weight").alias("weight"))
     best = rank(found, [F.desc("weight"), F.asc("hs_code")], k)
     return best.withColumn("entity_overlap_score", F.col("weight") / F.max("weight").over(Window.partitionBy("query_id")))

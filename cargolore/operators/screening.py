@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from cargolore.functions.predicates import effective, in_scope, satisfied
 from cargolore.functions.scores import PairScorer, lexical_logit, sigmoid
 from cargolore.functions.text import is_short_name, trigrams
-from cargolore.operators.retrieval import RRF_K, rank
+from cargolore.operators.retrieval import RRF_K, dense_topk, postings, rank, sparse_topk
 
 ALIAS_FLOOR = 0.3
+#: Good matches that each semantic path gives a query.
+PATH_K = 50
 
 
 def active_goods(goods: DataFrame, on: dt.date | Column, known_at: Column | None = None) -> DataFrame:
@@ -49,6 +51,23 @@ def applicable(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.join(own, on, "left_semi")
 
 
+def dense_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
+    """The ``k`` nearest goods (``id, v``) of shipments (``query_id, q, origin,
+    destination``) among those whose rules cover the route.  Routes are checked
+    on the candidates found, so ``k`` bounds what is looked at, as in the index
+    scan that this stands for."""
+    found = dense_topk(shipments.select("query_id", "q"), goods.select(F.col("id").alias("hs_code"), "v"), k).withColumnRenamed("hs_code", "id")
+    return applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules).select("query_id", "id", "similarity")
+
+
+def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
+    """Goods whose description holds every word of a shipment's ``text``,
+    the ``k`` best of those whose rules cover the route."""
+    index = postings(goods.select("id", "description"), text="description", key="id")
+    found = sparse_topk(shipments.select("query_id", "text"), index, k, key="id")
+    return applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules).select("query_id", "id", F.col("rank").alias("similarity"))
+
+
 def alias_matches(parties: DataFrame, aliases: DataFrame, floor: float = ALIAS_FLOOR) -> DataFrame:
     """Goods whose aliases are like a name, by trigrams.
 
@@ -111,7 +130,7 @@ def combine(values: Column, mode: Column) -> Column:
 
 
 def score_rules(shipments: DataFrame, rules: DataFrame, scorer: PairScorer = lexical_logit) -> DataFrame:
-    """Active rules that cover a shipment's route, with the
+    """Active rules (or drafted ones) that cover a shipment's route, with the
     likeness of their phrases to its text, threshold margin, and conditions.
 
     ``shipments``: ``query_id, text, origin, destination, value, currency,

@@ -22,7 +22,7 @@ def content_hash(columns: tuple[str, ...] = GOODS, lists: tuple[str, ...] = ("hs
 
 
 def bitemporal_changes(feed: DataFrame, current: DataFrame, key: tuple[str, ...] = ("source", "source_record_id"), content: tuple[str, ...] = GOODS) -> DataFrame:
-    """B2, U4: what a feed does to the current versions: ``action`` for each key:
+    """What a feed does to the current versions: ``action`` for each key:
     ``insert``, ``update`` (close and open), ``keep`` or ``close``.
 
     Keys are compared null-safe.  An empty feed, and for rows whose last key is
@@ -61,8 +61,21 @@ def as_of(table: DataFrame, at: Column) -> DataFrame:
     return table.where(known_at(F.col("sys_from"), F.col("sys_to"), at))
 
 
+def replace_routes(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """Country rules after a delivery: goods that ``new`` names get its routes
+    only, the routes of others stay."""
+    named = new.select(F.col("id").alias("__id")).distinct()
+    return rules.join(named, rules["id"] == named["__id"], "left_anti").unionByName(new.select(*rules.columns).distinct())
+
+
+def set_gates(gates: DataFrame, changes: DataFrame | None, seed: DataFrame) -> DataFrame:
+    """Ship gates (``metric, value``): seeded where absent, changed by
+    ``changes``, or reset to the seed if there are none."""
+    return seed if changes is None else upsert(changes, insert_absent(seed, gates, ["metric"]), ["metric"])
+
+
 def insert_absent(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """``old`` and the rows of ``new`` whose key, compared null-safe,
+    """``old`` and the rows of ``new`` whose key, compared null-safe,
     it does not have; of equal new keys one row."""
     first = new.dropDuplicates(key)
     other = old.select(*(F.col(c).alias(f"__{c}") for c in key))
@@ -77,7 +90,7 @@ def upsert(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
 
 
 def expand_prefixes(codes: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """``id, hs_codes`` with each code of 2, 4 or 6 digits replaced by
+    """``id, hs_codes`` with each code of 2, 4 or 6 digits replaced by
     all six-digit codes below it; what the taxonomy does not have is dropped.
     The taxonomy's codes are listed under their prefixes, so this is an equi-join."""
     six = taxonomy.where("level = 6").select("hs_code").distinct()

@@ -92,7 +92,7 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 _CONF = _FUSED + """, nm AS (SELECT *, CASE WHEN sum(greatest(score, 0)) OVER (PARTITION BY query_id) > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY query_id) ELSE 0 END AS p FROM pl WHERE place < 10),
 ch AS (SELECT query_id, chapter, sum(p) AS share FROM nm GROUP BY ALL), cs AS (SELECT query_id, round(max(share), 4) AS chapter_consensus FROM ch GROUP BY 1),
 cf AS (SELECT query_id, round(max(score) FILTER (place = 0), 4) AS top1_score, round(max(score) FILTER (place = 0) - coalesce(max(score) FILTER (place = 1), 0), 4) AS top1_minus_top2,
-       round(-sum(CASE WHEN p > 0 THEN p * ln(p + 1e-12) ELSE 0 END), 3) AS entropy_topk, coalesce(bool_or(place = 0 AND round(d, 4) > 0.4 AND round(s, 4) > 0 AND round(ce, 4) > 0.4), FALSE) AS cross_source_agreement, max(hs_code) FILTER (place = 0) AS top_code FROM nm GROUP BY 1)
+       round(round(-sum(CASE WHEN p > 0 THEN p * ln(p + 1e-12) ELSE 0 END), 4), 3) AS entropy_topk, coalesce(bool_or(place = 0 AND round(d, 4) > 0.4 AND round(s, 4) > 0 AND round(ce, 4) > 0.4), FALSE) AS cross_source_agreement, max(hs_code) FILTER (place = 0) AS top_code FROM nm GROUP BY 1)
 """
 
 
@@ -158,6 +158,34 @@ _ALIASES = f"""WITH a AS (SELECT s_suppkey AS query_id, {trigrams_sql("s_name ||
 SELECT query_id, id, round({similarity_sql('g', 'h')}, 6) AS similarity FROM a, b WHERE {similarity_sql('g', 'h')} >= 0.2"""
 
 
+_ROUTED = "EXISTS (SELECT 1 FROM rules AS r WHERE r.id = g.id AND active AND (rule_origin IS NULL OR rule_origin = o) AND (rule_destination IS NULL OR rule_destination = d))"
+
+
+def _routes(t: Tables, key: str) -> list[Column]:
+    iso = lambda k: F.expr(f"concat(chr(cast(65 + ({k}) % 26 as int)), chr(cast(65 + (({k}) * 7) % 26 as int)))")
+    return [iso(f"{key} % 25").alias("origin"), iso(f"({key} * 3) % 25").alias("destination")]
+
+
+def _dense_goods(t: Tables) -> DataFrame:
+    v = t["embeddings"]
+    shipments = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), *_routes(t, "vec_id"))
+    goods = v.select((F.col("vec_id") * 5).alias("id"), F.col("embedding").alias("v"))
+    return s.dense_matches(shipments, goods, t["rules"], 10).withColumn("similarity", F.round("similarity", 6))
+
+
+_DENSE_GOODS = _DENSE + f""", g AS (SELECT query_id, hs_code * 5 AS id, s, chr((65 + (query_id % 25) % 26)::INT) || chr((65 + ((query_id % 25) * 7) % 26)::INT) AS o, chr((65 + ((query_id * 3) % 25) % 26)::INT) || chr((65 + (((query_id * 3) % 25) * 7) % 26)::INT) AS d FROM k)
+SELECT query_id, id, round(s, 6) AS similarity FROM g WHERE {_ROUTED}"""
+
+
+def _sparse_goods(t: Tables) -> DataFrame:
+    shipments = _names(t).select("query_id", "text", *_routes(t, "query_id"))
+    return s.sparse_matches(shipments, t["codes"].select(F.col("p_partkey").alias("id"), "description"), t["rules"], 20)
+
+
+_SPARSE_GOODS = _SPARSE[: _SPARSE.rindex("SELECT query_id")].rstrip() + f""", g AS (SELECT query_id, p_partkey AS id, rank, chr((65 + (query_id % 25) % 26)::INT) || chr((65 + ((query_id % 25) * 7) % 26)::INT) AS o, chr((65 + ((query_id * 3) % 25) % 26)::INT) || chr((65 + (((query_id * 3) % 25) * 7) % 26)::INT) AS d FROM k)
+SELECT query_id, id, rank AS similarity FROM g WHERE {_ROUTED}"""
+
+
 def _rule_matches(t: Tables) -> DataFrame:
     null_map = F.lit(None).cast("map<string,string>")
     cond = F.struct("min_value", F.lit(None).cast("double").alias("max_value"), F.when(F.col("only_currency").isNotNull(), F.array("only_currency")).alias("currency_in"), null_map.alias("metadata_eq"))
@@ -217,6 +245,8 @@ QUERIES = {
     "sanctions_rrf": (_merged, _merged_sql("rrf")),
     "sanctions_max": (lambda t: _merged(t, "max"), _merged_sql("max")),
     "alias_match": (_aliases, _ALIASES),
+    "sanctions_dense": (_dense_goods, _DENSE_GOODS),
+    "sanctions_sparse": (_sparse_goods, _SPARSE_GOODS),
     "rule_scores": (
         lambda t: _rule_matches(t).select("query_id", "rule_id", "mode", "phrase_similarity", "delta_above_threshold", "conditions_satisfied"),
         _RULES + "SELECT query_id, rule_id, mode, phrase_similarity, round(phrase_similarity - threshold::DOUBLE, 4) AS delta_above_threshold, conditions_satisfied FROM rs"),

@@ -38,7 +38,7 @@ def _ages(t: Tables) -> DataFrame:
 
 _LATEST = """WITH l AS (SELECT * FROM run WHERE status = 'success' QUALIFY row_number() OVER (PARTITION BY source ORDER BY started_at DESC, run_id DESC) = 1),
 a AS (SELECT source, kind, greatest(0, floor((epoch(TIMESTAMP '2024-03-01') - floor(epoch(finished_at))) / 86400))::INT AS days FROM l),
-s AS (SELECT source, days, CASE WHEN days IS NULL THEN 'gray' WHEN days <= CASE WHEN kind = 'taxonomy' THEN 90 ELSE 7 END THEN 'green' WHEN days <= CASE WHEN kind = 'taxonomy' THEN 365 ELSE 30 END THEN 'amber' ELSE 'red' END AS severity FROM a)
+s AS (SELECT source, kind, days, CASE WHEN days IS NULL THEN 'gray' WHEN days <= CASE WHEN kind = 'taxonomy' THEN 90 ELSE 7 END THEN 'green' WHEN days <= CASE WHEN kind = 'taxonomy' THEN 365 ELSE 30 END THEN 'amber' ELSE 'red' END AS severity FROM a)
 """
 
 
@@ -62,7 +62,7 @@ QUERIES = {
     "results_risk_sorted": (lambda t: d.page(nested(t), "risk_desc", 50), _FLAT + "SELECT * FROM v ORDER BY risk DESC, created_at DESC, result_id LIMIT 50"),
     "results_confidence_sorted": (lambda t: d.page(nested(t), "confidence_asc", 50), _FLAT + "SELECT * FROM v ORDER BY coalesce(top_score, 0.0), created_at DESC, result_id LIMIT 50"),
     "results_page": (lambda t: d.page(nested(t), "recent", 25, 100), _FLAT + "SELECT * FROM v ORDER BY created_at DESC, result_id LIMIT 25 OFFSET 100"),
-    "results_count": (lambda t: d.filter_results(nested(t), has_rules=True).agg(F.count("*").alias("n")), _FLAT + "SELECT count(*) AS n FROM f WHERE n_h > 0"),
+    "results_count": (lambda t: d.count_results(d.filter_results(nested(t), has_rules=True)), _FLAT + "SELECT count(*) AS n FROM f WHERE n_h > 0"),
     "chapter_volume": (lambda t: d.chapter_volume(nested(t)), _FLAT + "SELECT coalesce(chapter, '?') AS chapter, count(*) AS n FROM f GROUP BY 1"),
     "sanction_hits_by_source": (lambda t: d.hits_by_source(nested(t)), 'SELECT coalesce(source, \'?\') AS source, count(*) AS n FROM "match" JOIN result USING (result_id) GROUP BY 1'),
     "result_route_heatmap": (lambda t: d.route_counts(t["result"]), "SELECT coalesce(origin, '?') AS origin, coalesce(destination, '?') AS destination, count(*) AS n FROM result GROUP BY 1, 2"),

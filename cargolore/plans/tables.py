@@ -75,7 +75,7 @@ DERIVED = {
 
 
 class Tables:
-    """The driver tables and the derived relations under one folder."""
+    """The driver tables and the derived relations under one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder

@@ -20,7 +20,8 @@ MAX_TEXT, MAX_KEYWORDS = 2000, 2000
 
 
 def find(df: DataFrame, names: tuple[str, ...], required: bool = True) -> Column | None:
-    """The first column called one of ``names``; byte order marks are ignored."""
+    """The first column called one of ``names``; byte order marks are ignored.
+    If there must be one and is not, this raises."""
     have = {c.replace("﻿", "").strip().lower(): c for c in reversed(df.columns)}
     for n in names:
         if n in have:
