@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,7 @@ def screen(
     and scored; the best codes meet the controlled goods on the shipment's route;
     rules are scored; descriptions of several goods are also classified by
     fragment.  Every part is keyed by ``query_id`` and joined once at the end.
+    Candidates and rule scores are persisted on disk while the result is made.
     """
     clean = shipments.withColumn("text", normalize(F.col("text")))
     spans = entities.dedupe_spans(entities.gazetteer_spans(clean.select("query_id", "text"), gazetteer))
@@ -59,7 +61,7 @@ def screen(
     def classified(texts: DataFrame, found: DataFrame) -> DataFrame:
         return retrieval.classify(texts.select("query_id", "text"), codes, entities=(found.select("query_id", F.col("label").alias("entity_type"), F.col("text").alias("entity_value")), index), scorer=scorer)
 
-    ranked = classified(clean, spans)
+    ranked = classified(clean, spans).persist(StorageLevel.DISK_ONLY)  # read three times
     confident = retrieval.confidence(ranked)
     held = retrieval.abstention(clean, confident)
     view = candidate_view(*(F.col(c) for c in ("hs_code", "level", "chapter", "title", "description", "score", "score_components")))
@@ -70,7 +72,7 @@ def screen(
     matched = matched.join(goods.where("sys_to IS NULL").select("id", "source", "source_record_id", "description"), "id")
     sanctions = matched.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source", "source_record_id", "description", "hs_code_overlap", "restriction_type", "n_rules"))).alias("sanction_matches"))
 
-    fired = screening.score_rules(clean, screening_rules, scorer)
+    fired = screening.score_rules(clean, screening_rules, scorer).persist(StorageLevel.DISK_ONLY)  # read twice
     rule_view = F.struct((-F.col("phrase_similarity")).alias("__o"), "rule_id", "phrase", "phrase_similarity", "threshold", "delta_above_threshold", "conditions_satisfied", "mode", "created_by")
     by_rule = fired.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(rule_view)), lambda x: x.dropFields("__o")).alias("rule_matches"))
     by_list = screening.group_by_list(fired).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("top_similarity")).alias("__o"), "list", "top_phrase", "top_similarity", "n_above_threshold", "n_total"))).alias("rule_matches_by_list"))

@@ -36,7 +36,7 @@ def test_embedding_has_length_one(spark):
 def test_routes_of_rules(spark):
     shipments = spark.createDataFrame([(1, "steel", "US", "DE", 10.0, "USD", None), (2, "steel", None, "DE", None, None, None)], "query_id int, text string, origin string, destination string, value double, currency string, metadata map<string,string>")
     rules = [(i, "steel", None, a, b, 0.5, True, "x", c) for i, (a, b, c) in enumerate([(None, None, None), ("US", None, (5.0, None, None, None)), (None, "DE", (50.0, None, None, None)), ("US", "DE", None), ("FR", None, None)])]
-    table = spark.createDataFrame(rows, f"rule_id int, phrase string, phrase_group struct<mode:string,phrases:array<string>>, rule_origin string, rule_destination string, threshold double, active boolean, created_by string, conditions struct<{CONDITIONS.replace(' ', ':').replace(',:', ',')}>")
+    table = spark.createDataFrame(rules, f"rule_id int, phrase string, phrase_group struct<mode:string,phrases:array<string>>, rule_origin string, rule_destination string, threshold double, active boolean, created_by string, conditions struct<{CONDITIONS.replace(' ', ':').replace(',:', ',')}>")
     got = {(r.query_id, r.rule_id): r.conditions_satisfied for r in screening.score_rules(shipments, table).collect()}
     assert got == {(1, 0): True, (1, 1): True, (1, 2): False, (1, 3): True, (2, 0): True, (2, 2): False}
 
