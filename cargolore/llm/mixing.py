@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import n_words
+from cargolore.llm.common import materialize, n_words
 
 #: No document is taken more often than this.
 MAX_REPEATS = 3
@@ -126,12 +126,13 @@ def mix(
     seed: int = SEED,
     id_column: str = "doc_id",
     text_column: str = "text",
+    size: Column | None = None,
 ) -> DataFrame:
     """``docs`` with ``size``, ``pattern``, ``repeats`` (how often the mix takes
     the document) and ``taken`` (words).
 
     ``sources`` names one source a row, or an array of sources for documents that
-    belong to several.  Sizes are counted over all rows.  Patterns and sources
+    belong to several.  Sizes (words of the text, or ``size``) are summed over all rows.  Patterns and sources
     are counted before they go to the driver; beyond ``MAX_PATTERNS`` this
     raises, as the flow is solved there.
     """
@@ -140,7 +141,7 @@ def mix(
     pattern = F.array_sort(F.array_distinct(source)) if is_list else F.array(source.cast("string"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
     sized = docs.withColumns({
-        "size": n_words(F.col(text_column)),
+        "size": n_words(F.col(text_column)) if size is None else size,
         "pattern": pattern,
         "__order": order,
         "__bucket": (F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * BUCKETS / 2**32).cast("int"),
@@ -155,7 +156,7 @@ def mix(
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
     total = sum(patterns.values())
-    goal = targets(sizes, weights(list(sizes)), max_repeats) if len(patterns) == len(sizes) else _shared(sizes, weights(list(sizes)), total, max_repeats)
+    goal = targets(sizes, weights(list(sizes)), max_repeats) if all(len(p) == 1 for p in patterns) else _shared(sizes, weights(list(sizes)), total, max_repeats)
     flow = route(patterns, {s: round(q) for s, q in goal.items()}, COPY_COSTS[:max_repeats])
     words = {p: sum(n for (q, _), n in flow.items() if q == p) for p in patterns}
     plan = docs.sparkSession.createDataFrame(
@@ -200,7 +201,9 @@ def _shared(sizes: dict, weights: dict, total: int, limit: int) -> dict[object,
 
 def mix_query(docs: DataFrame) -> DataFrame:
     """op10's columns for ``docs`` with ``doc_id, text, source``."""
-    mixed = mix(docs.select("doc_id", "text", "source"))
+    # words are counted once; the five passes that follow read sizes only
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
+    mixed = mix(sized, size=F.col("n"))
     totals = mixed.groupBy("source").agg(F.sum("size").alias("n"))
     rows = totals.limit(MAX_PATTERNS).collect()
     sizes = {r["source"]: int(r["n"] or 0) for r in rows}
