@@ -51,7 +51,7 @@ DERIVED = {
                CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS abstained
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN iso AS t ON t.n_nationkey = c_nationkey JOIN iso AS f ON f.n_nationkey = o_custkey % 25""",
     "candidate": """
-        SELECT l_orderkey AS result_id, l_linenumber AS line, c.hs_code, substring(c.hs_code, 1, 2) AS chapter, (l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 101 / CAST(100 AS DOUBLE) AS score
+        SELECT l_orderkey AS result_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS line, c.hs_code, substring(c.hs_code, 1, 2) AS chapter, (l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 101 / CAST(100 AS DOUBLE) AS score
         FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_orderkey % 7 <> 0""",
     "match": """
         SELECT l_orderkey AS result_id, g.source, round((l_partkey % 50 + l_linenumber) / CAST(60 AS DOUBLE), 4) AS similarity FROM lineitem JOIN goods AS g ON g.id = l_partkey""",
@@ -66,9 +66,9 @@ DERIVED = {
     "ranked": """
         SELECT l_orderkey AS query_id, l_linenumber AS place, c.hs_code FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey""",
     "branch": """
-        SELECT l_orderkey AS query_id, c.hs_code, 0 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS pos, (101 - l_partkey % 100) / CAST(128 AS DOUBLE) AS value FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey
-        UNION ALL SELECT l_orderkey, c.hs_code, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_suppkey % 64) / CAST(64 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 2 = 1
-        UNION ALL SELECT l_orderkey, c.hs_code, 2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_linenumber % 8) / CAST(8 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 3 = 0""",
+        SELECT l_orderkey AS query_id, c.hs_code, 0 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS pos, (101 - l_partkey % 100) / CAST(127 AS DOUBLE) AS value FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey
+        UNION ALL SELECT l_orderkey, c.hs_code, 1, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_suppkey % 64) / CAST(67 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 2 = 1
+        UNION ALL SELECT l_orderkey, c.hs_code, 2, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1, (1 + l_linenumber % 8) / CAST(9 AS DOUBLE) FROM lineitem JOIN codes AS c ON c.p_partkey = l_partkey WHERE l_linenumber % 3 = 0""",
     "gold": """
         SELECT o_orderkey AS query_id, c.hs_code AS gold FROM orders JOIN codes AS c ON c.p_partkey = 1 + o_orderkey % 50""",
 }
