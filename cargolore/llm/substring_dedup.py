@@ -11,19 +11,20 @@ window that starts anywhere else as well is removed, in all its places.
    partial sums before the shuffle.  Each repeated window belongs to one of the
    documents that hold it; chains of a document's windows are the reference, in
    which each repeated word sequence stands once however often it occurs.
-3. *Shards.*  The reference is cut into shards of about ``SHARD_WORDS`` words by
-   owner.  A shard's suffix automaton is built in the tasks it is sent to, and
+3. *Shards.*  The reference is cut into shards of about ``SHARD_WORDS`` words, so
+   that what one group of near copies shares is in one shard.  A shard's suffix automaton is built in the tasks it is sent to, and
    passages stream through it for their matching statistics: at each word, the
    length of the longest match that ends there.  Where it reaches ``size``, the
    span is removed.  A passage only visits the shards that hold one of its
-   anchors (sending every document to every shard would grow with the square of
+   windows' routes (sending every document to every shard would grow with the square of
    the corpus), and a shard with much to match is sent to several tasks.
 
 Words are runs of anything but ASCII white space, unchanged.  Defined cases: a
 null or empty text has no words; a text of under ``size`` words loses none; rows
 with equal ids and texts are two places of the same windows; null ids are ids.
 An empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are
-passed on unread, and no column name is reserved but those that are added.
+passed on unread; a column with the name of an added one is replaced.  Names
+that begin with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import Words, chunks, grams, materialize, text_buffer
+from cargolore.llm.common import Words, chunks, grams, materialize, mix, text_buffer
 
 #: Words of a window.
 SIZE = 35
@@ -70,6 +71,16 @@ def window_anchors(words: Words, size: int = SIZE, gram: int = GRAM) -> tuple[np
     return place, np.repeat(np.arange(len(many)), many), least[place]
 
 
+def window_routes(words: Words, place: np.ndarray, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
+    """Of each window, by its first word's place, the hash of the least grams of
+    both its halves.  Like anchors they are equal for equal windows and change
+    every few words, but a frequent phrase in a window does not decide them alone.
+    """
+    width = (size - gram + 1) // 2
+    least = _sliding(grams(words.hashes, gram), width, np.minimum)
+    return mix(least[place] * np.uint64(0xD6E8FEB86659FD93) + least[place + size - gram + 1 - width])
+
+
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Words]]:
     data, ends = text_buffer(batch.column("text"))
     for first, last in chunks(ends):
@@ -116,8 +127,8 @@ def _passages(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column("key").to_numpy(), batch.column("text")
-            found = batch.column("anchors")
-            out: dict[str, list] = {"key": [], "start": [], "text": []}
+            found, homes = batch.column("anchors"), batch.column("home").to_numpy()
+            out: dict[str, list] = {"key": [], "home": [], "start": [], "text": []}
             for first, last, words in _pieces(batch):
                 place, doc, anchor = window_anchors(words, size)
                 begin = np.cumsum(words.counts) - words.counts
@@ -133,9 +144,10 @@ def _passages(size: int):  # noqa: ANN202
                         own = own or texts[first + d].as_py().encode().split()
                         start = int(place[a + x] - begin[d])
                         out["key"].append(keys[first + d])
+                        out["home"].append(homes[first + d])
                         out["start"].append(start)
                         out["text"].append(b" ".join(own[start : start + y - x + size - 1]))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "text": pa.array(out["text"], pa.binary()).cast(pa.string())})
+            yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "home": pa.array(out["home"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "text": pa.array(out["text"], pa.binary()).cast(pa.string())})
 
     return run
 
@@ -163,13 +175,14 @@ def _window_rows(size: int):  # noqa: ANN202
 def _reference_rows(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, found = batch.column("key").to_numpy(), batch.column("text"), batch.column("hashes")
-            out: dict[str, list] = {"key": [], "text": [], "anchors": []}
+            homes, texts, found = batch.column("home").to_numpy(), batch.column("text"), batch.column("hashes")
+            out: dict[str, list] = {"home": [], "text": [], "routes": []}
             for first, last, words in _pieces(batch):
-                place, doc, anchor = window_anchors(words, size)
+                place, doc, _ = window_anchors(words, size)
                 if not len(place):
                     continue
                 h1, _ = _window_hashes(words, place, size)
+                route = window_routes(words, place, size)
                 begin = np.cumsum(words.counts) - words.counts
                 edge = np.searchsorted(doc, np.arange(last - first + 1))
                 for d in range(last - first):
@@ -178,26 +191,27 @@ def _reference_rows(size: int):  # noqa: ANN202
                     for x, y in _runs(np.isin(h1[a:b], np.asarray(found[first + d].values)), place[a:b]):
                         own = own or texts[first + d].as_py().encode().split()
                         start = int(place[a + x] - begin[d])
-                        out["key"].append(keys[first + d])
+                        out["home"].append(homes[first + d])
                         out["text"].append(b" ".join(own[start : start + y - x + size - 1]))
-                        out["anchors"].append(np.unique(anchor[a + x : a + y]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "text": pa.array(out["text"], pa.binary()).cast(pa.string()), "anchors": pa.array(out["anchors"], pa.list_(pa.int64()))})
+                        out["routes"].append(np.unique(route[a + x : a + y]).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"home": pa.array(out["home"], pa.int64()), "text": pa.array(out["text"], pa.binary()).cast(pa.string()), "routes": pa.array(out["routes"], pa.list_(pa.int64()))})
 
     return run
 
 
-def _passage_anchors(size: int):  # noqa: ANN202
+def _passage_routes(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, starts = batch.column("key").to_numpy(), batch.column("start").to_numpy()
             for first, _, words in _pieces(batch):
-                _, doc, anchor = window_anchors(words, size)
+                place, doc, _ = window_anchors(words, size)
                 if len(doc):
-                    order = np.lexsort((anchor, doc))
-                    doc, anchor = doc[order], anchor[order]
-                    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])))
+                    route = window_routes(words, place, size)
+                    order = np.lexsort((route, doc))
+                    doc, route = doc[order], route[order]
+                    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (route[1:] != route[:-1])))
                     at = first + doc[new]
-                    yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor[new].view(np.int64)), "key": pa.array(keys[at]), "start": pa.array(starts[at])})
+                    yield pa.RecordBatch.from_pydict({"route": pa.array(route[new].view(np.int64)), "key": pa.array(keys[at]), "start": pa.array(starts[at])})
 
     return run
 
@@ -284,16 +298,17 @@ def _match(size: int):  # noqa: ANN202
 
 
 def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size: int = SIZE) -> DataFrame:
-    """Stream ``key, start, text`` through the automata of ``key, text, anchors``.
+    """Stream ``key, start, text`` through the automata of ``home, text, routes``
+    (reference texts of one home are in one shard).
 
     Returns ``key, begins, stops``: ranges of words, counted from the
     document's start, that are covered by matches of ``size`` words.
     """
-    reference = reference.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    homes = reference.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    at = passages.mapInArrow(_passage_anchors(size), "anchor bigint, key bigint, start int")
-    visits = at.join(homes, "anchor").select("key", "start", "shard").distinct()
-    routed = materialize(passages.join(visits, ["key", "start"]), "routed")
+    reference = reference.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
+    homes = reference.select(F.explode("routes").alias("route"), "shard").distinct()
+    at = passages.mapInArrow(_passage_routes(size), "route bigint, key bigint, start int")
+    visits = at.join(homes, "route").select("key", "start", "shard").distinct()
+    routed = materialize(passages.select("key", "start", "text").join(visits, ["key", "start"]), "routed")
     load = routed.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / (6 * TASK_WORDS)).cast("int").alias("salts"))
     salted = routed.join(F.broadcast(load), "shard").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts")).cast("int"))
     copies = reference.join(F.broadcast(load), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -305,15 +320,17 @@ def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``key, begins, stops`` of ``docs`` with ``key, text``: the words in repeated windows."""
     occurrences = materialize(docs.mapInArrow(_anchor_rows(size), "anchor bigint, key bigint, places bigint"), "anchors")
-    repeated = occurrences.groupBy("anchor").agg(F.sum("places").alias("n")).where("n > 1").select("anchor")
-    by_doc = occurrences.join(repeated, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
+    repeated = occurrences.groupBy("anchor").agg(F.sum("places").alias("n"), F.min("key").alias("first")).where("n > 1").select("anchor", "first")
+    # a document's home: the first document of most of its repeated anchors.  Near
+    # copies have one home, so what they share is in one shard.
+    by_doc = occurrences.join(repeated, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.mode("first", True).alias("home"))
     by_doc = materialize(by_doc, "repeated-anchors")
-    passages = docs.join(by_doc, "key").mapInArrow(_passages(size), "key bigint, start int, text string")
+    passages = docs.join(by_doc, "key").mapInArrow(_passages(size), "key bigint, home bigint, start int, text string")
     passages = materialize(passages, "passages")
     windows = passages.mapInArrow(_window_rows(size), "h1 bigint, h2 int, key bigint")
     owned = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1")
     owned = materialize(owned.groupBy("key").agg(F.collect_list("h1").alias("hashes")), "windows")
-    reference = materialize(passages.join(owned, "key").mapInArrow(_reference_rows(size), "key bigint, text string, anchors array<bigint>"), "reference")
+    reference = materialize(passages.join(owned, "key").mapInArrow(_reference_rows(size), "home bigint, text string, routes array<bigint>"), "reference")
     total = owned.agg(F.sum(F.size("hashes"))).first()[0] or 0
     return match_reference(passages, reference, max(1, math.ceil(total / SHARD_WORDS)), size)
 
@@ -321,12 +338,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def dedup_substrings(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
     """``docs`` with ``text`` reduced to the words that are left, joined by one
     space, and ``n_words`` (before), ``n_removed``."""
+    kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(keyed.select(F.col("__key").alias("key"), "text"), size)
     spans = spans.groupBy("key").agg(F.flatten(F.collect_list("begins")).alias("__begins"), F.flatten(F.collect_list("stops")).alias("__stops"))
     spans = materialize(spans, "spans")
-    joined = keyed.join(spans, keyed["__key"] == spans["key"], "left").select(*docs.columns, "__begins", "__stops")
-    out = docs.limit(0).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
+    spans = spans.withColumnRenamed("key", "__span_key")
+    joined = keyed.join(spans, F.col("__key") == F.col("__span_key"), "left").select(*kept, "__begins", "__stops")
+    out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
