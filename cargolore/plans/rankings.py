@@ -90,9 +90,9 @@ sc AS (SELECT *, round(0.0::DOUBLE + 0.2::DOUBLE * d + 0.1::DOUBLE * s + 0.15::D
 pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) - 1 AS place FROM sc)
 """
 _CONF = _FUSED + """, nm AS (SELECT *, CASE WHEN sum(greatest(score, 0)) OVER (PARTITION BY query_id) > 0 THEN greatest(score, 0) / sum(greatest(score, 0)) OVER (PARTITION BY query_id) ELSE 0 END AS p FROM pl WHERE place < 10),
-ch AS (SELECT query_id, chapter, sum(p) AS share FROM nm GROUP BY ALL), cs AS (SELECT query_id, round(max(share) + 1e-12, 4) AS chapter_consensus FROM ch GROUP BY 1),
+ch AS (SELECT query_id, chapter, sum(p) AS share FROM nm GROUP BY ALL), cs AS (SELECT query_id, round(max(share)::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS chapter_consensus FROM ch GROUP BY 1),
 cf AS (SELECT query_id, round(max(score) FILTER (place = 0), 4) AS top1_score, round(max(score) FILTER (place = 0) - coalesce(max(score) FILTER (place = 1), 0), 4) AS top1_minus_top2,
-       round(0 - sum(CASE WHEN p > 0 THEN p * ln(p + 1e-12) ELSE 0 END), 4) AS entropy_topk, coalesce(bool_or(place = 0 AND round(d, 4) > 0.4 AND round(s, 4) > 0 AND round(ce, 4) > 0.4), FALSE) AS cross_source_agreement, max(hs_code) FILTER (place = 0) AS top_code FROM nm GROUP BY 1)
+       round(0 - sum(CASE WHEN p > 0 THEN p * ln(p + 1e-12) ELSE 0 END), 4) + 0.0 AS entropy_topk, coalesce(bool_or(place = 0 AND round(d, 4) > 0.4 AND round(s, 4) > 0 AND round(ce, 4) > 0.4), FALSE) AS cross_source_agreement, max(hs_code) FILTER (place = 0) AS top_code FROM nm GROUP BY 1)
 """
 
 
@@ -234,7 +234,7 @@ QUERIES = {
     "linear_fusion": (lambda t: _ranked(t).select("query_id", "hs_code", "place", "score"), _FUSED + "SELECT query_id, hs_code, place, score FROM pl"),
     "chapter_prior": (lambda t: _ranked(t).select("query_id", "hs_code", F.round("chapter_prior", 6).alias("chapter_prior"), F.round("top1_minus_top2_gap", 6).alias("gap"), "ce_was_evaluated"), _FUSED + "SELECT query_id, hs_code, round(prior, 6) AS chapter_prior, round(g, 6) AS gap, in_head::INT::DOUBLE AS ce_was_evaluated FROM ft"),
     "confidence_metrics": (lambda t: _confidence(t).drop("chapter_distribution"), _CONF + "SELECT cf.*, chapter_consensus FROM cf JOIN cs USING (query_id)"),
-    "chapter_distribution": (lambda t: r.confidence(_ranked(t)).select("query_id", F.explode("chapter_distribution").alias("chapter", "share")), _CONF + "SELECT query_id, chapter, round(share + 1e-12, 4) AS share FROM ch"),
+    "chapter_distribution": (lambda t: r.confidence(_ranked(t)).select("query_id", F.explode("chapter_distribution").alias("chapter", "share")), _CONF + "SELECT query_id, chapter, round(share::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS share FROM ch"),
     "abstention": (
         _abstained, _CONF + """, a AS (SELECT o_orderkey AS query_id, cf.top_code, top1_score IS NULL AS none, top1_score < 0.5 AS low, top1_minus_top2 < 0.02 AND chapter_consensus < 0.6 AS unclear, chapter_consensus FROM orders LEFT JOIN cf ON cf.query_id = o_orderkey LEFT JOIN cs ON cs.query_id = o_orderkey),
         b AS (SELECT *, CASE WHEN none THEN NULL WHEN low THEN CASE WHEN chapter_consensus >= 0.6 THEN 4 ELSE 2 END WHEN unclear THEN 2 END AS fallback_level FROM a)
