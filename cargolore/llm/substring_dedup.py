@@ -12,8 +12,9 @@ window that starts anywhere else as well is removed, in all its places.
    documents that hold it; chains of a document's windows are the reference, in
    which each repeated word sequence stands once however often it occurs.
 3. *Shards.*  The reference is cut into shards of about ``SHARD_WORDS`` words, so
-   that what one group of near copies shares is in one shard.  A shard's suffix automaton is built in the tasks it is sent to, and
-   passages stream through it for their matching statistics: at each word, the
+   that what one group of near copies shares is in one shard; a group whose
+   reference outgrows a shard is spread over several.  A shard's suffix automaton
+   is built in the tasks it is sent to, and passages stream through it for their matching statistics: at each word, the
    length of the longest match that ends there.  Where it reaches ``size``, the
    span is removed.  A passage only visits the shards that hold one of its
    windows' routes (sending every document to every shard would grow with the square of
@@ -47,6 +48,8 @@ GRAM = 8
 SHARD_WORDS = 100_000
 #: Words that one task streams through a shard, about.
 TASK_WORDS = 300_000
+#: Loads of up to so many shards are sent to all executors.
+BROADCAST_SHARDS = 100_000
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:  # noqa: ANN001
@@ -299,19 +302,23 @@ def _match(size: int):  # noqa: ANN202
 
 def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size: int = SIZE) -> DataFrame:
     """Stream ``key, start, text`` through the automata of ``home, text, routes``
-    (reference texts of one home are in one shard).
+    (reference texts of one home are in one shard, or in several once they have
+    over ``SHARD_WORDS`` words).
 
     Returns ``key, begins, stops``: ranges of words, counted from the
     document's start, that are covered by matches of ``size`` words.
     """
-    reference = reference.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
+    large = reference.groupBy("home").agg(F.ceil(F.sum(F.length("text")) / (6 * SHARD_WORDS)).alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("text"), F.coalesce("parts", F.lit(1)))
+    reference = reference.join(large, "home", "left").withColumn("shard", F.pmod(F.xxhash64("home", part), F.lit(shards)).cast("int"))
     homes = reference.select(F.explode("routes").alias("route"), "shard").distinct()
     at = passages.mapInArrow(_passage_routes(size), "route bigint, key bigint, start int")
     visits = at.join(homes, "route").select("key", "start", "shard").distinct()
     routed = materialize(passages.select("key", "start", "text").join(visits, ["key", "start"]), "routed")
     load = routed.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / (6 * TASK_WORDS)).cast("int").alias("salts"))
-    salted = routed.join(F.broadcast(load), "shard").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts")).cast("int"))
-    copies = reference.join(F.broadcast(load), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    load = F.broadcast(load) if shards <= BROADCAST_SHARDS else load
+    salted = routed.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts")).cast("int"))
+    copies = reference.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     left = copies.select("shard", "salt", "text").groupBy("shard", "salt")
     right = salted.select("shard", "salt", "key", "start", "text").groupBy("shard", "salt")
     return left.cogroup(right).applyInArrow(_match(size), "key bigint, begins array<int>, stops array<int>")
