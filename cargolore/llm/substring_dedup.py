@@ -48,8 +48,9 @@ GRAM = 8
 SHARD_WORDS = 100_000
 #: Words that one task streams through a shard, about.
 TASK_WORDS = 300_000
-#: Loads of up to so many shards are sent to all executors.
-BROADCAST_SHARDS = 100_000
+#: Loads of up to so many shards are sent to all executors, with the large groups
+#: (a group needs a shard's words, so at most ``SIZE`` times as many): some 28 MB.
+BROADCAST_SHARDS = 50_000
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:  # noqa: ANN001
@@ -309,6 +310,7 @@ def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size
     document's start, that are covered by matches of ``size`` words.
     """
     large = reference.groupBy("home").agg(F.ceil(F.sum(F.length("text")) / (6 * SHARD_WORDS)).alias("parts")).where("parts > 1")
+    large = F.broadcast(large) if shards <= BROADCAST_SHARDS else large
     part = F.pmod(F.xxhash64("text"), F.coalesce("parts", F.lit(1)))
     reference = reference.join(large, "home", "left").withColumn("shard", F.pmod(F.xxhash64("home", part), F.lit(shards)).cast("int"))
     homes = reference.select(F.explode("routes").alias("route"), "shard").distinct()
