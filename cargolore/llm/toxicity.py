@@ -2,13 +2,14 @@
 
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents, those first
 by a seeded hash among the rows that may be learned from.  They are cut in
-three: one part gives a lexicon (words, and first letters of words, that mark
-the label, with their log-odds), one fits the trees, one the calibration.  So
-the trees see lexicon densities as they are on rows that the lexicon has not
-seen.  Scoring covers every whole text.
-
-Features: densities and counts of the fixed and of the learned lexicon, the
-nearest second-person pronoun to a lexicon word, shares of capitals, of
+three parts.  A lexicon holds words, and first letters of words, that mark the
+label, with their log-odds; a part's features come from the lexicon of the other
+two parts, so they are as on rows that the lexicon has not seen.  Two parts fit
+the trees, one the calibration.  Scoring covers every whole text with the lexicon
+of all parts.
+
+Features: densities and counts of the fixed and of the learned lexicon and of
+its most frequent word beginning, the nearest second-person pronoun to a lexicon word, shares of capitals, of
 punctuation and of exclamation marks, and rates of obfuscated words (letters
 replaced by digits or signs, or stretched), found by undoing the replacement.
 
@@ -21,6 +22,7 @@ score is the mean label, or 0.  Language, source and id are never features.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +52,15 @@ LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$
 
 FEATURES = (
     "fixed_hits", "fixed_share", "word_hits", "word_share", "word_weight", "word_best",
-    "start_hits", "start_share", "start_weight", "start_best",
+    "start_hits", "start_share", "start_weight", "start_best", "top_start_hits", "top_start_share",
     "near_second", "second_share", "capitals", "shouted", "punctuation", "exclaims", "obfuscated", "obfuscated_hits", "length",
 )
 
 _WORD = re.compile(r"[^\W_]+(?:[@$!+0-9]+[^\W_]*)*")
 _STRETCH = re.compile(r"(\w)\1{2,}")
 _LEET = str.maketrans(LEET)
+#: Parts of the labelled rows; the last one calibrates.
+PARTS = 3
 #: Lengths of word beginnings; of several in the lexicon the longest counts.
 _STARTS = (7, 6, 5, 4)
 
@@ -70,11 +74,11 @@ def plain(word: str) -> str:
     return _STRETCH.sub(r"\1", word.translate(_LEET))
 
 
-def start_of(word: str, odds: dict) -> float | None:
-    """The log-odds of the longest beginning of a word that the lexicon has."""
+def start_of(word: str, odds: dict) -> str | None:
+    """The longest beginning of a word that the lexicon has."""
     for k in _STARTS:
-        if len(word) > k and (found := odds.get(word[:k])) is not None:
-            return found
+        if len(word) > k and word[:k] in odds:
+            return word[:k]
     return None
 
 
@@ -89,7 +93,9 @@ def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: d
     changed = [i for i, (a, b) in enumerate(zip(words, odd, strict=True)) if a is not b and a != b]
     hits = [i for i, w in enumerate(odd) if w in fixed or w in word_odds]
     own = [word_odds[odd[i]] for i in hits if odd[i] in word_odds]
-    starts = [o for w in odd if len(w) > 4 and (o := start_of(w, start_odds))]
+    begun = Counter(s for w in odd if len(w) > 4 and (s := start_of(w, start_odds)))
+    starts = [start_odds[s] for s in begun.elements()]
+    top = max(begun.values(), default=0)
     fixed_hits = sum(odd[i] in fixed for i in hits)
     pronouns = [i for i, w in enumerate(words) if w in second]
     near = 0.0
@@ -105,63 +111,80 @@ def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: d
     shouted = sum(w.isupper() and len(w) > 2 for w in text.split()) / n
     return [
         float(fixed_hits), fixed_hits / n, float(len(own)), len(own) / n, sum(own) / n, max(own, default=0.0),
-        float(len(starts)), len(starts) / n, sum(starts) / n, max(starts, default=0.0),
+        float(len(starts)), len(starts) / n, sum(starts) / n, max(starts, default=0.0), float(top), top / n,
         near, len(pronouns) / n, upper / letters, shouted, signs / len(raw), text.count("!") / n,
         len(changed) / n, float(sum(i in set(hits) for i in changed)) if changed and hits else 0.0, float(np.log1p(n)),
     ]
 
 
-def add_features(docs: DataFrame, word_odds: dict, start_odds: dict, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and one double column a feature, of ``text``."""
+def add_features(docs: DataFrame, lexicons: list[tuple[dict, dict]], keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and one double column a feature, of ``text``.
+
+    Of several lexicons, that at a row's ``part`` is used.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frozenset(INSULTS), frozenset(SECOND_PERSON), word_odds, start_odds))
+    shared = spark.sparkContext.broadcast((frozenset(INSULTS), frozenset(SECOND_PERSON), lexicons))
     schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), *(f"{f} double" for f in FEATURES)])
+    by_part = len(lexicons) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixed, second, learned = shared.value
         for batch in batches:
-            rows = [features(t, *shared.value) for t in batch.column("text").to_pylist()]
+            parts = batch.column("part").to_pylist() if by_part else [0] * batch.num_rows
+            rows = [features(t, fixed, second, *learned[p]) for t, p in zip(batch.column("text").to_pylist(), parts, strict=True)]
             table = np.array(rows, dtype=float).reshape(len(rows), len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(table[:, i]) for i in range(len(FEATURES)))], names=[*keep, *FEATURES])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
-def lexicon(train: DataFrame) -> tuple[dict, dict]:
+def learn_lexicons(train: DataFrame) -> list[tuple[dict, dict]]:
     """Log-odds of words and of word beginnings that mark label 1, by the number
-    of documents with them among ``text, toxic``."""
+    of documents with them among ``text, toxic, part``: for each part from the
+    other parts, and last from all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, terms, labels = [], [], []
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            kinds, terms, labels, parts = [], [], [], []
+            for text, toxic, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = {plain(w) if not w.isalpha() else w for w in words_of(text or "")}
                 for kind, found in ((0, own), (1, {w[:k] for k in _STARTS for w in own if len(w) > k})):
                     terms += found
                     kinds += [kind] * len(found)
                     labels += [toxic] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(labels, pa.int32())], names=["kind", "term", "toxic"])
-
-    totals = train.agg(F.sum("toxic").alias("one"), F.count("*").alias("n")).first()
-    one, n = float(totals["one"] or 0), float(totals["n"])
-    rows = train.select("text", F.col("toxic").cast("int")).mapInArrow(run, "kind int, term string, toxic int")
-    counts = rows.groupBy("kind", "term").agg(F.sum("toxic").alias("a"), F.count("*").alias("b")).where(F.col("b") >= LEXICON_DOCS)
-    odds = F.log((F.col("a") + 0.5) / (one + 1)) - F.log((F.col("b") - F.col("a") + 0.5) / (n - one + 1))
-    z = F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") - F.col("a") + 0.5))
-    best = counts.withColumn("odds", odds).withColumn("z", z).where(F.col("z") >= LEXICON_Z).orderBy(F.desc("z"), "kind", "term").limit(LEXICON_ROWS).collect()
-    return {r.term: r.odds for r in best if r.kind == 0}, {r.term: r.odds for r in best if r.kind == 1}
+                    parts += [part] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int32()), pa.array(terms, pa.string()), pa.array(labels, pa.int32()), pa.array(parts, pa.int32())], names=["kind", "term", "toxic", "part"]
+            )
+
+    totals = {r["part"]: (r["one"], r["n"]) for r in train.groupBy("part").agg(F.sum("toxic").alias("one"), F.count("*").alias("n")).collect()}
+    rows = train.select("text", F.col("toxic").cast("int"), "part").mapInArrow(run, "kind int, term string, toxic int, part int")
+    of_part = [c for p in range(PARTS) for c in (F.sum(F.when(F.col("part") == p, F.col("toxic")).otherwise(0)).alias(f"a{p}"), F.count_if(F.col("part") == p).alias(f"b{p}"))]
+    counts = materialize(rows.groupBy("kind", "term").agg(*of_part).where(sum(F.col(f"b{p}") for p in range(PARTS)) >= LEXICON_DOCS), "toxic-terms")
+    out = []
+    for left_out in (*range(PARTS), None):
+        used = [p for p in range(PARTS) if p != left_out]
+        one, n = (float(sum(totals.get(p, (0, 0))[i] for p in used)) for i in (0, 1))
+        a, b = sum(F.col(f"a{p}") for p in used), sum(F.col(f"b{p}") for p in used)
+        odds = F.log((a + 0.5) / (one + 1)) - F.log((b - a + 0.5) / (n - one + 1))
+        z = F.col("odds") / F.sqrt(1 / (a + 0.5) + 1 / (b - a + 0.5))
+        best = counts.where(b >= LEXICON_DOCS).withColumn("odds", odds).withColumn("z", z).where(F.col("z") >= LEXICON_Z)
+        best = best.orderBy(F.desc("z"), "kind", "term").limit(LEXICON_ROWS).collect()
+        out.append(({r.term: r.odds for r in best if r.kind == 0}, {r.term: r.odds for r in best if r.kind == 1}))
+    return out
 
 
 class ToxicityModel:
     """A lexicon, boosted trees over ``FEATURES`` and an isotonic calibration."""
 
-    def __init__(self, words: dict, starts: dict, trees, calibration, constant: float | None = None) -> None:  # noqa: ANN001
-        self.words, self.starts, self.trees, self.calibration, self.constant = words, starts, trees, calibration, constant
+    def __init__(self, lexicon: tuple[dict, dict], trees, calibration, constant: float | None = None) -> None:  # noqa: ANN001
+        self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def score(self, docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         """``keep`` and ``score`` for every row of ``docs``."""
         if self.constant is not None:
             return docs.select(*keep, F.lit(self.constant).alias("score"))
-        table = add_features(docs, self.words, self.starts, keep)
+        table = add_features(docs, [self.lexicon], keep)
         raw = self.trees.transform(_vector(table)).withColumn("margin", vector_to_array("probability")[1])
         scored = self.calibration.transform(raw)
         return scored.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction_cal")).alias("score"))
@@ -174,22 +197,22 @@ def _vector(table: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, seed: int = 7) -> ToxicityModel:
     """Learn from at most ``TRAIN_ROWS`` rows of ``doc_id, text, toxic``."""
     order = F.xxhash64(F.lit(seed), "doc_id")
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(3))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(PARTS))
     ids = labelled.select("doc_id").distinct()
     size = ids.count()
     if size > TRAIN_ROWS:  # the share of hashes that leaves about TRAIN_ROWS rows
         labelled = labelled.where(F.pmod(order, F.lit(1_000_003)) < int(1_000_003 * 0.98 * TRAIN_ROWS / size))
     train = materialize(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), part.cast("int").alias("part")), "toxic-train")
     kinds = {(r["part"], r["toxic"]) for r in train.select("part", "toxic").distinct().collect()}
-    if len({k for k in kinds if k[1] in (0, 1)}) < 6:
+    if len({k for k in kinds if k[1] in (0, 1)}) < 2 * PARTS:
         mean = train.agg(F.avg("toxic")).first()[0]
-        return ToxicityModel({}, {}, None, None, float(mean or 0.0))
-    words, starts = lexicon(train.where("part = 0"))
-    table = materialize(_vector(add_features(train, words, starts, ("part", "toxic"))).select("part", F.col("toxic").cast("double").alias("label"), "features"), "toxic-features")
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=seed, maxBins=64).fit(table.where("part = 1").coalesce(2).cache())
-    held = trees.transform(table.where("part = 2")).select(vector_to_array("probability")[1].alias("margin"), "label")
+        return ToxicityModel(({}, {}), None, None, float(mean or 0.0))
+    *others, lexicon = learn_lexicons(train)
+    table = materialize(_vector(add_features(train, others, ("part", "toxic"))).select("part", F.col("toxic").cast("double").alias("label"), "features"), "toxic-features")
+    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=seed, maxBins=64).fit(table.where(F.col("part") < PARTS - 1).coalesce(2).cache())
+    held = trees.transform(table.where(F.col("part") == PARTS - 1)).select(vector_to_array("probability")[1].alias("margin"), "label")
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="prediction_cal").fit(held.coalesce(1))
-    return ToxicityModel(words, starts, trees, calibration)
+    return ToxicityModel(lexicon, trees, calibration)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

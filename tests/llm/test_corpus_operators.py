@@ -331,6 +331,16 @@ def test_toxicity(spark):
     assert sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / max(1, len(yes) * len(no)) > 0.85
 
 
+def test_lexicons_leave_out_their_part(spark):
+    rows = [(f"grim{p}{'abcdef'[i % 6]} plain words stand here", 1, p) for p in range(3) for i in range(12)]
+    rows += [(f"plain words stand here {i}", 0, i % 3) for i in range(600)]
+    *others, full = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, part int"))
+    assert all(f"grim{p}" in full[1] for p in range(3))
+    for p, (_, starts) in enumerate(others):
+        assert f"grim{p}" not in starts and f"grim{(p + 1) % 3}" in starts
+    assert "plai" not in full[1]
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
     assert {r.score for r in toxicity.fit(none).score(docs, ("doc_id",)).collect()} == {0.0}
