@@ -2,7 +2,8 @@
 
 Labels are learned from at most ``TRAIN_ROWS`` labelled documents, those first
 by a seeded hash among the rows that may be learned from.  They are cut in
-three parts.  A lexicon holds words, and first letters of words, that mark the
+three parts; of near copies with one label one is learned from, and near copies are in
+one part.  A lexicon holds words, and first letters of words, that mark the
 label, with their log-odds; a part's features come from the lexicon of the other
 two parts, so they are as on rows that the lexicon has not seen.  Two parts fit
 the trees, one the calibration.  Scoring covers every whole text with the lexicon
@@ -31,7 +32,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolore.llm.common import materialize
@@ -168,8 +169,12 @@ def learn_lexicons(train: DataFrame) -> list[tuple[dict, dict]]:
         a, b = sum(F.col(f"a{p}") for p in used), sum(F.col(f"b{p}") for p in used)
         odds = F.log((a + 0.5) / (one + 1)) - F.log((b - a + 0.5) / (n - one + 1))
         z = F.col("odds") / F.sqrt(1 / (a + 0.5) + 1 / (b - a + 0.5))
-        best = counts.where(b >= LEXICON_DOCS).withColumn("odds", odds).withColumn("z", z).where(F.col("z") >= LEXICON_Z)
-        best = best.orderBy(F.desc("z"), "kind", "term").limit(LEXICON_ROWS).collect()
+        # the difference of the labels' shares in standard errors: terms that no
+        # clean document has come first
+        share = b / n
+        gap = (a / max(1.0, one) - (b - a) / max(1.0, n - one)) / F.sqrt(share * (1 - share + 1 / n) * (1 / max(1.0, one) + 1 / max(1.0, n - one)))
+        best = counts.where(b >= LEXICON_DOCS).withColumn("odds", odds).where(z >= LEXICON_Z).withColumn("gap", F.round(gap, 9))
+        best = best.orderBy(F.desc("gap"), "kind", "term").limit(LEXICON_ROWS).collect()
         out.append(({r.term: r.odds for r in best if r.kind == 0}, {r.term: r.odds for r in best if r.kind == 1}))
     return out
 
@@ -194,15 +199,30 @@ def _vector(table: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
 
 
+def copy_group(text: Column) -> Column:
+    """The least hash of three consecutive words: near copies mostly share it."""
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
+
+    def least(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+        return F.array_min(F.transform(starts, lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1))))
+
+    # as a variable of a function the words are split once
+    return F.transform(F.array(words), least)[0]
+
+
 def fit(labelled: DataFrame, seed: int = 7) -> ToxicityModel:
     """Learn from at most ``TRAIN_ROWS`` rows of ``doc_id, text, toxic``."""
     order = F.xxhash64(F.lit(seed), "doc_id")
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(PARTS))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), "group"), F.lit(PARTS))
     ids = labelled.select("doc_id").distinct()
     size = ids.count()
     if size > TRAIN_ROWS:  # the share of hashes that leaves about TRAIN_ROWS rows
         labelled = labelled.where(F.pmod(order, F.lit(1_000_003)) < int(1_000_003 * 0.98 * TRAIN_ROWS / size))
-    train = materialize(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), part.cast("int").alias("part")), "toxic-train")
+    # of near copies with one label one is learned from, and all are in one part
+    first = F.min(F.struct(order.alias("order"), "doc_id", "text")).alias("row")
+    groups = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), copy_group(F.col("text")).alias("group")).groupBy("group", "toxic").agg(first)
+    train = materialize(groups.select("row.doc_id", "row.text", "toxic", part.cast("int").alias("part")), "toxic-train")
     kinds = {(r["part"], r["toxic"]) for r in train.select("part", "toxic").distinct().collect()}
     if len({k for k in kinds if k[1] in (0, 1)}) < 2 * PARTS:
         mean = train.agg(F.avg("toxic")).first()[0]
