@@ -28,9 +28,10 @@ def rank(rows: DataFrame, by: Column | list[Column], k: int | None = None, key:
     return ranked.withColumn(name, (F.col(name) - 1).cast("long"))
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFrame:
+def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, met: Column | None = None) -> DataFrame:
     """For each of ``query_id, q`` the ``k`` nearest of ``hs_code, v`` (and
-    other columns) by cosine, exact; zero vectors are never found.
+    other columns) by cosine, exact; zero vectors are never found.  ``met`` is a
+    condition on columns of both that a pair must meet to be looked at.
 
     A stated set of queries is held against all rows: queries are counted and
     sent to the executors block by block, each corpus partition keeps its best
@@ -42,7 +43,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K) -> DataFra
     out = None
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = corpus.join(F.broadcast(own), how="cross").withColumn("similarity", cosine(F.col("q"), F.col("v"))).drop("q", "v")
+        pairs = corpus.join(F.broadcast(own), how="cross")
+        scored = (pairs if met is None else pairs.where(met)).withColumn("similarity", cosine(F.col("q"), F.col("v"))).drop("q", "v")
         best = rank(scored.where("similarity IS NOT NULL"), [F.desc("similarity"), F.asc("hs_code")], k)
         out = best if out is None else out.unionByName(best)
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cargolore.functions.predicates import effective, in_scope, satisfied
 from cargolore.functions.scores import PairScorer, lexical_logit, sigmoid
 from cargolore.functions.text import is_short_name, trigrams
-from cargolore.operators.retrieval import RRF_K, dense_topk, postings, rank, sparse_topk
+from cargolore.operators.retrieval import RRF_K, dense_topk, postings, rank, sparse_all
 
 ALIAS_FLOOR = 0.3
 #: Good matches that each semantic path gives a query.
@@ -53,19 +53,23 @@ def applicable(pairs: DataFrame, rules: DataFrame) -> DataFrame:
 
 def dense_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
     """The ``k`` nearest goods (``id, v``) of shipments (``query_id, q, origin,
-    destination``) among those whose rules cover the route.  Routes are checked
-    on the candidates found, so ``k`` bounds what is looked at, as in the index
-    scan that this stands for."""
-    found = dense_topk(shipments.select("query_id", "q"), goods.select(F.col("id").alias("hs_code"), "v"), k).withColumnRenamed("hs_code", "id")
-    return applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules).select("query_id", "id", "similarity")
+    destination``) among those whose rules cover the route.  A good carries its
+    active rules' routes, which are tested before the similarity is computed, so
+    goods off the route take no place among the ``k``."""
+    routes = rules.where("active").groupBy("id").agg(F.collect_set(F.struct("rule_origin", "rule_destination")).alias("routes"))
+    covered = F.exists("routes", lambda r: in_scope(F.col("origin"), F.col("destination"), r["rule_origin"], r["rule_destination"]))
+    routed = goods.select("id", "v").join(routes, "id").withColumnRenamed("id", "hs_code")
+    found = dense_topk(shipments.select("query_id", "q", "origin", "destination"), routed, k, met=covered)
+    return found.select("query_id", F.col("hs_code").alias("id"), "similarity")
 
 
 def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
     """Goods whose description holds every word of a shipment's ``text``,
     the ``k`` best of those whose rules cover the route."""
     index = postings(goods.select("id", "description"), text="description", key="id")
-    found = sparse_topk(shipments.select("query_id", "text"), index, k, key="id")
-    return applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules).select("query_id", "id", F.col("rank").alias("similarity"))
+    found = sparse_all(shipments.select("query_id", "text"), index, key="id")
+    routed = applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules)
+    return rank(routed, [F.desc("rank"), F.asc("id")], k).select("query_id", "id", F.col("rank").alias("similarity"))
 
 
 def alias_matches(parties: DataFrame, aliases: DataFrame, floor: float = ALIAS_FLOOR) -> DataFrame:

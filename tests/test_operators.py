@@ -95,3 +95,12 @@ def test_sweep_and_error(spark):
 def test_page_bounds(spark):
     with pytest.raises(ValueError, match="limit"):
         dashboards.page(spark.range(1), limit=501)
+
+
+def test_goods_off_the_route_take_no_place(spark):
+    shipments = spark.createDataFrame([(1, "steel", [1.0, 0.0], "US", "DE"), (2, "steel", [1.0, 0.0], None, None)], "query_id int, text string, q array<double>, origin string, destination string")
+    goods = spark.createDataFrame([(1, "steel steel steel", [1.0, 0.0]), (2, "steel steel", [1.0, 0.1]), (3, "steel", [1.0, 0.5]), (4, "steel", [1.0, 0.4]), (5, "steel", [1.0, 0.0])], "id long, description string, v array<double>")
+    rules = spark.createDataFrame([(1, "FR", None, True), (2, "US", None, False), (3, "US", "DE", True), (3, None, "DE", True), (4, None, None, True)], "id long, rule_origin string, rule_destination string, active boolean")
+    for match, nearest in ((screening.dense_matches, 4), (screening.sparse_matches, 3)):
+        assert {(r.query_id, r.id) for r in match(shipments, goods, rules, 1).collect()} == {(1, nearest), (2, 4)}
+        assert {(r.query_id, r.id) for r in match(shipments, goods, rules, 2).collect()} == {(1, 3), (1, 4), (2, 4)}
