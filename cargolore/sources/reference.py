@@ -16,7 +16,7 @@ CODE_HEADERS = ("hscode", "hs_code", "code", "commodity", "schedule b", "schedul
 TEXT_HEADERS = ("description (en)", "description", "description_en", "long description", "text")
 SECOND_HEADERS = ("description (fr)", "description_fr")
 KEYWORD_HEADERS = ("keywords", "keyword", "phrase", "phrases")
-MAX_TEXT, MAX_KEYWORDS = 2000, 2000
+MAX_TEXT, MAX_KEYWORD_LEN = 2000, 2000
 
 
 def find(df: DataFrame, names: tuple[str, ...], required: bool = True) -> Column | None:
@@ -185,13 +185,14 @@ def country_program(spark: SparkSession, program: dict) -> DataFrame:
     )
 
 
-def keywords(raw: DataFrame, limit: int = MAX_KEYWORDS) -> DataFrame:
+def keywords(raw: DataFrame, length: int = MAX_KEYWORD_LEN) -> DataFrame:
     """The keywords of a list file (``pos`` and a keyword column):
-    trimmed, of 3 characters at least, the first spelling of each, in order."""
+    trimmed, of 3 characters at least, the first spelling of each, and of that
+    the first ``length`` characters; ``pos`` is the order in the file."""
     col = F.trim(find(raw, KEYWORD_HEADERS))
     rows = raw.select(col.alias("keyword"), "pos").where(F.length("keyword") >= 3)
     first = rows.groupBy(F.lower("keyword").alias("k")).agg(F.min_by("keyword", "pos").alias("keyword"), F.min("pos").alias("pos"))
-    return first.orderBy("pos").limit(limit).select("keyword", "pos", F.substring(F.sha1("k"), 1, 12).alias("record"))
+    return first.select(F.substring("keyword", 1, length).alias("keyword"), "pos", F.substring(F.sha1("k"), 1, 12).alias("record"))
 
 
 def read_shipments(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,14 @@ def test_keywords(spark):
         reference.keywords(raw.withColumnRenamed("Phrases", "other"))
 
 
+def test_keywords_are_all_kept_and_cut_in_length(spark):
+    raw = spark.range(2500).select(F.col("id").alias("pos"), F.format_string("keyword %d", "id").alias("keyword"))
+    long = spark.createDataFrame([(2500, "x" * 2000 + "a"), (2501, "x" * 2000 + "b")], "pos long, keyword string")
+    got = reference.keywords(raw.union(long)).collect()
+    assert {r.pos for r in got} == set(range(2502))
+    assert max(len(r.keyword) for r in got) == 2000
+
+
 def test_program(spark):
     program = {"source": "X", "country_iso": "ir", "restrictions": [{"description": "crude oil", "hs_codes": ["2709"], "direction": "both"}, {"description": " "}]}
     rows = reference.country_program(spark, program).collect()
