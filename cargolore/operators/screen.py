@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 
 from cargolore.functions.codes import level_label
 from cargolore.functions.scores import PairScorer, lexical_logit
-from cargolore.functions.text import decompose, normalize
+from cargolore.functions.text import decompose, normalize, normalize_party
 from cargolore.operators import entities, retrieval, screening
 
 ENGINE = "cargolore-1"
 TOP_CANDIDATES, TOP_CODES, GATE = 10, 20, 0.5
+#: Least likeness of a text and an alias.
+ALIAS_MIN = 0.45
 
 
 def version_stamp(runs: DataFrame | None = None, policy_version: str = "empty", **artifacts: str) -> Column:
@@ -41,16 +44,52 @@ def candidate_view(code: Column, level: Column, chapter: Column, title: Column,
     )
 
 
+def sanction_matches(
+    shipments: DataFrame, codes: DataFrame, goods: DataFrame, rules: DataFrame, aliases: DataFrame | None = None,
+    embed: Callable[[Column], Column] = entities.embed, scorer: PairScorer = lexical_logit,
+) -> DataFrame:
+    """``query_id, sanction_matches``, the best first, from the
+    structured, dense, sparse and (if there are ``aliases``) alias paths.
+
+    ``codes`` has ``query_id, codes`` of the shipments that have any; ``goods``
+    are those in force.
+    """
+    routed = shipments.select("query_id", "text", "origin", "destination")
+    structured = screening.structured(routed.drop("text").join(codes, "query_id"), goods, rules)
+    paths = {
+        "structured": structured,
+        "dense": screening.dense_matches(routed.withColumn("q", embed(F.col("text"))), goods.select("id", embed(F.col("description")).alias("v")), rules),
+        "sparse": screening.sparse_matches(routed, goods, rules),
+    }
+    if aliases is not None:
+        paths["alias"] = screening.alias_matches(routed.select("query_id", normalize_party(F.col("text")).alias("name")), aliases.join(goods.select("id"), "id", "left_semi"), ALIAS_MIN)
+    own = F.col("restriction_type") if "restriction_type" in goods.columns else F.lit(None).cast("string")
+    known = goods.select("id", "source", "source_record_id", "description", "hs_codes", own.alias("__restriction"))
+    merged = screening.merge_matches(paths, known, routed, scorer=scorer).join(codes, "query_id", "left")
+    merged = merged.join(structured.select("query_id", "id", "restriction_type", "n_rules"), ["query_id", "id"], "left")
+    overlap = F.array_sort(F.coalesce(F.array_intersect("hs_codes", "codes"), F.array().cast("array<string>")))
+    parts = F.struct(
+        F.round("dense", 4).alias("dense"), F.round("sparse", 4).alias("sparse"), F.round("cross_encoder", 4).alias("cross_encoder"),
+        F.round("alias", 4).alias("alias_trigram"), "structured_match", "rrf_score",
+    )
+    view = F.struct(
+        "pos", "source", "source_record_id", "description", overlap.alias("hs_code_overlap"), F.coalesce("restriction_type", "__restriction").alias("restriction_type"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"),
+        "similarity", parts.alias("score_components"),
+    )
+    return merged.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(view)), lambda x: x.dropFields("pos")).alias("sanction_matches"))
+
+
 def screen(
     shipments: DataFrame, codes: DataFrame, goods: DataFrame, rules: DataFrame, screening_rules: DataFrame, gazetteer: DataFrame,
-    *, on: dt.date, versions: Column, scorer: PairScorer = lexical_logit,
+    *, on: dt.date, versions: Column, scorer: PairScorer = lexical_logit, aliases: DataFrame | None = None, embed: Callable[[Column], Column] = entities.embed,
 ) -> DataFrame:
     """One nested result for each of ``query_id, text, origin, destination, value,
     currency, metadata``.
 
     Candidates from the inverted index and the entity index are fused, reranked
-    and scored; the best codes meet the controlled goods on the shipment's route;
-    rules are scored; descriptions of several goods are also classified by
+    and scored.  Controlled goods are found by the best codes, by vectors
+    (``embed``) and by words, all on the shipment's route, and by ``aliases``
+    (``id, alias``), and the four lists are merged.  Rules are scored; descriptions of several goods are also classified by
     fragment.  Every part is keyed by ``query_id`` and joined once at the end.
     Candidates and rule scores are persisted on disk while the result is made.
     """
@@ -68,9 +107,7 @@ def screen(
     top = ranked.where(F.col("place") < TOP_CANDIDATES).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", view.alias("c")))), lambda x: x["c"]).alias("top_candidates"))
 
     own_codes = ranked.where(F.col("place") < TOP_CODES).groupBy("query_id").agg(F.collect_set("hs_code").alias("codes"))
-    matched = screening.structured(clean.select("query_id", "origin", "destination").join(own_codes, "query_id"), screening.active_goods(goods, on), rules)
-    matched = matched.join(goods.where("sys_to IS NULL").select("id", "source", "source_record_id", "description"), "id")
-    sanctions = matched.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source", "source_record_id", "description", "hs_code_overlap", "restriction_type", "n_rules"))).alias("sanction_matches"))
+    sanctions = sanction_matches(clean, own_codes, screening.active_goods(goods, on), rules, aliases, embed, scorer)
 
     fired = screening.score_rules(clean, screening_rules, scorer).persist(StorageLevel.DISK_ONLY)  # read twice
     rule_view = F.struct((-F.col("phrase_similarity")).alias("__o"), "rule_id", "phrase", "phrase_similarity", "threshold", "delta_above_threshold", "conditions_satisfied", "mode", "created_by")

@@ -58,3 +58,19 @@ def test_screen_gives_every_shipment_one_result(spark):
     assert one.extracted_entities["material"] == ["copper", "steel"]
     assert got["2"].hs_classification.abstain_reason == "no_candidates"
     assert one.versions["engine"] == screen.ENGINE
+
+
+def test_goods_are_found_without_a_code(spark):
+    shipments = spark.createDataFrame([(1, "sealed tube", "US", "DE"), (2, "orchid trading house", "US", "FR"), (3, "tube", "US", "FR"), (4, "tube", "US", "DE")], "query_id int, text string, origin string, destination string")
+    codes = spark.createDataFrame([(4, ["730419"])], "query_id int, codes array<string>")
+    goods = spark.createDataFrame([(7, "EU", "r7", "sealed tube of steel", ["730419"], "blocked"), (8, "UN", "r8", "brass", ["7403"], "license")], "id long, source string, source_record_id string, description string, hs_codes array<string>, restriction_type string")
+    rules = spark.createDataFrame([(7, None, "DE", "blocked", True)], "id long, rule_origin string, rule_destination string, restriction_type string, active boolean")
+    aliases = spark.createDataFrame([(8, "Orchid Trading House")], "id long, alias string")
+    got = {r.query_id: r.sanction_matches for r in screen.sanction_matches(shipments, codes, goods, rules, aliases).collect()}
+    assert {k: [(m.source_record_id, m.hs_code_overlap, m.restriction_type, m.n_rules) for m in v] for k, v in got.items()} == {
+        1: [("r7", [], "blocked", 0)], 2: [("r8", [], "license", 0)], 4: [("r7", ["730419"], "blocked", 1)],
+    }
+    one, two, four = got[1][0].score_components, got[2][0].score_components, got[4][0].score_components
+    assert one.dense > 0.5 and one.sparse == 1.0 and not one.structured_match
+    assert two.alias_trigram == 1.0 and two.dense == 0.0
+    assert four.structured_match and four.rrf_score == pytest.approx(4 / 61, abs=1e-6)
