@@ -34,14 +34,15 @@ BLOCK_WORDS = 2_000_000
 #: Text bytes of one segment, about (a longer document is a segment of its own).
 SEGMENT_BYTES = 4_000_000
 
-_INDEX = "doc_ids array<bigint>, doc_ends array<int>, terms array<bigint>, ends array<int>, positions binary"
-_MATCH = "doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<bigint>, near_item_ids array<bigint>"
+_INDEX = "rows array<bigint>, doc_ids array<bigint>, doc_ends array<int>, terms array<bigint>, ends array<int>, positions binary"
+_MATCH = "row bigint, doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<bigint>, near_item_ids array<bigint>"
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Segments of the positional index over every word of every document.
 
-    One row a segment: ``doc_ids`` and the running count of words after each
+    One row a segment: ``rows``, numbers that tell the input's rows apart (the
+    column ``row`` if given, else made here), ``doc_ids`` and the running count of words after each
     (``doc_ends``); ``terms`` in ascending order, the running count of postings
     after each (``ends``), and all ``positions`` as zstd-compressed 32-bit
     differences.  Write it with ``.write.parquet`` to search it again later.
@@ -51,7 +52,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
-            ids = batch.column("doc_id")
+            rows, ids = batch.column("row"), batch.column("doc_id")
             for first, last in chunks(ends, SEGMENT_BYTES):
                 base = ends[first - 1] if first else 0
                 words = Words(data[base : ends[last - 1]], ends[first:last] - base, "folded")
@@ -60,6 +61,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
                 steps = np.diff(order, prepend=np.int32(0)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({
+                    "rows": pa.array([rows.slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
                     "doc_ids": pa.array([ids.slice(first, last - first).to_pylist()], pa.list_(pa.int64())),
                     "doc_ends": pa.array([np.cumsum(words.counts).astype(np.int32)], pa.list_(pa.int32())),
                     "terms": pa.array([found[new].view(np.int64)], pa.list_(pa.int64())),
@@ -67,7 +69,8 @@ def build_index(docs: DataFrame) -> DataFrame:
                     "positions": pa.array([pack.compress(steps.tobytes())], pa.binary()),
                 })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, _INDEX)
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, _INDEX)
 
 
 def benchmark_windows(items: list[tuple[int, str | None]], width: int) -> dict:
@@ -96,7 +99,7 @@ def benchmark_windows(items: list[tuple[int, str | None]], width: int) -> dict:
     return {"windows": {k: (np.stack(v), np.array(places[k])) for k, v in rows.items()}, "items": owners}
 
 
-def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.ndarray, doc_ends: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (row numbers) and first positions where all offset-adjusted lists
     meet, and the rows whose terms all lie within ``slop`` more positions."""
     terms, begin, count, positions = index["terms"], index["begin"], index["count"], index["positions"]
@@ -127,18 +130,18 @@ def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.nda
     if slop is not None:
         near = np.zeros(len(row), bool)
         reach = size - 1 + slop
-        for shift in range(-reach, 1):  # each span of size + slop words that holds the rarest term
-            first = anchor + shift
-            live_span = (first >= 0) & (first + reach < len(token))
-            some = np.flatnonzero(live_span)
-            some = some[doc_of[first[some]] == doc_of[first[some] + reach]]
+        least = (doc_ends - np.diff(doc_ends, prepend=0))[doc_of[anchor]]
+        most = doc_ends[doc_of[anchor]] - 1
+        for shift in range(-reach, 1):  # each span of size + slop words that holds the rarest term, shortened at the document's ends
+            first, final = np.maximum(anchor + shift, least), np.minimum(anchor + shift + reach, most)
+            some = np.arange(len(row))
             for r in range(1, size):
                 if not len(some):
                     break
                 want = at[row[some], order[row[some], r]]
                 there = np.zeros(len(some), bool)
                 for k in range(reach + 1):
-                    there |= token[first[some] + k] == want
+                    there |= token[np.minimum(first[some] + k, final[some])] == want
                 some = some[there]
             near[some] = True
         close = rows[np.unique(row[near])]
@@ -148,7 +151,7 @@ def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.nda
 def search(index: DataFrame, benchmark: DataFrame, *, width: int = 13, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Exact phrase matches, and proximity matches if ``slop`` is given.
 
-    Returns one row a document and block of the benchmark: ``n_words``, the
+    Returns one row a document (by ``row``) and block of the benchmark: ``n_words``, the
     merged ranges of words inside matching windows (``hit_starts``, exclusive
     ``hit_ends``), ``item_ids`` with a phrase match, and ``near_item_ids``: items
     with a window whose words all occur, in any order, among ``width + slop``
@@ -177,7 +180,7 @@ def _searcher(shared, slop):  # noqa: ANN001, ANN202
         for batch in batches:
             for i in range(batch.num_rows):
                 col = {n: batch.column(n)[i] for n in batch.schema.names}
-                ids = col["doc_ids"].values
+                rows, ids = col["rows"].values, col["doc_ids"].values
                 doc_ends = np.asarray(col["doc_ends"].values, dtype=np.int64)
                 ends = np.asarray(col["ends"].values, dtype=np.int64)
                 positions = np.cumsum(np.frombuffer(unpack.decompress(col["positions"].as_py()), np.int32), dtype=np.int64)
@@ -191,7 +194,7 @@ def _searcher(shared, slop):  # noqa: ANN001, ANN202
                 exact: list[set] = [set() for _ in doc_ends]
                 near: list[set] = [set() for _ in doc_ends]
                 for size, (windows, places) in wanted["windows"].items():
-                    row, start, close = _phrases(index, windows, token, doc_of, slop)
+                    row, start, close = _phrases(index, windows, token, doc_of, doc_ends, slop)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + size, -1)
                     for d, p in set(zip(doc_of[start].tolist(), places[row].tolist(), strict=True)):
@@ -210,6 +213,7 @@ def _searcher(shared, slop):  # noqa: ANN001, ANN202
                 base = np.repeat(first, np.diff(cuts))
                 offsets = pa.array(cuts.astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
+                    "row": rows,
                     "doc_id": ids,
                     "n_words": pa.array(np.diff(doc_ends, prepend=0)),
                     "hit_starts": pa.ListArray.from_arrays(offsets, pa.array((starts - base).astype(np.int32))),
@@ -232,20 +236,21 @@ def _near_docs(index, windows, places, token, doc_of, doc_ends, slop, wanted, ne
         for d in docs.tolist():
             here = token[first[d] : doc_ends[d]]
             marks = np.stack([np.concatenate([[0], np.cumsum(here == t)]) for t in np.unique(at)])
-            span = marks[:, reach + 1 :] - marks[:, : -reach - 1] if len(here) > reach else marks[:, -1:] * 0
+            span = marks[:, reach + 1 :] - marks[:, : -reach - 1] if len(here) > reach else marks[:, -1:]
             if (span > 0).all(axis=0).any():
                 near[d].update(wanted["items"][place])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a document: ``doc_id, n_words, n_hit, item_ids, near_item_ids,
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, slop: int | None = None, block_words: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
+    """One row a document: ``row, doc_id, n_words, n_hit, item_ids, near_item_ids,
     hit_starts, hit_ends, contaminated``.
 
     A word inside any occurrence of a window is hit; a document is contaminated
-    if at least one word in ``share`` is.  The index is written to the shared
+    if at least one word in ``share`` is.  ``row`` may name a column of numbers
+    that tell the rows of ``docs`` apart, as ids need not.  The index is written to the shared
     scratch folder and searched from there.
     """
-    found = search(materialize(build_index(docs), "index"), benchmark, width=width, slop=slop, block_words=block_words)
+    found = search(materialize(build_index(docs, row), "index"), benchmark, width=width, slop=slop, block_words=block_words)
     words = F.aggregate(F.zip_with("hit_ends", "hit_starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     total = benchmark.select(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     if total // block_words:
@@ -254,10 +259,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, sha
 
 
 def _merged(found: DataFrame) -> DataFrame:
-    """The blocks' matches of each document put together; ranges are united."""
+    """The blocks' matches of each row put together; ranges are united."""
     pairs = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_starts", "hit_ends"))))
     joined = (
-        found.groupBy("doc_id", "n_words")
+        found.groupBy("row", "doc_id", "n_words")
         .agg(pairs.alias("p"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("item_ids", "near_item_ids")))
     )
     empty = F.array().cast("array<int>")
@@ -271,7 +276,7 @@ def _merged(found: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.concat(a["s"], F.array(x["hit_starts"])).alias("s"), F.concat(a["e"], F.array(x["hit_ends"])).alias("e")))
 
     spans = F.aggregate("p", F.struct(empty.alias("s"), empty.alias("e")), step)
-    return joined.withColumn("spans", spans).select("doc_id", "n_words", F.col("spans.s").alias("hit_starts"), F.col("spans.e").alias("hit_ends"), "item_ids", "near_item_ids")
+    return joined.withColumn("spans", spans).select("row", "doc_id", "n_words", F.col("spans.s").alias("hit_starts"), F.col("spans.e").alias("hit_ends"), "item_ids", "near_item_ids")
 
 
 def query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001

@@ -237,6 +237,29 @@ def test_proximity(spark):
     assert got == {1: (0, [1]), 2: (0, []), 3: (4, [1])}
 
 
+def test_blocks_keep_every_row(spark, docs, rows):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, block_words=40).select("doc_id", "n_words", "n_hit", "item_ids", "contaminated").collect()
+    assert multiset((a, b, c, tuple(d), e) for a, b, c, d, e in got) == multiset(plain_hits(rows, ITEMS))
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was removed")
+def test_pipeline_drops_contaminated_rows_only(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = [(None, "alpha beta gamma delta"), (None, "four other words here"), (None, None), (5, "alpha beta gamma delta x"), (5, "clean one")]
+    kept = corpus_pipeline.benchmark(spark, spark.createDataFrame(some, "doc_id long, text string"), str(tmp_path))
+    assert multiset(map(tuple, kept.collect())) == multiset([some[1], some[2], some[4]])
+
+
+def test_proximity_in_short_documents(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "gamma alpha delta beta"), (2, "x gamma alpha delta beta"), (3, "gamma alpha delta"), (4, "beta")], "doc_id long, text string")
+    got = {r.doc_id: r.near_item_ids for r in decontaminate.decontaminate(docs, bench, slop=2).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: []}
+
+
 # op5
 
 
