@@ -26,12 +26,14 @@ _STEP = 0xD6E8FEB86659FD93
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where it is set,
-    else one of this machine's own, which fits local mode only."""
+    else, in local mode only, one of this machine's own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="cargolore-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -60,6 +62,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more rows than this, and than a thousandth of all, are hot.
+HOT_ROWS = 512
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join ``left`` with ``right``, which has each key once and in ``weight`` how
+    many rows ``left`` has of it, without a hot key landing in one task.
+
+    A key's rows are split by ``spread`` (a fixed hash of the row) into parts of
+    at most ``HOT_ROWS`` rows or a thousandth of all, and its row of ``right`` is
+    repeated for each part.  Hot keys are fewer than a thousand by that bound, so
+    they are broadcast.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    limit = max(HOT_ROWS, -(-total // 1000))
+    parts = F.greatest(F.lit(1), F.ceil(F.col(weight) / limit)).cast("int")
+    hot = right.where(F.col(weight) > limit).select(*(F.col(k).alias(f"__hot_{k}") for k in keys), parts.alias("__parts"))
+    met = [left[k] == F.col(f"__hot_{k}") for k in keys]
+    salted = left.join(F.broadcast(hot), met, "left").drop(*(f"__hot_{k}" for k in keys))
+    salted = salted.withColumn("__salt", F.coalesce(F.pmod(spread, F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    each = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(each, [*keys, "__salt"], how).drop("__salt")
+
+
 def as_docs(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with only the named columns (``doc_id`` and ``text`` by default)."""
     return docs.select(*(columns or ("doc_id", "text")))

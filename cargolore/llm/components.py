@@ -1,9 +1,8 @@
 """Connected components by alternating large and small stars.
 
 Each round is two aggregations and two joins over the edges, so no task ever
-holds a component.  Hot nodes are joined by their smallest neighbour, which is
-aggregated before the shuffle; the join's skewed partitions are split by the
-adaptive plan.
+holds a component.  A node's smallest neighbour is aggregated before the shuffle;
+the edges of hot nodes are spread over several tasks by ``hot_join``.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import materialize
+from cargolore.llm.common import hot_join, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,12 +24,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     before = _mark(state)
     for _ in range(rounds):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), "least")
         # each larger neighbour of a node is linked to the node's smallest
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least.where("n > 0"), ["u"], "n", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        small = hot_join(large, low, ["u"], "n", F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
         after = _mark(state)
         if after == before:

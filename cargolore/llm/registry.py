@@ -30,6 +30,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_jaccard_join": (jaccard_join.query, jaccard_join.SQL),
     "op9_language_id": (language_id.query, None),
     "op10_mixing": (mixing.query, mixing.SQL),
+    "llm_word_totals": (token_counts.words_query, token_counts.WORDS_SQL),
     "llm_page_language": (language_id.pages_query, None),
 }
 

@@ -302,6 +302,63 @@ def test_token_counts_and_rollup(spark, docs, rows, tmp_path):
     assert totals() == want(revised)
 
 
+def test_rollup_ids_and_compaction(spark, tmp_path, monkeypatch):
+    changes = spark.createDataFrame([("a", None, "w", 1, 5), ("a", None, "w", 1, 7)], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+    rollup = token_counts.TokenRollup(spark, f"file://{tmp_path}/totals")
+
+    def total():
+        return [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()]
+
+    for batch in ("2024/01", "_x", "a=b %2F*?", "ü"):
+        rollup.commit(batch, changes)
+        rollup.commit(batch, changes)
+    assert total() == [(8, 48)]
+    with pytest.raises(ValueError, match="id"):
+        rollup.commit("", changes)
+    # a batch commits while another process compacts: it is counted once
+    listed = rollup._state()
+    rollup.commit("late", changes)
+    monkeypatch.setattr(rollup, "_state", lambda: listed)
+    rollup.compact()
+    monkeypatch.undo()
+    assert total() == [(10, 60)]
+    # a compaction that ends before it deletes the deltas it has folded
+    monkeypatch.setattr(token_counts, "delete_path", lambda *_: None)
+    rollup.compact()
+    assert total() == [(10, 60)]
+    # one that ends before its base is published
+    monkeypatch.setattr(rollup, "_sums", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        rollup.compact()
+    monkeypatch.undo()
+    rollup.commit("2024/01", changes)
+    assert total() == [(10, 60)]
+    rollup.compact()
+    rollup.compact()
+    assert total() == [(10, 60)]
+    rollup.commit("all back", changes.select("source", "lang", "tokenizer", (-5 * F.col("n_docs")).alias("n_docs"), (-5 * F.col("n_tokens")).alias("n_tokens")))
+    assert total() == []
+
+
+def test_rolled_up_counts_are_the_counts(spark, docs, rows):
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in token_counts.rolled_up(token_counts.count_tokens(docs)).collect()}
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        for name, n in (("words", len((r[1] or "").encode().split())), ("byte-bpe-50k", len(enc.encode_ordinary(r[1] or "")))):
+            want[r[3], r[2], name][0] += 1
+            want[r[3], r[2], name][1] += n
+    assert got == {k: tuple(v) for k, v in want.items()}
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        token_counts.count_tokens(docs, "/nowhere/at/all")
+    assert token_counts.rolled_up(token_counts.word_counts(docs.limit(0))).count() == 0
+
+
 # op6
 
 
