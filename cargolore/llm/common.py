@@ -66,16 +66,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS = 512
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column, how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, spread: Column, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join ``left`` with ``right``, which has each key once and in ``weight`` how
     many rows ``left`` has of it, without a hot key landing in one task.
 
+    ``total`` may give the sum of weights, or more, where it is known.
     A key's rows are split by ``spread`` (a fixed hash of the row) into parts of
     at most ``HOT_ROWS`` rows or a thousandth of all, and its row of ``right`` is
     repeated for each part.  Hot keys are fewer than a thousand by that bound, so
     they are broadcast.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = (right.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     limit = max(HOT_ROWS, -(-total // 1000))
     parts = F.greatest(F.lit(1), F.ceil(F.col(weight) / limit)).cast("int")
     hot = right.where(F.col(weight) > limit).select(*(F.col(k).alias(f"__hot_{k}") for k in keys), parts.alias("__parts"))

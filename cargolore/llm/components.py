@@ -26,10 +26,10 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), "least")
         # each larger neighbour of a node is linked to the node's smallest
-        large = hot_join(both.where("v > u"), least.where("n > 0"), ["u"], "n", F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = hot_join(both.where("v > u"), least.where("n > 0"), ["u"], "n", F.xxhash64("v"), total=before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
-        small = hot_join(large, low, ["u"], "n", F.xxhash64("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = hot_join(large, low, ["u"], "n", F.xxhash64("v"), total=before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
         after = _mark(state)
         if after == before:

@@ -397,6 +397,36 @@ def test_embedding_recall_on_all_rows(spark):
     assert 0.9 * want <= found <= want
 
 
+def test_embedding_estimates_are_unbiased_and_bounded():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = embedding_dedup.unit_rows(r.standard_normal((40, 64)))
+    y = embedding_dedup.unit_rows(x + 0.1 * r.standard_normal((40, 64)))
+    exact, found, far = x @ y.T, [], 0
+    for seed in range(60):
+        a, b = embedding_dedup.encode(x, seed), embedding_dedup.encode(y, seed)
+        assert a["code"].nbytes == 40 * 8 and a["nibbles"].nbytes == 40 * 32
+        estimate, error = embedding_dedup.estimates(a, b, 64)
+        found.append(estimate)
+        far += int((np.abs(estimate - exact) > 4 * error).sum())
+    assert np.abs(np.mean(found, axis=0) - exact).mean() < 0.02
+    assert far <= 60 * 1600 * 1e-3
+
+
+def test_embedding_dedup_of_a_large_group(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    r = np.random.default_rng(4)
+    base = r.standard_normal(32)
+    v = np.concatenate([base + 0.25 * r.standard_normal((150, 32)), r.standard_normal((100, 32))])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {x.vec_id: x.n_links for x in embedding_dedup.near_duplicates(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), recall=0.99999).collect()}
+    assert [got[i] for i in range(250)] == want.tolist()
+
+
 # op7
 
 
