@@ -3,17 +3,25 @@
 Documents are aggregated by membership pattern (the set of sources they belong
 to), so the flow problem has a node for each pattern and for each source, not
 for each document.  A pattern supplies its words up to ``max_repeats`` times;
-each further copy costs more than the one before (convex costs), so a word is
+the k-th copy of a word costs k (k - 1) / 2, so costs are convex and a word is
 only repeated when no unused word can serve.  The flow's totals are then drawn
 from the pattern's documents in a seeded order: whole rounds for all, and one
 more copy for the first documents of the order until the rest is used up.
 
+Targets are shares by weight, found by raising the level at which sources that
+cannot reach it stop; each step is one aggregation over the table of sources.  A
+source whose documents belong to it alone needs no flow: it takes its target.
+Only sources that share documents are solved as a flow, each connected group of
+them in a task of its own (a group has a row for each pattern, not for each
+document; groups are solved in parallel).  Nothing is collected to the driver.
+
 The order is cut into buckets by hash; bucket totals locate the bucket where
-the rest ends, and only that bucket's documents are put in order, so no task
-holds a pattern whole.
+the rest ends, and only that bucket's documents are put in order.  Buckets grow
+in number with the documents, so no task holds a pattern whole.
 
 Defined cases: a null or empty text has size 0 and is never taken; a source of
-null is a source, the last one; rows with equal ids are taken or left each on
+null is a source, the last one; a document without any source (an empty array) is
+never taken; rows with equal ids are taken or left each on
 its own, but alike if their texts are equal in size; an empty table gives no
 rows.  Other columns are passed on unread; a column with the name of an added one
 is replaced.  Names that begin with two underscores are reserved.
@@ -21,195 +29,237 @@ is replaced.  Names that begin with two underscores are reserved.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable
+from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import materialize, n_words
+from cargolore.llm.common import hot_join, materialize, n_words
+from cargolore.llm.components import components
 
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: The cost of a word's first, second and third copy.
-COPY_COSTS = (0, 1, 3)
 SEED = 42
-#: Buckets of a pattern's seeded order.
-BUCKETS = 4096
-#: Patterns (and sources) that the flow is solved for on the driver.
-MAX_PATTERNS = 100_000
+#: Buckets of a pattern's seeded order, at least, and documents of a bucket, about.
+BUCKETS, BUCKET_DOCS = 4096, 50_000
+#: A plan of up to so many patterns is sent to all executors; a larger one is joined.
+BROADCAST_PATTERNS = 100_000
 
 
-def cycle_weights(sources: list) -> dict:
-    """Weights 1, 2, 3, repeating, for sources by code point, null last."""
-    ordered = sorted((s for s in sources if s is not None), key=lambda s: s.encode("utf-8")) + [None] * (None in sources)
-    return {s: 1 + i % 3 for i, s in enumerate(ordered)}
+def route(patterns: list[tuple[int, list[int]]], quotas: dict[int, int], max_repeats: int = MAX_REPEATS) -> list[int]:
+    """Min-cost max-flow from patterns (words, sources) to sources: the words taken
+    of each pattern.
 
+    Every path's cost is that of the copy it starts with, so the cheapest flow is
+    reached copy by copy: the capacity of each pattern grows by its words, and the
+    flow is made maximal again (by blocking flows) before the next copy opens.
+    """
+    numbers = {q: 2 + len(patterns) + i for i, q in enumerate(quotas)}
+    head: list[list[int]] = [[] for _ in range(2 + len(patterns) + len(numbers))]
+    to: list[int] = []
+    room: list[int] = []
+
+    def arc(a: int, b: int, size: int) -> int:
+        head[a].append(len(to))
+        head[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((size, 0))
+        return len(to) - 2
+
+    supply = []
+    for i, (size, sources) in enumerate(patterns):
+        supply.append(arc(0, 2 + i, 0))
+        for q in sources:
+            arc(2 + i, numbers[q], size * max_repeats)
+    for q, quota in quotas.items():
+        arc(numbers[q], 1, quota)
+    for _ in range(max_repeats):
+        for a, (size, _) in zip(supply, patterns, strict=True):
+            room[a] += size
+        while True:
+            level = [-1] * len(head)
+            level[0], queue = 0, deque([0])
+            while queue:
+                a = queue.popleft()
+                for e in head[a]:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = level[a] + 1
+                        queue.append(to[e])
+            if level[1] < 0:
+                break
+            turn, path, at = [0] * len(head), [], 0
+            while True:
+                if at == 1:
+                    push = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    path, at = [], 0
+                elif turn[at] < len(head[at]):
+                    e = head[at][turn[at]]
+                    if room[e] and level[to[e]] == level[at] + 1:
+                        path.append(e)
+                        at = to[e]
+                    else:
+                        turn[at] += 1
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
+    return [room[a ^ 1] for a in supply]
 
-def targets(sizes: dict, weights: dict, limit: int = MAX_REPEATS) -> dict[object, float]:
-    """Share the total size out by weight; no source above ``limit`` times its
-    size, the excess shared again by weight among the others until none is above."""
-    total, level = float(sum(sizes.values())), 0.0
-    open_weight = float(sum(weights[s] for s in sizes))
-    left = total
-    for s in sorted(sizes, key=lambda s: (limit * sizes[s] / weights[s], repr(s))):
-        level = left / open_weight
-        if limit * sizes[s] >= level * weights[s]:
-            break
-        left -= limit * sizes[s]
-        open_weight -= weights[s]
-    return {s: min(float(limit * sizes[s]), level * weights[s]) for s in sizes}
 
+def numbered(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: their place (from 0) by ``column``, by code point,
+    null last.  Ranges are ordered each on its own; only their sizes are summed up."""
+    nulls = F.col(column).isNull().cast("int")
+    ranged = rows.withColumn("__null", nulls).repartitionByRange("__null", column).withColumn("__range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    sizes = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect())  # a row a partition
+    starts = F.create_map(*(F.lit(x) for i, (p, _) in enumerate(sizes) for x in (p, sum(n for _, n in sizes[:i])))) if sizes else F.create_map(F.lit(0), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__null", column)) - 1
+    return ranged.withColumn(name, (starts[F.col("__range")] + inside).cast("long")).drop("__null", "__range")
 
-def route(patterns: dict[tuple, int], quotas: dict[object, int], costs: tuple[int, ...] = COPY_COSTS) -> dict[tuple[tuple, object], int]:
-    """Min-cost max-flow from patterns to sources: words taken of each pattern
-    for each of its sources.  Successive shortest paths, Dijkstra with potentials.
 
-    Arcs: start -> pattern, one a copy with its cost and the pattern's words as
-    capacity; pattern -> each of its sources; source -> end with its quota.
+def source_targets(totals: DataFrame, weights: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``source, number, source_size, weight, target`` from ``pattern, n``.
+
+    ``weights`` has ``source, weight``; without it weights are 1, 2, 3, repeating,
+    by code point, null last.  All words, counted once, are shared by weight; no
+    source gets above ``max_repeats`` times its size, what is left is shared again.
     """
-    names = [("s",), *(("p", p) for p in patterns), *(("q", s) for s in quotas), ("t",)]
-    number = {n: i for i, n in enumerate(names)}
-    graph: list[list[list]] = [[] for _ in names]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for p, size in patterns.items():
-        for cost in costs:
-            arc(0, number["p", p], size, cost)
-        for s in p:
-            arc(number["p", p], number["q", s], size * len(costs), 0)
-    for s, quota in quotas.items():
-        arc(number["q", s], len(names) - 1, quota, 0)
-    high = [0] * len(names)
-    while True:
-        far: list[float] = [float("inf")] * len(names)
-        via: list = [None] * len(names)
-        far[0] = 0
-        queue = [(0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a]:
-                continue
-            for i, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and (e := d + cost + high[a] - high[b]) < far[b]:
-                    far[b], via[b] = e, (a, i)
-                    heapq.heappush(queue, (e, b))
-        if via[-1] is None:
+    sizes = totals.select(F.explode("pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").cast("long").alias("source_size"))
+    sources = numbered(sizes, "source", "number")
+    if weights is None:
+        sources = sources.withColumn("weight", (1 + F.col("number") % 3).cast("double"))
+    else:
+        named = weights.select(F.col("source").alias("__named"), F.col("weight").cast("double").alias("weight"))
+        sources = sources.join(named, F.col("source").eqNullSafe(F.col("__named")), "left").drop("__named").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    sources = materialize(sources, "sources")
+    most = max_repeats * F.col("source_size")
+    once = int(totals.agg(F.sum("n")).first()[0] or 0)
+    open_weight, stopped, level, left = float(sources.agg(F.sum("weight")).first()[0] or 0.0), -1, 0.0, once
+    while open_weight > 0:
+        level = left / open_weight
+        low = most < level * F.col("weight")
+        n, taken, rest = sources.agg(F.count_if(low), F.sum(F.when(low, most)), F.sum(F.when(~low, F.col("weight")))).first()
+        if n == stopped:
             break
-        high = [h + (f if f < float("inf") else 0) for h, f in zip(high, far, strict=True)]
-        path, b = [], len(names) - 1
-        while b:
-            a, i = via[b]
-            path.append(graph[a][i])
-            b = a
-        push = min(x[1] for x in path)
-        for x in path:
-            x[1] -= push
-            graph[x[0]][x[3]][1] += push
-    out = {}
-    for p in patterns:
-        for b, _, cost, back in graph[number["p", p]]:
-            if b and names[b][0] == "q" and cost == 0 and (used := graph[b][back][1]):
-                out[p, names[b][1]] = used
-    return out
+        stopped, left, open_weight = n, once - int(taken or 0), float(rest or 0.0)
+    return sources.withColumn("target", F.least(most.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def mix(
-    docs: DataFrame,
-    sources: str | Column = "source",
-    weights: Callable[[list], dict] = cycle_weights,
-    *,
-    max_repeats: int = MAX_REPEATS,
-    seed: int = SEED,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    size: Column | None = None,
-) -> DataFrame:
-    """``docs`` with ``size``, ``pattern``, ``repeats`` (how often the mix takes
-    the document) and ``taken`` (words).
+def _solve(max_repeats: int):  # noqa: ANN202
+    def run(patterns: pa.Table, sources: pa.Table) -> pa.Table:
+        quotas = dict(zip(sources["number"].to_pylist(), sources["quota"].to_pylist(), strict=True))
+        order = patterns.sort_by("pno")
+        rows = list(zip(order["n"].to_pylist(), order["numbers"].to_pylist(), strict=True))
+        return pa.table({"pno": order["pno"], "words": pa.array(route(rows, dict(sorted(quotas.items())), max_repeats), pa.int64())})
 
-    ``sources`` names one source a row, or an array of sources for documents that
-    belong to several.  Sizes (words of the text, or ``size``) are summed over all rows.  Patterns and sources
-    are counted before they go to the driver; beyond ``MAX_PATTERNS`` this
-    raises, as the flow is solved there.
-    """
+    return run
+
+
+def pattern_words(totals: DataFrame, sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``pno, words``: the words that the mix takes of each pattern (``pno, pattern,
+    n``; without sources: none)."""
+    quota = F.bround("target", 0).cast("long")
+    own = totals.select("pno", "n", F.explode("pattern").alias("__source"))
+    own = own.join(sources.select("source", "number", quota.alias("quota")), F.col("__source").eqNullSafe(F.col("source"))).select("pno", "n", "number", "quota")
+    own = materialize(own, "memberships")
+    sets = own.groupBy("pno").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("number")).alias("numbers"), F.max("quota").alias("quota"))
+    sets = materialize(sets, "sets")
+    shared = sets.where(F.size("numbers") > 1)
+    simple = F.least(F.col("quota"), max_repeats * F.col("n")).alias("words")
+    if shared.isEmpty():
+        return sets.select("pno", simple)
+    links = shared.select(F.col("numbers")[0].alias("u"), F.explode(F.slice("numbers", 2, F.size("numbers"))).alias("v"))
+    groups = materialize(components(links), "source-groups")
+    by_first = sets.withColumn("__first", F.col("numbers")[0]).join(groups, F.col("__first") == F.col("node"), "left")
+    alone = by_first.where("component IS NULL").select("pno", simple)
+    patterns = by_first.where("component IS NOT NULL").select("component", "pno", "n", "numbers")
+    quotas = own.select("number", "quota").distinct().join(groups, F.col("number") == F.col("node")).select(F.col("component").alias("group"), "number", "quota")
+    solved = patterns.groupBy("component").cogroup(quotas.groupBy("group")).applyInArrow(_solve(max_repeats), "pno bigint, words bigint")
+    return alone.unionByName(solved)
+
+
+def _mixed(docs: DataFrame, sources: str | Column, weights: DataFrame | None, max_repeats: int, seed: int, id_column: str, size: Column) -> DataFrame:
+    """``docs`` with ``size, pattern, repeats, taken``, and of documents with one
+    source its ``__source_size`` and ``__target``."""
     source = F.col(sources) if isinstance(sources, str) else sources
     is_list = docs.select(source.alias("s")).schema["s"].dataType.typeName() == "array"
-    pattern = F.array_sort(F.array_distinct(source)) if is_list else F.array(source.cast("string"))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(source, F.array().cast("array<string>")))) if is_list else F.array(source.cast("string"))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_column).cast("string")))
-    sized = docs.withColumns({
-        "size": n_words(F.col(text_column)) if size is None else size,
-        "pattern": pattern,
-        "__order": order,
-        "__bucket": (F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * BUCKETS / 2**32).cast("int"),
-    })
-    totals = sized.groupBy("pattern").agg(F.sum("size").alias("n"))
-    found = totals.limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns")
-    patterns = {tuple(r["pattern"] or ()): int(r["n"] or 0) for r in found}
-    sizes: dict = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    total = sum(patterns.values())
-    goal = targets(sizes, weights(list(sizes)), max_repeats) if all(len(p) == 1 for p in patterns) else _shared(sizes, weights(list(sizes)), total, max_repeats)
-    flow = route(patterns, {s: round(q) for s, q in goal.items()}, COPY_COSTS[:max_repeats])
-    words = {p: sum(n for (q, _), n in flow.items() if q == p) for p in patterns}
-    plan = docs.sparkSession.createDataFrame(
-        [(list(p), *(divmod(words[p], n) if n else (0, 0))) for p, n in patterns.items()] or [([], 0, 0)],
-        "pattern array<string>, rounds bigint, rest bigint",
-    )
-    plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
-
-    def with_plan(df: DataFrame) -> DataFrame:
-        own = plan.select(F.col("pattern").alias("__pattern"), F.col("rounds").alias("__rounds"), F.col("rest").alias("__rest"))
-        return df.join(own, F.col("pattern") == F.col("__pattern"), "left").drop("__pattern")
-
+    sized = docs.withColumns({"size": size, "pattern": pattern, "__order": order})
+    totals = sized.groupBy("pattern").agg(F.sum("size").cast("long").alias("n"), F.count("*").alias("m")).withColumn("pno", F.monotonically_increasing_id())
+    totals = materialize(totals, "patterns")
+    n_patterns, n_docs = totals.agg(F.count("*"), F.sum("m")).first()
+    n_buckets = max(BUCKETS, -(-(n_docs or 0) // BUCKET_DOCS))
+    sized = sized.withColumn("__bucket", (F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * n_buckets / 2**32).cast("int"))
+    known = source_targets(totals, weights, max_repeats)
+    words = pattern_words(totals, known, max_repeats)
+    some = F.col("n") > 0
+    plan = totals.join(words, "pno", "left").select(
+        F.col("pattern").alias("__pattern"), F.col("m").alias("__m"),
+        F.when(some, F.floor(F.col("words") / F.col("n"))).otherwise(0).cast("long").alias("__rounds"), F.when(some, F.col("words") % F.col("n")).otherwise(0).alias("__rest"),
+        F.when(F.size("pattern") == 1, F.struct(F.col("pattern")[0].alias("s"))).alias("__one"),
+    )
+    told = known.select(F.struct(F.col("source").alias("s")).alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    plan = materialize(plan.join(told, plan["__one"].eqNullSafe(told["__key"]), "left").drop("__one", "__key"), "plan")
     buckets = sized.groupBy("pattern", "__bucket").agg(F.sum("size").alias("__n"))
     running = F.sum("__n").over(Window.partitionBy("pattern").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     edges = (
-        with_plan(buckets.withColumn("__before", F.coalesce(running, F.lit(0))))
+        buckets.withColumn("__before", F.coalesce(running, F.lit(0))).join(plan.select("__pattern", "__rest"), F.col("pattern") == F.col("__pattern"))
         .where((F.col("__before") <= F.col("__rest")) & (F.col("__rest") < F.col("__before") + F.col("__n")))
         .groupBy("pattern").agg(F.min("__bucket").alias("__edge"), F.min_by("__before", "__bucket").alias("__until"))
-    )  # at most a row a pattern
-    edges = F.broadcast(edges.select(F.col("pattern").alias("__edge_of"), "__edge", "__until"))
-    placed = with_plan(sized).join(edges, F.col("pattern") == F.col("__edge_of"), "left").drop("__edge_of")
-    on_edge = F.col("__bucket") == F.col("__edge")
+    )  # at most a row a pattern
+    plan = materialize(plan.join(edges, F.col("pattern") == F.col("__pattern"), "left").drop("pattern").withColumnRenamed("__pattern", "pattern"), "plan-edges")
+    if n_patterns <= BROADCAST_PATTERNS:
+        placed = sized.join(F.broadcast(plan), "pattern", "left")
+    else:
+        placed = hot_join(sized, plan, ["pattern"], "__m", F.xxhash64("__order"), "left")
+    on_edge = F.coalesce(F.col("__bucket") == F.col("__edge"), F.lit(False))
     inside = Window.partitionBy("pattern", "__bucket").orderBy("__order", id_column, "size").rowsBetween(Window.unboundedPreceding, 0)
     edge_rows = placed.where(on_edge).withColumn("__upto", F.col("__until") + F.sum("size").over(inside))
     # a document is taken once more if at least half of it fits in the rest
     extra = (2 * F.col("__upto") - F.col("size") <= 2 * F.col("__rest")).cast("long")
-    rest_rows = placed.where(~on_edge | F.col("__edge").isNull()).withColumn("__more", (F.col("__edge").isNotNull() & (F.col("__bucket") < F.col("__edge"))).cast("long"))
+    rest_rows = placed.where(~on_edge).withColumn("__more", F.coalesce((F.col("__bucket") < F.col("__edge")).cast("long"), F.lit(0)))
     both = edge_rows.withColumn("__more", extra).drop("__upto").unionByName(rest_rows)
-    repeats = F.when(F.col("size") > 0, F.least(F.lit(max_repeats), F.coalesce("__rounds", F.lit(0)) + F.when(F.col("__rest") > 0, F.col("__more")).otherwise(0))).otherwise(0)
-    return (
-        both.withColumn("repeats", repeats.cast("long"))
-        .withColumn("taken", F.col("repeats") * F.col("size"))
-        .select(*(c for c in docs.columns if c not in ("size", "pattern", "repeats", "taken")), "size", "pattern", "repeats", "taken")
-    )
+    once_more = F.when(F.col("__rest") > 0, F.col("__more")).otherwise(0)
+    repeats = F.when(F.col("size") > 0, F.least(F.lit(max_repeats), F.coalesce("__rounds", F.lit(0)) + once_more)).otherwise(0)
+    return both.withColumn("repeats", repeats.cast("long")).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
-def _shared(sizes: dict, weights: dict, total: int, limit: int) -> dict[object, float]:
-    """Targets where sources overlap: the words of all documents, counted once, are shared."""
-    scale = total / max(1, sum(sizes.values()))
-    return {s: min(q * scale, float(limit * sizes[s])) for s, q in targets(sizes, weights, limit).items()}
+def mix(
+    docs: DataFrame,
+    sources: str | Column = "source",
+    weights: DataFrame | None = None,
+    *,
+    max_repeats: int = MAX_REPEATS,
+    seed: int = SEED,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: Column | None = None,
+) -> DataFrame:
+    """``docs`` with ``size``, ``pattern``, ``repeats`` (how often the mix takes
+    the document) and ``taken`` (words).
+
+    ``sources`` names one source a row, or an array of sources for documents that
+    belong to several; ``weights`` is a table ``source, weight`` (sources that it
+    does not name weigh nothing), by default 1, 2, 3, repeating.  Sizes (words of
+    the text, or ``size``) are summed over all rows.
+    """
+    out = _mixed(docs, sources, weights, max_repeats, seed, id_column, n_words(F.col(text_column)) if size is None else size)
+    return out.select(*(c for c in docs.columns if c not in ("size", "pattern", "repeats", "taken")), "size", "pattern", "repeats", "taken")
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
     """op10's columns for ``docs`` with ``doc_id, text, source``."""
-    # words are counted once; the five passes that follow read sizes only
+    # words are counted once; the passes that follow read sizes only
     sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("n")), "sizes")
-    mixed = mix(sized, size=F.col("n"))
-    totals = mixed.groupBy("source").agg(F.sum("size").alias("n"))
-    rows = totals.limit(MAX_PATTERNS).collect()
-    sizes = {r["source"]: int(r["n"] or 0) for r in rows}
-    goal = targets(sizes, cycle_weights(list(sizes))) if sizes else {}
-    table = docs.sparkSession.createDataFrame([(s, sizes[s], float(goal[s])) for s in sizes] or [(None, 0, 0.0)], "__s string, source_size bigint, target double")
-    return mixed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__s")), "left").select("doc_id", "size", "source_size", "target", "taken")
+    mixed = _mixed(sized, "source", None, MAX_REPEATS, SEED, "doc_id", F.col("n"))
+    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), "taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -554,20 +554,45 @@ def test_page_evidence(spark):
 # op10
 
 
-def test_targets_stop_at_the_limit():
-    got = mixing.targets({"a": 10, "b": 100, "c": 1000}, {"a": 3, "b": 2, "c": 1})
-    assert got == {"a": 30, "b": 300, "c": 780}
-    assert mixing.cycle_weights(["b", None, "a", "c", "d"]) == {"a": 1, "b": 2, "c": 3, "d": 1, None: 2}
+def cycle_weights(sources):
+    ordered = sorted((s for s in sources if s is not None), key=lambda s: s.encode()) + [None] * (None in sources)
+    return {s: 1 + i % 3 for i, s in enumerate(ordered)}
+
+
+def plain_targets(sizes, weights, limit=3):
+    left, open_weight, level = float(sum(sizes.values())), float(sum(weights[s] for s in sizes)), 0.0
+    for s in sorted(sizes, key=lambda s: (limit * sizes[s] / weights[s], repr(s))):
+        level = left / open_weight
+        if limit * sizes[s] >= level * weights[s]:
+            break
+        left -= limit * sizes[s]
+        open_weight -= weights[s]
+    return {s: min(float(limit * sizes[s]), level * weights[s]) for s in sizes}
+
+
+def test_targets_stop_at_the_limit(spark):
+    weights = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "source string, weight int")
+    totals = spark.createDataFrame([(["a"], 10), (["b"], 100), (["c"], 1000)], "pattern array<string>, n long")
+    assert {r.source: r.target for r in mixing.source_targets(totals, weights).collect()} == {"a": 30, "b": 300, "c": 780}
+    r = random.Random(6)
+    sizes = {s: r.choice([0, 1, 7, 50, 3000, 10**6]) for s in [None, "Z", "a", "é", "\U0001f600", "\uffee", *(f"h{i}" for i in range(40))]}
+    totals = spark.createDataFrame([([s], n) for s, n in sizes.items()], "pattern array<string>, n long")
+    got = {r.source: (r.weight, r.target) for r in mixing.source_targets(totals).collect()}
+    weights = cycle_weights(list(sizes))
+    want = plain_targets(sizes, weights)
+    assert {s: w for s, (w, _) in got.items()} == weights
+    assert all(got[s][1] == pytest.approx(want[s], rel=1e-12) for s in sizes)
 
 
 def test_mixing(spark, docs, rows):
     got = mixing.mix_query(docs).collect()
-    assert got == mixing.mix_query(docs.repartition(5)).collect() or multiset(map(tuple, got)) == multiset(map(tuple, mixing.mix_query(docs.repartition(5)).collect()))
+    assert multiset(map(tuple, got)) == multiset(map(tuple, mixing.mix_query(docs.repartition(5)).collect()))
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += len((r[1] or "").encode().split())
-    goal = mixing.targets(dict(sizes), mixing.cycle_weights(list(sizes)))
+    goal = plain_targets(dict(sizes), cycle_weights(list(sizes)))
     by_size = {n: s for s, n in sizes.items()}
+    assert len(got) == len(rows)
     assert all(r.taken <= 3 * r.size and r.taken % max(1, r.size) == 0 and r.target == goal[by_size[r.source_size]] for r in got)
     for s, n in sizes.items():
         taken = sum(r.taken for r in got if r.source_size == n)
@@ -575,20 +600,72 @@ def test_mixing(spark, docs, rows):
     assert mixing.mix_query(docs.limit(0)).count() == 0
 
 
-def test_flow_over_overlapping_sources():
-    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 12, "b": 12})
-    assert sum(flow.values()) == 24
-    used = collections.Counter()
-    for (p, _), n in flow.items():
-        used[p] += n
-    assert used["a",] == 10  # no word is repeated while an unused one serves
-    assert used["a", "b"] + used["b",] == 14
+def cheapest(patterns, quotas, limit):
+    """The most words and the least cost for them, over all whole-word choices."""
+    best = {(0,) * len(quotas): 0}
+    names = list(quotas)
+    for n, sources in patterns:
+        new = {}
+        for state, cost in best.items():
+            for words in range(limit * n + 1):
+                rounds, rest = divmod(words, n) if n else (0, 0)
+                extra = sum(k * (k + 1) // 2 * n for k in range(rounds)) + rest * rounds * (rounds + 1) // 2
+                for split in splits(words, len(sources)):
+                    to = list(state)
+                    for q, x in zip(sources, split, strict=True):
+                        to[names.index(q)] += x
+                    if all(x <= quotas[q] for x, q in zip(to, names, strict=True)):
+                        new[tuple(to)] = min(new.get(tuple(to), 10**9), cost + extra)
+        best = new
+    most = max(sum(s) for s in best)
+    return most, min(c for s, c in best.items() if sum(s) == most)
+
+
+def splits(n, k):
+    return [(n,)] if k == 1 else [(i, *rest) for i in range(n + 1) for rest in splits(n - i, k - 1)]
+
+
+def test_flow_is_largest_and_cheapest():
+    r = random.Random(8)
+    for _ in range(60):
+        sources = [1, 2, 3][: r.randrange(1, 4)]
+        patterns = [(r.randrange(4), sorted(r.sample(sources, r.randrange(1, len(sources) + 1)))) for _ in range(r.randrange(1, 4))]
+        quotas = {q: r.randrange(6) for q in sources}
+        taken = mixing.route(patterns, quotas, 3)
+        cost = 0
+        for words, (n, _) in zip(taken, patterns, strict=True):
+            rounds, rest = divmod(words, n) if n else (0, 0)
+            assert words <= 3 * n
+            cost += sum(k * (k + 1) // 2 * n for k in range(rounds)) + rest * rounds * (rounds + 1) // 2
+        assert (sum(taken), cost) == cheapest(patterns, quotas, 3)
+
+
+def test_flow_of_many_patterns_ends():
+    r = random.Random(1)
+    patterns = [(r.randrange(1, 1000), sorted(r.sample(range(300), r.randrange(1, 4)))) for _ in range(3000)]
+    taken = mixing.route(patterns, {q: r.randrange(8000) for q in range(300)}, 3)
+    assert all(x <= 3 * n for x, (n, _) in zip(taken, patterns, strict=True))
 
 
 def test_mix_of_overlapping_sources(spark):
-    df = spark.createDataFrame([(i, "w " * (5 + i % 3), ["a"] if i % 2 else ["a", "b"]) for i in range(60)], "doc_id long, text string, source array<string>")
+    rows = [(i, "w " * (5 + i % 3), ["a"] if i % 2 else ["a", "b"]) for i in range(60)] + [(100 + i, "w w", ["c"]) for i in range(9)] + [(200, "w", []), (201, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
     got = mixing.mix(df).collect()
-    assert abs(sum(r.taken for r in got) - sum(r["size"] for r in got)) <= 10
+    assert len(got) == len(rows)
+    assert abs(sum(r.taken for r in got) - sum(r["size"] for r in got)) <= 12
+    assert {r.taken for r in got if r.doc_id >= 200} == {0}
+
+
+def test_mix_above_three_repeats(spark):
+    df = spark.createDataFrame([(1, "w " * 10, "a"), (2, "w " * 1000, "b")], "doc_id long, text string, source string")
+    heavy = spark.createDataFrame([("a", 9.0), ("b", 1.0)], "source string, weight double")
+    assert {r.doc_id: r.repeats for r in mixing.mix(df, weights=heavy, max_repeats=6).collect()}[1] == 6
+
+
+def test_mix_joins_large_plans(spark, docs, monkeypatch):
+    want = multiset(map(tuple, mixing.mix_query(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_PATTERNS", 0)
+    assert multiset(map(tuple, mixing.mix_query(docs).collect())) == want
 
 
 # empty tables
