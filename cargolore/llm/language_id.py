@@ -1,15 +1,20 @@
 """Language identification by Bayesian fusion of four kinds of evidence.
 
 * Text: a naive Bayes model over hashed byte trigrams (A-Z lower-cased), fitted
-  on at most ``TRAIN_ROWS`` labelled rows.  Trigrams of one text are not
+  on at most ``TRAIN_ROWS`` labelled rows (drawn by id or place, so copies
+  of a text are drawn each on its own) of at most ``LANGUAGES`` languages.  Trigrams of one text are not
   independent, so their mean log-likelihood counts as ``EVIDENCE`` trigrams at
   most.  An extra class, ``und``, gives every trigram the same probability.
 * Declared language of the markup (``<html lang=...>``) and the address suffix
   (last label of the host, and a language label in the path): each is right
   with a stated reliability, and speaks for no language where it is missing.
-* Host prior, smoothed by level: the expected languages of all texts of a host
-  are pulled towards those of its site (its last two labels), these towards
-  those of all hosts.  The sums run over all rows in grouped aggregations.
+* Host prior, smoothed by level: the expected languages of all other texts of a
+  host are pulled towards those of its site (its last two labels), these towards
+  those of all hosts.  The sums run over all rows in grouped aggregations; a
+  row's own share is taken out of each, so no text counts twice.
+
+The text evidence is computed once, written to the shared scratch folder, and read
+for the sums and for the fusion.
 
 Defined cases: null or empty texts, and texts without a letter, have the
 language ``und`` and are rejected; a null host or address gives the prior of all
@@ -28,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import byte_class, chunks, materialize, text_buffer
+from cargolore.llm.common import byte_class, chunks, hot_join, materialize, text_buffer
 
 #: Labelled rows that the text model is fitted on, at most.
 TRAIN_ROWS = 20_000
+#: Labels that the text model knows, the most frequent ones.
+LANGUAGES = 256
 TABLE = 1 << 16
 EVIDENCE = 60.0
 #: Posterior that the best language needs.
@@ -42,26 +49,56 @@ DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.8
 #: Host priors up to so many rows are sent to all executors.
 BROADCAST_HOSTS = 100_000
 ADDED = ("language", "confidence", "text_language", "accepted")
-# Languages of some address suffixes.
-SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "nl": "nl", "pt": "pt", "br": "pt"}
-
-
-def trigram_places(data: np.ndarray) -> np.ndarray:
-    """For each byte, the table place of the trigram that it starts (two bytes
-    of padding at the end)."""
+# Address suffixes of countries by the language most used there.
+COUNTRIES = {
+    "ar": "ae bh dz eg iq jo kw lb ly ma om qa sa sd sy tn ye", "bg": "bg", "bn": "bd", "ca": "cat", "cs": "cz", "da": "dk", "de": "at de li", "el": "cy gr",
+    "en": "au gh ie jm ng nz uk us", "es": "ar bo cl co cr cu do ec es gt hn mx ni pa pe py sv uy ve", "et": "ee", "eu": "eus", "fa": "ir", "fi": "fi", "fr": "bf ci fr ga mc ml sn",
+    "gl": "gal", "he": "il", "hr": "hr", "hu": "hu", "id": "id", "is": "is", "it": "it sm va", "ja": "jp", "ka": "ge", "ko": "kr", "lt": "lt", "lv": "lv", "mn": "mn", "nl": "nl sr",
+    "no": "no", "pl": "pl", "pt": "ao br mz pt", "ro": "md ro", "ru": "ru su", "sk": "sk", "sl": "si", "sq": "al", "sr": "rs", "sv": "se", "th": "th", "tr": "tr", "uk": "ua", "vi": "vn", "zh": "cn hk tw",
+}
+SUFFIXES = {suffix: lang for lang, known in COUNTRIES.items() for suffix in known.split()}
+
+
+def trigram_places(data: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """For each byte, the table place of the trigram that it starts.  ``data`` may be
+    several texts that end at ``ends``; each is followed by two bytes of padding."""
     read, _ = byte_class("folded")
-    x = np.concatenate([read[data], np.array([32, 32], np.uint8)]).astype(np.uint32)
-    return ((x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))) >> np.uint32(16)
+    x = read[data].astype(np.uint32)
+    second, third = np.append(x[1:], 32).astype(np.uint32), np.append(x[2:], [32, 32]).astype(np.uint32)[: len(x)]
+    if len(x):
+        ends = np.array([len(x)]) if ends is None else ends[ends > 0]
+        second[ends - 1] = 32
+        third[ends - 1] = 32
+        third[np.maximum(ends - 2, 0)] = 32
+    return ((x * np.uint32(0x9E3779B1)) ^ (second * np.uint32(0x85EBCA6B)) ^ (third * np.uint32(0xC2B2AE35))) >> np.uint32(16)
+
+
+def training_rows(labelled: DataFrame, seed: int = 9, key: str | None = None) -> DataFrame:
+    """At most ``TRAIN_ROWS`` rows of ``text, lang`` with a text and one of the
+    ``LANGUAGES`` most frequent labels.
+
+    ``key`` names a column of ids: rows are drawn by id and text; rows without an
+    id, or all without a ``key``, are drawn by their place in the table."""
+    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    labelled, size = labelled.where(F.col("lang").isin([r["lang"] for r in known])), sum(r["count"] for r in known)
+    place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    labelled = labelled.withColumn("__draw", F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.lit(seed), key, "text")), place) if key else place)
+    rounds = 0
+    while size > TRAIN_ROWS:
+        share = int(1_000_003 * 0.98 * TRAIN_ROWS / size)
+        labelled = labelled.where(F.pmod("__draw", F.lit(1_000_003)) < share)
+        # drawn again by place if too many are left, as where rows repeat
+        rounds += 1
+        labelled = labelled.withColumn("__draw", F.xxhash64(F.lit(seed + rounds), F.monotonically_increasing_id()))
+        size = labelled.count()
+    return labelled.select("text", "lang")
 
 
-def fit_text_model(labelled: DataFrame, seed: int = 9) -> tuple[list[str], np.ndarray]:
+def fit_text_model(labelled: DataFrame, seed: int = 9, key: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages (``und`` last) and log-probabilities, one row a language and one
-    column a trigram place, from at most ``TRAIN_ROWS`` rows of ``text, lang``."""
-    labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    size = labelled.count()
-    if size > TRAIN_ROWS:
-        share = int(1_000_003 * 0.98 * TRAIN_ROWS / size)
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_003)) < share)
+    column a trigram place, from the :func:`training_rows` of ``labelled``."""
+    labelled = training_rows(labelled, seed, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -75,8 +112,8 @@ def fit_text_model(labelled: DataFrame, seed: int = 9) -> tuple[list[str], np.nd
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "place": pa.array(at.astype(np.int32)), "n": pa.array(n[at])})
 
-    counts = labelled.select("text", "lang").mapInArrow(run, "lang string, place int, n double").groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most TABLE places for each language
+    counts = labelled.mapInArrow(run, "lang string, place int, n double").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    found = counts.toPandas()  # at most TABLE places for each of LANGUAGES languages
     langs = sorted(found["lang"].unique())
     logs = np.full((len(langs) + 1, TABLE), -np.log(TABLE))
     for i, lang in enumerate(langs):
@@ -88,9 +125,10 @@ def fit_text_model(labelled: DataFrame, seed: int = 9) -> tuple[list[str], np.nd
 
 
 def add_text_evidence(docs: DataFrame, langs: list[str], logs: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``__evidence``: a tempered log-likelihood for each language."""
+    """``docs`` without ``text`` and with ``__evidence``: a tempered log-likelihood
+    for each language."""
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T.astype(np.float32)))
-    schema = docs.limit(0).withColumn("__evidence", F.array().cast("array<double>")).schema
+    schema = docs.limit(0).drop(text).withColumn("__evidence", F.array().cast("array<double>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -104,11 +142,12 @@ def add_text_evidence(docs: DataFrame, langs: list[str], logs: np.ndarray, text:
                 some = np.flatnonzero(size)
                 if not len(some):
                     continue
-                value = table[trigram_places(part)]
+                value = table[trigram_places(part, stop)]
                 mean = np.add.reduceat(value, (stop - size)[some], axis=0, dtype=np.float64) / size[some][:, None]
                 out[first + some] = mean * np.minimum(size[some], EVIDENCE)[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "__evidence"])
+            names = [n for n in batch.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], names=[*names, "__evidence"])
 
     return docs.mapInArrow(run, schema)
 
@@ -131,45 +170,65 @@ def site_of(host: Column) -> Column:
     return F.substring_index(F.lower(host), ".", -2)
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, accept: float = ACCEPT) -> DataFrame:
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
+def _pulled(counts: Column, to: Column) -> Column:
+    """Shares of ``counts`` with ``PULL`` texts' worth of the shares ``to`` added."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + PULL
+    return F.zip_with(counts, to, lambda c, t: (c + PULL * t) / total)
+
+
+def identify(
+    docs: DataFrame, labelled: DataFrame, *, text: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None,
+    accept: float = ACCEPT, keep: tuple[str, ...] | None = None, key: str | None = None,
+) -> DataFrame:
     """``docs`` with ``language``, ``confidence``, ``text_language``, ``accepted``.
 
-    ``labelled`` has ``text, lang``.  ``host``, ``declared`` and ``suffix`` are
+    ``labelled`` has ``text, lang`` (and ``key``, see :func:`fit_text_model`).
+    ``host``, ``declared`` and ``suffix`` are
     column expressions over ``docs``: a host or other origin, the language that
-    the markup declares, and the language that the address speaks for.
+    the markup declares, and the language that the address speaks for.  ``keep``
+    names the columns that are passed on, all by default.
     """
     none = F.lit(None).cast("string")
-    langs, logs = fit_text_model(labelled)
+    langs, logs = fit_text_model(labelled, key=key)
     host, declared, suffix = (none if c is None else c for c in (host, declared, suffix))
-    base = docs.withColumns({"__host": host, "__site": site_of(host), "__declared": F.lower(F.substring(declared, 1, 2)), "__suffix": suffix, "__text": F.col(text)})
-    scored = add_text_evidence(base.select(*docs.columns, "__host", "__site", "__declared", "__suffix"), langs, logs, text)
-    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-
-    # expected languages by host, site and in all, of the texts alone
-    alone = _softmax(F.col("__evidence"))
-    each = [F.sum(F.when(letters, alone[i]).otherwise(0.0)).alias(f"n{i}") for i in range(len(langs))]
-    hosts = materialize(add_text_evidence(base.select(F.col("__text").alias(text), "__host", "__site"), langs, logs, text).groupBy("__host", "__site").agg(*each), "hosts")
-    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
+    own = {"__host": host, "__site": site_of(host), "__declared": F.lower(F.substring(declared, 1, 2)), "__suffix": suffix, "__letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), "__text": F.col(text)}
+    base = docs.select(*kept, *(c.alias(n) for n, c in own.items()))
+    scored = materialize(add_text_evidence(base, langs, logs, "__text"), "evidence")
+    letters, n = F.col("__letters"), len(langs)
+
+    # expected languages of the texts alone, by host, site and in all
+    nothing = F.array(*(F.lit(0.0) for _ in langs))
+    alone = F.when(letters, _softmax(F.col("__evidence"))).otherwise(nothing)
+    shares = scored.select("__host", "__site", alone.alias("__own"))
+    each = [F.round(F.sum(F.col("__own")[i]), 6).alias(f"n{i}") for i in range(n)]
+    hosts = materialize(shares.groupBy("__host", "__site").agg(*each, F.count("*").alias("__rows")), "hosts")
+    sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
     whole = hosts.agg(*sums).first()
-    overall = np.array([whole[f"n{i}"] or 0.0 for i in range(len(langs))]) + 1.0
-    overall /= overall.sum()
-    sites = hosts.groupBy("__site").agg(*sums)
-
-    def pulled(to: list[Column]) -> list[Column]:
-        total = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0.0))
-        return [(F.col(f"n{i}") + PULL * to[i]) / (total + PULL) for i in range(len(langs))]
-
-    site_prior = sites.select(F.col("__site").alias("__s"), F.array(*pulled([F.lit(float(x)) for x in overall])).alias("__up"))
-    joined = hosts.join(site_prior, hosts["__site"].eqNullSafe(site_prior["__s"]))
-    prior = joined.select(F.col("__host").alias("__h"), F.array(*pulled([F.col("__up")[i] for i in range(len(langs))])).alias("__prior"))
-    prior = materialize(prior.where("__h IS NOT NULL"), "host-priors")
+    overall = F.array(*(F.lit(float(whole[f"n{i}"] or 0.0) + 1.0) for i in range(n)))
+    listed = F.array(*(F.col(f"n{i}") for i in range(n)))
+    sites = hosts.where("__site IS NOT NULL").groupBy("__site").agg(*sums).select("__site", listed.alias("__of_site"))
+    prior = hosts.where("__host IS NOT NULL").select("__host", "__site", listed.alias("__of_host"), "__rows").join(sites, "__site").drop("__site")
+    prior = materialize(prior, "host-priors")
     if prior.count() <= BROADCAST_HOSTS:
-        prior = F.broadcast(prior)
-    fused = scored.join(prior, scored["__host"] == prior["__h"], "left")
-    at_all = F.array(*(F.lit(float(x)) for x in overall))
+        fused = scored.join(F.broadcast(prior), "__host", "left")
+    else:
+        fused = hot_join(scored, prior, ["__host"], "__rows", F.xxhash64("__evidence"), "left")
+    fused = fused.withColumn("__own", alone)
+    rest = _minus(overall, F.col("__own"))
+    total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
+    fused = fused.withColumn("__all", F.transform(rest, lambda x: x / total))
+    by_site = _pulled(_minus(F.col("__of_site"), F.col("__own")), F.col("__all"))
+    by_host = _pulled(_minus(F.col("__of_host"), F.col("__own")), by_site)
+    fused = fused.withColumn("__prior", F.when(F.col("__of_host").isNull(), F.col("__all")).otherwise(by_host))
     parts = zip(_spoken(langs, F.col("__declared"), DECLARED_RIGHT), _spoken(langs, F.col("__suffix"), SUFFIX_RIGHT), strict=True)
-    total = F.array(*(F.col("__evidence")[i] + F.log(F.coalesce("__prior", at_all)[i]) + a + b for i, (a, b) in enumerate(parts)))
-    fused = fused.withColumn("__post", _softmax(total))
+    said = F.array(*(a + b for a, b in parts))
+    logs_of = F.zip_with(F.zip_with("__evidence", F.transform("__prior", lambda x: F.log(F.greatest(x, F.lit(1e-12)))), lambda a, b: a + b), said, lambda a, b: a + b)
+    fused = fused.withColumn("__post", _softmax(logs_of))
     names = F.array(*(F.lit(x) for x in langs))
 
     def best(values: Column) -> Column:
@@ -180,7 +239,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text: str = "text", host:
         "confidence": F.when(letters, F.array_max("__post")).otherwise(F.lit(0.0)),
         "text_language": best(F.col("__evidence")),
     })
-    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= accept)).select(*(c for c in docs.columns if c not in ADDED), *ADDED)
+    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("confidence") >= accept)).select(*kept, *ADDED)
 
 
 def page_columns() -> dict[str, Column]:
@@ -205,13 +264,14 @@ def visible_text(html: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document; its source is its host, nothing is declared."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = identify(docs.select("doc_id", "text", "source"), docs.select("text", "lang"), host=F.col("source"))
+    found = identify(docs.select("doc_id", "text", "source"), docs.select("doc_id", "text", "lang"), host=F.col("source"), keep=("doc_id",), key="doc_id")
     return found.select("doc_id", "language", "confidence", "text_language", "accepted")
 
 
 def pages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, with markup and address evidence; texts of documents train."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     body = pages.withColumn("body", visible_text(F.col("html")))
-    return identify(body, labelled, text="body", **page_columns()).select("page_id", "language", "confidence", "text_language", "accepted")
+    found = identify(body, labelled, text="body", keep=("page_id",), key="doc_id", **page_columns())
+    return found.select("page_id", "language", "confidence", "text_language", "accepted")

@@ -22,7 +22,7 @@ from cargolore.llm.mixing import mix_query
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without an accepted language go."""
     packed = docs.select(F.struct(*docs.columns).alias("row"), "text", "source")
-    found = identify(packed, docs.select("text", "lang"), host=F.col("source"))
+    found = identify(packed, docs.select("doc_id", "text", "lang"), host=F.col("source"), keep=("row",), key="doc_id")
     return found.where("accepted").select("row.*")
 
 
