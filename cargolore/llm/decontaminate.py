@@ -13,8 +13,9 @@ lower-cased.  Terms are 64-bit hashes of words.
 Defined cases: a null or empty text has no words and no hits; a document whose
 id is null, or that is repeated, yields one row for each of its rows; a
 benchmark item without words matches nothing, and a shorter one than ``width``
-is one window; an empty benchmark leaves every document clean.  Other columns
-of the inputs are not read.
+is one window; items may have ids of any type, which are told as text, and rows
+with equal ids are one item; an empty benchmark leaves every document clean.
+Other columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +36,11 @@ BLOCK_WORDS = 2_000_000
 SEGMENT_BYTES = 4_000_000
 
 _INDEX = "rows array<bigint>, doc_ids array<bigint>, doc_ends array<int>, terms array<bigint>, ends array<int>, positions binary"
-_MATCH = "row bigint, doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<bigint>, near_item_ids array<bigint>"
+_MATCH = "row bigint, doc_id bigint, n_words bigint, hit_starts array<int>, hit_ends array<int>, item_ids array<string>, near_item_ids array<string>"
+#: More words than the window's that a proximity match of the query may span.
+NEAR_SLOP = 3
+#: Places of rarest terms that proximity is tested for at once.
+_PLACES = 50_000
 
 
 def build_index(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -73,7 +78,7 @@ def build_index(docs: DataFrame, row: str | None = None) -> DataFrame:
     return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(segments, _INDEX)
 
 
-def benchmark_windows(items: list[tuple[int, str | None]], width: int) -> dict:
+def benchmark_windows(items: list[tuple[str, str | None]], width: int) -> dict:
     """The distinct windows of some benchmark items, and whose each one is.
 
     ``windows``: for each number of words, the windows' terms, one a row, and
@@ -99,18 +104,18 @@ def benchmark_windows(items: list[tuple[int, str | None]], width: int) -> dict:
     return {"windows": {k: (np.stack(v), np.array(places[k])) for k, v in rows.items()}, "items": owners}
 
 
-def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.ndarray, doc_ends: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows (row numbers) and first positions where all offset-adjusted lists
-    meet, and the rows whose terms all lie within ``slop`` more positions."""
+    meet; and windows and documents where all terms lie within ``slop`` more positions."""
     terms, begin, count, positions = index["terms"], index["begin"], index["count"], index["positions"]
     none = np.zeros(0, np.int64)
     if not len(terms) or not len(windows):
-        return none, none, none
+        return none, none, none, none
     at = np.minimum(np.searchsorted(terms, windows), len(terms) - 1)
     rows = np.flatnonzero((terms[at] == windows).all(axis=1))
     at, size = at[rows], windows.shape[1]
     if not len(rows):
-        return none, none, none
+        return none, none, none, none
     order = np.argsort(count[at], axis=1, kind="stable")
     ranks = np.arange(len(rows))
     rare = at[ranks, order[:, 0]]
@@ -126,26 +131,35 @@ def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.nda
         offset = order[live, r]
         keep = token[start + offset] == at[live, offset]
         start, live = start[keep], live[keep]
-    close = none
-    if slop is not None:
-        near = np.zeros(len(row), bool)
-        reach = size - 1 + slop
-        least = (doc_ends - np.diff(doc_ends, prepend=0))[doc_of[anchor]]
-        most = doc_ends[doc_of[anchor]] - 1
-        for shift in range(-reach, 1):  # each span of size + slop words that holds the rarest term, shortened at the document's ends
-            first, final = np.maximum(anchor + shift, least), np.minimum(anchor + shift + reach, most)
-            some = np.arange(len(row))
-            for r in range(1, size):
-                if not len(some):
-                    break
-                want = at[row[some], order[row[some], r]]
-                there = np.zeros(len(some), bool)
-                for k in range(reach + 1):
-                    there |= token[np.minimum(first[some] + k, final[some])] == want
-                some = some[there]
-            near[some] = True
-        close = rows[np.unique(row[near])]
-    return rows[live], start, close
+    near_rows, near_docs = [none], [none]
+    for k in range(0, len(row) if slop is not None else 0, _PLACES):
+        own, place = row[k : k + _PLACES], anchor[k : k + _PLACES]
+        close = _close(at[own], order[own], place, token, doc_of, size - 1 + slop)
+        near_rows.append(rows[own[close]])
+        near_docs.append(doc_of[place[close]].astype(np.int64))
+    return rows[live], start, np.concatenate(near_rows), np.concatenate(near_docs)
+
+
+def _close(terms: np.ndarray, order: np.ndarray, place: np.ndarray, token: np.ndarray, doc_of: np.ndarray, reach: int) -> np.ndarray:
+    """Of places of the rarest term, those that some run of ``reach + 1`` words of the
+    document around them holds together with all other terms of the row."""
+    live = np.arange(len(place))
+    around = place[:, None] + np.arange(-reach, reach + 1)[None, :]
+    inside = np.clip(around, 0, len(token) - 1)
+    found = np.where((around == inside) & (doc_of[inside] == doc_of[place][:, None]), token[inside], -1)
+    # for each of the runs that hold the place, whether all terms so far are in it
+    runs = np.ones((len(place), reach + 1), bool)
+    for r in range(1, terms.shape[1]):
+        here = found == terms[live, order[live, r]][:, None]
+        some = here.any(axis=1)
+        live, found, here, runs = live[some], found[some], here[some], runs[some]
+        if not len(live):
+            break
+        total = np.cumsum(np.pad(here, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+        runs &= total[:, reach + 1 :] > total[:, : reach + 1]
+        some = runs.any(axis=1)
+        live, found, runs = live[some], found[some], runs[some]
+    return live
 
 
 def search(index: DataFrame, benchmark: DataFrame, *, width: int = 13, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -162,7 +176,7 @@ def search(index: DataFrame, benchmark: DataFrame, *, width: int = 13, slop: int
     each searched in a pass of its own over the index.
     """
     spark = index.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL")
     total = items.select(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = 1 + int(total // block_words)
     found = None
@@ -194,13 +208,13 @@ def _searcher(shared, slop):  # noqa: ANN001, ANN202
                 exact: list[set] = [set() for _ in doc_ends]
                 near: list[set] = [set() for _ in doc_ends]
                 for size, (windows, places) in wanted["windows"].items():
-                    row, start, close = _phrases(index, windows, token, doc_of, doc_ends, slop)
+                    row, start, near_row, near_doc = _phrases(index, windows, token, doc_of, slop)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + size, -1)
                     for d, p in set(zip(doc_of[start].tolist(), places[row].tolist(), strict=True)):
                         exact[d].update(wanted["items"][p])
-                    if len(close):  # which document: search them one by one
-                        _near_docs(index, windows[close], places[close], token, doc_of, doc_ends, slop, wanted, near)
+                    for d, p in set(zip(near_doc.tolist(), places[near_row].tolist(), strict=True)):
+                        near[d].update(wanted["items"][p])
                 hit = np.cumsum(cover[:-1]) > 0
                 edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
                 fresh = np.concatenate([[False], doc_of[1:] != doc_of[:-1]]) if n else np.zeros(0, bool)
@@ -218,29 +232,13 @@ def _searcher(shared, slop):  # noqa: ANN001, ANN202
                     "n_words": pa.array(np.diff(doc_ends, prepend=0)),
                     "hit_starts": pa.ListArray.from_arrays(offsets, pa.array((starts - base).astype(np.int32))),
                     "hit_ends": pa.ListArray.from_arrays(offsets, pa.array((stops - base).astype(np.int32))),
-                    "item_ids": pa.array([sorted(x) for x in exact], pa.list_(pa.int64())),
-                    "near_item_ids": pa.array([sorted(x | y) for x, y in zip(exact, near, strict=True)] if slop is not None else [[] for _ in exact], pa.list_(pa.int64())),
+                    "item_ids": pa.array([sorted(x) for x in exact], pa.list_(pa.string())),
+                    "near_item_ids": pa.array([sorted(x | y) for x, y in zip(exact, near, strict=True)] if slop is not None else [[] for _ in exact], pa.list_(pa.string())),
                 })
 
     return run
 
 
-def _near_docs(index, windows, places, token, doc_of, doc_ends, slop, wanted, near) -> None:  # noqa: ANN001
-    """Add the items with a proximity match to the documents that have it."""
-    first = doc_ends - np.diff(doc_ends, prepend=0)
-    for window, place in zip(windows, places, strict=True):
-        at = np.searchsorted(index["terms"], window)
-        rare = at[np.argmin(index["count"][at])]
-        docs = np.unique(doc_of[index["positions"][index["begin"][rare] : index["begin"][rare] + index["count"][rare]]])
-        reach = len(window) - 1 + slop
-        for d in docs.tolist():
-            here = token[first[d] : doc_ends[d]]
-            marks = np.stack([np.concatenate([[0], np.cumsum(here == t)]) for t in np.unique(at)])
-            span = marks[:, reach + 1 :] - marks[:, : -reach - 1] if len(here) > reach else marks[:, -1:]
-            if (span > 0).all(axis=0).any():
-                near[d].update(wanted["items"][place])
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 13, share: int = 20, slop: int | None = None, block_words: int = BLOCK_WORDS, row: str | None = None) -> DataFrame:
     """One row a document: ``row, doc_id, n_words, n_hit, item_ids, near_item_ids,
     hit_starts, hit_ends, contaminated``.
@@ -280,10 +278,16 @@ def _merged(found: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
-    """op4: the contract's columns for every document."""
-    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    names = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), "contaminated")
+    """op4: the contract's columns for every document, and ``n_near, near_sha256``:
+    the items of which all words of a window stand, in any order, among as many and
+    ``NEAR_SLOP`` more consecutive words."""
+    found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=NEAR_SLOP)
+
+    def told(column: str) -> list:
+        name = column.removesuffix("item_ids") or "items_"
+        return [F.size(column).cast("long").alias(f"n_{name.rstrip('_')}"), F.sha2(F.array_join(F.array_sort(column), ","), 256).alias(f"{name}sha256")]
+
+    return found.select("doc_id", "n_words", "n_hit", *told("item_ids"), *told("near_item_ids"), "contaminated")
 
 
 SQL = r"""
@@ -295,8 +299,16 @@ ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM d, ks, unnest(range(1, len(w) - k + 2)) AS u(i) WHERE len(w) >= k),
 h AS (SELECT dw.doc_id, dw.i, dw.k, bw.item_id FROM dw JOIN bw USING (k, s)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+tf AS (SELECT word, count(*) AS n FROM pos GROUP BY word),
+bs AS (SELECT item_id, k, list_distinct(string_split(s, ' ')) AS ws FROM bw),
+bt AS (SELECT item_id, k, ws, arg_min(word, coalesce(tf.n, 0)) AS rare FROM (SELECT item_id, k, ws, unnest(ws) AS word FROM bs) LEFT JOIN tf USING (word) GROUP BY item_id, k, ws),
+nr AS (SELECT DISTINCT pos.doc_id, bt.item_id::VARCHAR AS x FROM bt JOIN pos ON pos.word = bt.rare JOIN d ON d.doc_id = pos.doc_id, unnest(range(greatest(1, p - k - 2), p + 1)) AS u(a)
+       WHERE list_has_all(d.w[a : a + k + 2], bt.ws)),
+nt AS (SELECT doc_id, count(*) AS n, string_agg(x, ',' ORDER BY x) AS s FROM nr GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(it.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(it.s, '')) AS items_sha256, coalesce(nt.n, 0)::BIGINT AS n_near, sha256(coalesce(nt.s, '')) AS near_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nt USING (doc_id)
 """
