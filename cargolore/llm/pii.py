@@ -18,11 +18,16 @@ Python.
 
 The patterns are written so that each text is read in linear time: a repeated
 group is possessive, and a match may only start where a run of its characters
-starts (or where the match before has ended).
+starts (or where the match before has ended).  Positions are running sums, made in
+two levels, and spans are searched by parts, so a text with very many spans, such
+as a dump of addresses in one row, takes time as the 1.5th power of their number
+at most.
 
 Defined cases: a null or empty text has no spans; rows with null or repeated ids
-are scored each on its own; an empty table gives no rows.  Columns other than
-``doc_id`` and ``text`` are not read.
+are scored each on its own; of proposals that overlap with equal scores the one
+that starts first stays, of those the shorter; a text of any length is read whole;
+an empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are not
+read.
 """
 
 from __future__ import annotations
@@ -55,12 +60,19 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 PROPOSED = {
     "email_spelt": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}| at |@) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}+){1,5}+",
-    "phone_local": r"(?<![0-9A-Za-z+.(])\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
+    "phone_local": (
+        r"(?<![0-9A-Za-z+.(])\(?[0-9](?:[\x20().-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
+        # groups of 3, 3 and 4 digits; an area code with 0 and one or two groups
+        r"(?<![0-9A-Za-z+.(])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+        r"(?<![0-9A-Za-z+.(])\(?0[0-9]{1,4}\)?[\x20/-][0-9]{3,4}(?:[\x20-]?[0-9]{3,5})?(?![0-9])",
+    ),
     "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,64}+[0-9])[A-Za-z0-9_/+=-]{16,}+",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "bank": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 KINDS = tuple(PROPOSED)
+#: A telephone number written in full and nothing more.
+SHAPE = r"^(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$|^\(?0[0-9]{1,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}$"
 
 # Words that speak for a kind of personal data near by.
 CONTEXT = {
@@ -72,32 +84,85 @@ CONTEXT = {
 }
 FEATURES = (
     *(f"is_{k}" for k in KINDS), "length", "digits", "upper", "lower", "signs", "variety", "digit_runs", "case_turns",
-    *CONTEXT, "bracketed", "spelt_dot", "quoted", "hex", "digit_first", "sentence",
+    *CONTEXT, "bracketed", "spelt_dot", "quoted", "hex", "digit_first", "sentence", "shaped",
 )
 
 _SPAN = "array<struct<kind:string,s:int,e:int,m:string,before:string,after:string>>"
 
 
+def _bound(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is computed once.  (A column that a lambda function
+    reads may be put in its place and then be computed for each element.)"""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op) -> Column:  # noqa: ANN001
+    """For each of some whole numbers the sum or maximum (``op``) of those before it,
+    0 at first, and last that of all.
+
+    Folds copy what they have gathered at every step, so the numbers are cut in parts
+    of about the root of their number: folds run over parts, and over their results.
+    """
+
+    def scan(part: Column) -> Column:
+        return F.aggregate(part, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(op(F.element_at(a, -1), x))))
+
+    def joined(parts: Column) -> Column:
+        def moved(starts: Column) -> Column:
+            each = F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda w, o: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: op(x, o)))
+            return F.concat(F.flatten(each), F.array(F.element_at(starts, -1)))
+
+        return _bound(scan(F.transform(parts, lambda w: F.element_at(w, -1))), moved)
+
+    def body(v: Column) -> Column:
+        n = F.size(v)
+        k = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / k).cast("int")), lambda i: scan(F.slice(v, i * k + 1, k)))
+        return F.when(n > 0, _bound(parts, joined)).otherwise(F.array(F.lit(0)))
+
+    return _bound(values, body)
+
+
+def _in_parts(found: Column) -> Column:
+    """Spans in parts of about the root of their number, each with its bounds."""
+    n = F.size(found)
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+
+    def part(i: Column) -> Column:
+        own = F.transform(F.slice(found, i * width + 1, width), lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e")))
+        return F.struct(F.array_min(F.transform(own, lambda b: b["s"])).alias("s"), F.array_max(F.transform(own, lambda b: b["e"])).alias("e"), own.alias("own"))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int")), part))
+
+
+def _meets(parts: Column, x: Column) -> Column:
+    """Whether a span overlaps one of those ``_in_parts``."""
+
+    def over(b: Column) -> Column:
+        return (b["s"] < x["e"]) & (x["s"] < b["e"])
+
+    return F.coalesce(F.exists(parts, lambda p: over(p) & F.exists(p["own"], over)), F.lit(False))
+
+
 def spans(text: Column, kind: str, pattern: str) -> Column:
     """Every match as a struct: kind, start and end in code points, the match and
     what stands around it.  The pieces between matches give the positions."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    both = F.zip_with(
-        F.slice(pieces, 1, F.size(matches)), matches,
-        lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.substring(p, -BEFORE, BEFORE).alias("before")),
-    )
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(matches), F.lit(1))), lambda p: F.substring(p, 1, AFTER))
-    both = F.zip_with(both, rest, lambda x, a: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["before"].alias("before"), a.alias("after")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    none = F.array().cast(_SPAN)
 
-    def step(a: Column, x: Column) -> Column:
-        first = a["at"] + x["gap"]
-        one = F.struct(F.lit(kind).alias("kind"), first.alias("s"), (first + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct((first + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def body(v: Column) -> Column:
+        pieces, matches = F.slice(v["pieces"], 1, F.size(v["matches"])), v["matches"]
+        begins = _running(F.zip_with(pieces, matches, lambda p, m: F.length(p) + F.length(m)), lambda a, b: a + b)
+        both = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"), F.substring(p, -BEFORE, BEFORE).alias("before")))
+        rest = F.transform(F.slice(v["pieces"], 2, F.greatest(F.size(matches), F.lit(1))), lambda p: F.substring(p, 1, AFTER))
+        both = F.zip_with(both, rest, lambda x, a: F.struct(x["gap"].alias("gap"), x["m"].alias("m"), x["before"].alias("before"), a.alias("after")))
+
+        def placed(x: Column, at: Column) -> Column:
+            first = at + x["gap"]
+            return F.struct(F.lit(kind).alias("kind"), first.alias("s"), (first + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
+
+        return F.when(F.size(matches) > 0, F.zip_with(both, F.slice(begins, 1, F.size(matches)), placed)).otherwise(none)
 
-    found = F.aggregate(both, start, step, lambda a: a["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
+    return _bound(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches")), body)
 
 
 def _digits(m: Column) -> Column:
@@ -151,7 +216,7 @@ def features(x: Column) -> list[Column]:
         *(flag(x["before"].rlike(p)) for p in CONTEXT.values()),
         flag(m.rlike(r"(?i)[(\[{](?:at|dot)[)\]}]")), flag(m.rlike("(?i) dot ")),
         flag(x["before"].rlike(r"[=:\"'`]\s?$") | x["after"].rlike("^[\"'`]")), flag(m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        flag(m.rlike("^[(]?[0-9]")), flag(m.rlike(r"\. ")),
+        flag(m.rlike("^[(]?[0-9]")), flag(m.rlike(r"\. ")), flag(m.rlike(SHAPE)),
     ]
 
 
@@ -178,15 +243,18 @@ def training_rows(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     any_of = lambda salt, *cols: F.array(*cols)[F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(len(cols))).cast("int")]
     true = {
         "email_spelt": F.concat(name, pick("at", " at ", " [at] ", "(at)", " (at) ", "[at]"), pick("d", "example", "mail", "host-7", "web"), pick("dot", " dot ", "[dot]", " [dot] ", "(dot)"), pick("tld", "com", "org", "net", "de")),
-        "phone_local": any_of("p", F.concat(F.lit("("), digits("a", 3), F.lit(") "), digits("b", 3), F.lit("-"), digits("c", 4)), F.concat_ws("-", digits("a", 3), digits("b", 3), digits("c", 4)), F.concat_ws(".", digits("a", 3), digits("b", 3), digits("c", 4)), F.concat(F.lit("0"), digits("a", 2), F.lit(" "), digits("b", 4), F.lit(" "), digits("c", 4))),
+        "phone_local": any_of("p", F.concat(F.lit("("), digits("a", 3), F.lit(") "), digits("b", 3), F.lit("-"), digits("c", 4)), F.concat_ws("-", digits("a", 3), digits("b", 3), digits("c", 4)), F.concat_ws(".", digits("a", 3), digits("b", 3), digits("c", 4)), F.concat(F.lit("0"), digits("a", 2), F.lit(" "), digits("b", 4), F.lit(" "), digits("c", 4)), F.concat(F.lit("0"), digits("a", 3), pick("z", "/", "-", " "), digits("b", 4), digits("c", 3))),
         "secret": any_of("s", F.concat(F.lit("AKIA"), shout("a", 16)), code("a", 40), code("b", 32), F.concat(F.lit("sk_live_"), mixed("a", 24)), F.concat(F.lit("ghp_"), mixed("b", 36)), mixed("c", 40), F.upper(code("d", 40))),
         "identity": F.concat_ws("-", digits("a", 3), digits("b", 2), digits("c", 4)),
         "bank": any_of("b", F.concat(F.lit("DE"), digits("a", 20)), F.concat_ws(" ", F.concat(F.lit("GB"), digits("a", 2)), F.lit("WEST"), digits("b", 4), digits("c", 4), digits("d", 4), digits("e", 2)), F.concat(F.lit("FR"), digits("b", 25))),
     }
     false = {
         "email_spelt": any_of("e", F.concat(word("a"), F.lit(" at "), word("b"), F.lit(". "), F.initcap(word("c"))), F.concat(word("a"), F.lit(" at "), digits("b", 1), F.lit("."), digits("c", 2)), F.concat(word("a"), F.lit(" at "), word("b"), F.lit(". "), word("c"), F.lit(". "), word("d"))),
-        "phone_local": any_of("p", F.concat(F.lit("20"), digits("a", 2), F.lit("-01-"), digits("b", 2)), digits("a", 8), digits("b", 10), F.concat(digits("a", 1), F.lit("."), digits("b", 9)), F.concat_ws(".", digits("a", 2), F.lit("000"), F.lit("000")), F.concat_ws(" ", digits("a", 1), digits("b", 1), digits("c", 1), digits("d", 1), digits("e", 1), digits("f", 1), digits("g", 1)), digits("h", 15)),
-        "secret": any_of("s", F.concat_ws("-", word("a"), digits("b", 2), word("c"), word("d")), F.concat_ws("/", word("a"), F.lit("20"), digits("b", 2), word("c"), word("d")), F.concat(F.repeat(word("a"), 4), digits("b", 1)), digits("c", 18), F.concat(F.repeat(F.lit("="), 18), digits("d", 1)), F.concat_ws("_", word("a"), word("b"), word("c"), digits("e", 1)), F.concat(F.repeat(F.lit("-"), 20), digits("f", 2))),
+        "phone_local": any_of("p", F.concat(F.lit("20"), digits("a", 2), F.lit("-01-"), digits("b", 2)), digits("a", 8), digits("b", 10), F.concat(digits("a", 1), F.lit("."), digits("b", 9)), F.concat_ws(".", digits("a", 2), F.lit("000"), F.lit("000")), F.concat_ws(" ", digits("a", 1), digits("b", 1), digits("c", 1), digits("d", 1), digits("e", 1), digits("f", 1), digits("g", 1)), digits("h", 15),
+            # a number with the rest of another one, or with a figure after it
+            F.concat(digits("a", 4), F.lit(" "), F.concat_ws("-", digits("b", 3), digits("c", 3), digits("d", 4))), F.concat(F.concat_ws("-", digits("b", 3), digits("c", 3), digits("d", 4)), F.lit(" "), digits("e", 2)),
+            F.concat(F.concat_ws("-", digits("b", 3), digits("c", 3), digits("d", 4)), F.lit(" "), digits("a", 3), F.lit("-"), digits("e", 2))),
+        "secret": any_of("s", F.concat_ws("-", word("a"), digits("b", 2), word("c"), word("d")), F.concat_ws("/", word("a"), F.lit("20"), digits("b", 2), word("c"), word("d")), F.concat(F.repeat(word("a"), 4), digits("b", 1)), digits("c", 18), digits("g", 20), digits("h", 26), F.concat(F.repeat(F.lit("="), 18), digits("d", 1)), F.concat_ws("_", word("a"), word("b"), word("c"), digits("e", 1)), F.concat(F.repeat(F.lit("-"), 20), digits("f", 2))),
         "identity": F.concat_ws("-", digits("a", 3), digits("b", 2), digits("c", 4)),
         "bank": F.concat(F.lit("AB"), digits("a", 2), F.lit(" "), shout("b", 4), F.lit(" "), shout("c", 4)),
     }
@@ -254,28 +322,44 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     has_digit = F.col("text").rlike("[0-9]")
     none = F.array().cast(_SPAN)
     guesses = []
-    for kind, pattern in PROPOSED.items():
+    for kind, patterns in PROPOSED.items():
         some = F.col("text").rlike(r"(?i)[@\])}]| at ") if kind == "email_spelt" else has_digit
-        guesses.append(F.when(some, spans(F.col("text"), kind, pattern)).otherwise(none))
-    found = found.withColumn("base", F.concat(*(F.col(k) for k in BASE))).withColumn("guesses", F.concat(*guesses))
-    clear = F.filter("guesses", lambda g: ~F.exists("base", lambda b: (b["s"] < g["e"]) & (g["s"] < b["e"])))
-    scored = F.transform(clear, lambda g: F.struct(g.alias("g"), F.struct(*(c.alias(n) for c, n in zip(features(g), FEATURES, strict=True))).alias("f")))
-    found = found.select("doc_id", "base", scored.alias("scored"))
+        for pattern in (patterns,) if isinstance(patterns, str) else patterns:
+            guesses.append(F.when(some, spans(F.col("text"), kind, pattern)).otherwise(none))
+    both = F.struct(F.concat(*(F.col(k) for k in BASE)).alias("base"), F.concat(*guesses).alias("guesses"))
+
+    def clear(v: Column) -> Column:
+        apart = _bound(_in_parts(v["base"]), lambda parts: F.filter(v["guesses"], lambda g: ~_meets(parts, g)))
+        return F.struct(v["base"].alias("base"), apart.alias("guesses"))
+
+    found = found.select("doc_id", _bound(both, clear).alias("v"))
+    scored = F.transform("v.guesses", lambda g: F.struct(g.alias("g"), F.struct(*(c.alias(n) for c, n in zip(features(g), FEATURES, strict=True))).alias("f")))
+    found = found.select("doc_id", F.col("v.base").alias("base"), scored.alias("scored"))
     limit = "CASE g.kind " + " ".join(f"WHEN '{k}' THEN {t!r}D" for k, t in model.thresholds.items()) + " ELSE 2.0D END"
     sql = model.sql.replace("f.", "x.f.")
     score = f"transform(scored, x -> struct(x.g.s AS s, x.g.e AS e, x.g.kind AS kind, x.g.m AS m, {sql} AS score, {limit.replace('g.kind', 'x.g.kind')} AS t))"
     found = found.selectExpr("doc_id", "base", f"filter({score}, x -> x.score >= x.t) AS passed")
     # of spans that overlap, the best by score stays: in order of start, a span
-    # takes the place of the last one kept if it overlaps it and scores higher
-    empty = F.array().cast("array<struct<s:int,e:int,kind:string,m:string,score:double>>")
+    # takes the place of the last one kept if it overlaps it and scores higher.
+    # The list is cut where no span reaches over, and each piece is folded.
+    kind = "array<struct<s:int,e:int,kind:string,m:string,score:double>>"
 
     def step(a: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m"), x["score"].alias("score")))
         last = F.element_at(a, -1)
         clash = (F.size(a) > 0) & (last["e"] > x["s"])
-        return F.when(~clash, F.concat(a, one)).when(last["score"] < x["score"], F.concat(F.slice(a, 1, F.size(a) - 1), one)).otherwise(a)
+        return F.when(~clash, F.concat(a, F.array(x))).when(last["score"] < x["score"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))).otherwise(a)
+
+    def best(v: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: F.element_at(v, i)["s"] >= F.element_at(reach, i))
+            return _bound(first, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(v) + 1)), lambda x, y: F.slice(v, x, y - x)))
+
+        pieces = _bound(_running(F.transform(v, lambda x: x["e"]), F.greatest), cut)
+        folded = F.transform(pieces, lambda p: F.when(F.size(p) == 1, p).otherwise(F.aggregate(p, F.array().cast(kind), step)))
+        return F.when(F.size(v) > 0, F.flatten(folded)).otherwise(F.array().cast(kind))
 
-    added = F.aggregate(F.array_sort("passed"), empty, step)
+    plain = F.transform("passed", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m"), x["score"].alias("score")))
+    added = _bound(F.array_sort(plain), best)
     return found.select(
         "doc_id", F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), F.lit(1.0).alias("score"))).alias("base"),
         F.transform(added, lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), b["score"].alias("score"))).alias("added"),
@@ -283,19 +367,30 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SpanModel | None = None, mark: str = "[REDACTED]") -> DataFrame:
-    """``doc_id, text`` with every span replaced by ``mark``."""
+    """``doc_id, text`` with every span replaced by ``mark``; of spans that overlap,
+    what both cover is one place.  The text is cut in blocks first, so that a piece
+    far into a long text is taken from its blocks and not counted out from the start."""
     model = model or fit(docs.sparkSession)
     found = detect(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row")
     order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col("row.text")
+    size = 2048
+    found = found.select("row", order.alias("order"), F.regexp_extract_all("row.text", F.lit(f"(?s).{{1,{size}}}"), 0).alias("blocks"), F.length("row.text").alias("n"))
 
-    def step(a: Column, x: Column) -> Column:
-        hidden = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mark))
-        return F.when(x["s"] >= a["at"], F.struct(x["e"].alias("at"), hidden.alias("out"))).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
+    def out(v: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / size).cast("int")
+            own = F.array_join(F.slice(v["blocks"], first + 1, F.floor(b / size).cast("int") - first + 1), "")
+            return F.when(b > a, F.substring(own, a % size + 1, b - a)).otherwise("")
+
+        def hidden(reach: Column) -> Column:
+            before = F.slice(reach, 1, F.size(v["order"]))
+            each = F.zip_with(v["order"], before, lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(each, ""), piece(F.element_at(reach, -1), v["n"]))
+
+        return _bound(_running(F.transform(v["order"], lambda x: x["e"]), F.greatest), hidden)
 
-    out = F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.select("row.doc_id", out.alias("text"))
+    whole = _bound(F.struct("order", "blocks", "n"), out)
+    return found.select("row.doc_id", F.when(F.col("n").isNotNull(), whole).alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,4 +410,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(by_kind).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
