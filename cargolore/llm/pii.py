@@ -6,8 +6,8 @@ recall propose spans that may overlap: addresses spelt out, numbers without a
 country code, identity and bank numbers, and secrets such as keys and tokens.
 Boosted trees score each proposal by its format (lengths, classes of characters,
 runs, variety) and its context (words before it, quotes and signs around it);
-per kind, the threshold is the lowest that reaches ``PRECISION`` on held-out
-rows.  Of proposals that overlap, the one with the best score above its
+per kind, the threshold lies half-way below the lowest score that reaches
+``PRECISION`` on held-out rows.  Of proposals that overlap, the one with the best score above its
 threshold stays, and none that overlaps a base span.
 
 No table labels personal data, so the trees are fitted on ``TRAIN_ROWS`` rows
@@ -307,8 +307,13 @@ def fit(spark: SparkSession, rows: int = TRAIN_ROWS, precision: float = PRECISIO
     held = table.where("part = 2").select("kind", "label", F.struct(*FEATURES).alias("f")).selectExpr("kind", "label", f"round({sql}, 4) AS score")
     right = "sum(label) OVER (PARTITION BY kind ORDER BY score DESC RANGE UNBOUNDED PRECEDING)"
     every = "count(*) OVER (PARTITION BY kind ORDER BY score DESC RANGE UNBOUNDED PRECEDING)"
-    best = held.selectExpr("kind", "score", f"{right} / {every} AS p").where(F.col("p") >= precision).groupBy("kind").agg(F.min("score").alias("t"))
-    found = {r.kind: max(0.5, r.t) for r in best.collect()}  # a row a kind
+    ranked = held.selectExpr("kind", "score", f"{right} / {every} AS p").distinct().collect()  # at most a row a made-up row
+    found = {}
+    for kind in KINDS:
+        own = sorted((r.score, r.p) for r in ranked if r.kind == kind)
+        passing = min((x for x, p in own if p >= precision), default=None)
+        if passing is not None:  # half-way to the best score below, which does not pass
+            found[kind] = max(0.5, (passing + max((x for x, _ in own if x < passing), default=passing)) / 2)
     table.unpersist()
     return SpanModel(sql, {k: found.get(k, 1.1) for k in KINDS})
 
