@@ -5,22 +5,33 @@ lower-cased; words are runs of 0-9, a-z and non-ASCII characters; a document of
 fewer words, but not none, is one shingle).  Documents with equal word
 sequences are compared once and counted with their number.
 
-Candidates: MinHash values in bands; documents that share a band's values are
-candidates, and candidate clusters (the components of that relation) are cut
-into blocks by size, so a task's group is one pair of blocks.  Inside, pairs are
-compared by a few MinHash values at a time.  With a uniform prior, after ``n``
-values of which ``m`` agree the similarity has the posterior Beta(m+1, n-m+1); a
-pair is dropped as soon as the probability of at least the threshold is below
-``tolerance``.  The rest is verified exactly on the whole sets.  No bucket,
-cluster or number of partners is capped.
+1. *Bands.*  MinHash values, one byte each, in bands; documents that share a band's
+   values are in one bucket.  Buckets are cut into blocks, and pairs of blocks are
+   tasks' groups, so a hot bucket is spread over many tasks.  Two documents meet in
+   the first band that they share only.
+2. *Pruning.*  Pairs in a bucket are compared by a few MinHash values at a time.  With
+   a uniform prior, after ``n`` values of which ``m`` agree the similarity has the
+   posterior Beta(m+1, n-m+1); a pair is dropped as soon as the probability of at
+   least the threshold is below ``tolerance``.  (One byte agrees by chance now and
+   then, which only keeps pairs in.)  A group gives back a tree of its pairs that
+   are left, an edge a document.
+3. *Verification.*  Documents that pruned pairs connect are a cluster.  Only now are
+   their shingle sets made; clusters are cut into blocks by size, and in each pair of
+   blocks what pruning leaves is verified exactly on the whole sets.  No bucket,
+   cluster or number of partners is capped.
 
 At the threshold a pair shares a band with probability ``1 - (1 - t^r)^b``,
 0.99995 for 25 bands of 5 at 0.8, and more above it.
 
+Clusters hold what is likely to be at least about 0.63 similar by estimate, so a chain of documents that
+resemble their neighbours is one cluster, all pairs of which are compared by
+MinHash values; that takes the square of the chain's length.
+
 Defined cases: null or empty texts have no shingles, link with nothing and are
 kept; rows with a null id likewise; rows with equal ids are one document that
-holds all their texts.  An empty table gives no rows.  Columns other than
-``doc_id`` and ``text`` are not read.
+holds all their texts; a text of any length is one set of all its shingles.  An
+empty table gives no rows.  Columns other than ``doc_id`` and ``text`` are not
+read.
 """
 
 from __future__ import annotations
@@ -33,19 +44,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import Words, chunks, grams, materialize, mix, text_buffer
+from cargolore.llm.common import Words, chunks, grams, hot_join, materialize, mix, text_buffer
 from cargolore.llm.components import components
 from cargolore.llm.embedding_dedup import roots
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: MinHash values that a round of pruning adds.
-ROUND = 16
-HASHES = 128
+#: MinHash values that a round of pruning adds, and all of them.
+ROUND = 25
+HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 #: A block of a cluster has at most about so many documents, and so many shingles.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
+#: A block of a bucket has at most about so many documents.
+BUCKET_DOCS = 1024
 SEED = 8
 
 
@@ -135,7 +148,7 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
     return both[place[: len(i)], place[len(i) :]].astype(np.int64)
 
 
-def _signatures(k: int, bands: int, band_rows: int):  # noqa: ANN202
+def _signatures(k: int, hashes: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
@@ -146,8 +159,7 @@ def _signatures(k: int, bands: int, band_rows: int):  # noqa: ANN202
                 if not len(some):
                     continue
                 values, counts = shingle_sets(words, k)
-                sign = minhash(values, counts[some], bands * band_rows)
-                keys = [mix(grams_of_row + np.uint64(b)) for b, grams_of_row in enumerate(_band_keys(sign, bands, band_rows))]
+                sign = low_bytes(minhash(values, counts[some], hashes))
                 # the word sequence, as two polynomial values of the word hashes
                 begin = (np.cumsum(words.counts) - words.counts)[some]
                 place = np.arange(len(words.hashes), dtype=np.uint64) - np.repeat(begin, words.counts[some]).astype(np.uint64)
@@ -156,21 +168,56 @@ def _signatures(k: int, bands: int, band_rows: int):  # noqa: ANN202
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(first, last - first).take(pa.array(some)),
                     "h1": pa.array(one.view(np.int64)), "h2": pa.array(two.view(np.int64)), "size": pa.array(counts[some].astype(np.int64)),
-                    "bands": pa.array(list(np.stack(keys, axis=1).view(np.int64)), pa.list_(pa.int64())),
+                    "sign": pa.array([x.tobytes() for x in sign], pa.binary()),
                 })
 
     return run
 
 
-def _band_keys(sign: np.ndarray, bands: int, rows: int) -> Iterator[np.ndarray]:
-    for b in range(bands):
-        key = np.full(len(sign), b, np.uint64)
-        for r in range(rows):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sign[:, b * rows + r])
-        yield key
+def low_bytes(sign: np.ndarray) -> np.ndarray:
+    """One byte of each MinHash value, well mixed."""
+    return ((sign * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
+
+
+def _rows_of(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _prune(threshold: float, tolerance: float, band_rows: int, hashes: int):  # noqa: ANN202
+    """A tree of the pairs of a bucket's two blocks that pruning leaves."""
+    need = least_agreements(threshold, tolerance, hashes, min(ROUND, hashes))
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        ids, block, sign = table["rep"].to_numpy(), table["block"].to_numpy(), _rows_of(table["sign"])
+        low, high, band = (int(table[n][0].as_py()) for n in ("low", "high", "band"))
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        left, right = [], []
+        for k in range(0, len(a), 256):
+            i, j = candidates(sign, a[k : k + 256], b, need, min(ROUND, hashes))
+            keep = (ids[i] < ids[j]) if low == high else (ids[i] != ids[j])
+            i, j = i[keep], j[keep]
+            for earlier in range(band):
+                part = slice(earlier * band_rows, (earlier + 1) * band_rows)
+                keep = (sign[i, part] != sign[j, part]).any(axis=1)
+                i, j = i[keep], j[keep]
+            # a tree of these pairs says as much as they do
+            root = roots(len(ids), i, j)
+            some = np.flatnonzero(root != np.arange(len(ids)))
+            left.append(some)
+            right.append(root[some])
+        if not left:
+            return pa.table({"u": ids[:0], "v": ids[:0]})
+        root = roots(len(ids), np.concatenate(left), np.concatenate(right))
+        some = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"u": ids[some], "v": ids[root[some]]})
+
+    return run
+
+
+def _sets(k: int, hashes: int):  # noqa: ANN202
+    """Each text's set of shingles and MinHash values; texts without words go."""
 
-def _sets(k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ("rep", "copies", "cluster", "blocks", "pack")
         for batch in batches:
@@ -178,17 +225,22 @@ def _sets(k: int):  # noqa: ANN202
             for first, last in chunks(ends):
                 base = ends[first - 1] if first else 0
                 words = Words(data[base : ends[last - 1]], ends[first:last] - base, "folded")
+                some = np.flatnonzero(words.counts)
+                if not len(some):
+                    continue
                 values, counts = shingle_sets(words, k)
+                counts = counts[some]
                 stops = np.cumsum(counts)
                 sets = [np.unique(values[e - c : e]).tobytes() for e, c in zip(stops, counts, strict=True)]
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_pydict({n: part.column(n) for n in keep} | {"grams": pa.array(sets, pa.binary())})
+                sign = [x.tobytes() for x in low_bytes(minhash(values, counts, hashes))]
+                part = batch.slice(first, last - first).take(pa.array(some))
+                yield pa.RecordBatch.from_pydict({n: part.column(n) for n in keep} | {"sign": pa.array(sign, pa.binary()), "grams": pa.array(sets, pa.binary())})
 
     return run
 
 
-def _verify(threshold: float, tolerance: float):  # noqa: ANN202
-    need = least_agreements(threshold, tolerance, HASHES, ROUND)
+def _verify(threshold: float, tolerance: float, hashes: int):  # noqa: ANN202
+    need = least_agreements(threshold, tolerance, hashes, min(ROUND, hashes))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cluster", "ascending"), ("rep", "ascending")])
@@ -200,12 +252,12 @@ def _verify(threshold: float, tolerance: float):  # noqa: ANN202
         links = np.zeros(len(ids), np.int64)
         left, right = [], []
         own = np.unique(ids, return_index=True)[1][np.unique(ids, return_inverse=True)[1]]
-        sign = minhash(np.concatenate(sets), size, HASHES, SEED + 1)
+        sign = _rows_of(table["sign"])
         edge = np.flatnonzero(np.append(True, clusters[1:] != clusters[:-1]))
         for start, stop in zip(edge, np.append(edge[1:], len(ids)), strict=True):
             rows = np.arange(start, stop)
             a, b = rows[block[rows] == low], rows[block[rows] == high]
-            i, j = candidates(sign, a, b, need, ROUND)
+            i, j = candidates(sign, a, b, need, min(ROUND, hashes))
             keep = (i < j) if low == high else np.ones(len(i), bool)
             keep &= ids[i] != ids[j]
             i, j = i[keep], j[keep]
@@ -234,30 +286,40 @@ def jaccard_join(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     similar, ``kept`` whether the document stands for its class.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = own.where("doc_id IS NOT NULL")
-    signed = materialize(known.mapInArrow(_signatures(words, bands, band_rows), "doc_id bigint, h1 bigint, h2 bigint, size bigint, bands array<bigint>"), "signatures")
-    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max("size").alias("size"))
+    known, hashes = own.where("doc_id IS NOT NULL"), bands * band_rows
+    signed = materialize(known.mapInArrow(_signatures(words, hashes), "doc_id bigint, h1 bigint, h2 bigint, size bigint, sign binary"), "signatures")
+    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.max("size").alias("size"), F.count("*").alias("n"), F.first("sign").alias("sign"))
     texts = materialize(texts, "texts")
-    member = signed.select("doc_id", "h1", "h2").join(texts, ["h1", "h2"]).select("doc_id", "rep", "copies")
-    reps = signed.join(texts.withColumnRenamed("size", "n"), ["h1", "h2"]).where("doc_id = rep")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    first = banded.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
-    near = components(banded.join(first, "band").where("rep <> first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
-
-    near = materialize(near.join(texts.groupBy("rep").agg(F.max("copies").alias("copies"), F.max("size").alias("size")), near["node"] == F.col("rep")).select("rep", "copies", "size", F.col("component").alias("cluster")), "candidates")
+    member = hot_join(signed.select("doc_id", "h1", "h2"), texts.select("h1", "h2", "rep", "copies", "n"), ["h1", "h2"], "n", F.xxhash64("doc_id"))
+    member = member.select("doc_id", "rep", "copies")
+
+    cut = F.array(*(F.substring("sign", b * band_rows + 1, band_rows) for b in range(bands)))
+    banded = texts.select("rep", "sign", F.posexplode(cut).alias("band", "bucket"))
+    sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
+    sizes = materialize(sizes.select("band", "bucket", "m", F.ceil(F.col("m") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
+    met = hot_join(banded, sizes, ["band", "bucket"], "m", F.xxhash64("rep"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    met = met.select("band", "bucket", "rep", "sign", "block", F.least("block", "o").cast("int").alias("low"), F.greatest("block", "o").cast("int").alias("high"))
+    left = met.groupBy("band", "bucket", "low", "high").applyInArrow(_prune(threshold, tolerance, band_rows, hashes), "u bigint, v bigint")
+    near = components(left)
+
+    held = texts.groupBy("rep").agg(F.max("copies").alias("copies"), F.sum("size").alias("size"))
+    near = materialize(near.join(held, near["node"] == F.col("rep")).select("rep", "copies", "size", F.col("component").alias("cluster")), "candidates")
     total = near.agg(F.sum("size")).first()[0] or 0
     packs = max(1, math.ceil(total / BLOCK_SHINGLES * 4))
-    sized = near.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sized = near.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("m"))
     # clusters of one block are packed together by hash, others stand alone
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(-1 - F.col("cluster"))
-    placed = near.join(sized, "cluster").select("rep", "copies", "cluster", "blocks", pack.cast("long").alias("pack"))
+    placed = hot_join(near, materialize(sized, "clusters"), ["cluster"], "m", F.xxhash64("rep"))
+    placed = placed.select("rep", "copies", "cluster", "blocks", pack.cast("long").alias("pack"))
     # always by sort-merge: the plan is the same at every size
     with_text = known.join(placed.hint("shuffle_merge"), known["doc_id"] == placed["rep"]).select("rep", "copies", "cluster", "blocks", "pack", "text")
-    sets = with_text.mapInArrow(_sets(words), "rep bigint, copies bigint, cluster bigint, blocks int, pack bigint, grams binary").where(F.length("grams") > 0)
+    sets = with_text.mapInArrow(_sets(words, hashes), "rep bigint, copies bigint, cluster bigint, blocks int, pack bigint, sign binary, grams binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = sets.withColumn("block", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    pairs = pairs.select("rep", "copies", "cluster", "pack", "block", "grams", F.least("block", "o").cast("int").alias("low"), F.greatest("block", "o").cast("int").alias("high"))
-    found = materialize(pairs.groupBy("pack", "low", "high").applyInArrow(_verify(threshold, tolerance), "rep bigint, n bigint, root bigint"), "links")
+    pairs = pairs.select("rep", "copies", "cluster", "pack", "block", "sign", "grams", F.least("block", "o").cast("int").alias("low"), F.greatest("block", "o").cast("int").alias("high"))
+    found = materialize(pairs.groupBy("pack", "low", "high").applyInArrow(_verify(threshold, tolerance, hashes), "rep bigint, n bigint, root bigint"), "links")
 
     # documents with several texts tie the texts' classes together
     tied = member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
