@@ -2,10 +2,17 @@
 
 The lines that a corpus is known to hold are kept as *runs*: tables of 128-bit
 line hashes in ascending order, each row with the document that owns the line.
-A new batch of documents merge-anti-joins its lines' hashes with every run;
-what is left is new and becomes a run of level 0.  When a level has ``fanout``
-runs, they are compacted into one run of the next level, so a corpus of ``n``
-batches has at most ``fanout * log(n)`` runs.
+All runs of a store are bucketed by hash into the same number of files, each
+sorted.  A new batch of documents is shuffled to these buckets and merge-anti-joined
+with every run where it lies: no run is ever shuffled.  What is left is new and
+becomes a run of level 0.  When a level has ``fanout`` runs, they are merged,
+bucket by bucket, into one run of the next level, so a corpus of ``n`` batches has
+at most ``fanout * log(n)`` runs.
+
+Which runs a store has is said by its newest manifest, a small file that is written
+aside and renamed.  A batch or a compaction that fails before that changes nothing,
+and its files are never read; one that fails after it leaves old files that are
+not read any more.
 
 A line's key is the line without ASCII white space at its ends, with A-Z
 lower-cased.  Keys of at least ``min_chars`` code points that are held by
@@ -23,21 +30,23 @@ reserved.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import delete_path, materialize, scratch_path
+from cargolore.llm.common import delete_path, hot_join, materialize, scratch_path
 
 #: Code points that a key needs.
 MIN_CHARS = 10
 #: Batches into which one call cuts its documents, by ranges of ``doc_id``.
 BATCHES = 3
-#: Runs of a level that are compacted into one of the next.
+#: Runs of a level that are compacted into one of the next; with 2 a merge needs no shuffle.
 FANOUT = 2
 
+_RUN = "h1 bigint, h2 bigint, owner bigint"
 _KEYS = "h1 bigint, h2 bigint, doc_id bigint"
 #: Stands for a null id; it is larger than any id, so such rows own last.
 _LAST = 2**63 - 1
@@ -78,49 +87,96 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 class LineRuns:
     """The runs under one folder of a store that all executors reach.
 
-    Runs are named ``level=L/run=N``; a run is complete once its writer has left
-    ``_SUCCESS``, so a batch that failed half-way is simply written again.
+    A new store gets ``buckets`` buckets, by default as many as the session has
+    shuffle partitions; an old one keeps its own.
     """
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
         self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def runs(self) -> list[tuple[int, int]]:
-        """(level, number) of each complete run."""
-        found = self._fs.globStatus(self._fs_path(f"{self.path}/level=*/run=*/_SUCCESS"))
-        names = [x.getPath().getParent() for x in found or []]
-        return sorted((int(x.getParent().getName()[6:]), int(x.getName()[4:])) for x in names)
-
-    def read(self, level: int, number: int) -> DataFrame:
-        return self.spark.read.schema("h1 bigint, h2 bigint, owner bigint").parquet(f"{self.path}/level={level}/run={number}")
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        number = 1 + max([n for _, n in self.runs()], default=0)
-        path = f"{self.path}/level={level}/run={number}"
-        rows.repartition("h1").sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
+        self._tables: dict[str, str] = {}
+        self.buckets = self._manifest()[1] or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _manifest(self) -> tuple[int, int | None, list[tuple[int, str]]]:
+        """The newest manifest's number, the buckets, and (level, name) of each run."""
+        found = self._fs.globStatus(self._fs_path(f"{self.path}/manifest/at=*")) or []
+        number = max((int(x.getPath().getName()[3:]) for x in found), default=0)
+        if not number:
+            return 0, None, []
+        lines = [r.value.split() for r in self.spark.read.text(f"{self.path}/manifest/at={number}").collect()]  # a line a run
+        return number, int(next(b for a, b in lines if a == "buckets")), sorted((int(a), b) for a, b in lines if a != "buckets")
+
+    def _publish(self, runs: list[tuple[int, str]]) -> None:
+        """Make these the store's runs, all at once."""
+        number = 1 + self._manifest()[0]
+        aside = self._fs_path(f"{self.path}/manifest/_new-{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
+        out.write(bytearray("".join([f"buckets {self.buckets}\n", *(f"{a} {b}\n" for a, b in runs)]).encode()))
+        out.close()
+        if not self._fs.rename(aside, self._fs_path(f"{self.path}/manifest/at={number}")):
+            raise RuntimeError(f"another process has written manifest {number} of {self.path}")
+
+    def runs(self) -> list[tuple[int, str]]:
+        """(level, name) of each run."""
+        return self._manifest()[2]
+
+    def _table(self, name: str) -> str:
+        """A bucketed table over a run's files, known to this session only."""
+        if name not in self._tables:
+            table = f"cargolore_run_{uuid.uuid4().hex}"
+            clause = f"USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+            self.spark.sql(f"CREATE TABLE {table} ({_RUN}) {clause}")
+            self._tables[name] = table
+        return self._tables[name]
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(self._table(name))
+
+    def close(self) -> None:
+        """Forget the session's tables; the runs stay."""
+        for table in self._tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables = {}
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        name = f"run-{level}-{uuid.uuid4().hex}"
+        rows.select("h1", "h2", "owner").write.insertInto(self._table(name))
+        return name
 
     def add(self, new: DataFrame) -> None:
         """Make ``new`` (hashes that no run holds) a run of level 0; compact full levels."""
-        self._write(new.select("h1", "h2", "owner"), 0)
+        name = self._write(new.repartition(self.buckets, "h1", "h2"), 0)
+        self._publish([*self.runs(), (0, name)])
         level = 0
         while len(own := [x for x in self.runs() if x[0] == level]) >= self.fanout:
-            merged = self.read(*own[0])
-            for run in own[1:]:
-                merged = merged.unionByName(self.read(*run))
-            self._write(merged, level + 1)
-            for a, b in own:
-                delete_path(self.spark, f"{self.path}/level={a}/run={b}")
+            merged = self.read(own[0][1])
+            for _, other in own[1:]:
+                right = self.read(other).withColumnRenamed("owner", "__owner")
+                merged = merged.join(right, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("owner", "__owner").alias("owner"))
+            name = self._write(merged, level + 1)
+            self._publish([*(x for x in self.runs() if x not in own), (level + 1, name)])
+            for _, old in own:
+                delete_path(self.spark, f"{self.path}/{old}")
             level += 1
 
-    def known(self) -> DataFrame | None:
+    def known(self) -> DataFrame:
         """All runs as one table; their hashes are distinct."""
-        out = None
-        for run in self.runs():
-            out = self.read(*run) if out is None else out.unionByName(self.read(*run))
+        out = self.spark.createDataFrame([], _RUN)
+        for _, name in self.runs():
+            out = out.unionByName(self.read(name))
         return out
 
+    def owners(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (each ``h1, h2`` once) with ``owner``, null where no run holds it.
+        One merge join a run; only ``keys`` move."""
+        found = []
+        for i, (_, name) in enumerate(self.runs()):
+            keys = keys.join(self.read(name).withColumnRenamed("owner", f"__owner{i}"), ["h1", "h2"], "left")
+            found.append(f"__owner{i}")
+        none = F.lit(None).cast("long")
+        return keys.withColumn("owner", F.coalesce(*found, none) if found else none).drop(*found)
+
 
 def add_batch(runs: LineRuns, keys: DataFrame) -> DataFrame:
     """Put a batch's ``keys`` against the runs and add the new ones.
@@ -129,17 +185,12 @@ def add_batch(runs: LineRuns, keys: DataFrame) -> DataFrame:
     written before the batch's run, so a batch that is tried again after a
     failure gives the same result.
     """
-    first = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    known = runs.known()
-    if known is None:
-        owned = first.select("h1", "h2", "first", "last", F.col("first").alias("owner"), F.lit(True).alias("new"))
-    else:
-        owned = first.join(known, ["h1", "h2"], "left").select(
-            "h1", "h2", "first", "last", F.coalesce("owner", "first").alias("owner"), F.col("owner").isNull().alias("new")
-        )
+    first = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    owned = runs.owners(first).withColumn("new", F.col("owner").isNull()).withColumn("owner", F.coalesce("owner", "first"))
     owned = materialize(owned, "batch-lines")
-    shared = owned.where(~F.col("new") | (F.col("first") < F.col("last"))).select("h1", "h2", "owner")
-    lost = materialize(keys.join(shared, ["h1", "h2"]).where("doc_id <> owner").select("doc_id", "h1", "h2"), "lost-lines")
+    shared = owned.where(~F.col("new") | (F.col("first") < F.col("last"))).select("h1", "h2", "owner", "n")
+    lost = hot_join(keys, shared, ["h1", "h2"], "n", F.xxhash64("doc_id")).where("doc_id <> owner").select("doc_id", "h1", "h2")
+    lost = materialize(lost, "lost-lines")
     runs.add(owned.where("new"))
     return lost
 
@@ -203,6 +254,7 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = B
             own = own.where(F.col("doc_id") < high)
         gone = add_batch(runs, own)
         lost = gone if lost is None else lost.unionByName(gone)
+    runs.close()
     if path is None:
         delete_path(spark, runs.path)
     return drop_lines(docs, lost, min_chars)
