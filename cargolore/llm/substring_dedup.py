@@ -8,7 +8,8 @@ window that starts anywhere else as well is removed, in all its places.
    window whose anchor has one place is unique and is not looked at again.
    Runs of the other windows are *passages*.
 2. *Reference.*  The windows of all passages are counted by a 96-bit hash, with
-   partial sums before the shuffle.  Each repeated window belongs to one of the
+   partial sums before the shuffle; so it is this count that decides which windows
+   repeat, and the automata below that find where.  Each repeated window belongs to one of the
    documents that hold it; chains of a document's windows are the reference, in
    which each repeated word sequence stands once however often it occurs.
 3. *Shards.*  The reference is cut into shards of about ``SHARD_WORDS`` words, so
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import Words, chunks, grams, materialize, mix, text_buffer
+from cargolore.llm.common import Words, chunks, grams, hot_join, materialize, mix, text_buffer
 
 #: Words of a window.
 SIZE = 35
@@ -130,9 +131,9 @@ def _runs(flags: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
 def _passages(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column("key").to_numpy(), batch.column("text")
+            keys, others, texts = batch.column("key").to_numpy(), batch.column("other").to_numpy(), batch.column("text")
             found, homes = batch.column("anchors"), batch.column("home").to_numpy()
-            out: dict[str, list] = {"key": [], "home": [], "start": [], "text": []}
+            out: dict[str, list] = {"key": [], "other": [], "home": [], "start": [], "text": []}
             for first, last, words in _pieces(batch):
                 place, doc, anchor = window_anchors(words, size)
                 begin = np.cumsum(words.counts) - words.counts
@@ -148,10 +149,14 @@ def _passages(size: int):  # noqa: ANN202
                         own = own or texts[first + d].as_py().encode().split()
                         start = int(place[a + x] - begin[d])
                         out["key"].append(keys[first + d])
+                        out["other"].append(others[first + d])
                         out["home"].append(homes[first + d])
                         out["start"].append(start)
                         out["text"].append(b" ".join(own[start : start + y - x + size - 1]))
-            yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "home": pa.array(out["home"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "text": pa.array(out["text"], pa.binary()).cast(pa.string())})
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(out["key"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "home": pa.array(out["home"], pa.int64()),
+                "start": pa.array(out["start"], pa.int32()), "text": pa.array(out["text"], pa.binary()).cast(pa.string()),
+            })
 
     return run
 
@@ -176,23 +181,34 @@ def _window_rows(size: int):  # noqa: ANN202
     return run
 
 
+def _held(h1: np.ndarray, h2: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which hashes ``h1, h2`` are among those of ``one, two``, by all 96 bits."""
+    order = np.lexsort((two, one))
+    one, two = one[order], two[order]
+    at = np.minimum(np.searchsorted(one, h1), len(one) - 1)
+    out = (one[at] == h1) & (two[at] == h2)
+    for k in np.flatnonzero((one[at] == h1) & ~out):  # equal in 64 bits only, or a later one of these
+        out[k] = bool(((one == h1[k]) & (two == h2[k])).any())
+    return out
+
+
 def _reference_rows(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            homes, texts, found = batch.column("home").to_numpy(), batch.column("text"), batch.column("hashes")
+            homes, texts, found, more = batch.column("home").to_numpy(), batch.column("text"), batch.column("hashes"), batch.column("more")
             out: dict[str, list] = {"home": [], "text": [], "routes": []}
             for first, last, words in _pieces(batch):
                 place, doc, _ = window_anchors(words, size)
                 if not len(place):
                     continue
-                h1, _ = _window_hashes(words, place, size)
+                h1, h2 = _window_hashes(words, place, size)
                 route = window_routes(words, place, size)
                 begin = np.cumsum(words.counts) - words.counts
                 edge = np.searchsorted(doc, np.arange(last - first + 1))
                 for d in range(last - first):
                     a, b = edge[d], edge[d + 1]
                     own = None
-                    for x, y in _runs(np.isin(h1[a:b], np.asarray(found[first + d].values)), place[a:b]):
+                    for x, y in _runs(_held(h1[a:b], h2[a:b], np.asarray(found[first + d].values), np.asarray(more[first + d].values)), place[a:b]):
                         own = own or texts[first + d].as_py().encode().split()
                         start = int(place[a + x] - begin[d])
                         out["home"].append(homes[first + d])
@@ -285,28 +301,32 @@ class SuffixAutomaton:
 
 def _match(size: int):  # noqa: ANN202
     def run(reference: pa.Table, passages: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"key": [], "begins": [], "stops": []}
+        out: dict[str, list] = {"key": [], "other": [], "begins": [], "stops": []}
+        seen: dict[str, list] = {}
         if reference.num_rows and passages.num_rows:
             automaton = SuffixAutomaton()
             for text in reference["text"].to_pylist():
                 automaton.add(text.encode().split())
-            for key, start, text in zip(passages["key"].to_pylist(), passages["start"].to_pylist(), passages["text"].to_pylist(), strict=True):
-                found = automaton.spans(text.encode().split(), size)
+            for key, other, start, text in zip(*(passages[c].to_pylist() for c in ("key", "other", "start", "text")), strict=True):
+                found = seen.get(text)  # copies of a passage are streamed once
+                if found is None:
+                    found = seen[text] = automaton.spans(text.encode().split(), size)
                 if found:
                     out["key"].append(key)
+                    out["other"].append(other)
                     out["begins"].append([start + a for a, _ in found])
                     out["stops"].append([start + b for _, b in found])
-        return pa.table({"key": pa.array(out["key"], pa.int64()), "begins": pa.array(out["begins"], pa.list_(pa.int32())), "stops": pa.array(out["stops"], pa.list_(pa.int32()))})
+        return pa.table({"key": pa.array(out["key"], pa.int64()), "other": pa.array(out["other"], pa.int64()), "begins": pa.array(out["begins"], pa.list_(pa.int32())), "stops": pa.array(out["stops"], pa.list_(pa.int32()))})
 
     return run
 
 
 def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size: int = SIZE) -> DataFrame:
-    """Stream ``key, start, text`` through the automata of ``home, text, routes``
+    """Stream ``key, other, start, text`` through the automata of ``home, text, routes``
     (reference texts of one home are in one shard, or in several once they have
     over ``SHARD_WORDS`` words).
 
-    Returns ``key, begins, stops``: ranges of words, counted from the
+    Returns ``key, other, begins, stops``: ranges of words, counted from the
     document's start, that are covered by matches of ``size`` words.
     """
     large = reference.groupBy("home").agg(F.ceil(F.sum(F.length("text")) / (6 * SHARD_WORDS)).alias("parts")).where("parts > 1")
@@ -316,29 +336,36 @@ def match_reference(passages: DataFrame, reference: DataFrame, shards: int, size
     homes = reference.select(F.explode("routes").alias("route"), "shard").distinct()
     at = passages.mapInArrow(_passage_routes(size), "route bigint, key bigint, start int")
     visits = at.join(homes, "route").select("key", "start", "shard").distinct()
-    routed = materialize(passages.select("key", "start", "text").join(visits, ["key", "start"]), "routed")
+    routed = materialize(passages.select("key", "other", "start", "text").join(visits, ["key", "start"]), "routed")
     load = routed.groupBy("shard").agg(F.ceil(F.sum(F.length("text")) / (6 * TASK_WORDS)).cast("int").alias("salts"))
     load = F.broadcast(load) if shards <= BROADCAST_SHARDS else load
     salted = routed.join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("key", "start"), F.col("salts")).cast("int"))
     copies = reference.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     left = copies.select("shard", "salt", "text").groupBy("shard", "salt")
-    right = salted.select("shard", "salt", "key", "start", "text").groupBy("shard", "salt")
-    return left.cogroup(right).applyInArrow(_match(size), "key bigint, begins array<int>, stops array<int>")
+    right = salted.select("shard", "salt", "key", "other", "start", "text").groupBy("shard", "salt")
+    return left.cogroup(right).applyInArrow(_match(size), "key bigint, other bigint, begins array<int>, stops array<int>")
 
 
 def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``key, begins, stops`` of ``docs`` with ``key, text``: the words in repeated windows."""
+    """``key, other, begins, stops`` of ``docs`` with ``key, other, text``: the words in
+    repeated windows.
+
+    ``key`` and ``other`` are two hashes of a document.  Documents that share a key
+    but not the other hash are looked at under each other's anchors, which changes
+    nothing, and their spans are told apart by ``other``."""
     occurrences = materialize(docs.mapInArrow(_anchor_rows(size), "anchor bigint, key bigint, places bigint"), "anchors")
-    repeated = occurrences.groupBy("anchor").agg(F.sum("places").alias("n"), F.min("key").alias("first")).where("n > 1").select("anchor", "first")
+    repeated = occurrences.groupBy("anchor").agg(F.sum("places").alias("n"), F.min("key").alias("first"), F.count("*").alias("docs")).where("n > 1")
+    repeated = materialize(repeated.select("anchor", "first", "docs"), "repeated")
     # a document's home: the first document of most of its repeated anchors.  Near
     # copies have one home, so what they share is in one shard.
-    by_doc = occurrences.join(repeated, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.mode("first", True).alias("home"))
+    met = hot_join(occurrences.select("anchor", "key"), repeated, ["anchor"], "docs", F.xxhash64("key"))
+    by_doc = met.groupBy("key").agg(F.collect_list("anchor").alias("anchors"), F.mode("first", True).alias("home"))
     by_doc = materialize(by_doc, "repeated-anchors")
-    passages = docs.join(by_doc, "key").mapInArrow(_passages(size), "key bigint, home bigint, start int, text string")
+    passages = docs.join(by_doc, "key").mapInArrow(_passages(size), "key bigint, other bigint, home bigint, start int, text string")
     passages = materialize(passages, "passages")
     windows = passages.mapInArrow(_window_rows(size), "h1 bigint, h2 int, key bigint")
     owned = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n > 1")
-    owned = materialize(owned.groupBy("key").agg(F.collect_list("h1").alias("hashes")), "windows")
+    owned = materialize(owned.groupBy("key").agg(F.collect_list(F.struct("h1", "h2")).alias("h")).select("key", F.col("h.h1").alias("hashes"), F.col("h.h2").alias("more")), "windows")
     reference = materialize(passages.join(owned, "key").mapInArrow(_reference_rows(size), "home bigint, text string, routes array<bigint>"), "reference")
     total = owned.agg(F.sum(F.size("hashes"))).first()[0] or 0
     return match_reference(passages, reference, max(1, math.ceil(total / SHARD_WORDS)), size)
@@ -348,12 +375,12 @@ def dedup_substrings(docs: DataFrame, *, size: int = SIZE) -> DataFrame:
     """``docs`` with ``text`` reduced to the words that are left, joined by one
     space, and ``n_words`` (before), ``n_removed``."""
     kept = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), "text"), size)
-    spans = spans.groupBy("key").agg(F.flatten(F.collect_list("begins")).alias("__begins"), F.flatten(F.collect_list("stops")).alias("__stops"))
+    keyed = docs.withColumns({"__key": F.xxhash64("doc_id", "text"), "__other": F.xxhash64(F.lit(35), F.col("doc_id"), F.col("text"))})
+    spans = repeated_spans(keyed.select(F.col("__key").alias("key"), F.col("__other").alias("other"), "text"), size)
+    spans = spans.groupBy("key", "other").agg(F.flatten(F.collect_list("begins")).alias("__begins"), F.flatten(F.collect_list("stops")).alias("__stops"))
     spans = materialize(spans, "spans")
-    spans = spans.withColumnRenamed("key", "__span_key")
-    joined = keyed.join(spans, F.col("__key") == F.col("__span_key"), "left").select(*kept, "__begins", "__stops")
+    spans = spans.withColumnsRenamed({"key": "__span_key", "other": "__span_other"})
+    joined = keyed.join(spans, (F.col("__key") == F.col("__span_key")) & (F.col("__other") == F.col("__span_other")), "left").select(*kept, "__begins", "__stops")
     out = docs.select(*kept).withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
