@@ -19,6 +19,12 @@ FEATURE_WEIGHTS = {
 PairScorer = Callable[[Column, Column], Column]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.  (An expression that a lambda
+    function reads would be computed for each element.)"""
+    return F.transform(F.array(value), body)[0]
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
@@ -36,4 +42,5 @@ def lexical_logit(query: Column, text: Column) -> Column:
     """The default pair scorer: a logit from shared words and shared trigrams.
 
     Any ``pandas_udf`` of two strings can stand in for it."""
-    return 6 * (0.6 * set_similarity(F.array_distinct(words(query)), F.array_distinct(words(text))) + 0.4 * set_similarity(trigrams(query), trigrams(text))) - 3
+    shared = 0.6 * set_similarity(F.array_distinct(words(query)), F.array_distinct(words(text))) + 0.4 * set_similarity(trigrams(query), trigrams(text))
+    return 6 * shared - 3

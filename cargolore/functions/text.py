@@ -7,7 +7,6 @@ which needs NFKD normalisation and is an Arrow-batched pandas UDF.
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,8 +29,6 @@ LEGAL_FORMS = (
     r"spa", r"s\.p\.a\.", r"kk", r"k\.k\.", r"pte", r"pvt", r"co", r"co\.", r"company", r"holdings?", r"group",
     r"oao", r"ojsc", r"jsc", r"pjsc", r"zao",
 )
-#: Times that legal forms are stripped; names with more of them one inside another are not known.
-STRIP_ROUNDS = 4
 MAX_FRAGMENTS, MIN_FRAGMENT = 5, 5
 
 
@@ -73,13 +70,20 @@ def fold_unicode(names: pd.Series) -> pd.Series:
 
 
 def strip_legal_forms(name: Column) -> Column:
-    """without legal forms, wherever they stand, and trailing punctuation."""
+    """without legal forms, wherever they stand, and trailing punctuation, until
+    nothing changes: each round that changes a name takes a character at least, so
+    as many rounds as the name has characters are enough, and the fold goes idle
+    once a round has changed nothing."""
     forms = "|".join(sorted(LEGAL_FORMS, key=len, reverse=True))
 
     def once(c: Column) -> Column:
         return F.trim(F.regexp_replace(F.regexp_replace(c, rf"(?i)\b(?:{forms})(?=\W|$)", ""), r"[\s.,;:!?\-]+$", ""))
 
-    return reduce(lambda c, _: once(c), range(STRIP_ROUNDS), F.coalesce(name, F.lit("")))
+    def step(a: Column, _: Column) -> Column:
+        return F.when(a["done"], a).otherwise(F.struct(once(a["name"]).alias("name"), (once(a["name"]) == a["name"]).alias("done")))
+
+    whole = F.coalesce(name, F.lit(""))
+    return F.aggregate(F.sequence(F.lit(0), F.length(whole)), F.struct(whole.alias("name"), F.lit(False).alias("done")), step, lambda a: a["name"])
 
 
 def normalize_party(name: Column, fold: bool = True) -> Column:
@@ -163,6 +167,7 @@ def phrases(description: Column, aliases: Column, strategy: Column, limit: int =
     the parts of it (``split_lists``), its aliases (``split_lists`` and
     ``with_aliases``); of 3 characters at least, first spelling wins."""
     none = F.array().cast("array<string>")
+    strategy = F.when(strategy.isin("description_only", "with_aliases"), strategy).otherwise("split_lists")
     parts = F.when(strategy == "split_lists", F.split(description, r"(?i)\s*[,;]\s*|\s+and\s+")).otherwise(none)
     more = F.when(strategy.isin("split_lists", "with_aliases"), F.coalesce(aliases, none)).otherwise(none)
     found = F.filter(F.transform(F.concat(F.array(description), parts, more), lambda p: F.trim(p)), lambda p: F.length(p) >= 3)

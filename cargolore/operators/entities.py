@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolore.functions.scores import dot
+from cargolore.functions.scores import bound, dot
 from cargolore.functions.text import words
 
 # The entity labels and what a match of each weighs.
@@ -51,14 +51,20 @@ def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The default embedding: hashed words with signs, of length one (all
     zero without words).  A ``pandas_udf`` of a model can stand in for it."""
     placed = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(placed, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return unit(raw)
+
+    def summed(own: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(own, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
+
+    return unit(bound(placed, summed))
 
 
 def unit(vector: Column) -> Column:
     """A vector scaled to length one; zero stays zero."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+
+    def scaled(v: Column) -> Column:
+        return bound(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
+
+    return bound(vector, scaled)
 
 
 def cover_density(tokens: Column, terms: Column) -> Column:

@@ -94,8 +94,8 @@ def screen(
     Candidates and rule scores are persisted on disk while the result is made.
     """
     clean = shipments.withColumn("text", normalize(F.col("text")))
-    spans = entities.dedupe_spans(entities.gazetteer_spans(clean.select("query_id", "text"), gazetteer))
-    index = entities.entity_index(codes, gazetteer)
+    spans = entities.dedupe_spans(entities.gazetteer_spans(clean.select("query_id", "text"), gazetteer)).persist(StorageLevel.DISK_ONLY)  # read four times
+    index = entities.entity_index(codes, gazetteer).persist(StorageLevel.DISK_ONLY)  # read twice
 
     def classified(texts: DataFrame, found: DataFrame) -> DataFrame:
         return retrieval.classify(texts.select("query_id", "text"), codes, entities=(found.select("query_id", F.col("label").alias("entity_type"), F.col("text").alias("entity_value")), index), scorer=scorer)

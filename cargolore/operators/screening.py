@@ -51,16 +51,22 @@ def applicable(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     return pairs.join(own, on, "left_semi")
 
 
+def route_keys(origin: Column, destination: Column) -> Column:
+    """The routes of rules that cover a shipment's route, as text: its own, and those
+    that are open at one end or both; an unknown end is covered by an open one only."""
+    # concat is null where an end is unknown
+    return F.array_compact(F.array(F.concat(origin, F.lit(">"), destination), F.concat(origin, F.lit(">*")), F.concat(F.lit("*>"), destination), F.lit("*>*")))
+
+
 def dense_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
     """The ``k`` nearest goods (``id, v``) of shipments (``query_id, q, origin,
     destination``) among those whose rules cover the route.  A good carries its
-    active rules' routes, which are tested before the similarity is computed, so
-    goods off the route take no place among the ``k``."""
-    routes = rules.where("active").groupBy("id").agg(F.collect_set(F.struct("rule_origin", "rule_destination")).alias("routes"))
-    covered = F.exists("routes", lambda r: in_scope(F.col("origin"), F.col("destination"), r["rule_origin"], r["rule_destination"]))
+    active rules' routes, so goods off the route take no place among the ``k``."""
+    own = F.concat_ws(">", F.coalesce("rule_origin", F.lit("*")), F.coalesce("rule_destination", F.lit("*")))
+    routes = rules.where("active").groupBy("id").agg(F.collect_set(own).alias("routes"))
     routed = goods.select("id", "v").join(routes, "id").withColumnRenamed("id", "hs_code")
-    found = dense_topk(shipments.select("query_id", "q", "origin", "destination"), routed, k, met=covered)
-    return found.select("query_id", F.col("hs_code").alias("id"), "similarity")
+    asked = shipments.select("query_id", "q", route_keys(F.col("origin"), F.col("destination")).alias("keys"))
+    return dense_topk(asked, routed, k, among=("keys", "routes")).select("query_id", F.col("hs_code").alias("id"), "similarity")
 
 
 def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:

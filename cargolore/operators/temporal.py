@@ -21,17 +21,32 @@ def content_hash(columns: tuple[str, ...] = GOODS, lists: tuple[str, ...] = ("hs
     return F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)
 
 
+def _keyed(rows: DataFrame, key: tuple[str, ...], content: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``__hash``, the hash of their content, and ``__own``, which tells
+    rows apart whose last key is null: their content; null for the others."""
+    hashed = rows.withColumn("__hash", content_hash(content))
+    return hashed.withColumn("__own", F.when(F.col(key[-1]).isNull(), F.col("__hash")))
+
+
+def _delivered(feed: DataFrame, key: tuple[str, ...], content: tuple[str, ...]) -> DataFrame:
+    """A feed with each key once, of equal keys the row first by content hash;
+    rows whose last key is null are kept, but for those with equal content."""
+    first = Window.partitionBy(*key, "__own").orderBy("__hash")
+    return _keyed(feed, key, content).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+
+
 def bitemporal_changes(feed: DataFrame, current: DataFrame, key: tuple[str, ...] = ("source", "source_record_id"), content: tuple[str, ...] = GOODS) -> DataFrame:
     """What a feed does to the current versions: ``action`` for each key:
     ``insert``, ``update`` (close and open), ``keep`` or ``close``.
 
-    Keys are compared null-safe.  An empty feed, and for rows whose last key is
-    null, closes nothing.
+    Keys are compared null-safe; rows whose last key is null are told apart by
+    their content, so such a row is inserted or kept, each on its own.  An empty
+    feed, and for rows whose last key is null, closes nothing.
     """
-    new = feed.select(*key, content_hash(content).alias("new_hash")).dropDuplicates(list(key))
-    old = current.select(*(F.col(c).alias(f"__{c}") for c in key), "id", content_hash(content).alias("old_hash"))
+    new = _delivered(feed, key, content).select(*key, "__own", F.col("__hash").alias("new_hash"))
+    old = _keyed(current, key, content).select(*(F.col(c).alias(f"__{c}") for c in key), F.col("__own").alias("__old_own"), "id", F.col("__hash").alias("old_hash"))
     sources = feed.select(F.col(key[0]).alias("__fed")).distinct()
-    on = [new[c].eqNullSafe(old[f"__{c}"]) for c in key]
+    on = [new[c].eqNullSafe(old[f"__{c}"]) for c in key] + [new["__own"].eqNullSafe(old["__old_own"])]
     both = new.join(old, on, "full").join(F.broadcast(sources), F.coalesce(F.col(key[0]), F.col(f"__{key[0]}")) == F.col("__fed"), "left")
     gone = F.col("new_hash").isNull() & F.col("__fed").isNotNull() & F.col(f"__{key[-1]}").isNotNull()
     action = (
@@ -43,14 +58,17 @@ def bitemporal_changes(feed: DataFrame, current: DataFrame, key: tuple[str, ...]
 
 def bitemporal_upsert(feed: DataFrame, table: DataFrame, at: Column, key: tuple[str, ...] = ("source", "source_record_id"), content: tuple[str, ...] = GOODS) -> DataFrame:
     """B2: the whole new table: history, kept, closed and opened versions.  A
-    changed row keeps its ``id``; a new one gets the hash of its key."""
+    changed row keeps its ``id``; a new one gets the hash of its key, or of its
+    content where the last key is null."""
     current = table.where("sys_to IS NULL")
-    plan = bitemporal_changes(feed, current, key, content).select(*(F.col(c).alias(f"__{c}") for c in key), F.col("id").alias("__id"), "action")
+    plan = bitemporal_changes(feed, current, key, content).select(*(F.col(c).alias(f"__{c}") for c in key), F.col("id").alias("__id"), "action", F.col("new_hash").alias("__new"))
     closing = plan.where(F.col("action").isin("update", "close")).select("__id", F.lit(True).alias("__closed"))
     old = table.join(closing, (table["id"] == closing["__id"]) & table["sys_to"].isNull(), "left")
     old = old.withColumn("sys_to", F.when(F.col("__closed"), at).otherwise(F.col("sys_to"))).select(*table.columns)
-    fresh = feed.dropDuplicates(list(key)).join(plan.where(F.col("action").isin("insert", "update")), [feed[c].eqNullSafe(F.col(f"__{c}")) for c in key])
-    made = F.coalesce(F.col("__id"), F.xxhash64(*key))
+    rows = _delivered(feed, key, content)
+    opening = plan.where(F.col("action").isin("insert", "update"))
+    fresh = rows.join(opening, [*(rows[c].eqNullSafe(F.col(f"__{c}")) for c in key), rows["__hash"] == F.col("__new")])
+    made = F.coalesce(F.col("__id"), F.xxhash64(*key, "__own"))
     values = {"id": made, "sys_from": at, "sys_to": F.lit(None).cast("timestamp")} | {c: F.col(c) for c in feed.columns}
     opened = fresh.select(*(values[c].cast(table.schema[c].dataType).alias(c) if c in values else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns))
     return old.unionByName(opened)
@@ -74,19 +92,28 @@ def set_gates(gates: DataFrame, changes: DataFrame | None, seed: DataFrame) -> D
     return seed if changes is None else upsert(changes, insert_absent(seed, gates, ["metric"]), ["metric"])
 
 
-def insert_absent(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+def _one_of(rows: DataFrame, key: list[str], order: str | None, last: bool) -> DataFrame:
+    """Each key's first or last row by ``order``, and by all columns where that is
+    equal or not given."""
+    turn = [F.desc_nulls_last(order) if last else F.asc_nulls_last(order)] if order else []
+    place = Window.partitionBy(*key).orderBy(*turn, *(F.asc_nulls_last(c) for c in rows.columns if c not in key and c != order))
+    return rows.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n")
+
+
+def insert_absent(new: DataFrame, old: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """``old`` and the rows of ``new`` whose key, compared null-safe,
-    it does not have; of equal new keys one row."""
-    first = new.dropDuplicates(key)
+    it does not have; of equal new keys the first written by ``order``."""
+    first = _one_of(new, key, order, last=False)
     other = old.select(*(F.col(c).alias(f"__{c}") for c in key))
     return old.unionByName(first.join(other, [first[c].eqNullSafe(other[f"__{c}"]) for c in key], "left_anti").select(*old.columns))
 
 
-def upsert(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
-    """K8: ``new`` and the rows of ``old`` with other keys."""
-    first = new.dropDuplicates(key)
-    other = first.select(*(F.col(c).alias(f"__{c}") for c in key))
-    return first.select(*old.columns).unionByName(old.join(other, [old[c].eqNullSafe(other[f"__{c}"]) for c in key], "left_anti"))
+def upsert(new: DataFrame, old: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """K8: ``new``, of equal keys the last written by ``order``, and the rows of
+    ``old`` with other keys."""
+    last = _one_of(new, key, order, last=True)
+    other = last.select(*(F.col(c).alias(f"__{c}") for c in key))
+    return last.select(*old.columns).unionByName(old.join(other, [old[c].eqNullSafe(other[f"__{c}"]) for c in key], "left_anti"))
 
 
 def expand_prefixes(codes: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -124,11 +151,16 @@ def materialized_rules(goods: DataFrame, rules: DataFrame, aliases: DataFrame, c
 
     Goods without an active route get one that is open at both ends; sources
     that ``config`` (``source, enabled, default_threshold, phrase_strategy``)
-    does not enable get none.
+    does not enable get none, and neither do goods without a description.  An
+    unknown strategy is ``split_lists``.  If ``rules`` have ``conditions``, a route's
+    go to its rules; routes that differ in nothing but these take the first.
     """
-    routes = rules.where("active").select(F.col("id").alias("__id"), "rule_origin", "rule_destination").distinct()
+    conditions = F.col("conditions") if "conditions" in rules.columns else F.lit(None).cast("string")
+    routes = rules.where("active").select(F.col("id").alias("__id"), "rule_origin", "rule_destination", conditions.alias("conditions"))
+    plain = F.to_json(F.struct("conditions"))
+    routes = routes.groupBy("__id", "rule_origin", "rule_destination").agg(F.min_by("conditions", F.when(F.col("conditions").isNotNull(), plain)).alias("conditions"))
     named = aliases.groupBy(F.col("id").alias("__a")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-    own = goods.where("sys_to IS NULL").join(F.broadcast(config.where("enabled")), "source")
+    own = goods.where("sys_to IS NULL").where(F.trim("description") != "").join(F.broadcast(config.where("enabled")), "source")
     own = own.join(routes, own["id"] == routes["__id"], "left").join(named, own["id"] == named["__a"], "left")
     token = F.coalesce(F.col("source_record_id"), F.concat(F.lit("h"), F.substring(F.sha1("description"), 1, 10)))
     route = F.concat(F.coalesce("rule_origin", F.lit("*")), F.lit("->"), F.coalesce("rule_destination", F.lit("*")))
@@ -136,7 +168,7 @@ def materialized_rules(goods: DataFrame, rules: DataFrame, aliases: DataFrame, c
         F.substring(F.concat(F.col("source"), F.lit(":"), token, F.lit("::"), route), 1, 200).alias("name"),
         F.concat(F.lit("sanctions_source:"), F.col("source")).alias("created_by"),
         F.col("description").alias("phrase"), phrases(F.col("description"), F.col("aliases"), F.col("phrase_strategy")).alias("phrases"),
-        "rule_origin", "rule_destination", F.col("default_threshold").alias("threshold"), "id",
+        "rule_origin", "rule_destination", F.col("default_threshold").alias("threshold"), "id", "conditions",
     )
 
 
@@ -195,6 +227,27 @@ def can_cut_over(goods: DataFrame, column: str) -> DataFrame:
     return goods.where("sys_to IS NULL").agg(F.count("*").alias("n_current"), F.count_if(F.col(column).isNull()).alias("n_missing")).withColumn("ready", F.col("n_missing") == 0)
 
 
+def backfill(goods: DataFrame, column: str, vector: Column) -> DataFrame:
+    """``goods`` with a vector in the new column wherever a described row has
+    none; rows that have one are left alone, so a backfill may be repeated."""
+    missing = F.col(column).isNull() & F.col("description").isNotNull()
+    return goods.withColumn(column, F.when(missing, vector).otherwise(F.col(column)))
+
+
+def cut_over(goods: DataFrame, column: str, live: str = "embedding", kept: str = "embedding_old") -> DataFrame:
+    """The new column becomes the live one, the live one is kept aside; raises
+    while current goods lack a vector."""
+    state = can_cut_over(goods, column).first()
+    if not state.ready:
+        raise ValueError(f"{state.n_missing} of {state.n_current} current goods have no vector in {column}")
+    return goods.drop(kept).withColumnsRenamed({live: kept, column: live})
+
+
+def roll_back(goods: DataFrame, column: str, live: str = "embedding", kept: str = "embedding_old") -> DataFrame:
+    """Undoes :func:`cut_over`: what was kept aside is live again."""
+    return goods.withColumnsRenamed({live: column, kept: live})
+
+
 def drop_list(goods: DataFrame, rules: DataFrame, screening: DataFrame, name: str, at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Logical deletion of a keyword list: its goods are closed, their
     routes and screening rules deactivated."""

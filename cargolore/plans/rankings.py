@@ -158,9 +158,6 @@ _ALIASES = f"""WITH a AS (SELECT s_suppkey AS query_id, {trigrams_sql("s_name ||
 SELECT query_id, id, round({similarity_sql('g', 'h')}, 6) AS similarity FROM a, b WHERE {similarity_sql('g', 'h')} >= 0.2"""
 
 
-_ROUTED = "EXISTS (SELECT 1 FROM rules AS r WHERE r.id = g.id AND active AND (rule_origin IS NULL OR rule_origin = o) AND (rule_destination IS NULL OR rule_destination = d))"
-
-
 def _routes(t: Tables, key: str) -> list[Column]:
     iso = lambda k: F.expr(f"concat(chr(cast(65 + ({k}) % 26 as int)), chr(cast(65 + (({k}) * 7) % 26 as int)))")
     return [iso(f"{key} % 25").alias("origin"), iso(f"({key} * 3) % 25").alias("destination")]
@@ -173,8 +170,13 @@ def _dense_goods(t: Tables) -> DataFrame:
     return s.dense_matches(shipments, goods, t["rules"], 10).withColumn("similarity", F.round("similarity", 6))
 
 
-_DENSE_GOODS = _DENSE + f""", g AS (SELECT query_id, hs_code * 5 AS id, s, chr((65 + (query_id % 25) % 26)::INT) || chr((65 + ((query_id % 25) * 7) % 26)::INT) AS o, chr((65 + ((query_id * 3) % 25) % 26)::INT) || chr((65 + (((query_id * 3) % 25) * 7) % 26)::INT) AS d FROM k)
-SELECT query_id, id, round(s, 6) AS similarity FROM g WHERE {_ROUTED}"""
+_ROUTE_SQL = "chr((65 + ({k} % 25) % 26)::INT) || chr((65 + (({k} % 25) * 7) % 26)::INT)"
+# routes are tested before order and limit
+_ON_ROUTE = f"""EXISTS (SELECT 1 FROM rules AS r WHERE r.id = g.id AND active AND (rule_origin IS NULL OR rule_origin = {_ROUTE_SQL.format(k="g.query_id")})
+  AND (rule_destination IS NULL OR rule_destination = {_ROUTE_SQL.format(k="(g.query_id * 3)")}))"""
+_DENSE_GOODS = f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT a.vec_id AS query_id, b.vec_id * 5 AS id, list_cosine_similarity(a.e, b.e) AS s FROM v AS a, v AS b WHERE a.vec_id % 20 = 0)
+SELECT query_id, id, round(s, 6) AS similarity FROM g WHERE {_ON_ROUTE} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10"""
 
 
 def _sparse_goods(t: Tables) -> DataFrame:
@@ -182,8 +184,9 @@ def _sparse_goods(t: Tables) -> DataFrame:
     return s.sparse_matches(shipments, t["codes"].select(F.col("p_partkey").alias("id"), "description"), t["rules"], 20)
 
 
-_SPARSE_GOODS = _SPARSE[: _SPARSE.rindex("SELECT query_id")].rstrip() + f""", g AS (SELECT query_id, p_partkey AS id, rank, chr((65 + (query_id % 25) % 26)::INT) || chr((65 + ((query_id % 25) * 7) % 26)::INT) AS o, chr((65 + ((query_id * 3) % 25) % 26)::INT) || chr((65 + (((query_id * 3) % 25) * 7) % 26)::INT) AS d FROM k)
-SELECT query_id, id, rank AS similarity FROM g WHERE {_ROUTED}"""
+_SPARSE_GOODS = f"""WITH q AS (SELECT min(p_partkey) AS query_id, list_distinct({words_sql("p_name")}) AS w FROM part GROUP BY p_name), c AS (SELECT p_partkey AS id, {words_sql("description")} AS w FROM codes),
+g AS (SELECT query_id, id, len(list_filter(c.w, lambda x: list_contains(q.w, x)))::DOUBLE AS rank FROM q, c WHERE len(q.w) > 0 AND list_has_all(c.w, q.w))
+SELECT query_id, id, rank AS similarity FROM g WHERE {_ON_ROUTE} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 20"""
 
 
 def _rule_matches(t: Tables) -> DataFrame:

@@ -16,15 +16,17 @@ AT = dt.datetime(2022, 1, 1)
 
 
 def _feed(t: Tables) -> DataFrame:
-    """A new delivery of two sources: some goods changed, some gone, some new."""
+    """A new delivery of two sources: some goods changed, some gone, some new, and
+    some without a record id."""
     old = t["goods"].where("source IN ('EU', 'BIS')")
     kept = old.where("id % 4 <> 0").withColumn("description", F.when(F.col("id") % 6 == 0, F.concat("description", F.lit(" revised"))).otherwise(F.col("description")))
     new = old.where("id % 10 = 0").withColumns({"source_record_id": F.concat(F.lit("N"), F.col("id").cast("string")), "description": F.concat(F.lit("new "), "description")})
-    return kept.unionByName(new).select(*tm.GOODS)
+    nameless = old.where("id % 15 = 0").withColumns({"source_record_id": F.lit(None).cast("string"), "description": F.concat(F.lit("no id "), "description")})
+    return kept.unionByName(new).unionByName(nameless).select(*tm.GOODS)
 
 
 _FEED = """WITH fo AS (SELECT * FROM goods WHERE source IN ('EU', 'BIS')),
-fe AS (SELECT source, source_record_id, CASE WHEN id % 6 = 0 THEN description || ' revised' ELSE description END AS description FROM fo WHERE id % 4 <> 0 UNION ALL SELECT source, 'N' || id, 'new ' || description FROM fo WHERE id % 10 = 0),
+fe AS (SELECT source, source_record_id, CASE WHEN id % 6 = 0 THEN description || ' revised' ELSE description END AS description FROM fo WHERE id % 4 <> 0 UNION ALL SELECT source, 'N' || id, 'new ' || description FROM fo WHERE id % 10 = 0 UNION ALL SELECT source, NULL, 'no id ' || description FROM fo WHERE id % 15 = 0),
 cu AS (SELECT * FROM goods WHERE sys_to IS NULL),
 pl AS (SELECT coalesce(f.source, c.source) AS source, coalesce(f.source_record_id, c.source_record_id) AS source_record_id, c.id,
        CASE WHEN c.id IS NULL THEN 'insert' WHEN f.source IS NULL AND c.source IN ('EU', 'BIS') THEN 'close' WHEN f.source IS NULL THEN 'keep' WHEN f.description <> c.description THEN 'update' ELSE 'keep' END AS action

@@ -49,7 +49,7 @@ _FORMS = "|".join(sorted(LEGAL_FORMS, key=len, reverse=True))
 
 
 def _party_sql(x: str) -> str:
-    for _ in range(text.STRIP_ROUNDS):
+    for _ in range(6):
         # no lookahead in the comparison engine: the sign after a form is put back
         x = f"trim(regexp_replace(regexp_replace({x}, '(?i)\\b(?:{_FORMS})(\\W|$)', '\\1', 'g'), '[\\s.,;:!?\\-]+$', ''))"
     return f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"

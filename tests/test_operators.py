@@ -104,3 +104,53 @@ def test_goods_off_the_route_take_no_place(spark):
     for match, nearest in ((screening.dense_matches, 4), (screening.sparse_matches, 3)):
         assert {(r.query_id, r.id) for r in match(shipments, goods, rules, 1).collect()} == {(1, nearest), (2, 4)}
         assert {(r.query_id, r.id) for r in match(shipments, goods, rules, 2).collect()} == {(1, 3), (1, 4), (2, 4)}
+
+
+GOODS = "id long, source string, source_record_id string, description string, hs_codes array<string>, restriction_type string, provenance_url string, valid_from date, valid_to date, sys_from timestamp, sys_to timestamp"
+
+
+def test_rows_without_record_id_are_kept(spark):
+    at, later = dt.datetime(2024, 1, 1), dt.datetime(2025, 1, 1)
+    table = spark.createDataFrame([], GOODS)
+    feed = spark.createDataFrame([("EU", None, d, ["1"], None, None, None, None) for d in ("a", "b", "b", "c")] + [("EU", "r", "d", ["1"], None, None, None, None)], ", ".join(GOODS.split(", ")[1:9]))
+    first = temporal.bitemporal_upsert(feed, table, F.lit(at))
+    assert sorted(r.description for r in first.collect()) == ["a", "b", "c", "d"]
+    assert first.select("id").distinct().count() == 4
+    again = temporal.bitemporal_upsert(feed.where("description <> 'a'"), first, F.lit(later))
+    assert sorted((r.description, r.sys_to is None) for r in again.collect()) == [("a", True), ("b", True), ("c", True), ("d", True)]
+
+
+def test_last_writer_wins_and_first_is_kept(spark):
+    new = spark.createDataFrame([("k", "old", 1), ("k", "new", 2), (None, "x", 1), (None, "y", 3)], "k string, v string, n int")
+    none = new.limit(0)
+    assert {r.k: r.v for r in temporal.upsert(new, none, ["k"], order="n").collect()} == {"k": "new", None: "y"}
+    assert {r.k: r.v for r in temporal.insert_absent(new, none, ["k"], order="n").collect()} == {"k": "old", None: "x"}
+
+
+def test_rules_carry_conditions(spark):
+    goods = spark.createDataFrame([(1, "EU", "a", "pipes, tubes and rods", None), (2, "EU", "b", " ", None), (3, "EU", None, "wire", None)], "id long, source string, source_record_id string, description string, sys_to timestamp")
+    rules = spark.createDataFrame([(1, "US", None, True, '{"min_value": 5}'), (1, "US", None, True, None), (1, None, "DE", False, None)], "id long, rule_origin string, rule_destination string, active boolean, conditions string")
+    config = spark.createDataFrame([("EU", True, 0.5, "something new")], "source string, enabled boolean, default_threshold double, phrase_strategy string")
+    aliases = spark.createDataFrame([(1, "conduit")], "id long, alias string")
+    got = {r.id: r for r in temporal.materialized_rules(goods, rules, aliases, config).collect()}
+    assert set(got) == {1, 3}
+    assert got[1].conditions == '{"min_value": 5}' and got[1].phrases == ["pipes, tubes and rods", "pipes", "tubes", "rods", "conduit"]
+    assert got[3].conditions is None and (got[3].rule_origin, got[3].rule_destination) == (None, None)
+
+
+def test_cutover(spark):
+    goods = spark.createDataFrame([(1, "a", [1.0], None, None), (2, "b", [2.0], [9.0], None)], "id int, description string, embedding array<double>, v2 array<double>, sys_to timestamp")
+    with pytest.raises(ValueError, match="1 of 2"):
+        temporal.cut_over(goods, "v2")
+    filled = temporal.backfill(goods, "v2", F.array(F.length("description").cast("double")))
+    live = temporal.cut_over(filled, "v2")
+    assert [r.embedding for r in live.orderBy("id").collect()] == [[1.0], [9.0]]
+    back = temporal.roll_back(live, "v2")
+    assert [(r.embedding, r.v2) for r in back.orderBy("id").collect()] == [([1.0], [1.0]), ([2.0], [9.0])]
+
+
+def test_shared_keys_bound_the_search(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0], ["x"]), ("b", [0.9, 0.1], ["y", "z"]), ("c", [0.5, 0.5], None), ("d", [0.8, 0.1], ["x"]), ("e", [1.0], ["x"])], "hs_code string, v array<double>, on array<string>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], ["z", "q"]), (2, [1.0, 0.0], ["x", "y"]), (3, [1.0, 0.0], []), (4, None, ["x"])], "query_id int, q array<double>, of array<string>")
+    got = [(r.query_id, r.hs_code) for r in retrieval.dense_topk(queries, corpus, 2, among=("of", "on")).orderBy("query_id", "pos").collect()]
+    assert got == [(1, "b"), (2, "a"), (2, "b")] or got == [(1, "b"), (2, "a"), (2, "d")]
