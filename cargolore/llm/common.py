@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +97,12 @@ def trim_ascii(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.  (A column that a lambda function
+    reads may be put in its place and then be computed for each element.)"""
+    return F.transform(F.array(value), body)[0]
+
+
 def n_words(text: Column) -> Column:
     """The number of runs of other characters than ASCII white space."""
     body = trim_ascii(F.coalesce(text, F.lit("")))

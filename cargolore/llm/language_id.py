@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import byte_class, chunks, hot_join, materialize, text_buffer
+from cargolore.llm.common import bound, byte_class, chunks, hot_join, materialize, text_buffer
 
 #: Labelled rows that the text model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -152,10 +152,15 @@ def add_text_evidence(docs: DataFrame, langs: list[str], logs: np.ndarray, text:
     return docs.mapInArrow(run, schema)
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, y: a + y))
+    def shares(raw: Column) -> Column:
+        return bound(_sum(raw), lambda total: F.transform(raw, lambda x: x / total))
+
+    return bound(logs, lambda values: bound(F.array_max(values), lambda top: bound(F.transform(values, lambda x: F.exp(x - top)), shares)))
 
 
 def _spoken(langs: list[str], said: Column, right: float) -> list[Column]:
@@ -176,8 +181,7 @@ def _minus(a: Column, b: Column) -> Column:
 
 def _pulled(counts: Column, to: Column) -> Column:
     """Shares of ``counts`` with ``PULL`` texts' worth of the shares ``to`` added."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + PULL
-    return F.zip_with(counts, to, lambda c, t: (c + PULL * t) / total)
+    return bound(counts, lambda own: bound(_sum(own) + PULL, lambda total: F.zip_with(own, to, lambda c, t: (c + PULL * t) / total)))
 
 
 def identify(
@@ -219,9 +223,8 @@ def identify(
     else:
         fused = hot_join(scored, prior, ["__host"], "__rows", F.xxhash64("__evidence"), "left")
     fused = fused.withColumn("__own", alone)
-    rest = _minus(overall, F.col("__own"))
-    total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
-    fused = fused.withColumn("__all", F.transform(rest, lambda x: x / total))
+    in_all = bound(_minus(overall, F.col("__own")), lambda rest: bound(_sum(rest), lambda total: F.transform(rest, lambda x: x / total)))
+    fused = fused.withColumn("__all", in_all)
     by_site = _pulled(_minus(F.col("__of_site"), F.col("__own")), F.col("__all"))
     by_host = _pulled(_minus(F.col("__of_host"), F.col("__own")), by_site)
     fused = fused.withColumn("__prior", F.when(F.col("__of_host").isNull(), F.col("__all")).otherwise(by_host))
@@ -232,7 +235,8 @@ def identify(
     names = F.array(*(F.lit(x) for x in langs))
 
     def best(values: Column) -> Column:
-        return F.when(letters, names[(F.array_position(values, F.array_max(values)) - 1).cast("int")]).otherwise("und")
+        first = bound(values, lambda v: F.array_position(v, F.array_max(v)))
+        return F.when(letters, names[(first - 1).cast("int")]).otherwise("und")
 
     out = fused.withColumns({
         "language": best(F.col("__post")),

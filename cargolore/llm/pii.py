@@ -39,6 +39,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolore.llm.common import bound
+
 TRAIN_ROWS = 4_000
 PRECISION = 0.98
 #: Code points of context before and after a proposal.
@@ -90,12 +92,6 @@ FEATURES = (
 _SPAN = "array<struct<kind:string,s:int,e:int,m:string,before:string,after:string>>"
 
 
-def _bound(value: Column, body) -> Column:  # noqa: ANN001
-    """``body`` of a value that is computed once.  (A column that a lambda function
-    reads may be put in its place and then be computed for each element.)"""
-    return F.transform(F.array(value), body)[0]
-
-
 def _running(values: Column, op) -> Column:  # noqa: ANN001
     """For each of some whole numbers the sum or maximum (``op``) of those before it,
     0 at first, and last that of all.
@@ -112,15 +108,15 @@ def _running(values: Column, op) -> Column:  # noqa: ANN001
             each = F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda w, o: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: op(x, o)))
             return F.concat(F.flatten(each), F.array(F.element_at(starts, -1)))
 
-        return _bound(scan(F.transform(parts, lambda w: F.element_at(w, -1))), moved)
+        return bound(scan(F.transform(parts, lambda w: F.element_at(w, -1))), moved)
 
     def body(v: Column) -> Column:
         n = F.size(v)
         k = F.greatest(F.lit(16), F.ceil(F.sqrt(n)).cast("int"))
         parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / k).cast("int")), lambda i: scan(F.slice(v, i * k + 1, k)))
-        return F.when(n > 0, _bound(parts, joined)).otherwise(F.array(F.lit(0)))
+        return F.when(n > 0, bound(parts, joined)).otherwise(F.array(F.lit(0)))
 
-    return _bound(values, body)
+    return bound(values, body)
 
 
 def _in_parts(found: Column) -> Column:
@@ -162,7 +158,7 @@ def spans(text: Column, kind: str, pattern: str) -> Column:
 
         return F.when(F.size(matches) > 0, F.zip_with(both, F.slice(begins, 1, F.size(matches)), placed)).otherwise(none)
 
-    return _bound(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches")), body)
+    return bound(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches")), body)
 
 
 def _digits(m: Column) -> Column:
@@ -334,10 +330,10 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     both = F.struct(F.concat(*(F.col(k) for k in BASE)).alias("base"), F.concat(*guesses).alias("guesses"))
 
     def clear(v: Column) -> Column:
-        apart = _bound(_in_parts(v["base"]), lambda parts: F.filter(v["guesses"], lambda g: ~_meets(parts, g)))
+        apart = bound(_in_parts(v["base"]), lambda parts: F.filter(v["guesses"], lambda g: ~_meets(parts, g)))
         return F.struct(v["base"].alias("base"), apart.alias("guesses"))
 
-    found = found.select("doc_id", _bound(both, clear).alias("v"))
+    found = found.select("doc_id", bound(both, clear).alias("v"))
     scored = F.transform("v.guesses", lambda g: F.struct(g.alias("g"), F.struct(*(c.alias(n) for c, n in zip(features(g), FEATURES, strict=True))).alias("f")))
     found = found.select("doc_id", F.col("v.base").alias("base"), scored.alias("scored"))
     limit = "CASE g.kind " + " ".join(f"WHEN '{k}' THEN {t!r}D" for k, t in model.thresholds.items()) + " ELSE 2.0D END"
@@ -357,14 +353,14 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     def best(v: Column) -> Column:
         def cut(reach: Column) -> Column:
             first = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: F.element_at(v, i)["s"] >= F.element_at(reach, i))
-            return _bound(first, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(v) + 1)), lambda x, y: F.slice(v, x, y - x)))
+            return bound(first, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(v) + 1)), lambda x, y: F.slice(v, x, y - x)))
 
-        pieces = _bound(_running(F.transform(v, lambda x: x["e"]), F.greatest), cut)
+        pieces = bound(_running(F.transform(v, lambda x: x["e"]), F.greatest), cut)
         folded = F.transform(pieces, lambda p: F.when(F.size(p) == 1, p).otherwise(F.aggregate(p, F.array().cast(kind), step)))
         return F.when(F.size(v) > 0, F.flatten(folded)).otherwise(F.array().cast(kind))
 
     plain = F.transform("passed", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m"), x["score"].alias("score")))
-    added = _bound(F.array_sort(plain), best)
+    added = bound(F.array_sort(plain), best)
     return found.select(
         "doc_id", F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), F.lit(1.0).alias("score"))).alias("base"),
         F.transform(added, lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), b["score"].alias("score"))).alias("added"),
@@ -392,9 +388,9 @@ def redact(docs: DataFrame, model: SpanModel | None = None, mark: str = "[REDACT
             each = F.zip_with(v["order"], before, lambda x, at: F.when(x["s"] >= at, F.concat(piece(at, x["s"]), F.lit(mark))).otherwise(""))
             return F.concat(F.array_join(each, ""), piece(F.element_at(reach, -1), v["n"]))
 
-        return _bound(_running(F.transform(v["order"], lambda x: x["e"]), F.greatest), hidden)
+        return bound(_running(F.transform(v["order"], lambda x: x["e"]), F.greatest), hidden)
 
-    whole = _bound(F.struct("order", "blocks", "n"), out)
+    whole = bound(F.struct("order", "blocks", "n"), out)
     return found.select("row.doc_id", F.when(F.col("n").isNotNull(), whole).alias("text"))
 
 
