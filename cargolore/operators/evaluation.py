@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolore.functions.codes import grade
+from cargolore.operators.ranges import numbered, running
 
 
 def topk_accuracy(ranked: DataFrame, ks: tuple[int, ...] = (1, 3), levels: tuple[int, ...] = (6, 4, 2)) -> DataFrame:
@@ -40,10 +42,24 @@ def hardest_pairs(matrix: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def latency(rows: DataFrame, column: str = "latency_ms") -> DataFrame:
-    """Exact percentiles by linear interpolation, mean and count."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = rows.agg(p.alias("p"), F.avg(column).alias("mean"), F.count(column).alias("n"))
-    return out.select(*(F.round(F.col("p")[i], 4).alias(f"p{q}") for i, q in enumerate((50, 95, 99))), F.round("mean", 4).alias("mean"), "n")
+    """Exact percentiles by linear interpolation, mean and count.  Values are
+    counted and their counts added up by range, so no task holds them all."""
+    shares = (0.5, 0.95, 0.99)
+    counted = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    upto = running(counted, [F.col("v")], {"upto": F.col("m")})
+    whole = counted.agg(F.sum("m").alias("n"), F.sum(F.col("v") * F.col("m")).alias("total"))
+    placed = upto.join(F.broadcast(whole), how="cross")  # one row
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("m") <= place) & (place < F.col("upto")), F.col("v")))
+
+    cells = {}
+    for q in shares:
+        place = (F.col("n") - 1) * q
+        cells[f"low{q}"], cells[f"high{q}"], cells[f"part{q}"] = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+    out = placed.agg(*(c.alias(n.replace(".", "_")) for n, c in cells.items()), F.max(F.col("total") / F.col("n")).alias("mean"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
+    low, high, part = ((lambda q, k=k: F.col(f"{k}{q}".replace(".", "_"))) for k in ("low", "high", "part"))
+    return out.select(*(F.round(low(q) + (high(q) - low(q)) * part(q), 4).alias(f"p{round(q * 100)}") for q in shares), F.round("mean", 4).alias("mean"), "n")
 
 
 def detection(rows: DataFrame, threshold: float) -> DataFrame:
@@ -110,16 +126,9 @@ def best_threshold(curve: DataFrame, floor: float) -> DataFrame:
 
 def calibration_error(records: DataFrame, bins: int = 10) -> DataFrame:
     """Brier score and expected error over bins of equal numbers of ``id,
-    prob, correct``.  Bins come from ranks within ranges of ``prob``, whose
-    counts are added up, so no task sorts all records."""
-    cells = 4096
-    cell = F.least(F.lit(cells - 1), F.greatest(F.lit(0), F.floor(F.col("prob") * cells))).cast("int")
-    placed = records.withColumn("__cell", cell)
-    before = placed.groupBy("__cell").agg(F.count("*").alias("__n"))
-    running = F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    before = before.select("__cell", F.coalesce(running, F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
-    at = F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy("prob", "id")) - 1
-    ranked = placed.join(F.broadcast(before), "__cell").withColumn("__at", at)
+    prob, correct``.  Bins come from places by ``prob`` and ``id``, so neither all
+    records nor those of a frequent ``prob`` are sorted by one task."""
+    ranked = numbered(records, [F.col("prob"), F.col("id")], "__at").join(F.broadcast(records.agg(F.count("*").alias("__all"))), how="cross")  # one row
     # the first ``extra`` bins have one more record
     small, extra = F.floor(F.col("__all") / bins), F.col("__all") % bins
     wide = extra * (small + 1)
@@ -138,9 +147,9 @@ def isotonic(records: DataFrame) -> DataFrame:
 
 def precision_cutoff(records: DataFrame, target: float) -> DataFrame:
     """The lowest score from which on the precision is at least ``target``."""
-    by_score = records.groupBy("score").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
-    upward = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return by_score.withColumn("p", F.sum("c").over(upward) / F.sum("n").over(upward)).where(F.col("p") >= target).agg(F.min("score").alias("cutoff"))
+    by_score = records.where(F.col("score").isNotNull()).groupBy("score").agg(F.count("*").alias("n"), F.count_if("correct").alias("c"))
+    summed = running(by_score, [F.desc("score")], {"all_n": F.col("n"), "all_c": F.col("c")})
+    return summed.where(F.col("all_c") / F.col("all_n") >= target).agg(F.min("score").alias("cutoff"))
 
 
 def gate(metrics: DataFrame, floors: dict[str, float], ceilings: dict[str, float], tolerance: float = 0.005, slack: float = 50.0) -> DataFrame:
@@ -153,10 +162,14 @@ def gate(metrics: DataFrame, floors: dict[str, float], ceilings: dict[str, float
 def stratified_split(rows: DataFrame, stratum: str, key: str, shares: tuple[float, float] = (0.70, 0.15), seed: int = 42) -> DataFrame:
     """``split`` train, validation or test: within each stratum by a
     seeded hash, with sizes rounded down and the rest for test."""
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    n, at = F.count("*").over(Window.partitionBy(stratum)), F.row_number().over(order)
+    own = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    placed = numbered(rows.withColumn("__o", own), [F.col(stratum), F.col("__o"), F.col(key)], "__at").persist(StorageLevel.DISK_ONLY)  # read twice
+    starts = placed.groupBy(F.col(stratum).alias("__of")).agg(F.min("__at").alias("__start"), F.count("*").alias("__n"))
+    placed = placed.join(starts, F.col(stratum).eqNullSafe(F.col("__of")))
+    n, at = F.col("__n"), F.col("__at") - F.col("__start") + 1
     train = F.floor(n * shares[0])
-    return rows.withColumn("split", F.when(at <= train, "train").when(at <= train + F.floor(n * shares[1]), "validation").otherwise("test"))
+    split = F.when(at <= train, "train").when(at <= train + F.floor(n * shares[1]), "validation").otherwise("test")
+    return placed.withColumn("split", split).select(*rows.columns, "split")
 
 
 def seeded_sample(rows: DataFrame, stratum: str, key: str, per: int, target: int, seed: int = 42) -> DataFrame:

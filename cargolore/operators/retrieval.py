@@ -138,6 +138,22 @@ def sparse_topk(queries: DataFrame, index: DataFrame, k: int = TOP_K, key: str =
     return best.withColumn("sparse_score", F.col("rank") / F.max("rank").over(Window.partitionBy("query_id")))
 
 
+def sparse_with_training(queries: DataFrame, index: DataFrame, examples: DataFrame, k: int = TOP_K, factor: float = 0.9) -> DataFrame:
+    """Codes by words, joined by labelled examples of codes.
+
+    ``index`` has the postings of codes (``term, hs_code, tf``), ``examples`` is a
+    table ``example_id, hs_code, text``.  The ``k`` best of each are normalised by
+    the query's best of both; an example counts ``factor`` of its score for its code,
+    which gets the larger of what it has of both."""
+    own = rank(sparse_all(queries, index), [F.desc("rank"), F.asc("hs_code")], k).select("query_id", "hs_code", F.col("rank").alias("c"), F.lit(0.0).alias("t"))
+    named = examples.where("hs_code IS NOT NULL").select("example_id", "hs_code")
+    found = sparse_all(queries, postings(examples.where("hs_code IS NOT NULL"), key="example_id"), "example_id")
+    taught = rank(found, [F.desc("rank"), F.asc("example_id")], k).join(named, "example_id").select("query_id", "hs_code", F.lit(0.0).alias("c"), F.col("rank").alias("t"))
+    both = own.unionByName(taught).withColumn("top", F.max(F.greatest("c", "t")).over(Window.partitionBy("query_id")))
+    scored = both.groupBy("query_id", "hs_code").agg(F.max(F.greatest(F.col("c"), factor * F.col("t")) / F.col("top")).alias("sparse_score"))
+    return rank(scored, [F.desc("sparse_score"), F.asc("hs_code")])
+
+
 def entity_topk(entities: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """Codes by the summed weights of a query's (type, value) pairs."""
     found = entities.distinct().join(index, ["entity_type", "entity_value"]).groupBy("query_id", "hs_code").agg(F.sum("weight").alias("weight"))
@@ -275,17 +291,18 @@ def fallback_code(code: Column, level: Column) -> Column:
     return F.when(n.isin(2, 4, 6) & level.isin(2, 4, 6), F.substring(code, F.lit(1), n))
 
 
-def classify(queries: DataFrame, codes: DataFrame, dense: DataFrame | None = None, entities: tuple[DataFrame, DataFrame] | None = None, scorer: PairScorer = lexical_logit) -> DataFrame:
+def classify(queries: DataFrame, codes: DataFrame, dense: DataFrame | None = None, entities: tuple[DataFrame, DataFrame] | None = None, scorer: PairScorer = lexical_logit, examples: DataFrame | None = None) -> DataFrame:
     """Candidates of each ``query_id, text``, retrieved, fused and reranked.
 
     ``codes`` has ``hs_code, level, chapter, title, description``; ``dense`` is a
-    result of :func:`dense_topk`; ``entities`` pairs of queries and an index.
+    result of :func:`dense_topk`; ``entities`` pairs of queries and an index;
+    ``examples`` labelled texts (``example_id, hs_code, text``).
     """
     index = postings(codes.withColumn("text", F.concat_ws(" ", "title", "description")))
     branches = {}
     if dense is not None:
         branches["dense"] = dense.withColumnRenamed("similarity", "dense_similarity")
-    branches["sparse"] = sparse_topk(queries, index)
+    branches["sparse"] = sparse_topk(queries, index) if examples is None else sparse_with_training(queries, index, examples)
     if entities is not None:
         branches["entity"] = entity_topk(*entities)
     merged = union(branches).drop(*META).join(codes.select("hs_code", *META), "hs_code", "left")

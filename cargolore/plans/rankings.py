@@ -46,6 +46,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, p_p
 SELECT query_id, p_partkey, pos, round(rank / max(rank) OVER (PARTITION BY query_id), 6) AS sparse_score FROM k"""
 
 
+def _taught(t: Tables) -> DataFrame:
+    index = r.postings(t["codes"].groupBy("hs_code").agg(F.min("description").alias("text")))
+    examples = t["part"].select(F.col("p_partkey").alias("example_id"), F.concat_ws(" ", "p_name", "p_name", "p_brand").alias("text")).join(t["codes"].select(F.col("p_partkey").alias("example_id"), "hs_code"), "example_id")
+    return r.sparse_with_training(_names(t), index, examples, 5)
+
+
+_TAUGHT = f"""WITH q AS (SELECT min(p_partkey) AS query_id, list_distinct({words_sql("p_name")}) AS w FROM part GROUP BY p_name),
+c AS (SELECT hs_code, {words_sql("min(description)")} AS w FROM codes GROUP BY 1), x AS (SELECT p_partkey AS id, hs_code, {words_sql("p_name || ' ' || p_name || ' ' || p_brand")} AS w FROM part JOIN codes USING (p_partkey)),
+k AS (SELECT query_id, hs_code, len(list_filter(c.w, lambda x: list_contains(q.w, x)))::DOUBLE AS rank FROM q, c WHERE len(q.w) > 0 AND list_has_all(c.w, q.w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, hs_code) <= 5),
+m AS (SELECT query_id, hs_code, len(list_filter(x.w, lambda y: list_contains(q.w, y)))::DOUBLE AS rank FROM q, x WHERE len(q.w) > 0 AND list_has_all(x.w, q.w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 5),
+b AS (SELECT *, rank AS best FROM k UNION ALL SELECT query_id, hs_code, 0.9::DOUBLE * rank, rank FROM m), s AS (SELECT query_id, hs_code, rank / max(best) OVER (PARTITION BY query_id) AS score FROM b)
+SELECT query_id, hs_code, round(max(score), 6) AS sparse_score FROM s GROUP BY ALL"""
+
+
 def _entities(t: Tables) -> tuple[DataFrame, DataFrame]:
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(c).alias("entity_value"), F.lit(w).alias("weight")) for k, c, w in (("material", "p_name", 1.0), ("form", "p_type", 0.8), ("brand", "p_brand", 0.5)))))
     each = t["part"].select("p_partkey", pairs.alias("e")).select("p_partkey", "e.*")
@@ -230,6 +244,7 @@ QUERIES = {
         _DENSE + """, c AS (SELECT query_id, hs_code, s FROM k WHERE hs_code % 2 = 0), x AS (SELECT query_id, hs_code - hs_code % 4 AS hs_code, max(s) AS t FROM k WHERE hs_code % 3 = 0 GROUP BY ALL)
         SELECT query_id, hs_code, row_number() OVER (PARTITION BY query_id ORDER BY c.s IS NULL, coalesce(c.s, t) DESC, hs_code) - 1 AS pos, round(coalesce(c.s, 0.95::DOUBLE * t), 6) AS dense_similarity, round(coalesce(t, 0), 6) AS dense_via_training FROM c FULL JOIN x USING (query_id, hs_code)"""),
     "sparse_topk_and": (lambda t: _sparse(t).select("query_id", "p_partkey", "pos", F.round("sparse_score", 6).alias("sparse_score")), _SPARSE),
+    "sparse_with_training": (lambda t: _taught(t).select("query_id", "hs_code", F.round("sparse_score", 6).alias("sparse_score")), _TAUGHT),
     "entity_topk": (lambda t: r.entity_topk(*_entities(t)).select("query_id", "hs_code", "pos", F.round("entity_overlap_score", 6).alias("entity_overlap_score")), _ENTITY),
     "rrf_union": (lambda t: r.union(_branches(t)).select("query_id", "hs_code", "dense_similarity", "sparse_score", "entity_overlap_score", F.round("rrf_score", 9).alias("rrf_score")), _UNION + " SELECT query_id, hs_code, d AS dense_similarity, s AS sparse_score, e AS entity_overlap_score, round(rrf, 9) AS rrf_score FROM un"),
     "max_union": (lambda t: r.union(_branches(t), mode="max").select("query_id", "hs_code", "retrieval_score", "rrf_score"), _UNION + " SELECT query_id, hs_code, greatest(d, s, e) AS retrieval_score, 0.0::DOUBLE AS rrf_score FROM un"),

@@ -162,6 +162,22 @@ def _stream(t: Tables) -> DataFrame:
     return spark.read.parquet(f"{out}/batch=*").groupBy("origin", "destination").agg(F.sum("n").alias("n"))
 
 
+def _rulings(t: Tables) -> DataFrame:
+    """Pages of four forms made of parts: a section, a bold heading, a long paragraph,
+    and one without a code."""
+    code = F.concat(F.substring("hs_code", 1, 4), F.lit("."), F.substring("hs_code", 5, 2))
+    html = F.expr("""CASE p_partkey % 4
+        WHEN 0 THEN concat('<html><title>HQ', 100000 + p_partkey, '</title><h2>The <i>goods</i></h2><p>', description, '</p><p>new</p><h3>Classification</h3><p>see ', code, '.10 and not 9999.99</p></html>')
+        WHEN 1 THEN concat('<p>NY', 200000 + p_partkey, ' 8888.88</p><b>Product:</b> <p>', description, '</p><div>in a box</div><h3>Classified under</h3><p>', code, '</p>')
+        WHEN 2 THEN concat('<p>short</p><p>', repeat(concat(description, ' '), 9), '</p><p>', code, '.0000 ', code, ' 7777.77</p>')
+        ELSE concat('<h2>Goods</h2><p>', description, '</p>') END""")
+    return src.read_rulings(t["codes"].withColumn("code", code).select(F.col("p_partkey").alias("page_id"), html.alias("html"))).drop("source")
+
+
+_RULINGS = """SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'HQ' || (100000 + p_partkey) WHEN 1 THEN 'NY' || (200000 + p_partkey) ELSE p_partkey::VARCHAR END AS source_id, hs_code,
+  CASE p_partkey % 4 WHEN 0 THEN description || ' new' WHEN 1 THEN description || ' in a box' ELSE trim(repeat(description || ' ', 9)) END AS description FROM codes WHERE p_partkey % 4 <> 3"""
+
+
 QUERIES = {
     "content_hash_diff": (_changes, _FEED + "SELECT source, source_record_id, action FROM pl"),
     "bitemporal_upsert": (_upserted, _UPSERT),
@@ -218,6 +234,6 @@ QUERIES = {
         SELECT upper(description), 'negative', hs_code FROM codes WHERE p_partkey % 2 = 0 AND hs_code IN (SELECT hs_code FROM p) AND upper(description) NOT IN (SELECT description FROM p)"""),
     "page_links": (
         lambda t: src.links(t["pages"]).groupBy(F.length("url").alias("length")).agg(F.count("*").alias("n")), None),
-    "parse_ruling_html": (lambda t: src.read_rulings(t["pages"]), None),
+    "parse_ruling_html": (_rulings, _RULINGS),
     "stream_screen": (_stream, "SELECT o_orderstatus AS origin, iso AS destination, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN iso ON n_nationkey = c_nationkey GROUP BY 1, 2"),
 }

@@ -82,20 +82,57 @@ def read_wco(sheets: list[DataFrame]) -> DataFrame:
     return out
 
 
+# What headings of the goods text and of the classification hold.
+GOODS_HEADINGS = ("merchandise", "product", "goods", "description of")
+CODE_HEADINGS = ("classification", "classified under", "classifiable")
+
+
+def _plain(html: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"\s+", " "))
+
+
+def _section(html: Column, keywords: tuple[str, ...]) -> Column:
+    """the text after the first heading that holds a keyword and has any.
+
+    After ``h1`` to ``h4`` that is all up to the next of these.  After ``strong`` or
+    ``b`` it is what elements follow: up to the next heading if a block follows it,
+    else up to the end of the block it is in."""
+    held = "(?i)(?:" + "|".join(keywords) + ")"
+
+    def heading(section: Column) -> Column:
+        return F.when(_plain(F.regexp_extract(section, r"(?is)^<h[1-4]\b[^>]*>(.*?)</h[1-4]\s*>", 1)).rlike(held), _plain(F.regexp_replace(section, r"(?is)^<h[1-4]\b[^>]*>.*?</h[1-4]\s*>", " ")))
+
+    def bold(piece: Column) -> Column:
+        rest = F.regexp_replace(piece, r"(?is)^<(?:strong|b)\b[^>]*>.*?</(?:strong|b)\s*>", "")
+        inner = F.when(rest.rlike(r"(?is)^\s*<(?:p|div|ul|ol|table|blockquote|section)\b"), rest).otherwise(F.split(rest, r"(?i)</(?:p|div|li|td|body)\b", 2)[0])
+        texts = F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<(\w+)\b[^>]*>(.*?)</\1\s*>"), 2), _plain)
+        return F.when(_plain(F.regexp_extract(piece, r"(?is)^<(?:strong|b)\b[^>]*>(.*?)</(?:strong|b)\s*>", 1)).rlike(held), F.array_join(F.filter(texts, lambda t: t != ""), " "))
+
+    def of_section(section: Column) -> Column:
+        return F.concat(F.array(heading(section)), F.transform(F.split(section, r"(?i)(?=<(?:strong|b)\b)"), bold))
+
+    found = F.flatten(F.transform(F.split(html, r"(?i)(?=<h[1-4]\b)"), of_section))
+    return F.get(F.filter(found, lambda t: F.coalesce(t != "", F.lit(False))), F.lit(0))
+
+
 def read_rulings(pages: DataFrame) -> DataFrame:
     """``page_id, url, html`` as labelled examples: the goods
-    text, and the code that a page names most often (the first on ties)."""
-    text = F.regexp_extract("html", r"(?is)<h\d[^>]*>[^<]*(?:goods|merchandise|product)[^<]*</h\d>\s*<p[^>]*>(.*?)</p>", 1)
-    paragraphs = F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1)
-    plain = F.transform(paragraphs, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), r"\s+", " ")))
-    longest = F.get(F.array_sort(F.filter(plain, lambda p: F.length(p) > 80), lambda a, b: F.length(b) - F.length(a)), F.lit(0))
-    goods = F.when(text != "", F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\s+", " "))).otherwise(longest)
-    ruling = F.nullif(F.regexp_extract("html", r"\b([A-Z]{1,2}\s?\d{5,6})\b", 1), F.lit(""))
-    codes = F.transform(F.regexp_extract_all("html", F.lit(r"\b(\d{4}\.\d{2}(?:\.\d{2,4})?)\b"), 1), lambda c: F.substring(F.regexp_replace(c, r"\D", ""), 1, 6))
-    rows = pages.select("page_id", F.coalesce(ruling, F.col("page_id").cast("string")).alias("source_id"), goods.alias("description"), F.posexplode_outer(codes).alias("pos", "code"))
-    counted = rows.groupBy("page_id", "source_id", "description", "code").agg(F.count("code").alias("n"), F.min("pos").alias("first"))
+    text, and the code that a page names most often (the first on ties; those of its
+    classification section count once more and come first).  The id is looked for in
+    the title and then in the first 500 characters.  Pages without a goods text or
+    without a code are left out."""
+    paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), _plain)
+    longest = F.get(F.array_sort(F.filter(paragraphs, lambda p: F.length(p) > 80), lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    goods = F.coalesce(_section(F.col("html"), GOODS_HEADINGS), longest)
+    number, body = r"\b([A-Z]{1,3}\d{5,9})\b", _plain(F.col("html"))
+    title = _plain(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1))
+    ruling = F.coalesce(*(F.nullif(F.regexp_extract(c, number, 1), F.lit("")) for c in (title, F.substring(body, 1, 500))))
+    named = F.concat_ws(" ", _section(F.col("html"), CODE_HEADINGS), body)
+    codes = F.transform(F.regexp_extract_all(named, F.lit(r"\b(\d{4}\.\d{2}(?:\.\d{2,4})?)\b"), 1), lambda c: F.substring(F.regexp_replace(c, r"\D", ""), 1, 6))
+    rows = pages.select("page_id", F.coalesce(ruling, F.col("page_id").cast("string")).alias("source_id"), F.substring(goods, 1, MAX_TEXT).alias("description"), F.posexplode(codes).alias("pos", "code"))
+    counted = rows.where("description IS NOT NULL").groupBy("page_id", "source_id", "description", "code").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = counted.groupBy("page_id", "source_id", "description").agg(F.max_by("code", F.struct("n", -F.col("first"))).alias("hs_code"))
-    return best.select("page_id", F.lit("cross_ruling").alias("source"), "source_id", "hs_code", F.substring("description", 1, MAX_TEXT).alias("description"))
+    return best.select("page_id", F.lit("cross_ruling").alias("source"), "source_id", "hs_code", "description")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -203,9 +240,16 @@ def read_shipments(spark: SparkSession, path: str) -> DataFrame:
     raw = read_csv(spark, path)
     text = find(raw, ("commodity_text",))
     opt = lambda n: F.lit(None).cast("string") if (c := find(raw, (n,), required=False)) is None else c
-    order = Window.orderBy(F.monotonically_increasing_id())
+    # an id is the number of its partition and the place in it: counts of partitions
+    # (a row each) make places in the file of them
+    raw = raw.withColumn("__id", F.monotonically_increasing_id())
+    sizes = raw.groupBy(F.shiftright("__id", 33).alias("__part")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    raw = raw.join(F.broadcast(sizes), F.shiftright("__id", 33) == F.col("__part"))
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     bad = lambda n: F.when((F.trim(opt(n)) != "") & iso(opt(n)).isNull(), F.lit(f"{n} is not a country code"))
-    return raw.withColumn("row_index", F.row_number().over(order) - 1).select(
+    return raw.withColumn("row_index", place).select(
         "row_index", opt("external_ref").alias("external_ref"), text.alias("commodity_text"), opt("cargo_text").alias("cargo_text"),
         iso(opt("origin_iso")).alias("origin_iso"), iso(opt("destination_iso")).alias("destination_iso"),
         F.coalesce(F.when(F.coalesce(F.trim(text), F.lit("")) == "", "commodity_text is empty"), bad("origin_iso"), bad("destination_iso")).alias("error"),
