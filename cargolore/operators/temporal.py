@@ -96,7 +96,7 @@ def _one_of(rows: DataFrame, key: list[str], order: str | None, last: bool) -> D
     """Each key's first or last row by ``order``, and by all columns where that is
     equal or not given."""
     turn = [F.desc_nulls_last(order) if last else F.asc_nulls_last(order)] if order else []
-    place = Window.partitionBy(*key).orderBy(*turn, *(F.asc_nulls_last(c) for c in rows.columns if c not in key and c != order))
+    place = Window.partitionBy(*key).orderBy(*turn, *(F.asc_nulls_last(c) for c in rows.columns if c != order))
     return rows.withColumn("__n", F.row_number().over(place)).where("__n = 1").drop("__n")
 
 

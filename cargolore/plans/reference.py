@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolore.operators import temporal as tm
+from cargolore.plans.rankings import _STRUCTURED as STRUCTURED
 from cargolore.plans.tables import Tables
 from cargolore.sources import reference as src
 from cargolore.sources import sinks
@@ -137,29 +140,61 @@ _DAY = dt.date(2024, 2, 20)
 
 
 def _stream(t: Tables) -> DataFrame:
-    """Shipments screened from a stream of orders, one micro-batch."""
-    from cargolore.operators.dashboards import route_counts
+    """Orders arrive as a stream; the shipments of each micro-batch are screened
+    against the controlled goods in force, and the batch's matches are written."""
+    from cargolore.operators.screening import active_goods, structured
     from cargolore.streaming import screen
 
-    import tempfile
-
     spark = t.spark
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    out, state = f"{shared}/cargolore-stream/{spark.sparkContext.applicationId}/{t.folder.strip('/').replace('/', '_').replace(':', '')}", None
-    state = out + "-state"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp()
+    out = f"{shared}/cargolore-stream/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
-    for path in (out, state):
+    for path in (out, out + "-state"):
         p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    stream = screen.read_new(spark, t.folder, "orders")
-    nations = t["customer"].join(t["iso"], F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("iso").alias("destination"))
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    goods, rules = active_goods(t["goods"], dt.date(1998, 1, 1)), t["rules"]
+    shipments = t["shipment"].select("query_id", "l_orderkey", "origin", "destination", F.array("hs_code").alias("codes"))
 
     def one(batch: DataFrame) -> DataFrame:
-        rows = batch.join(nations, batch["o_custkey"] == nations["c_custkey"]).select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("origin"), "destination")
-        return route_counts(rows)
+        arrived = batch.select(F.col("o_orderkey").alias("l_orderkey"))
+        found = structured(shipments.join(arrived, "l_orderkey", "left_semi").drop("l_orderkey"), goods, rules)
+        return found.select("query_id", "id", F.array_join("hs_code_overlap", ",").alias("codes"), "restriction_type", "n_rules")
+
+    screen.screen_stream(screen.read_new(spark, t.folder, "orders"), one, out, out + "-state").awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*")
+
+
+def _replaced(t: Tables) -> DataFrame:
+    new = t["codes"].where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.lit("XX").alias("rule_origin"), F.lit(None).cast("string").alias("rule_destination"), F.lit("blocked").alias("restriction_type"), F.lit(True).alias("active"))
+    return tm.replace_routes(t["rules"], new.unionByName(new)).groupBy("id", "rule_origin", "rule_destination").agg(F.count("*").alias("n"))
+
+
+def _dropped_list(t: Tables) -> DataFrame:
+    rules = t["screening"].select("rule_id", "active", F.when(F.col("rule_id") % 3 == 0, F.lit("sanctions_source:KW:metals")).otherwise(F.col("created_by")).alias("created_by"))
+    goods, routes, screening = tm.drop_list(t["goods"], t["rules"], rules, "metals", F.lit(AT))
+    closed = goods.where(F.col("sys_to") == F.lit(AT)).agg(F.count("*").alias("n")).select(F.lit("goods").alias("what"), "n")
+    off = routes.where("NOT active").agg(F.count("*").alias("n")).select(F.lit("routes").alias("what"), "n")
+    return closed.unionByName(off).unionByName(screening.where("active").agg(F.count("*").alias("n")).select(F.lit("rules").alias("what"), "n"))
+
+
+def _gates(t: Tables) -> DataFrame:
+    seed = t["nation"].select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("metric"), F.lit(0.5).alias("value"))
+    gates = t["nation"].where("n_nationkey % 2 = 0").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("metric"), F.lit(0.7).alias("value"))
+    changes = t["nation"].where("n_nationkey % 5 = 0").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("metric"), F.lit(0.9).alias("value"))
+    kept, reset = tm.set_gates(gates, changes, seed), tm.set_gates(gates, None, seed)
+    return kept.select("metric", "value", F.lit("changed").alias("state")).unionByName(reset.select("metric", "value", F.lit("reset").alias("state")))
+
+
+def _shipped_results(t: Tables) -> DataFrame:
+    from cargolore.operators.dashboards import with_shipments
 
-    screen.screen_stream(stream, one, out, state).awaitTermination()
-    return spark.read.parquet(f"{out}/batch=*").groupBy("origin", "destination").agg(F.sum("n").alias("n"))
+    results = t["result"].select(F.col("result_id").alias("query_id"), "origin", "abstained")
+    shipments = t["orders"].select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("origin"))
+    return with_shipments(results, shipments)
 
 
 def _rulings(t: Tables) -> DataFrame:
@@ -235,5 +270,17 @@ QUERIES = {
     "page_links": (
         lambda t: src.links(t["pages"]).groupBy(F.length("url").alias("length")).agg(F.count("*").alias("n")), None),
     "parse_ruling_html": (_rulings, _RULINGS),
-    "stream_screen": (_stream, "SELECT o_orderstatus AS origin, iso AS destination, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN iso ON n_nationkey = c_nationkey GROUP BY 1, 2"),
+    "country_rule_replace": (
+        _replaced, "SELECT id, rule_origin, rule_destination, count(*) AS n FROM rules WHERE id % 20 <> 0 GROUP BY ALL UNION ALL SELECT p_partkey, 'XX', NULL, 1 FROM codes WHERE p_partkey % 20 = 0"),
+    "keyword_list_drop": (
+        _dropped_list,
+        """SELECT 'goods' AS what, count(*) AS n FROM goods WHERE source = 'KW:metals' AND sys_to IS NULL UNION ALL
+        SELECT 'routes', count(*) FROM rules WHERE NOT active OR id IN (SELECT id FROM goods WHERE source = 'KW:metals') UNION ALL
+        SELECT 'rules', count(*) FROM screening WHERE active AND rule_id % 3 <> 0 AND coalesce(created_by, '') <> 'sanctions_source:KW:metals'"""),
+    "ship_gates": (
+        _gates,
+        """SELECT 'm' || n_nationkey AS metric, CASE WHEN n_nationkey % 5 = 0 THEN 0.9 WHEN n_nationkey % 2 = 0 THEN 0.7 ELSE 0.5 END::DOUBLE AS value, 'changed' AS state FROM nation
+        UNION ALL SELECT 'm' || n_nationkey, 0.5, 'reset' FROM nation"""),
+    "results_with_shipments": (_shipped_results, "SELECT result_id AS query_id, origin, abstained, o_orderpriority AS text FROM result JOIN orders ON o_orderkey = result_id"),
+    "stream_screen": (_stream, STRUCTURED + "SELECT query_id, id, code AS codes, restriction_type, n_rules FROM st"),
 }

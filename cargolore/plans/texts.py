@@ -107,7 +107,7 @@ QUERIES = {
     "code_prefixes": (lambda t: t["codes"].select("p_partkey", F.array_join(codes.prefixes(F.col("hs_code")), ",").alias("prefixes")), "SELECT p_partkey, substring(hs_code, 1, 2) || ',' || substring(hs_code, 1, 4) || ',' || hs_code AS prefixes FROM codes"),
     "normalize_party": (lambda t: t["supplier"].select("s_suppkey", text.normalize_party(F.expr(_NAMED), fold=False).alias("party")), f"SELECT s_suppkey, {_party_sql(_NAMED)} AS party FROM supplier"),
     "is_short_name": (lambda t: t["supplier"].select("s_suppkey", text.is_short_name(F.expr(_NAMED)).alias("short")), f"SELECT s_suppkey, len(string_split_regex({_NAMED}, '\\s+')) < 2 OR length(replace({_NAMED}, ' ', '')) < 4 AS short FROM supplier"),
-    "fold_unicode": (lambda t: t["documents"].select("doc_id", text.fold_unicode(F.col("text")).alias("folded")), None),
+    "fold_unicode": (lambda t: t["documents"].select("doc_id", text.fold_unicode(F.col("text")).alias("folded")), "SELECT doc_id, regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents"),
     "trigram_similarity": (
         lambda t: t["part"].select("p_partkey", F.round(text.trigram_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity")),
         f"SELECT p_partkey, round({similarity_sql(trigrams_sql('p_name'), trigrams_sql('p_type'))}, 6) AS similarity FROM part"),

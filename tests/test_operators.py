@@ -154,3 +154,27 @@ def test_shared_keys_bound_the_search(spark):
     queries = spark.createDataFrame([(1, [1.0, 0.0], ["z", "q"]), (2, [1.0, 0.0], ["x", "y"]), (3, [1.0, 0.0], []), (4, None, ["x"])], "query_id int, q array<double>, of array<string>")
     got = [(r.query_id, r.hs_code) for r in retrieval.dense_topk(queries, corpus, 2, among=("of", "on")).orderBy("query_id", "pos").collect()]
     assert got == [(1, "b"), (2, "a"), (2, "b")] or got == [(1, "b"), (2, "a"), (2, "d")]
+
+
+def test_isotonic_against_pooling(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, round(r.random(), 2), r.random() < 0.4) for i in range(200)]
+    got = {x.id: x.probability for x in evaluation.isotonic(spark.createDataFrame(rows, "id int, score double, correct boolean")).collect()}
+    blocks = []
+    for score in sorted({s for _, s, _ in rows}):
+        own = [float(c) for _, s, c in rows if s == score]
+        blocks.append([sum(own), len(own), [score]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            total, n, scores = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + total, blocks[-1][1] + n, blocks[-1][2] + scores]
+    want = {s: total / n for total, n, scores in blocks for s in scores}
+    assert all(got[i] == pytest.approx(want[s], abs=1e-9) for i, s, _ in rows)
+
+
+def test_latency_of_few_rows(spark):
+    one = evaluation.latency(spark.createDataFrame([(5.0,), (None,)], "latency_ms double")).first()
+    assert (one.p50, one.p99, one.mean, one.n) == (5.0, 5.0, 5.0, 1)
+    none = evaluation.latency(spark.createDataFrame([], "latency_ms double")).first()
+    assert (none.p50, none.mean, none.n) == (None, None, 0)

