@@ -16,7 +16,7 @@ replaced by digits or signs, or stretched), found by undoing the replacement.
 
 Defined cases: null and empty texts have all features zero and get the score
 of such a document; a row without id is scored and counts as not held out;
-repeated rows get equal scores; if no labelled rows of both kinds exist, every
+repeated rows get equal scores; kept columns may have any names but ``score``; if no labelled rows of both kinds exist, every
 score is the mean label, or 0.  Language, source and id are never features.
 """
 
@@ -34,6 +34,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargolore.llm.common import materialize
 
@@ -125,7 +126,7 @@ def add_features(docs: DataFrame, lexicons: list[tuple[dict, dict]], keep: tuple
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frozenset(INSULTS), frozenset(SECOND_PERSON), lexicons))
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), *(f"{f} double" for f in FEATURES)])
+    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(f, T.DoubleType()) for f in FEATURES)])
     by_part = len(lexicons) > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +190,11 @@ class ToxicityModel:
         """``keep`` and ``score`` for every row of ``docs``."""
         if self.constant is not None:
             return docs.select(*keep, F.lit(self.constant).alias("score"))
-        table = add_features(docs, [self.lexicon], keep)
+        # kept columns go together as one, whatever their names are
+        table = add_features(docs.select(F.struct(*keep).alias("__kept"), "text"), [self.lexicon], ("__kept",))
         raw = self.trees.transform(_vector(table)).withColumn("margin", vector_to_array("probability")[1])
         scored = self.calibration.transform(raw)
-        return scored.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction_cal")).alias("score"))
+        return scored.select("__kept.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction_cal")).alias("score"))
 
 
 def _vector(table: DataFrame) -> DataFrame:
@@ -229,7 +231,9 @@ def fit(labelled: DataFrame, seed: int = 7) -> ToxicityModel:
         return ToxicityModel(({}, {}), None, None, float(mean or 0.0))
     *others, lexicon = learn_lexicons(train)
     table = materialize(_vector(add_features(train, others, ("part", "toxic"))).select("part", F.col("toxic").cast("double").alias("label"), "features"), "toxic-features")
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=seed, maxBins=64).fit(table.where(F.col("part") < PARTS - 1).coalesce(2).cache())
+    learned = table.where(F.col("part") < PARTS - 1).coalesce(2).persist()
+    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=seed, maxBins=64).fit(learned)
+    learned.unpersist()
     held = trees.transform(table.where(F.col("part") == PARTS - 1)).select(vector_to_array("probability")[1].alias("margin"), "label")
     calibration = IsotonicRegression(featuresCol="margin", labelCol="label", predictionCol="prediction_cal").fit(held.coalesce(1))
     return ToxicityModel(lexicon, trees, calibration)

@@ -564,6 +564,21 @@ def test_toxicity(spark):
     assert sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / max(1, len(yes) * len(no)) > 0.85
 
 
+def test_toxicity_of_odd_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labelled = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    model = toxicity.fit(labelled)
+    rows = [(1, None, 7, "a"), (2, "", 7, "a"), (None, "you idiot", 7, "b"), (3, "you idiot", 7, "b"), (3, "you idiot", 7, "b"), (4, "word " * 50_000, 7, "c")]
+    got = model.score(spark.createDataFrame(rows, "doc_id long, text string, length int, features string"), ("doc_id", "length", "features")).collect()
+    assert len(got) == 6 and got[0].__fields__ == ["doc_id", "length", "features", "score"]
+    by_text = collections.defaultdict(set)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.length == 7
+        by_text[r.features].add(r.score)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert model.score(labelled.limit(0), ("doc_id",)).count() == 0
+
+
 def test_lexicons_leave_out_their_part(spark):
     rows = [(f"grim{'xyz'[p]}{'abcdef'[i % 6]} plain words stand here", 1, p) for p in range(3) for i in range(12)]
     rows += [(f"plain words stand here {i}", 0, i % 3) for i in range(600)]
