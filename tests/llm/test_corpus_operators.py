@@ -646,6 +646,20 @@ def test_pruning_bound():
     assert tail >= 1e-6 > tail - math.comb(n + 1, m) * 0.8**m * 0.2 ** (n + 1 - m)
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_join_is_a_join(spark, monkeypatch, how):
+    from cargolore.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 1).when(F.col("id") < 2010, None).otherwise(F.col("id") % 40).cast("long").alias("k"), F.col("id").alias("v"))
+    right = left.where("k IS NOT NULL AND k <> 7").groupBy("k").agg(F.count("*").alias("n"))
+    got = common.hot_join(left, right, ["k"], "n", F.xxhash64("v"), how)
+    want = left.join(right, "k", how)
+    assert multiset(map(tuple, got.select("k", "v", "n").collect())) == multiset(map(tuple, want.select("k", "v", "n").collect()))
+    largest = common.hot_join(left, right, ["k"], "n", F.xxhash64("v"), how).groupBy("k").count()
+    assert largest.count() == want.groupBy("k").count().count()
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
