@@ -213,6 +213,12 @@ _RULINGS = """SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'HQ' |
   CASE p_partkey % 4 WHEN 0 THEN description || ' new' WHEN 1 THEN description || ' in a box' ELSE trim(repeat(description || ' ', 9)) END AS description FROM codes WHERE p_partkey % 4 <> 3"""
 
 
+_LINKS = r"""WITH a AS (SELECT unnest(regexp_extract_all(html, 'href\s*=\s*["'']([^"'']+)["'']', 1, 'i')) AS u FROM pages),
+b AS (SELECT regexp_replace(regexp_replace(trim(u), '#.*$', ''), '([?&])(?:utm_[a-z]+|ref)=[^&]*&?', '\1', 'gi') AS u FROM a), c AS (SELECT regexp_replace(regexp_replace(u, '[?&]+$', ''), '/+$', '') AS u FROM b),
+d AS (SELECT u, regexp_extract(u, '^([A-Za-z]+://[^/?]*)', 1) AS root FROM c)
+SELECT DISTINCT lower(root) || substring(u, length(root) + 1) AS url FROM d WHERE u <> ''"""
+
+
 QUERIES = {
     "content_hash_diff": (_changes, _FEED + "SELECT source, source_record_id, action FROM pl"),
     "bitemporal_upsert": (_upserted, _UPSERT),
@@ -268,7 +274,7 @@ QUERIES = {
         SELECT description, 'positive' AS label, string_agg(DISTINCT hs_code, ',' ORDER BY hs_code) AS codes FROM p GROUP BY 1 UNION ALL
         SELECT upper(description), 'negative', hs_code FROM codes WHERE p_partkey % 2 = 0 AND hs_code IN (SELECT hs_code FROM p) AND upper(description) NOT IN (SELECT description FROM p)"""),
     "page_links": (
-        lambda t: src.links(t["pages"]).groupBy(F.length("url").alias("length")).agg(F.count("*").alias("n")), None),
+        lambda t: src.links(t["pages"]), _LINKS),
     "parse_ruling_html": (_rulings, _RULINGS),
     "country_rule_replace": (
         _replaced, "SELECT id, rule_origin, rule_destination, count(*) AS n FROM rules WHERE id % 20 <> 0 GROUP BY ALL UNION ALL SELECT p_partkey, 'XX', NULL, 1 FROM codes WHERE p_partkey % 20 = 0"),
