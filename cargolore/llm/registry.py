@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolore.llm import (
+    centroid_clustering,
+    conversation_repair,
     decontaminate,
     embedding_dedup,
+    exact_search,
     jaccard_join,
     language_id,
     line_dedup,
@@ -30,6 +33,9 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_jaccard_join": (jaccard_join.query, jaccard_join.SQL),
     "op9_language_id": (language_id.query, None),
     "op10_mixing": (mixing.query, mixing.SQL),
+    "op11_conversation_repair": (conversation_repair.query, conversation_repair.SQL),
+    "op12_centroid_clustering": (centroid_clustering.query, centroid_clustering.SQL),
+    "op13_exact_search": (exact_search.query, exact_search.SQL),
     "llm_word_totals": (token_counts.words_query, token_counts.WORDS_SQL),
     "llm_page_language": (language_id.pages_query, None),
 }
