@@ -444,7 +444,7 @@ WITH RECURSIVE h AS (
   FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), f AS MATERIALIZED (
   SELECT *, CASE WHEN blank OR again THEN 2 WHEN cut THEN 1 ELSE 0 END AS fault, CASE WHEN cut THEN 3 ELSE 0 END AS late FROM (
-    SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut,
+    SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut,
       row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again FROM o)
 ), r AS (
   SELECT g, 0::BIGINT AS i, {{'k': '000000000', 't': ''}} AS b, NULL::STRUCT(k VARCHAR, t VARCHAR) AS s,
