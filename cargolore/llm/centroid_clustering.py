@@ -183,7 +183,7 @@ def seeds(table: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray:
     """The ``k`` vectors of smallest seeded hash, in its order."""
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = table.select("x", hashed.alias("h")).orderBy(F.col("h").asc_nulls_last(), "x").limit(k).collect()
-    return np.array([r.x for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.x for r in rows], np.int64)
 
 
 def cluster(vectors: DataFrame, *, k: int = K, rounds: int = ROUNDS, seed: int = SEED, **columns: object) -> tuple[DataFrame, DataFrame]:
