@@ -315,8 +315,9 @@ def fit(spark: SparkSession, rows: int = TRAIN_ROWS, precision: float = PRECISIO
 
 
 def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """``doc_id``, ``base`` and ``added`` for every row of ``docs``: arrays of
-    ``kind, s, e, m, score``, base spans by kind and start, added ones by start."""
+    """``doc_id``, ``base``, ``added`` and ``passed`` for every row of ``docs``: arrays of
+    ``kind, s, e, m, score``, base spans by kind and start, added ones by start, and
+    where all spans that passed their thresholds lie, also those that others overlap."""
     model = model or fit(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select("doc_id", text.alias("text")).withColumns(base_spans(F.col("text")))
@@ -342,7 +343,9 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     found = found.selectExpr("doc_id", "base", f"filter({score}, x -> x.score >= x.t) AS passed")
     # of spans that overlap, the best by score stays: in order of start, a span
     # takes the place of the last one kept if it overlaps it and scores higher.
-    # The list is cut where no span reaches over, and each piece is folded.
+    # The list is cut where no span reaches over, and each piece is folded.  Spans
+    # that lost to one which then lost itself come back, in order of start, where
+    # nothing kept overlaps them, so each span that passed is kept or overlapped.
     kind = "array<struct<s:int,e:int,kind:string,m:string,score:double>>"
 
     def step(a: Column, x: Column) -> Column:
@@ -359,11 +362,24 @@ def detect(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         folded = F.transform(pieces, lambda p: F.when(F.size(p) == 1, p).otherwise(F.aggregate(p, F.array().cast(kind), step)))
         return F.when(F.size(v) > 0, F.flatten(folded)).otherwise(F.array().cast(kind))
 
+    def first(a: Column, x: Column) -> Column:
+        return F.when((F.size(a) > 0) & (F.element_at(a, -1)["e"] > x["s"]), a).otherwise(F.concat(a, F.array(x)))
+
+    def complete(v: Column) -> Column:
+        def back(kept: Column) -> Column:
+            rest = bound(_in_parts(kept), lambda parts: F.filter(v, lambda x: ~_meets(parts, x)))
+            again = bound(rest, lambda r: F.aggregate(r, F.array().cast(kind), first))
+            return F.when(F.size(kept) == F.size(v), kept).otherwise(F.array_sort(F.concat(kept, again)))
+
+        return bound(best(v), back)
+
     plain = F.transform("passed", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["m"].alias("m"), x["score"].alias("score")))
-    added = bound(F.array_sort(plain), best)
+    found = found.withColumn("plain", F.array_sort(plain))
+    added = bound(F.col("plain"), complete)
     return found.select(
         "doc_id", F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), F.lit(1.0).alias("score"))).alias("base"),
         F.transform(added, lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e"), b["m"].alias("m"), b["score"].alias("score"))).alias("added"),
+        F.transform("plain", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("passed"),
     )
 
 
@@ -373,7 +389,7 @@ def redact(docs: DataFrame, model: SpanModel | None = None, mark: str = "[REDACT
     far into a long text is taken from its blocks and not counted out from the start."""
     model = model or fit(docs.sparkSession)
     found = detect(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text"), model).withColumnRenamed("doc_id", "row")
-    order = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    order = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))), F.col("passed")))
     size = 2048
     found = found.select("row", order.alias("order"), F.regexp_extract_all("row.text", F.lit(f"(?s).{{1,{size}}}"), 0).alias("blocks"), F.length("row.text").alias("n"))
 
