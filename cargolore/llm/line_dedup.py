@@ -34,7 +34,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolore.llm.common import delete_path, hot_join, materialize, scratch_path
@@ -47,7 +47,7 @@ BATCHES = 3
 FANOUT = 2
 
 _RUN = "h1 bigint, h2 bigint, owner bigint"
-_KEYS = "h1 bigint, h2 bigint, doc_id bigint"
+_KEYS = "h1 bigint, h2 bigint, doc_id bigint, part bigint"
 #: Stands for a null id; it is larger than any id, so such rows own last.
 _LAST = 2**63 - 1
 
@@ -65,23 +65,34 @@ def _lines(text: str | None, min_chars: int) -> list[tuple[bytes, bytes | None]]
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``h1, h2, doc_id``: each key of each document, once a row of ``docs``."""
+    """``h1, h2, doc_id, part``: each key of each document, once a row of ``docs``.
+
+    ``part`` tells texts without an id apart, so that none has to know what the others lose.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes: list[bytes] = []
             owners: list[int] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts: list[int] = []
+            for doc, part, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 own = {h for _, h in _lines(text, min_chars) if h}
                 hashes += own
                 owners += [doc] * len(own)
+                parts += [part] * len(own)
             both = pa.Array.from_buffers(pa.int64(), 2 * len(hashes), [None, pa.py_buffer(b"".join(hashes))])
             yield pa.RecordBatch.from_arrays(
-                [both.take(pa.array(range(0, len(both), 2), pa.int64())), both.take(pa.array(range(1, len(both), 2), pa.int64())), pa.array(owners, pa.int64())],
-                names=["h1", "h2", "doc_id"],
+                [both.take(pa.array(range(0, len(both), 2), pa.int64())), both.take(pa.array(range(1, len(both), 2), pa.int64())), pa.array(owners, pa.int64()), pa.array(parts, pa.int64())],
+                names=["h1", "h2", "doc_id", "part"],
             )
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text").mapInArrow(run, _KEYS)
+    return docs.select(*_named(docs), "text").mapInArrow(run, _KEYS)
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    """A document's number and, where it has none, its text's hash."""
+    number = F.col("doc_id").cast("long")
+    return [F.coalesce(number, F.lit(_LAST)).alias("doc_id"), F.when(number.isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("part")]
 
 
 class LineRuns:
@@ -181,7 +192,7 @@ class LineRuns:
 def add_batch(runs: LineRuns, keys: DataFrame) -> DataFrame:
     """Put a batch's ``keys`` against the runs and add the new ones.
 
-    Returns ``doc_id, h1, h2``: the keys that their documents lose.  It is
+    Returns ``doc_id, part, h1, h2``: the keys that their documents lose.  It is
     written before the batch's run, so a batch that is tried again after a
     failure gives the same result.
     """
@@ -189,7 +200,7 @@ def add_batch(runs: LineRuns, keys: DataFrame) -> DataFrame:
     owned = runs.owners(first).withColumn("new", F.col("owner").isNull()).withColumn("owner", F.coalesce("owner", "first"))
     owned = materialize(owned, "batch-lines")
     shared = owned.where(~F.col("new") | (F.col("first") < F.col("last"))).select("h1", "h2", "owner", "n")
-    lost = hot_join(keys, shared, ["h1", "h2"], "n", F.xxhash64("doc_id")).where("doc_id <> owner").select("doc_id", "h1", "h2")
+    lost = hot_join(keys, shared, ["h1", "h2"], "n", F.xxhash64("doc_id")).where("doc_id <> owner").select("doc_id", "part", "h1", "h2")
     lost = materialize(lost, "lost-lines")
     runs.add(owned.where("new"))
     return lost
@@ -200,9 +211,9 @@ def drop_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) ->
     ``n_lines`` (before) and ``n_dropped``.  Column names are kept as they are.
     """
     packed = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("h1", "h2")))
-    own = lost.select(F.col("doc_id").alias("__doc"), packed.alias("__h")).groupBy("__doc").agg(F.collect_set("__h").alias("__lost"))
-    joined = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    joined = joined.join(own, joined["__key"] == own["__doc"], "left").drop("__key", "__doc")
+    own = lost.select(F.col("doc_id").alias("__doc"), F.col("part").alias("__part"), packed.alias("__h"))
+    own = own.groupBy("__doc", "__part").agg(F.collect_set("__h").alias("__lost"))
+    joined = docs.withColumns(dict(zip(("__doc", "__part"), _named(docs), strict=True))).join(own, ["__doc", "__part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
