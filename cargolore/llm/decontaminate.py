@@ -85,7 +85,7 @@ def benchmark_windows(items: list[tuple[str, str | None]], width: int) -> dict:
     their places in ``items``, the lists of item ids.
     """
     seen: dict[bytes, int] = {}
-    owners: list[list[int]] = []
+    owners: list[dict[str, None]] = []
     rows: dict[int, list[np.ndarray]] = {}
     places: dict[int, list[int]] = {}
     for item, text in items:
@@ -96,12 +96,11 @@ def benchmark_windows(items: list[tuple[str, str | None]], width: int) -> dict:
             row = terms[i : i + size]
             at = seen.setdefault(row.tobytes(), len(owners))
             if at == len(owners):
-                owners.append([])
+                owners.append({})
                 rows.setdefault(size, []).append(row)
                 places.setdefault(size, []).append(at)
-            if item not in owners[at]:
-                owners[at].append(item)
-    return {"windows": {k: (np.stack(v), np.array(places[k])) for k, v in rows.items()}, "items": owners}
+            owners[at][item] = None
+    return {"windows": {k: (np.stack(v), np.array(places[k])) for k, v in rows.items()}, "items": [list(x) for x in owners]}
 
 
 def _phrases(index: dict, windows: np.ndarray, token: np.ndarray, doc_of: np.ndarray, slop: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +286,7 @@ def query(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
         name = column.removesuffix("item_ids") or "items_"
         return [F.size(column).cast("long").alias(f"n_{name.rstrip('_')}"), F.sha2(F.array_join(F.array_sort(column), ","), 256).alias(f"{name}sha256")]
 
-    return found.select("doc_id", "n_words", "n_hit", *told("item_ids"), *told("near_item_ids"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", *told("item_ids"), "contaminated", *told("near_item_ids"))
 
 
 SQL = r"""
