@@ -94,6 +94,7 @@ def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: d
     odd = [plain(w) if not w.isalpha() and not w.isdigit() else w for w in words]
     changed = [i for i, (a, b) in enumerate(zip(words, odd, strict=True)) if a is not b and a != b]
     hits = [i for i, w in enumerate(odd) if w in fixed or w in word_odds]
+    hit = set(hits)
     own = [word_odds[odd[i]] for i in hits if odd[i] in word_odds]
     begun = Counter(s for w in odd if len(w) > 4 and (s := start_of(w, start_odds)))
     starts = [start_odds[s] for s in begun.elements()]
@@ -115,7 +116,7 @@ def features(text: str | None, fixed: frozenset, second: frozenset, word_odds: d
         float(fixed_hits), fixed_hits / n, float(len(own)), len(own) / n, sum(own) / n, max(own, default=0.0),
         float(len(starts)), len(starts) / n, sum(starts) / n, max(starts, default=0.0), float(top), top / n,
         near, len(pronouns) / n, upper / letters, shouted, signs / len(raw), text.count("!") / n,
-        len(changed) / n, float(sum(i in set(hits) for i in changed)) if changed and hits else 0.0, float(np.log1p(n)),
+        len(changed) / n, float(sum(i in hit for i in changed)) if changed and hits else 0.0, float(np.log1p(n)),
     ]
 
 
