@@ -200,7 +200,7 @@ def identify(
     langs, logs = fit_text_model(labelled, key=key)
     host, declared, suffix = (none if c is None else c for c in (host, declared, suffix))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED]
-    own = {"__host": host, "__site": site_of(host), "__declared": F.lower(F.substring(declared, 1, 2)), "__suffix": suffix, "__letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), "__text": F.col(text)}
+    own = {"__host": host, "__site": site_of(host), "__declared": F.lower(F.regexp_extract(declared, "^[A-Za-z]*", 0)), "__suffix": suffix, "__letters": F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)), "__text": F.col(text)}
     base = docs.select(*kept, *(c.alias(n) for n, c in own.items()))
     scored = materialize(add_text_evidence(base, langs, logs, "__text"), "evidence")
     letters, n = F.col("__letters"), len(langs)
@@ -254,7 +254,7 @@ def page_columns() -> dict[str, Column]:
     in_path = F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]{2})(?:[/?#-]|$)", 1)
     return {
         "host": F.nullif(host, F.lit("")),
-        "declared": F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit("")),
+        "declared": F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,8})", 1), F.lit("")),
         "suffix": F.coalesce(known[last], F.nullif(in_path, F.lit(""))),
     }
 
