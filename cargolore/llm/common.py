@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs``, read from Parquet, with a number for each row that every reading gives
+    again: of the row's file, and of its place there.  Other rows are written first.
+
+    The driver numbers the files, of which it has a list anyway.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+        files = sorted(r[0] for r in placed.select("__file").distinct().collect())
+    except AnalysisException:  # not rows of files
+        return numbered(materialize(docs, "rows"), name)
+    table = docs.sparkSession.createDataFrame(list(enumerate(files)), "__number bigint, __file string")
+    found = placed.join(F.broadcast(table), "__file")
+    return found.select(*docs.columns, (F.shiftleft("__number", 36) + F.col("__place")).alias(name))
+
+
 #: Keys with more rows than this, and than a thousandth of all, are hot.
 HOT_ROWS = 512
 

@@ -783,7 +783,7 @@ def test_page_language_beats_text_alone(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("lang IS NOT NULL AND length(text) > 200")
     short = docs.where("doc_id % 2 = 1").select(
         "doc_id", "lang", F.concat(F.lit("https://www.h"), (F.col("doc_id") % 7).cast("string"), F.lit("."), F.when(F.col("lang") == "en", "com").otherwise(F.col("lang")), F.lit("/x")).alias("url"),
-        F.concat(F.lit("<html lang='"), F.when(F.col("doc_id") % 10 == 1, "en").otherwise(F.col("lang")), F.lit("'><p>"), F.substring("text", 1, 12), F.lit("</p>")).alias("html"),
+        F.concat(F.lit("<html lang='"), F.when(F.col("doc_id") % 10 == 1, "en").otherwise(F.col("lang")), F.lit("'><p>"), F.substring("text", 1, 4), F.lit("</p>")).alias("html"),
     )
     body = short.withColumn("body", language_id.visible_text(F.col("html")))
     found = language_id.identify(body, docs.where("doc_id % 2 = 0"), text="body", keep=("doc_id", "lang"), key="doc_id", **language_id.page_columns()).where("text_language <> 'und'")
@@ -941,8 +941,9 @@ def test_pipeline(spark, docs, rows, tmp_path):
         if i == 1:
             want = [(*r[:4], len(t) if r[1] is not None else None, *r[5:]) for r, (_, _, _, t) in zip(state, plain_lines(state), strict=True) for r in [(r[0], t if r[1] is not None else None, *r[2:])]]
         elif i == 2:
-            classes = plain_join(state)
-            want = [r for r in state if classes[r[0]][2]]
+            order = sorted(range(len(state)), key=lambda n: (state[n][0] is None, state[n][0] or 0))
+            classes = plain_join([(n, state[k][1]) for n, k in enumerate(order)])
+            want = [state[k] for n, k in enumerate(order) if classes[n][2]]
         elif i == 3:
             want = [r for r, h in zip(state, plain_hits(state, ITEMS), strict=True) if not h[4]]
         else:
