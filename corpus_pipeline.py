@@ -4,6 +4,12 @@ of ``cargolore.llm``.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
+
+Defined cases: documents without an accepted language go, so null and empty texts and
+texts without letters do; a null id is one document's for line ownership, comes last
+where a group chooses who stays, and is passed on; rows that repeat an id are rows of
+their own (equal texts form a group, of which one stays); an empty table gives an empty
+mix.  Each stage reads Parquet files, whose rows it can number.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolore.llm.common import materialize
+from cargolore.llm.common import materialize, numbered
 from cargolore.llm.decontaminate import decontaminate
 from cargolore.llm.jaccard_join import jaccard_join
 from cargolore.llm.language_id import identify
@@ -35,18 +41,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document of each group stays."""
-    gone = jaccard_join(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """N-gram Jaccard join: of each group the row of smallest id stays (of equal ids,
+    and of rows that have none and come last, one of them).  Rows are told by their
+    numbers, as ids may be null or repeated."""
+    rows = numbered(docs)
+    found = jaccard_join(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("__row").alias("row"))
+    first = rows.select("__row", order.alias("order")).join(found, "__row").groupBy("class_id").agg(F.min("order").alias("order"))
+    return rows.join(first.select(F.col("order.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Decontamination: contaminated documents go.  Rows are numbered and kept
-    with their numbers, as ids may be null or repeated."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = decontaminate(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row="__row")
+    """Decontamination: contaminated documents go.  Rows are told by their numbers, as
+    ids may be null or repeated."""
+    rows = numbered(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row="__row")
     gone = found.where("contaminated").select(F.col("row").alias("__row"))
-    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
