@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargolore.functions.automaton import Automaton, leftmost_longest, split_words
 from cargolore.functions.scores import bound, dot
 from cargolore.functions.text import words
+from cargolore.sources.scratch import stored
 
 # The entity labels and what a match of each weighs.
 LABEL_WEIGHTS = {"material": 1.0, "form": 0.8, "end_use": 0.9, "processing_state": 0.7, "composition_percentages": 0.5, "dimensions": 0.4}
 MIN_SCORE = 0.4
+#: A gazetteer of so many characters at most is sent to all executors.
+AUTOMATON_CHARS = 16_000_000
 DIMENSIONS = 384
 
 
@@ -21,21 +29,92 @@ def dedupe_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
-def gazetteer_spans(texts: DataFrame, gazetteer: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Spans ``query_id, label, text, start, end, score`` of the words of
-    ``query_id, text`` that a gazetteer (``label, term, score``; one word a term)
-    holds.  Words meet terms in an equi-join; offsets count characters."""
-    lower = F.lower(F.coalesce("text", F.lit("")))
-    pieces, found = F.split(lower, "[a-z0-9]+"), F.regexp_extract_all(lower, F.lit("[a-z0-9]+"), 0)
-    step = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, w: F.struct(F.length(p).alias("gap"), w.alias("w"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,start:int>>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["w"])).alias("at"), F.concat(a["out"], F.array(F.struct(x["w"].alias("term"), (a["at"] + x["gap"]).alias("start")))).alias("out")),
-        lambda a: a["out"],
-    )
-    each = texts.select("query_id", F.explode(step).alias("t")).select("query_id", "t.term", "t.start")
-    hits = each.join(gazetteer.where(F.col("score") >= min_score), "term")
-    return hits.select("query_id", "label", F.col("term").alias("text"), "start", (F.col("start") + F.length("term")).alias("end"), "score")
+def gazetteer_spans(texts: DataFrame, gazetteer: DataFrame, min_score: float = MIN_SCORE, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Spans ``query_id, label, text, start, end, score, surface`` of the terms of a
+    gazetteer (``label, term, score``) in ``query_id, text``.
+
+    Terms are sequences of words (runs of letters and digits of any script, without regard
+    to case), whatever stands between the words.  Within a label the longest term that
+    starts first is taken and spans do not overlap; spans of different labels may.  A
+    term given twice for a label counts with its best score.  ``text`` is the term in lower case,
+    its words one space apart, ``surface`` what stands in the text; offsets count
+    characters, the end exclusive.
+
+    A gazetteer of up to ``automaton_chars`` characters is made into a word automaton for
+    every executor.  A larger one stays a table: words of texts meet the terms that begin
+    with them in an equi-join, which compares the rest.
+    """
+    words_of = F.filter(F.split(F.lower("term"), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")
+    terms = gazetteer.where((F.col("score") >= min_score) & F.col("label").isNotNull()).select("label", words_of.alias("words"), "score")
+    terms = terms.where("size(words) > 0").groupBy("label", "words").agg(F.max(F.col("score").cast("double")).alias("score"))
+    size = terms.agg(F.sum(F.length(F.array_join("words", " ")) + 1)).first()[0] or 0
+    kind = texts.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, label string, text string, start int, end int, score double, surface string"
+    named = texts.select("query_id", "text")
+    if size <= automaton_chars:
+        listed = [(r.label, r.words, r.score) for r in terms.collect()]  # of the size checked above
+        shared = texts.sparkSession.sparkContext.broadcast((Automaton([w for _, w, _ in listed]), listed))
+        return named.mapInArrow(_automaton_spans(shared), schema)
+
+    @F.pandas_udf("array<struct<w:string,s:int,e:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip("wse", w, strict=True)) for w in split_words(t)])
+
+    placed = named.select("query_id", F.monotonically_increasing_id().alias("__row"), "text", cut("text").alias("ws"))
+    placed = stored(placed, "gazetteer-words")
+    each = placed.select("query_id", "__row", "text", "ws", F.posexplode("ws").alias("i", "word")).withColumn("first", F.col("word.w"))
+    met = each.join(terms.withColumn("first", F.col("words")[0]), "first")
+    own = F.transform(F.slice("ws", F.col("i") + 1, F.size("words")), lambda x: x["w"])
+    met = met.where(own == F.col("words"))
+    last = F.col("i") + F.size("words") - 1
+    span = F.struct(F.col("i").alias("a"), (-last).alias("b"), F.array_join("words", " ").alias("t"), "score", F.col("word.s").alias("s"), F.col("ws")[last]["e"].alias("e"))
+    found = met.groupBy("query_id", "__row", "label").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.first("text").alias("whole"))
+    none = F.array().cast("array<struct<a:int,b:int,t:string,score:double,s:int,e:int>>")
+    taken = F.aggregate("spans", none, lambda out, x: F.when((F.size(out) == 0) | (-F.element_at(out, -1)["b"] < x["a"]), F.concat(out, F.array(x))).otherwise(out))
+    flat = found.select("query_id", "label", "whole", F.explode(taken).alias("x"))
+    return flat.select(
+        "query_id", "label", F.col("x.t").alias("text"), F.col("x.s").alias("start"), F.col("x.e").alias("end"), "x.score",
+        F.substring("whole", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("surface"),
+    )
+
+
+def _automaton_spans(shared):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, terms = shared.value
+        for batch in batches:
+            at: list[int] = []
+            out: list[tuple] = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                words = split_words(text)
+                by_label: dict[str, list] = {}
+                for number, first, last in machine.matches([w for w, _, _ in words]):
+                    by_label.setdefault(terms[number][0], []).append((first, last, number))
+                for label, spans in by_label.items():
+                    for first, last, number in leftmost_longest(spans):
+                        start, end = words[first][1], words[last][2]
+                        at.append(row)
+                        out.append((label, " ".join(terms[number][1]), start, end, terms[number][2], text[start:end]))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+            ids = batch.column("query_id").take(pa.array(at, pa.int64()))
+            names = ["query_id", "label", "text", "start", "end", "score", "surface"]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    return run
+
+
+def flatten_entities(entities: Column) -> Column:
+    """Of entities kept as JSON, ``{label: [...]}`` whose items are texts or objects,
+    the texts by label.  An object gives its ``text`` in lower case, and none without one;
+    a text is given as it is.  Null, and what is no JSON object, gives an empty map."""
+    held = F.coalesce(F.from_json(entities, "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
+
+    def item(x: Column) -> Column:
+        is_object = F.coalesce(F.startswith(F.ltrim(x), F.lit("{")) & F.get_json_object(x, "$").isNotNull(), F.lit(False))
+        return F.when(is_object, F.lower(F.get_json_object(x, "$.text"))).otherwise(x)
+
+    flat = lambda items: F.array_compact(F.transform(F.coalesce(items, F.array().cast("array<string>")), item))
+    return F.transform_values(held, lambda _, items: flat(items))
 
 
 def entity_index(codes: DataFrame, gazetteer: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolore.functions.codes import grade
 from cargolore.operators import evaluation as ev
+from cargolore.operators import lambdamart
 from cargolore.plans.tables import Tables
 
 
@@ -65,6 +66,13 @@ def _ltr(t: Tables) -> DataFrame:
     return scored.select("query_id", "place", vector_to_array("probability")[1].alias("score"))
 
 
+def _listwise(t: Tables) -> DataFrame:
+    """A listwise ranker fitted on graded lines and its scores of them."""
+    rows = _grades(t).join(t["ranked"], ["query_id", "place"]).withColumns({"f1": F.col("place").cast("double"), "f2": F.length("hs_code").cast("double"), "f3": F.substring("hs_code", 1, 2).cast("double")})
+    model = lambdamart.fit(rows, ["f1", "f2", "f3"], rounds=5)
+    return rows.select("query_id", "place", "hs_code", model.column().alias("score"))
+
+
 def _perturbed(t: Tables) -> DataFrame:
     gold = t["codes"].select("description", "hs_code")
     return ev.perturb(gold, F.array(*(F.lit(x) for x in ("steel", "copper", "brass", "plated")))).groupBy("kind").agg(F.count("*").alias("n"))
@@ -120,4 +128,12 @@ QUERIES = {
     "synthetic_perturbation": (_perturbed, None),
     "isotonic_fit": (lambda t: ev.isotonic(t["record"]), None),
     "ltr_gbt": (_ltr, None),
+    "ndcg": (
+        lambda t: lambdamart.ndcg_of(_grades(t)),
+        """WITH g AS (SELECT r.query_id, place, CASE WHEN hs_code = gold THEN 4 WHEN substring(hs_code, 1, 4) = substring(gold, 1, 4) THEN 3 WHEN substring(hs_code, 1, 2) = substring(gold, 1, 2) THEN 2
+          WHEN abs(substring(hs_code, 1, 2)::INT - substring(gold, 1, 2)::INT) = 1 THEN 1 ELSE 0 END AS grade FROM ranked AS r JOIN gold USING (query_id)),
+        p AS (SELECT query_id, 2.0::DOUBLE ** grade - 1 AS gain, row_number() OVER (PARTITION BY query_id ORDER BY place, grade) AS i, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS b FROM g),
+        d AS (SELECT query_id, k, coalesce(sum(gain / log2(i + 1)) FILTER (i <= k), 0) AS own, sum(gain / log2(b + 1)) FILTER (b <= k) AS best FROM p, (VALUES (1), (3), (5)) AS x(k) GROUP BY ALL)
+        SELECT k, round(avg(own / best), 6) AS ndcg, count(*) AS n FROM d WHERE best > 0 GROUP BY k"""),
+    "ltr_lambdamart": (_listwise, None),
 }

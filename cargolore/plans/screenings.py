@@ -8,34 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolore.functions.predicates import CONDITIONS
-from cargolore.functions.text import words
 from cargolore.operators import entities, screen
 from cargolore.operators.dashboards import run_plan
 from cargolore.plans.tables import Tables
 
-_CLEAN = "' ' || regexp_replace(lower({}), '[^a-z0-9]', ' ', 'g') || ' '"
-_GAZETTEER = """WITH ga AS (SELECT DISTINCT 'material' AS label, unnest(string_split_regex(lower(p_name), '[^a-z0-9]+')) AS term, 0.9::DOUBLE AS score FROM part
-  UNION SELECT DISTINCT 'form', unnest(string_split_regex(lower(p_type), '[^a-z0-9]+')), 0.8 FROM part UNION SELECT DISTINCT 'dimensions', unnest(string_split_regex(lower(p_brand), '[^a-z0-9]+')), 0.3 FROM part),
-gz AS (SELECT * FROM ga WHERE term <> '' AND score >= 0.4)
+def _spans_sql(texts: str) -> str:
+    """Spans of the gazetteer's terms in ``texts`` (``id, t``): every term at every word, then
+    a reader's way from left to right, then the best of equal terms."""
+    words = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+    return f"""WITH RECURSIVE tx AS (SELECT id, lower(t) AS t, {words.format("t")} AS w FROM ({texts})),
+ts AS (SELECT *, list_filter(range(1, length(t) + 1), lambda p: regexp_matches(substring(t, p, 1), '[a-z0-9]') AND NOT (p > 1 AND regexp_matches(substring(t, p - 1, 1), '[a-z0-9]'))) AS st FROM tx),
+gz AS (SELECT label, array_to_string({words.format("term")}, ' ') AS term, max(score) AS score FROM gazetteer WHERE score >= 0.4 GROUP BY ALL),
+mt AS MATERIALIZED (SELECT id, label, term, score, i, i + k - 1 AS j, st[i] - 1 AS start FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ts) AS x, range(1, 7) AS y(k) JOIN gz ON term = array_to_string(w[i:i + k - 1], ' ') WHERE i + k - 1 <= len(w)),
+lm AS (SELECT DISTINCT id, label, NULL::VARCHAR AS term, NULL::DOUBLE AS score, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS start FROM mt
+  UNION ALL SELECT m.id, m.label, m.term, m.score, m.i, m.j, m.start FROM lm JOIN mt AS m ON m.id = lm.id AND m.label = lm.label AND m.i > lm.j
+  QUALIFY row_number() OVER (PARTITION BY m.id, m.label ORDER BY m.i, m.j DESC) = 1),
+sp AS (SELECT * FROM lm WHERE term IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, label, term ORDER BY score DESC, start) = 1)
 """
 
 
-def gazetteer(t: Tables) -> DataFrame:
-    """Words of part names, types and brands as three labels."""
-    rows = None
-    for label, column, score in (("material", "p_name", 0.9), ("form", "p_type", 0.8), ("dimensions", "p_brand", 0.3)):
-        own = t["part"].select(F.lit(label).alias("label"), F.explode(words(F.col(column))).alias("term"), F.lit(score).alias("score"))
-        rows = own if rows is None else rows.unionByName(own)
-    return rows.distinct()
+_SPOKEN = "SELECT p_partkey AS id, p_type || ', ' || p_name || '/' || p_type || ' ' || p_brand || ' (' || p_name || ')' AS t FROM part"
+_TITLED = "SELECT hs_code AS id, title || ' ' || description AS t FROM taxonomy"
 
 
 def _spans(t: Tables) -> DataFrame:
-    texts = t["codes"].select(F.col("p_partkey").alias("query_id"), F.col("description").alias("text"))
-    return entities.dedupe_spans(entities.gazetteer_spans(texts, gazetteer(t))).select("query_id", "label", "text", F.col("start").cast("long").alias("start"), "score")
+    text = F.concat("p_type", F.lit(", "), "p_name", F.lit("/"), "p_type", F.lit(" "), "p_brand", F.lit(" ("), "p_name", F.lit(")"))
+    spans = entities.gazetteer_spans(t["part"].select(F.col("p_partkey").alias("query_id"), text.alias("text")), t["gazetteer"])
+    return entities.dedupe_spans(spans).select("query_id", "label", "text", F.col("start").cast("long").alias("start"), "score", F.lower("surface").alias("surface"))
 
 
 def _index(t: Tables) -> DataFrame:
-    return entities.entity_index(t["taxonomy"], gazetteer(t))
+    return entities.entity_index(t["taxonomy"], t["gazetteer"])
+
+
+def _flattened(t: Tables) -> DataFrame:
+    """Entities as they are kept: a text, an object, an object without a text."""
+    kept = F.concat(
+        F.lit('{"material": ["'), "p_name", F.lit('", {"text": "'), "p_type", F.lit('", "start": 3, "score": 0.5}], "form": [{"start": 1}], "'), "p_brand", F.lit('": [{"text": "Größe '), "p_size", F.lit('"}]}'),
+    )
+    flat = t["part"].select("p_partkey", F.explode(entities.flatten_entities(kept)).alias("label", "texts"))
+    return flat.select("p_partkey", "label", F.array_join("texts", "|").alias("texts"))
 
 
 def _stamp(t: Tables) -> DataFrame:
@@ -63,7 +75,7 @@ def catalogue(t: Tables) -> DataFrame:
 def _screened(t: Tables) -> DataFrame:
     conditions = F.struct("min_value", F.lit(None).cast("double").alias("max_value"), F.when(F.col("only_currency").isNotNull(), F.array("only_currency")).alias("currency_in"), F.lit(None).cast("map<string,string>").alias("metadata_eq"))
     rules = t["screening"].withColumns({"conditions": conditions.cast(f"struct<{CONDITIONS.replace(' ', ':').replace(',:', ',')}>"), "phrase_group": F.struct("mode", F.col("group_phrases").alias("phrases"))}).drop("mode")
-    return screen.screen(catalogue(t), t["taxonomy"], t["goods"], t["rules"], rules, gazetteer(t), on=dt.date(1998, 1, 1), versions=screen.version_stamp())
+    return screen.screen(catalogue(t), t["taxonomy"], t["goods"], t["rules"], rules, t["gazetteer"], on=dt.date(1998, 1, 1), versions=screen.version_stamp())
 
 
 def _multi(t: Tables) -> DataFrame:
@@ -77,9 +89,15 @@ def _plan(t: Tables) -> DataFrame:
 
 QUERIES = {
     "extract_entities": (
-        _spans, _GAZETTEER + f"SELECT p_partkey AS query_id, label, term AS text, instr({_CLEAN.format('description')}, ' ' || term || ' ') - 1 AS start, score FROM codes, gz WHERE contains({_CLEAN.format('description')}, ' ' || term || ' ')"),
+        _spans,
+        _spans_sql(_SPOKEN) + """SELECT sp.id AS query_id, label, term AS text, start, score, substring(t, start + 1, st[j] + length(w[j]) - 1 - start) AS surface FROM sp JOIN ts USING (id)"""),
     "entity_index": (
-        _index, _GAZETTEER + f"""SELECT DISTINCT hs_code, label AS entity_type, term AS entity_value, CASE label WHEN 'material' THEN 1.0::DOUBLE WHEN 'form' THEN 0.8 ELSE 0.4 END AS weight FROM taxonomy, gz WHERE contains({_CLEAN.format("title || ' ' || description")}, ' ' || term || ' ')"""),
+        _index,
+        _spans_sql(_TITLED) + "SELECT DISTINCT id AS hs_code, label AS entity_type, term AS entity_value, CASE label WHEN 'material' THEN 1.0::DOUBLE WHEN 'form' THEN 0.8 ELSE 0.9 END AS weight FROM sp"),
+    "flatten_entities": (
+        _flattened,
+        """SELECT p_partkey, 'material' AS label, p_name || '|' || lower(p_type) AS texts FROM part UNION ALL SELECT p_partkey, 'form', '' FROM part
+        UNION ALL SELECT p_partkey, p_brand, 'größe ' || p_size FROM part"""),
     "version_stamp": (
         _stamp, "SELECT 'engine' AS k, 'cargolore-1' AS v UNION ALL SELECT 'policy', 'abc' UNION ALL SELECT 'ltr', 'none' UNION ALL SELECT 'refdata.' || source, strftime(max(finished_at), '%Y-%m-%dT%H:%M:%S') FROM run WHERE status = 'success' GROUP BY source"),
     "cover_density": (

@@ -46,6 +46,14 @@ DERIVED = {
                0.3 + (p_partkey % 5) * 0.1 AS threshold, p_partkey % 6 <> 0 AS active, CASE WHEN p_partkey % 5 = 0 THEN 'analyst' WHEN p_partkey % 5 = 1 THEN 'sanctions_source:EU' ELSE 'sanctions_source:KW:' || substring(p_type, 1, 5) END AS created_by,
                CASE WHEN p_partkey % 3 = 1 THEN CAST(20000 AS DOUBLE) ELSE NULL END AS min_value, CASE WHEN p_partkey % 4 = 1 THEN 'EUR' ELSE NULL END AS only_currency
         FROM (SELECT p_name, min(p_partkey) AS p_partkey, min(p_type) AS p_type FROM part GROUP BY p_name) AS named JOIN iso AS f ON f.n_nationkey = p_partkey % 25 JOIN iso AS t ON t.n_nationkey = (p_partkey * 11) % 25""",
+    "gazetteer": """
+        SELECT DISTINCT 'material' AS label, substring(p_name, 1, instr(p_name, ' ') - 1) AS term, CAST(0.9 AS DOUBLE) AS score FROM part
+        UNION ALL SELECT DISTINCT 'material', p_name, CAST(0.95 AS DOUBLE) FROM part
+        UNION ALL SELECT DISTINCT 'form', p_type, CAST(0.8 AS DOUBLE) FROM part
+        UNION ALL SELECT DISTINCT 'form', substring(p_name, instr(p_name, ' ') + 1) || ' -- ' || lower(p_type), CAST(0.7 AS DOUBLE) FROM part
+        UNION ALL SELECT DISTINCT 'end_use', p_type || ' ' || p_brand, CAST(0.6 AS DOUBLE) FROM part
+        UNION ALL SELECT DISTINCT 'end_use', p_name || ', ' || p_type || '/' || p_brand, CAST(0.5 AS DOUBLE) FROM part
+        UNION ALL SELECT DISTINCT 'dimensions', p_brand, CAST(0.3 AS DOUBLE) FROM part""",
     "result": """
         SELECT o_orderkey AS result_id, o_orderdate AS created_at, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE f.iso END AS origin, t.iso AS destination,
                CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderkey % 4 = 0 END AS abstained
@@ -97,4 +105,5 @@ class Tables:
 def sql(body: str) -> str:
     """A query over the driver tables and the derived relations, for DuckDB."""
     views = ",\n".join(f'"{n}" AS ({t})' for n, t in DERIVED.items()).replace("ARRAY(", "list_value(")
-    return f"WITH {views}\n{body}" if not body.lstrip().upper().startswith("WITH") else f"WITH {views},\n{body.lstrip()[4:]}"
+    head = re.match(r"\s*WITH( RECURSIVE)?\b", body)
+    return f"WITH{head[1] or ''} {views},\n{body[head.end():]}" if head else f"WITH {views}\n{body}"
