@@ -144,24 +144,3 @@ def unit(vector: Column) -> Column:
         return bound(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
 
     return bound(vector, scaled)
-
-
-def cover_density(tokens: Column, terms: Column) -> Column:
-    """the sum over the shortest runs of words that hold all terms of one
-    over the run's length; one term gives its count.
-
-    For each place of a term that ends a run, the run starts at the least of the
-    terms' last places before it; runs that hold a shorter one are left out.
-    """
-    n = F.size(terms)
-    places = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(terms, x["w"]))
-    starts = F.transform(
-        places,
-        lambda p: F.struct(
-            F.array_min(F.transform(terms, lambda t: F.coalesce(F.array_max(F.transform(F.filter(places, lambda q: (q["w"] == t) & (q["i"] <= p["i"])), lambda q: q["i"])), F.lit(-1)))).alias("a"),
-            p["i"].alias("b"),
-        ),
-    )
-    runs = F.filter(starts, lambda r: r["a"] >= 0)
-    least = F.filter(runs, lambda r: ~F.exists(runs, lambda o: (o["a"] >= r["a"]) & (o["b"] <= r["b"]) & ((o["a"] > r["a"]) | (o["b"] < r["b"]))))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(least, F.lit(0.0), lambda s, r: s + 1.0 / (r["b"] - r["a"] + 1)))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolore.functions.scores import FEATURE_WEIGHTS, PairScorer, lexical_logit, sigmoid
-from cargolore.functions.text import candidate_text, words
+from cargolore.functions.text import candidate_text
+from cargolore.operators import fulltext
 
 TOP_K = 50
 RRF_K = 60
@@ -118,38 +119,25 @@ def _nearest(shared, k: int, among: bool, step: int = 1024):  # noqa: ANN001, AN
     return run
 
 
-def postings(corpus: DataFrame, text: str = "text", key: str = "hs_code") -> DataFrame:
-    """``term, key, tf`` of every document: the inverted index."""
-    return corpus.select(key, F.explode(words(F.col(text))).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-
-
-def sparse_all(queries: DataFrame, index: DataFrame, key: str = "hs_code") -> DataFrame:
-    """Documents that hold every word of a query (``query_id, text``), with the
-    sum of the words' frequencies; queries without words find nothing."""
-    terms = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).withColumn("n", F.size("w"))
-    terms = terms.select("query_id", "n", F.explode("w").alias("term"))
-    found = terms.join(index, "term").groupBy("query_id", "n", key).agg(F.count("*").alias("hits"), F.sum("tf").alias("rank"))
-    return found.where("hits = n").select("query_id", key, F.col("rank").cast("double").alias("rank"))
-
-
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int = TOP_K, key: str = "hs_code") -> DataFrame:
-    """The ``k`` best of :func:`sparse_all`, normalised by the query's best."""
-    best = rank(sparse_all(queries, index, key), [F.desc("rank"), F.asc(key)], k)
+    """The ``k`` documents of an index of :func:`fulltext.indexed` that best cover
+    all lexemes of a query, normalised by the query's best."""
+    best = rank(fulltext.matches(queries, index, key), [F.desc("rank"), F.asc(key)], k)
     return best.withColumn("sparse_score", F.col("rank") / F.max("rank").over(Window.partitionBy("query_id")))
 
 
 def sparse_with_training(queries: DataFrame, index: DataFrame, examples: DataFrame, k: int = TOP_K, factor: float = 0.9) -> DataFrame:
-    """Codes by words, joined by labelled examples of codes.
-
-    ``index`` has the postings of codes (``term, hs_code, tf``), ``examples`` is a
-    table ``example_id, hs_code, text``.  The ``k`` best of each are normalised by
-    the query's best of both; an example counts ``factor`` of its score for its code,
-    which gets the larger of what it has of both."""
-    own = rank(sparse_all(queries, index), [F.desc("rank"), F.asc("hs_code")], k).select("query_id", "hs_code", F.col("rank").alias("c"), F.lit(0.0).alias("t"))
-    named = examples.where("hs_code IS NOT NULL").select("example_id", "hs_code")
-    found = sparse_all(queries, postings(examples.where("hs_code IS NOT NULL"), key="example_id"), "example_id")
-    taught = rank(found, [F.desc("rank"), F.asc("example_id")], k).join(named, "example_id").select("query_id", "hs_code", F.lit(0.0).alias("c"), F.col("rank").alias("t"))
-    both = own.unionByName(taught).withColumn("top", F.max(F.greatest("c", "t")).over(Window.partitionBy("query_id")))
+    """Codes by their words, joined by labelled examples of codes.
+
+    ``index`` is of codes, ``examples`` is a table ``example_id, hs_code, text``.  The ``k``
+    best of each are normalised by the query's best of both; an example counts ``factor``
+    of its score for its code, which gets the larger of what it has of both."""
+    own = rank(fulltext.matches(queries, index), [F.desc("rank"), F.asc("hs_code")], k).select("query_id", "hs_code", F.col("rank").alias("c"), F.lit(0.0).alias("t"))
+    labelled = examples.where("hs_code IS NOT NULL")
+    found = fulltext.matches(queries, fulltext.indexed(labelled, key="example_id"), "example_id")
+    best = rank(found, [F.desc("rank"), F.asc("example_id")], k).join(labelled.select("example_id", "hs_code"), "example_id")
+    both = own.unionByName(best.select("query_id", "hs_code", F.lit(0.0).alias("c"), F.col("rank").alias("t")))
+    both = both.withColumn("top", F.max(F.greatest("c", "t")).over(Window.partitionBy("query_id")))
     scored = both.groupBy("query_id", "hs_code").agg(F.max(F.greatest(F.col("c"), factor * F.col("t")) / F.col("top")).alias("sparse_score"))
     return rank(scored, [F.desc("sparse_score"), F.asc("hs_code")])
 
@@ -298,7 +286,7 @@ def classify(queries: DataFrame, codes: DataFrame, dense: DataFrame | None = Non
     result of :func:`dense_topk`; ``entities`` pairs of queries and an index;
     ``examples`` labelled texts (``example_id, hs_code, text``).
     """
-    index = postings(codes.withColumn("text", F.concat_ws(" ", "title", "description")))
+    index = fulltext.indexed(codes.withColumn("text", F.concat_ws(" ", "title", "description")))
     branches = {}
     if dense is not None:
         branches["dense"] = dense.withColumnRenamed("similarity", "dense_similarity")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cargolore.functions.predicates import effective, in_scope, satisfied
 from cargolore.functions.scores import PairScorer, lexical_logit, sigmoid
 from cargolore.functions.text import is_short_name, trigrams
-from cargolore.operators.retrieval import RRF_K, dense_topk, postings, rank, sparse_all
+from cargolore.operators import fulltext
+from cargolore.operators.retrieval import RRF_K, dense_topk, rank
 
 ALIAS_FLOOR = 0.3
 #: Good matches that each semantic path gives a query.
@@ -70,10 +71,10 @@ def dense_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: i
 
 
 def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k: int = PATH_K) -> DataFrame:
-    """Goods whose description holds every word of a shipment's ``text``,
-    the ``k`` best of those whose rules cover the route."""
-    index = postings(goods.select("id", "description"), text="description", key="id")
-    found = sparse_all(shipments.select("query_id", "text"), index, key="id")
+    """Goods whose description holds every word of a shipment's ``text`` (as it is,
+    stop words too), the ``k`` that best cover them of those whose rules cover the route."""
+    index = fulltext.indexed(goods, "description", "id", "simple")
+    found = fulltext.matches(shipments.select("query_id", "text"), index, "id", "simple")
     routed = applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules)
     return rank(routed, [F.desc("rank"), F.asc("id")], k).select("query_id", "id", F.col("rank").alias("similarity"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from cargolore.functions.predicates import browses, effective
 from cargolore.functions.scores import lexical_logit, sigmoid
-from cargolore.operators import dashboards
+from cargolore.operators import dashboards, fulltext
 from cargolore.operators import retrieval as r
 from cargolore.operators import screening as s
 from cargolore.plans.tables import Tables
-from cargolore.plans.texts import logit_sql, similarity_sql, trigrams_sql, words_sql
+from cargolore.plans.texts import covers_sql, logit_sql, similarity_sql, trigrams_sql
 
 DAY = dt.date(1998, 1, 1)
 
@@ -34,28 +34,37 @@ def _names(t: Tables) -> DataFrame:
     return t["part"].groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
 
 
+def _asked(t: Tables) -> DataFrame:
+    """Questions of three words and a stop word."""
+    return t["part"].groupBy(F.concat("p_name", F.lit(" of the "), "p_type").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+
+
+_ASKED = "SELECT p_name || ' of the ' || p_type AS text, min(p_partkey) AS query_id FROM part GROUP BY 1"
+
+
 def _sparse(t: Tables) -> DataFrame:
-    index = r.postings(t["codes"].select("p_partkey", F.col("description").alias("text")), key="p_partkey")
-    return r.sparse_topk(_names(t), index, 20, key="p_partkey")
+    text = F.concat(F.col("description"), F.lit(" of "), "title", F.lit("; the "), F.split("description", " ")[2], F.lit(" standard "), F.split("title", " ")[1])
+    index = fulltext.indexed(t["codes"].select("p_partkey", text.alias("text")), key="p_partkey")
+    return r.sparse_topk(_asked(t), index, 20, key="p_partkey")
 
 
-_SPARSE = f"""WITH q AS (SELECT p_name AS text, min(p_partkey) AS query_id FROM part GROUP BY 1), w AS (SELECT query_id, list_distinct({words_sql('text')}) AS w FROM q),
-p AS (SELECT p_partkey, term, count(*) AS tf FROM (SELECT p_partkey, unnest({words_sql('description')}) AS term FROM codes) GROUP BY ALL),
-f AS (SELECT query_id, p_partkey, sum(tf)::DOUBLE AS rank FROM (SELECT query_id, len(w) AS n, unnest(w) AS term FROM w) AS x JOIN p USING (term) GROUP BY query_id, n, p_partkey HAVING count(*) = n),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, p_partkey) - 1 AS pos FROM f QUALIFY pos < 20)
-SELECT query_id, p_partkey, pos, round(rank / max(rank) OVER (PARTITION BY query_id), 6) AS sparse_score FROM k"""
+_TOLD = "SELECT p_partkey AS key, description || ' of ' || title || '; the ' || split_part(description, ' ', 3) || ' standard ' || split_part(title, ' ', 2) AS text FROM codes"
+_SPARSE = f"""WITH {covers_sql(_ASKED, _TOLD)},
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, key) - 1 AS pos FROM rk QUALIFY pos < 20)
+SELECT query_id, key AS p_partkey, pos, round(rank / max(rank) OVER (PARTITION BY query_id), 6) AS sparse_score FROM k"""
 
 
 def _taught(t: Tables) -> DataFrame:
-    index = r.postings(t["codes"].groupBy("hs_code").agg(F.min("description").alias("text")))
+    index = fulltext.indexed(t["codes"].groupBy("hs_code").agg(F.min("description").alias("text")))
     examples = t["part"].select(F.col("p_partkey").alias("example_id"), F.concat_ws(" ", "p_name", "p_name", "p_brand").alias("text")).join(t["codes"].select(F.col("p_partkey").alias("example_id"), "hs_code"), "example_id")
     return r.sparse_with_training(_names(t), index, examples, 5)
 
 
-_TAUGHT = f"""WITH q AS (SELECT min(p_partkey) AS query_id, list_distinct({words_sql("p_name")}) AS w FROM part GROUP BY p_name),
-c AS (SELECT hs_code, {words_sql("min(description)")} AS w FROM codes GROUP BY 1), x AS (SELECT p_partkey AS id, hs_code, {words_sql("p_name || ' ' || p_name || ' ' || p_brand")} AS w FROM part JOIN codes USING (p_partkey)),
-k AS (SELECT query_id, hs_code, len(list_filter(c.w, lambda x: list_contains(q.w, x)))::DOUBLE AS rank FROM q, c WHERE len(q.w) > 0 AND list_has_all(c.w, q.w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, hs_code) <= 5),
-m AS (SELECT query_id, hs_code, len(list_filter(x.w, lambda y: list_contains(q.w, y)))::DOUBLE AS rank FROM q, x WHERE len(q.w) > 0 AND list_has_all(x.w, q.w) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 5),
+_NAMED = "SELECT p_name AS text, min(p_partkey) AS query_id FROM part GROUP BY 1"
+_TAUGHT = f"""WITH {covers_sql(_NAMED, "SELECT hs_code AS key, min(description) AS text FROM codes GROUP BY 1", name="ck")},
+{covers_sql(_NAMED, "SELECT p_partkey AS key, p_name || ' ' || p_name || ' ' || p_brand AS text FROM part", name="xk")},
+k AS (SELECT query_id, key AS hs_code, rank FROM ck QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, key) <= 5),
+m AS (SELECT query_id, hs_code, rank FROM (SELECT * FROM xk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, key) <= 5) JOIN codes ON p_partkey = key),
 b AS (SELECT *, rank AS best FROM k UNION ALL SELECT query_id, hs_code, 0.9::DOUBLE * rank, rank FROM m), s AS (SELECT query_id, hs_code, rank / max(best) OVER (PARTITION BY query_id) AS score FROM b)
 SELECT query_id, hs_code, round(max(score), 6) AS sparse_score FROM s GROUP BY ALL"""
 
@@ -195,11 +204,12 @@ SELECT query_id, id, round(s, 6) AS similarity FROM g WHERE {_ON_ROUTE} QUALIFY
 
 def _sparse_goods(t: Tables) -> DataFrame:
     shipments = _names(t).select("query_id", "text", *_routes(t, "query_id"))
-    return s.sparse_matches(shipments, t["codes"].select(F.col("p_partkey").alias("id"), "description"), t["rules"], 20)
+    text = F.concat("description", F.lit(" of the "), "p_size", F.lit(" "), "title").alias("description")
+    return s.sparse_matches(shipments, t["codes"].select(F.col("p_partkey").alias("id"), text), t["rules"], 20)
 
 
-_SPARSE_GOODS = f"""WITH q AS (SELECT min(p_partkey) AS query_id, list_distinct({words_sql("p_name")}) AS w FROM part GROUP BY p_name), c AS (SELECT p_partkey AS id, {words_sql("description")} AS w FROM codes),
-g AS (SELECT query_id, id, len(list_filter(c.w, lambda x: list_contains(q.w, x)))::DOUBLE AS rank FROM q, c WHERE len(q.w) > 0 AND list_has_all(c.w, q.w))
+_SPARSE_GOODS = f"""WITH {covers_sql(_NAMED, "SELECT p_partkey AS key, description || ' of the ' || p_size || ' ' || title AS text FROM codes", "simple")},
+g AS (SELECT query_id, key AS id, rank FROM rk)
 SELECT query_id, id, rank AS similarity FROM g WHERE {_ON_ROUTE} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 20"""
 
 

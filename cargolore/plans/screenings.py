@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cargolore.functions.predicates import CONDITIONS
 from cargolore.operators import entities, screen
 from cargolore.operators.dashboards import run_plan
+from cargolore.operators.fulltext import cover_density
 from cargolore.plans.tables import Tables
 
 def _spans_sql(texts: str) -> str:
@@ -56,7 +57,7 @@ def _stamp(t: Tables) -> DataFrame:
 
 def _cover(t: Tables) -> DataFrame:
     tokens = F.split(F.lower("text"), "[^a-z0-9]+")
-    return t["benchmark"].select("item_id", F.round(entities.cover_density(tokens, F.array(F.lit("the"))), 6).alias("one"), F.round(entities.cover_density(tokens, F.array(F.lit("the"), F.lit("of"))), 6).alias("two"))
+    return t["benchmark"].select("item_id", F.round(cover_density(tokens, F.array(F.lit("the"))), 6).alias("one"), F.round(cover_density(tokens, F.array(F.lit("the"), F.lit("of"))), 6).alias("two"))
 
 
 def _embedded(t: Tables) -> DataFrame:
@@ -104,7 +105,7 @@ QUERIES = {
         _cover,
         """WITH t AS (SELECT item_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM benchmark), p AS (SELECT item_id, i, w[i] AS w FROM t, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] IN ('the', 'of')),
         n AS (SELECT *, lead(i) OVER x AS j, lead(w) OVER x AS v FROM p WINDOW x AS (PARTITION BY item_id ORDER BY i))
-        SELECT item_id, round(coalesce((SELECT count(*) FROM p WHERE p.item_id = t.item_id AND w = 'the'), 0)::DOUBLE, 6) AS one, round(coalesce((SELECT sum(1.0::DOUBLE / (j - i + 1)) FROM n WHERE n.item_id = t.item_id AND v <> w), 0), 6) AS two FROM t"""),
+        SELECT item_id, round(coalesce((SELECT count(*) FROM p WHERE p.item_id = t.item_id AND w = 'the'), 0) * 0.1::DOUBLE, 6) AS one, round(coalesce((SELECT sum(0.1::DOUBLE / (j - i)) FROM n WHERE n.item_id = t.item_id AND v <> w), 0), 6) AS two FROM t"""),
     "hashed_embedding": (_embedded, "SELECT hs_code, 1.0::DOUBLE AS norm, 64 AS n FROM taxonomy WHERE level < 6"),
     "run_plan": (
         _plan,

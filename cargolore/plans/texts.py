@@ -22,6 +22,25 @@ def trigrams_sql(x: str) -> str:
     return f"list_distinct(flatten(list_transform(list_transform({words}, lambda w: '  ' || w || ' '), lambda w: list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3)))))"
 
 
+def lexemes_sql(x: str, config: str = "english") -> str:
+    """Lexemes by position; the tables' words have two stems other than themselves."""
+    words = f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+    stems = "CASE w WHEN 'economy' THEN 'economi' WHEN 'large' THEN 'larg' WHEN 'the' THEN '' WHEN 'of' THEN '' ELSE w END"
+    return f"list_transform({words}, lambda w: {stems})" if config == "english" else words
+
+
+def covers_sql(queries: str, docs: str, config: str = "english", name: str = "rk") -> str:
+    """CTEs that end in ``name`` (``query_id, key, rank``) of ``queries`` (``query_id, text``) and
+    ``docs`` (``key, text``): all runs from one term to another that hold all terms, less those
+    that hold another of them."""
+    n = name
+    return f"""{n}q AS MATERIALIZED (SELECT query_id, list_distinct(list_filter({lexemes_sql("text", config)}, lambda w: w <> '')) AS q FROM ({queries})),
+{n}d AS MATERIALIZED (SELECT key, {lexemes_sql("text", config)} AS w FROM ({docs})),
+{n}e AS MATERIALIZED (SELECT query_id, key, len(q) AS n, i, w[i] AS t FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM {n}q JOIN {n}d ON len(q) > 0 AND list_has_all(w, q)) WHERE list_contains(q, w[i])),
+{n}r AS (SELECT a.query_id, a.key, a.i AS a, b.i AS b, count(*) AS m FROM {n}e AS a JOIN {n}e AS b ON a.query_id = b.query_id AND a.key = b.key AND a.i <= b.i JOIN {n}e AS x ON x.query_id = a.query_id AND x.key = a.key AND x.i BETWEEN a.i AND b.i GROUP BY ALL HAVING count(DISTINCT x.t) = any_value(a.n)),
+{n} AS (SELECT query_id, key, round(sum(0.1::DOUBLE / (1 + (b - a + 1) - m)), 9) AS rank FROM {n}r AS r WHERE NOT EXISTS (SELECT 1 FROM {n}r AS o WHERE o.query_id = r.query_id AND o.key = r.key AND o.a >= r.a AND o.b <= r.b AND (o.a > r.a OR o.b < r.b)) GROUP BY ALL)"""
+
+
 def similarity_sql(a: str, b: str) -> str:
     """Shared over all elements of two lists of distinct values."""
     both, one, two = f"len(list_intersect({a}, {b}))", f"len({a})", f"len({b})"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from cargolore.plans.tables import sql
-from cargolore.plans.texts import words_sql
+from cargolore.plans.texts import covers_sql
 from test_queries import FOLDER, duck, plain  # noqa: F401
 
 ROUTE = "chr((65 + ({k} % 25) % 26)::INT) || chr((65 + (({k} % 25) * 7) % 26)::INT)"
@@ -15,9 +15,8 @@ WHOLE = {
     "sanctions_dense": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     g AS (SELECT a.vec_id AS query_id, b.vec_id * 5 AS id, list_cosine_similarity(a.e, b.e) AS s FROM v AS a, v AS b WHERE a.vec_id % 20 = 0)
     SELECT query_id, id, round(s, 6) AS similarity FROM g WHERE {COVERED} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10""",
-    "sanctions_sparse": f"""WITH n AS (SELECT p_name, min(p_partkey) AS query_id FROM part GROUP BY 1),
-    q AS (SELECT query_id, list_distinct({words_sql("p_name")}) AS w FROM n), d AS (SELECT p_partkey AS id, {words_sql("description")} AS w FROM codes),
-    g AS (SELECT query_id, id, len(list_filter(d.w, lambda x: list_contains(q.w, x)))::DOUBLE AS rank FROM q, d WHERE len(q.w) > 0 AND list_has_all(d.w, q.w))
+    "sanctions_sparse": f"""WITH {covers_sql("SELECT p_name AS text, min(p_partkey) AS query_id FROM part GROUP BY 1", "SELECT p_partkey AS key, description || ' of the ' || p_size || ' ' || title AS text FROM codes", "simple")},
+    g AS (SELECT query_id, key AS id, rank FROM rk)
     SELECT query_id, id, rank AS similarity FROM g WHERE {COVERED} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) <= 20""",
 }
 

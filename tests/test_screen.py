@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolore.functions.predicates import CONDITIONS
 from cargolore.operators import entities, screen, screening
+from cargolore.operators.fulltext import cover_density
 
 
 def test_spans_are_deduped(spark):
@@ -22,9 +23,9 @@ def test_gazetteer_offsets(spark):
     assert got == [(1, "coil", 18, 22), (1, "steel", 11, 16), (1, "steel", 26, 31)]
 
 
-@pytest.mark.parametrize(("text", "terms", "want"), [("a b a", ["a"], 2.0), ("a x b y a", ["a", "b"], 2 / 3), ("a x", ["a", "b"], 0.0), ("a b c a c b", ["a", "b", "c"], 1 / 3 + 1 / 3 + 1 / 3)])
+@pytest.mark.parametrize(("text", "terms", "want"), [("a b a", ["a"], 0.2), ("a x b y a", ["a", "b"], 0.1), ("a x", ["a", "b"], 0.0), ("a b c a c b", ["a", "b", "c"], 0.3), ("a x x a y b", ["a", "b"], 0.05), ("", ["a"], 0.0)])
 def test_cover_density(spark, text, terms, want):
-    got = spark.range(1).select(entities.cover_density(F.split(F.lit(text), " "), F.array(*(F.lit(t) for t in terms))).alias("x")).first().x
+    got = spark.range(1).select(cover_density(F.split(F.lit(text), " "), F.array(*(F.lit(t) for t in terms))).alias("x")).first().x
     assert got == pytest.approx(want)
 
 
