@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolore.functions.predicates import effective, in_scope, satisfied
-from cargolore.functions.scores import PairScorer, lexical_logit, sigmoid
+from cargolore.functions.scores import PairScorer, bound, lexical_logit, sigmoid
 from cargolore.functions.text import is_short_name, trigrams
 from cargolore.operators import fulltext
 from cargolore.operators.retrieval import RRF_K, dense_topk, rank
 
 ALIAS_FLOOR = 0.3
+#: Texts of a trigram that one task holds against names, about.
+HOT_GRAM = 2048
+#: Words of 64 bits in a signature of trigrams.
+SIGNATURE = 8
 #: Good matches that each semantic path gives a query.
 PATH_K = 50
 
@@ -82,17 +86,49 @@ def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k:
 def alias_matches(parties: DataFrame, aliases: DataFrame, floor: float = ALIAS_FLOOR) -> DataFrame:
     """Goods whose aliases are like a name, by trigrams.
 
-    ``parties``: ``query_id, name``; ``aliases``: ``id, alias``.  Names and
-    aliases meet by equal trigrams (an equi-join), counted and held against the
-    sizes of both sets, so all pairs with a trigram in common are exact.  Names
-    too short to be told apart are left out.
+    ``parties``: ``query_id, name``; ``aliases``: ``id, alias``.  Different names meet
+    different aliases by prefix filtering: trigrams are put in order of how many texts
+    hold them, the rarest first, and of ``n`` trigrams only the first
+    ``n - ceil(floor * n) + 1`` are join keys, as texts that share none of these are less
+    like than ``floor``.  So what nearly all names hold is no key.  Sizes bound the rest, and so
+    do signatures of ``64 * SIGNATURE`` bits: each bit of one that the other lacks is a
+    trigram that is not shared.  What is left counts at its first shared trigram only, and is
+    verified on the whole sets.
+    Names too short to be told apart are left out.
     """
-    left = parties.where(~is_short_name(F.col("name"))).select("query_id", trigrams(F.col("name")).alias("g"))
-    left = left.select("query_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    right = aliases.select("id", "alias", trigrams(F.col("alias")).alias("g")).select("id", "alias", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    met = left.join(right, "gram").groupBy("query_id", "id", "alias", "n", "m").agg(F.count("*").alias("c"))
-    like = met.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("similarity") >= floor)
-    return like.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    if not 0 < floor <= 1:
+        raise ValueError("floor is above 0 and at most 1")
+    named = parties.where(~is_short_name(F.col("name"))).select("query_id", "name")
+    known = aliases.where("alias IS NOT NULL").select("id", "alias")
+    left, right = named.select(F.col("name").alias("text")).distinct(), known.select(F.col("alias").alias("text")).distinct()
+    grams = lambda rows: rows.select("text", F.explode(trigrams(F.col("text"))).alias("gram"))
+    # trigrams of a-z, 0-9 and blanks: 37^3 at most, so they can be sent to all executors
+    often = grams(left).unionByName(grams(right)).groupBy("gram").agg(F.count("*").alias("often"))
+    # the aliases of a frequent trigram are dealt to several tasks, and its names go to each
+    numbers = often.select("gram", F.row_number().over(Window.orderBy("often", "gram")).alias("number"), F.ceil(F.col("often") / HOT_GRAM).cast("int").alias("parts"))
+
+    def keyed(rows: DataFrame, text: str, own: str, n: str) -> DataFrame:
+        bit = F.pmod(F.xxhash64("gram"), F.lit(64 * SIGNATURE))
+        one = F.expr("shiftleft(1L, CAST(pmod(xxhash64(gram), 64) AS INT))")
+        signs = [F.bit_or(F.when(F.floor(bit / 64) == i, one).otherwise(F.lit(0).cast("long"))).alias(f"{own}{i}") for i in range(SIGNATURE)]
+        sets = grams(rows).join(F.broadcast(numbers.drop("parts")), "gram").groupBy("text").agg(F.array_sort(F.collect_list("number")).alias(own), F.count("*").cast("int").alias(n), *signs)
+        prefix = F.slice(own, F.lit(1), F.col(n) - F.ceil(F.col(n) * floor - 1e-9).cast("int") + 1)
+        return sets.withColumnRenamed("text", text).select("*", F.explode(prefix).alias("number")).join(F.broadcast(numbers.drop("gram")), "number")
+
+    a = keyed(left, "name", "g", "n").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    b = keyed(right, "alias", "h", "m").withColumn("part", F.pmod(F.xxhash64("alias"), F.col("parts")).cast("int")).drop("parts")
+    # few bytes and much work: not to be put together in one task
+    tasks = int(parties.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(tasks, "number", "part"), b.repartition(tasks, "number", "part")
+    n, m = F.col("n"), F.col("m")
+    lacking = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}{i}")))) for i in range(SIGNATURE)), F.lit(0))
+    need = (n + m) * (floor / (1 + floor)) - 1e-9
+    possible = (m >= n * floor - 1e-9) & (n >= m * floor - 1e-9) & (n - lacking("g", "h") >= need) & (m - lacking("h", "g") >= need)
+    # null unless the bounds leave the pair; sets are held against each other only then
+    both = F.when(possible, F.array_intersect("g", "h"))
+    like = bound(both, lambda x: F.when(x[0] == F.col("number"), F.size(x) / (n + m - F.size(x))))
+    like = a.join(b, ["number", "part"]).select("name", "alias", like.alias("similarity")).where(F.col("similarity") >= floor)
+    return named.join(like, "name").join(known, "alias").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
 
 
 def merge_matches(paths: dict[str, DataFrame], goods: DataFrame, queries: DataFrame | None = None, *, k: int = RRF_K, head: int = 10, mode: str = "rrf", scorer: PairScorer = lexical_logit) -> DataFrame:

@@ -172,13 +172,13 @@ FROM po JOIN codes ON p_partkey = id JOIN orders ON o_orderkey = query_id"""
 
 
 def _aliases(t: Tables) -> DataFrame:
-    parties = t["supplier"].select(F.col("s_suppkey").alias("query_id"), F.concat("s_name", F.lit(" Trading House")).alias("name"))
-    goods = t["part"].where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Trade House "), "p_brand", F.lit(" "), F.col("p_partkey").cast("string")).alias("alias"))
-    return s.alias_matches(parties, goods, 0.2).withColumn("similarity", F.round("similarity", 6))
+    parties = t["supplier"].join(t["part"], F.col("p_partkey") == F.col("s_suppkey") + 1).select(F.col("s_suppkey").alias("query_id"), F.concat_ws(" ", "s_name", "p_name").alias("name"))
+    goods = t["part"].select(F.col("p_partkey").alias("id"), F.concat(F.lit("Goods "), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit(" "), "p_name").alias("alias"))
+    return s.alias_matches(parties, goods).withColumn("similarity", F.round("similarity", 6))
 
 
-_ALIASES = f"""WITH a AS (SELECT s_suppkey AS query_id, {trigrams_sql("s_name || ' Trading House'")} AS g FROM supplier), b AS (SELECT p_partkey AS id, {trigrams_sql("'Trade House ' || p_brand || ' ' || p_partkey")} AS h FROM part WHERE p_partkey % 5 = 0)
-SELECT query_id, id, round({similarity_sql('g', 'h')}, 6) AS similarity FROM a, b WHERE {similarity_sql('g', 'h')} >= 0.2"""
+_ALIASES = f"""WITH a AS (SELECT s_suppkey AS query_id, {trigrams_sql("s_name || ' ' || p_name")} AS g FROM supplier JOIN part ON p_partkey = s_suppkey + 1), b AS (SELECT p_partkey AS id, {trigrams_sql("'Goods ' || lpad(p_partkey::VARCHAR, 9, '0') || ' ' || p_name")} AS h FROM part)
+SELECT query_id, id, round({similarity_sql('g', 'h')}, 6) AS similarity FROM a, b WHERE {similarity_sql('g', 'h')} >= 0.3"""
 
 
 def _routes(t: Tables, key: str) -> list[Column]:
