@@ -6,21 +6,15 @@ A retrieval result is a table ``query_id, hs_code, pos, ...`` whose ``pos``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolore.functions.scores import FEATURE_WEIGHTS, PairScorer, lexical_logit, sigmoid
 from cargolore.functions.text import candidate_text
-from cargolore.operators import fulltext
+from cargolore.operators import fulltext, vectors
 
 TOP_K = 50
 RRF_K = 60
-#: Query vectors up to so many go to all executors; more are searched block by block.
-BROADCAST_QUERIES = 20_000
 NUMERIC = ("dense_similarity", "dense_via_training", "sparse_score", "entity_overlap_score")
 META = ("level", "chapter", "title", "description")
 
@@ -37,86 +31,12 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP_K, among: tup
     """For each of ``query_id, q`` the ``k`` nearest of ``hs_code, v`` by cosine,
     exact, in double precision; zero vectors and vectors of other lengths are never
     found, ties go to the lesser code.  ``among`` names a list column of each side:
-    only rows that share a value with the query are looked at.
-
-    A stated set of queries is held against all rows: queries are counted and
-    sent to the executors block by block as a matrix of unit rows; each corpus
-    partition multiplies its rows with it and keeps its best ``k``, so what is
-    shuffled is ``k`` rows a query and partition.
+    only rows that share a value with the query are looked at.  Both sides may be large,
+    see :mod:`cargolore.operators.vectors`.
     """
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    types = (queries.schema["query_id"].dataType.simpleString(), corpus.schema["hs_code"].dataType.simpleString())
-    own = [F.col(among[1]).cast("array<string>").alias("keys")] if among else []
-    rows = corpus.select("hs_code", F.col("v").cast("array<double>").alias("v"), *own)
-    out = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        keys = [F.col(among[0]).cast("array<string>").alias("keys")] if among else []
-        table = block.select("query_id", F.col("q").cast("array<double>").alias("q"), *keys).toArrow()  # at most about BROADCAST_QUERIES rows
-        shared = corpus.sparkSession.sparkContext.broadcast(table)
-        found = rows.mapInArrow(_nearest(shared, k, bool(among)), f"query_id {types[0]}, hs_code {types[1]}, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return rank(out, [F.desc(F.round("similarity", 12)), F.asc("hs_code")], k)
-
-
-def _unit_rows(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of one length as unit rows, and which of them have a direction."""
-    v = np.array(lists, dtype=float)
-    norm = np.linalg.norm(v, axis=1)
-    some = np.isfinite(norm) & (norm > 0)
-    return v / np.where(some, norm, 1.0)[:, None], some
-
-
-def _nearest(shared, k: int, among: bool, step: int = 1024):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        ids, vectors = table["query_id"], table["q"].to_pylist()
-        lengths = {len(q) for q in vectors if q}
-        by_length = {n: [i for i, q in enumerate(vectors) if q is not None and len(q) == n and None not in q] for n in lengths}
-        units = {n: (np.array(at), *_unit_rows([vectors[i] for i in at])) for n, at in by_length.items() if at}
-        names: dict[str, int] = {}
-        slots = np.zeros((len(vectors), 0), np.int64)
-        if among:
-            lists = [[names.setdefault(x, len(names)) for x in keys or [] if x is not None] for keys in table["keys"].to_pylist()]
-            slots = np.full((len(vectors), max(map(len, lists), default=0)), -1)
-            for i, own in enumerate(lists):
-                slots[i, : len(own)] = own
-        best: dict[int, list] = {n: [] for n in units}
-
-        def kept(parts: list) -> list:
-            q, code, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.lexsort((code, -np.round(value, 12), q))
-            q, code, value = q[order], code[order], value[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            return [(q[place < k], code[place < k], value[place < k])]
-
-        for batch in batches:
-            for first in range(0, batch.num_rows, step):
-                part = batch.slice(first, step)
-                rows = part.column("v").to_pylist()
-                codes = np.array(part.column("hs_code").to_pylist())
-                for n, (at, unit, some) in units.items():
-                    own = np.array([i for i, v in enumerate(rows) if v is not None and len(v) == n and None not in v], np.int64)
-                    if not len(own):
-                        continue
-                    right, known = _unit_rows([rows[i] for i in own])
-                    met = some[:, None] & known[None, :]
-                    if among:
-                        has = np.zeros((len(own), len(names) + 1), bool)  # the last column stands for no key
-                        for r, i in enumerate(own):
-                            has[r, [names[x] for x in part.column("keys")[i].as_py() or [] if x in names]] = True
-                        allowed = np.zeros(met.shape, bool)
-                        for slot in slots[at].T:
-                            allowed |= has[:, slot].T
-                        met &= allowed
-                    value = np.where(met, unit @ right.T, -2.0)
-                    least = np.partition(value, -k, axis=1)[:, -k] if value.shape[1] > k else np.full(len(value), -2.0)
-                    q, c = np.nonzero(met & (value >= least[:, None] - 1e-11))
-                    best[n] = kept([*best[n], (at[q], codes[own][c], value[q, c])])
-        for q, code, value in (x for parts in best.values() for x in parts):
-            yield pa.RecordBatch.from_arrays([pa.array(ids.take(pa.array(q)).to_pylist(), ids.type), pa.array(code.tolist()), pa.array(value)], names=["query_id", "hs_code", "similarity"])
-
-    return run
+    asked = queries.select("query_id", *(c for c in queries.columns if c != "query_id"))
+    rows = corpus.select("hs_code", *(c for c in corpus.columns if c != "hs_code"))
+    return rank(vectors.nearest(asked, rows, k, among), [F.desc(F.round("similarity", 12)), F.asc("hs_code")], k)
 
 
 def sparse_topk(queries: DataFrame, index: DataFrame, k: int = TOP_K, key: str = "hs_code") -> DataFrame:
