@@ -62,7 +62,7 @@ def test_cells_are_skipped(spark, monkeypatch):
 def test_no_query_reaches_the_driver(spark, monkeypatch):
     """Many queries on few rows: what is collected are cells, and no plan multiplies with the queries."""
     r = np.random.default_rng(1)
-    asked = spark.range(60_000).select(F.col("id").alias("query_id"), F.array(*(F.sin(F.col("id") * (i + 1)) for i in range(4))).alias("q"))
+    asked = spark.range(60_000).select(F.col("id").alias("query_id"), F.array(*(F.sin((F.col("id") + 1) * (i + 1)) for i in range(4))).alias("q"))
     corpus = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(50)], "hs_code int, v array<double>")
     most = []
     plain = type(asked).collect
