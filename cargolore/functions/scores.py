@@ -38,9 +38,22 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
+def lexical_sets(text: Column) -> Column:
+    """What the default scorer reads of a text: its sets of words and trigrams."""
+    return F.struct(F.array_distinct(words(text)).alias("words"), trigrams(text).alias("grams"))
+
+
+def compare_sets(one: Column, two: Column) -> Column:
+    return 6 * (0.6 * set_similarity(one["words"], two["words"]) + 0.4 * set_similarity(one["grams"], two["grams"])) - 3
+
+
 def lexical_logit(query: Column, text: Column) -> Column:
     """The default pair scorer: a logit from shared words and shared trigrams.
 
-    Any ``pandas_udf`` of two strings can stand in for it."""
+    :func:`cargolore.functions.models.pair_scorer` makes scorers of models.  Where many
+    pairs are scored, ``prepare`` makes each text's sets once, and ``compare`` takes two."""
     shared = 0.6 * set_similarity(F.array_distinct(words(query)), F.array_distinct(words(text))) + 0.4 * set_similarity(trigrams(query), trigrams(text))
     return 6 * shared - 3
+
+
+lexical_logit.prepare, lexical_logit.compare = lexical_sets, compare_sets

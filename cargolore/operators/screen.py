@@ -46,7 +46,7 @@ def candidate_view(code: Column, level: Column, chapter: Column, title: Column,
 
 def sanction_matches(
     shipments: DataFrame, codes: DataFrame, goods: DataFrame, rules: DataFrame, aliases: DataFrame | None = None,
-    embed: Callable[[Column], Column] = entities.embed, scorer: PairScorer = lexical_logit,
+    embed: Callable[[Column], Column] = entities.embed, scorer: PairScorer = lexical_logit, embed_query: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``query_id, sanction_matches``, the best first, from the
     structured, dense, sparse and (if there are ``aliases``) alias paths.
@@ -58,7 +58,7 @@ def sanction_matches(
     structured = screening.structured(routed.drop("text").join(codes, "query_id"), goods, rules)
     paths = {
         "structured": structured,
-        "dense": screening.dense_matches(routed.withColumn("q", embed(F.col("text"))), goods.select("id", embed(F.col("description")).alias("v")), rules),
+        "dense": screening.dense_matches(routed.withColumn("q", (embed_query or embed)(F.col("text"))), goods.select("id", embed(F.col("description")).alias("v")), rules),
         "sparse": screening.sparse_matches(routed, goods, rules),
     }
     if aliases is not None:
@@ -82,13 +82,14 @@ def sanction_matches(
 def screen(
     shipments: DataFrame, codes: DataFrame, goods: DataFrame, rules: DataFrame, screening_rules: DataFrame, gazetteer: DataFrame,
     *, on: dt.date, versions: Column, scorer: PairScorer = lexical_logit, aliases: DataFrame | None = None, embed: Callable[[Column], Column] = entities.embed,
+    embed_query: Callable[[Column], Column] | None = None, dense: bool = False, examples: DataFrame | None = None,
 ) -> DataFrame:
     """One nested result for each of ``query_id, text, origin, destination, value,
     currency, metadata``.
 
-    Candidates from the inverted index and the entity index are fused, reranked
-    and scored.  Controlled goods are found by the best codes, by vectors
-    (``embed``) and by words, all on the shipment's route, and by ``aliases``
+    Candidates from words (also of labelled ``examples``, ``example_id, hs_code, text``), from
+    entities and, with ``dense``, from vectors are fused, reranked and scored.  Controlled goods are found by the best codes, by vectors
+    (``embed``; ``embed_query`` for the shipments' side) and by words, all on the shipment's route, and by ``aliases``
     (``id, alias``), and the four lists are merged.  Rules are scored; descriptions of several goods are also classified by
     fragment.  Every part is keyed by ``query_id`` and joined once at the end.
     Candidates and rule scores are persisted on disk while the result is made.
@@ -98,7 +99,12 @@ def screen(
     index = entities.entity_index(codes, gazetteer).persist(StorageLevel.DISK_ONLY)  # read twice
 
     def classified(texts: DataFrame, found: DataFrame) -> DataFrame:
-        return retrieval.classify(texts.select("query_id", "text"), codes, entities=(found.select("query_id", F.col("label").alias("entity_type"), F.col("text").alias("entity_value")), index), scorer=scorer)
+        pairs = found.select("query_id", F.col("label").alias("entity_type"), F.col("text").alias("entity_value"))
+        near = None
+        if dense:
+            asked = texts.select("query_id", (embed_query or embed)(F.col("text")).alias("q"))
+            near = retrieval.dense_topk(asked, codes.select("hs_code", embed(F.concat_ws(" ", "title", "description")).alias("v")))
+        return retrieval.classify(texts.select("query_id", "text"), codes, dense=near, entities=(pairs, index), scorer=scorer, examples=examples)
 
     ranked = classified(clean, spans).persist(StorageLevel.DISK_ONLY)  # read three times
     confident = retrieval.confidence(ranked)
@@ -107,7 +113,7 @@ def screen(
     top = ranked.where(F.col("place") < TOP_CANDIDATES).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", view.alias("c")))), lambda x: x["c"]).alias("top_candidates"))
 
     own_codes = ranked.where(F.col("place") < TOP_CODES).groupBy("query_id").agg(F.collect_set("hs_code").alias("codes"))
-    sanctions = sanction_matches(clean, own_codes, screening.active_goods(goods, on), rules, aliases, embed, scorer)
+    sanctions = sanction_matches(clean, own_codes, screening.active_goods(goods, on), rules, aliases, embed, scorer, embed_query)
 
     fired = screening.score_rules(clean, screening_rules, scorer).persist(StorageLevel.DISK_ONLY)  # read twice
     rule_view = F.struct((-F.col("phrase_similarity")).alias("__o"), "rule_id", "phrase", "phrase_similarity", "threshold", "delta_above_threshold", "conditions_satisfied", "mode", "created_by")

@@ -184,9 +184,15 @@ def score_rules(shipments: DataFrame, rules: DataFrame, scorer: PairScorer = lex
     metadata``.  Routes are matched by equi-joins, one for each of the four
     forms of a rule's route (either end open or not), so no shipment meets a
     rule whose route it does not have; a rule that is open at both ends meets
-    all by definition.
+    all by definition.  Texts and phrases are prepared once each for a scorer that
+    can; each different pair of them is scored once by a scorer of a model.
+    ``pos`` orders a shipment's matches: the most like first, then by rule.
     """
     ready = phrases_of(rules.where("active"))
+    prepare, compare = getattr(scorer, "prepare", None), getattr(scorer, "compare", None)
+    if prepare:
+        shipments = shipments.withColumn("__text", prepare(F.col("text")))
+        ready = ready.withColumn("__phrases", F.transform("all_phrases", prepare))
     out = None
     for origin_open in (True, False):
         for destination_open in (True, False):
@@ -194,9 +200,23 @@ def score_rules(shipments: DataFrame, rules: DataFrame, scorer: PairScorer = lex
             on = [shipments[a] == own[b] for a, b, is_open in (("origin", "rule_origin", origin_open), ("destination", "rule_destination", destination_open)) if not is_open]
             met = shipments.join(own, on) if on else shipments.join(own, how="cross")
             out = met if out is None else out.unionByName(met)
-    each = F.transform("all_phrases", lambda p: F.round(sigmoid(scorer(F.col("text"), p)), 6))
-    out = out.withColumn("per_phrase", each).withColumn("phrase_similarity", F.round(combine(F.col("per_phrase"), F.col("mode")), 4))
+    likeness = lambda logit: F.round(sigmoid(logit), 6)
+    if prepare:
+        each = F.transform("__phrases", lambda p: likeness(compare(F.col("__text"), p)))
+        out = out.withColumn("per_phrase", each).drop("__text", "__phrases")
+    elif getattr(scorer, "vectorised", False):
+        pairs = out.select("text", F.explode("all_phrases").alias("__p")).distinct()
+        scored = pairs.select(F.col("text").alias("__t"), "__p", likeness(scorer(F.col("text"), F.col("__p"))).alias("__s"))
+        by_text = out.select("text", "all_phrases").distinct().select("text", "all_phrases", F.explode("all_phrases").alias("__q"))
+        by_text = by_text.join(scored, F.col("text").eqNullSafe(F.col("__t")) & (F.col("__q") == F.col("__p")))
+        lists = by_text.groupBy(F.col("text").alias("__t"), F.col("all_phrases").alias("__a")).agg(F.map_from_entries(F.collect_set(F.struct("__p", "__s"))).alias("__m"))
+        out = out.join(lists, F.col("text").eqNullSafe(F.col("__t")) & (F.col("all_phrases") == F.col("__a")))
+        out = out.withColumn("per_phrase", F.transform("all_phrases", lambda p: F.element_at("__m", p))).drop("__t", "__a", "__m")
+    else:
+        out = out.withColumn("per_phrase", F.transform("all_phrases", lambda p: likeness(scorer(F.col("text"), p))))
+    out = out.withColumn("phrase_similarity", F.round(combine(F.col("per_phrase"), F.col("mode")), 4))
     ok = satisfied(F.col("conditions"), F.col("value"), F.col("currency"), F.col("metadata"))
+    out = rank(out, [F.desc("phrase_similarity"), F.asc("rule_id")])
     return out.withColumns({
         "delta_above_threshold": F.round(F.col("phrase_similarity") - F.col("threshold"), 4),
         "conditions_satisfied": F.when(F.col("conditions").isNull(), F.lit(True)).otherwise(ok),
