@@ -15,7 +15,21 @@ from cargolore.functions.text import phrases
 GOODS = ("source", "source_record_id", "description", "hs_codes", "restriction_type", "provenance_url", "valid_from", "valid_to")
 
 
-def content_hash(columns: tuple[str, ...] = GOODS, lists: tuple[str, ...] = ("hs_codes",)) -> Column:
+#: With these the hash also tells routes: see :func:`with_country_rules`.
+GOODS_AND_RULES = (*GOODS, "country_rules")
+LISTS = ("hs_codes", "country_rules")
+
+
+def with_country_rules(goods: DataFrame, rules: DataFrame) -> DataFrame:
+    """B1: ``goods`` with their active rules' routes as ``country_rules``; none are an empty list."""
+    rule = F.struct(F.col("rule_origin").alias("origin"), F.col("rule_destination").alias("destination"), F.col("restriction_type").alias("restriction"))
+    own = rules.where("active").groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_set(rule)).alias("country_rules"))
+    none = F.array().cast("array<struct<origin:string,destination:string,restriction:string>>")
+    joined = goods.join(own, goods["id"] == own["__id"], "left").drop("__id")
+    return joined.withColumn("country_rules", F.coalesce("country_rules", none))
+
+
+def content_hash(columns: tuple[str, ...] = GOODS, lists: tuple[str, ...] = LISTS) -> Column:
     """B1: SHA-256 of a canonical JSON of the columns; lists count as sets."""
     own = [(F.array_sort(F.array_distinct(F.col(c))) if c in lists else F.col(c)).alias(c) for c in sorted(columns)]
     return F.sha2(F.to_json(F.struct(*own), {"ignoreNullFields": "false"}), 256)

@@ -168,6 +168,14 @@ def _stream(t: Tables) -> DataFrame:
     return spark.read.parquet(f"{out}/batch=*")
 
 
+def _route_changes(t: Tables) -> DataFrame:
+    """A feed in which licensed routes are blocked: only goods with such a route change."""
+    current = t["goods"].where("sys_to IS NULL")
+    blocked = t["rules"].withColumn("restriction_type", F.lit("blocked"))
+    changes = tm.bitemporal_changes(tm.with_country_rules(current, blocked), tm.with_country_rules(current, t["rules"]), content=tm.GOODS_AND_RULES)
+    return changes.select("source", "source_record_id", "action")
+
+
 def _replaced(t: Tables) -> DataFrame:
     new = t["codes"].where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.lit("XX").alias("rule_origin"), F.lit(None).cast("string").alias("rule_destination"), F.lit("blocked").alias("restriction_type"), F.lit(True).alias("active"))
     return tm.replace_routes(t["rules"], new.unionByName(new)).groupBy("id", "rule_origin", "rule_destination").agg(F.count("*").alias("n"))
@@ -220,6 +228,10 @@ SELECT DISTINCT lower(root) || substring(u, length(root) + 1) AS url FROM d WHER
 
 
 QUERIES = {
+    "country_rule_changes": (
+        _route_changes,
+        """WITH ru AS (SELECT id, bool_or(restriction_type = 'license') AS changed FROM rules WHERE active GROUP BY id)
+        SELECT source, source_record_id, CASE WHEN coalesce(changed, FALSE) THEN 'update' ELSE 'keep' END AS action FROM goods LEFT JOIN ru USING (id) WHERE sys_to IS NULL"""),
     "content_hash_diff": (_changes, _FEED + "SELECT source, source_record_id, action FROM pl"),
     "bitemporal_upsert": (_upserted, _UPSERT),
     "point_in_time": (_replayed, "SELECT source, count(*) AS n, min(id) AS first FROM goods GROUP BY 1"),

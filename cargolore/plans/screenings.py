@@ -79,8 +79,11 @@ def _screened(t: Tables) -> DataFrame:
     return screen.screen(catalogue(t), t["taxonomy"], t["goods"], t["rules"], rules, t["gazetteer"], on=dt.date(1998, 1, 1), versions=screen.version_stamp())
 
 
+_MATERIALS = ("steel", "brass", "copper", "red", "blue", "green", "small", "large", "economy", "standard", "promo")
+
+
 def _multi(t: Tables) -> DataFrame:
-    return screen.split_goods(catalogue(t), F.array(*(F.lit(x) for x in ("steel", "brass", "copper", "red", "blue", "green", "small", "large", "economy", "standard", "promo")))).select("parent_id", "fragment", "text")
+    return screen.split_goods(catalogue(t), F.array(*map(F.lit, _MATERIALS))).select("parent_id", "fragment", "text")
 
 
 def _plan(t: Tables) -> DataFrame:
@@ -111,6 +114,11 @@ QUERIES = {
         _plan,
         """SELECT 's' || n.n_nationkey AS source, CASE WHEN n.n_nationkey % 4 = 1 THEN 'no_files' WHEN n.n_nationkey % 2 = 0 AND coalesce(o.n_nationkey % 3, 0) <= 0 THEN 'dependency_empty' ELSE 'run' END AS action
         FROM nation AS n LEFT JOIN nation AS o ON o.n_nationkey = n.n_nationkey + 1"""),
-    "multi_commodity": (_multi, None),
+    "multi_commodity": (
+        _multi,
+        f"""WITH f AS (SELECT p_partkey::VARCHAR AS parent_id, [p_name, 'large ' || p_type] AS f FROM part WHERE p_partkey % 3 = 0 AND length(p_name) >= 5),
+        m AS (SELECT *, list_transform(f, lambda x: list_filter([{", ".join(f"'{m}'" for m in _MATERIALS)}], lambda y: contains(lower(x), y))) AS m FROM f),
+        s AS (SELECT *, list_filter([1, 2], lambda i: len(m[i]) > 0) AS held FROM m WHERE len(list_distinct(flatten(m))) >= 2)
+        SELECT parent_id, (i - 1)::INT AS fragment, f[i] AS text FROM (SELECT *, unnest([1, 2]) AS i FROM s WHERE len(held) = 2)"""),
     "screen_shipments": (_screened, None),
 }

@@ -103,7 +103,13 @@ class Tables:
 
 
 def sql(body: str) -> str:
-    """A query over the driver tables and the derived relations, for DuckDB."""
-    views = ",\n".join(f'"{n}" AS ({t})' for n, t in DERIVED.items()).replace("ARRAY(", "list_value(")
+    """A query over the driver tables and the derived relations that it may name, for DuckDB."""
+    needed, words = set(), set(re.findall(r"\w+", body))
+    while found := {n for n in DERIVED if n in words} - needed:
+        needed |= found
+        words = {w for n in found for w in re.findall(r"\w+", DERIVED[n])}
+    views = ",\n".join(f'"{n}" AS ({t})' for n, t in DERIVED.items() if n in needed).replace("ARRAY(", "list_value(")
+    if not views:
+        return body
     head = re.match(r"\s*WITH( RECURSIVE)?\b", body)
     return f"WITH{head[1] or ''} {views},\n{body[head.end():]}" if head else f"WITH {views}\n{body}"
