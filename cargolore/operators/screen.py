@@ -95,43 +95,50 @@ def screen(
     Candidates and rule scores are persisted on disk while the result is made.
     """
     clean = shipments.withColumn("text", normalize(F.col("text")))
-    spans = entities.dedupe_spans(entities.gazetteer_spans(clean.select("query_id", "text"), gazetteer)).persist(StorageLevel.DISK_ONLY)  # read four times
+    # what follows from a text alone is found once for each different text, which is its id
+    texts = clean.select(F.col("text").alias("query_id"), "text").distinct()
+    spans = entities.dedupe_spans(entities.gazetteer_spans(texts, gazetteer)).persist(StorageLevel.DISK_ONLY)  # read four times
     index = entities.entity_index(codes, gazetteer).persist(StorageLevel.DISK_ONLY)  # read twice
 
-    def classified(texts: DataFrame, found: DataFrame) -> DataFrame:
+    def classified(asked: DataFrame, found: DataFrame) -> DataFrame:
         pairs = found.select("query_id", F.col("label").alias("entity_type"), F.col("text").alias("entity_value"))
         near = None
         if dense:
-            asked = texts.select("query_id", (embed_query or embed)(F.col("text")).alias("q"))
-            near = retrieval.dense_topk(asked, codes.select("hs_code", embed(F.concat_ws(" ", "title", "description")).alias("v")))
-        return retrieval.classify(texts.select("query_id", "text"), codes, dense=near, entities=(pairs, index), scorer=scorer, examples=examples)
+            vectors = asked.select("query_id", (embed_query or embed)(F.col("text")).alias("q"))
+            near = retrieval.dense_topk(vectors, codes.select("hs_code", embed(F.concat_ws(" ", "title", "description")).alias("v")))
+        return retrieval.classify(asked.select("query_id", "text"), codes, dense=near, entities=(pairs, index), scorer=scorer, examples=examples)
 
-    ranked = classified(clean, spans).persist(StorageLevel.DISK_ONLY)  # read three times
+    ranked = classified(texts, spans).persist(StorageLevel.DISK_ONLY)  # read three times
     confident = retrieval.confidence(ranked)
-    held = retrieval.abstention(clean, confident)
+    held = retrieval.abstention(texts, confident)
     view = candidate_view(*(F.col(c) for c in ("hs_code", "level", "chapter", "title", "description", "score", "score_components")))
     top = ranked.where(F.col("place") < TOP_CANDIDATES).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", view.alias("c")))), lambda x: x["c"]).alias("top_candidates"))
 
-    own_codes = ranked.where(F.col("place") < TOP_CODES).groupBy("query_id").agg(F.collect_set("hs_code").alias("codes"))
+    of_text = ranked.where(F.col("place") < TOP_CODES).groupBy(F.col("query_id").alias("text")).agg(F.collect_set("hs_code").alias("codes"))
+    own_codes = clean.select("query_id", "text").join(of_text, "text").select("query_id", "codes")
     sanctions = sanction_matches(clean, own_codes, screening.active_goods(goods, on), rules, aliases, embed, scorer, embed_query)
 
     fired = screening.score_rules(clean, screening_rules, scorer).persist(StorageLevel.DISK_ONLY)  # read twice
-    rule_view = F.struct((-F.col("phrase_similarity")).alias("__o"), "rule_id", "phrase", "phrase_similarity", "threshold", "delta_above_threshold", "conditions_satisfied", "mode", "created_by")
-    by_rule = fired.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(rule_view)), lambda x: x.dropFields("__o")).alias("rule_matches"))
+    rule_view = F.struct("pos", "rule_id", "phrase", "phrase_similarity", "threshold", "delta_above_threshold", "conditions_satisfied", "mode", "created_by")
+    by_rule = fired.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(rule_view)), lambda x: x.dropFields("pos")).alias("rule_matches"))
     by_list = screening.group_by_list(fired).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("top_similarity")).alias("__o"), "list", "top_phrase", "top_similarity", "n_above_threshold", "n_total"))).alias("rule_matches_by_list"))
 
-    materials = spans.where("label = 'material'").groupBy(F.col("query_id").alias("__q")).agg(F.collect_set("text").alias("materials"))
-    parts = split_goods(shipments.join(materials, F.col("query_id") == F.col("__q")), F.col("materials"))
-    part_text = parts.select("query_id", normalize(F.col("text")).alias("text"))
-    part_spans = entities.dedupe_spans(entities.gazetteer_spans(part_text, gazetteer))
-    part_best = classified(part_text, part_spans).where("place = 0").select("query_id", view.alias("c"))
-    multi = parts.join(part_best, "query_id").groupBy(F.col("parent_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "text", "c"))), lambda x: x["c"]).alias("multi_commodity"))
+    # fragments are of the descriptions as they came
+    materials = spans.where("label = 'material'").groupBy(F.col("query_id").alias("__text")).agg(F.collect_set("text").alias("materials"))
+    named = shipments.withColumn("__text", normalize(F.col("text"))).join(materials, "__text")
+    parts = split_goods(named, F.col("materials")).withColumn("clean", normalize(F.col("text"))).persist(StorageLevel.DISK_ONLY)  # read twice
+    part_texts = parts.select(F.col("clean").alias("query_id"), F.col("clean").alias("text")).distinct()
+    part_spans = entities.dedupe_spans(entities.gazetteer_spans(part_texts, gazetteer))
+    part_best = classified(part_texts, part_spans).where("place = 0").select(F.col("query_id").alias("clean"), view.alias("c"))
+    multi = parts.join(part_best, "clean").groupBy(F.col("parent_id").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("fragment", "text", "c"))), lambda x: x["c"]).alias("multi_commodity"))
 
     entity_map = spans.groupBy("query_id", "label").agg(F.array_sort(F.collect_list("text")).alias("v")).groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "v"))).alias("extracted_entities"))
-    out = shipments.select("query_id")
-    for part in (held, top, confident.select("query_id", "entropy_topk", "cross_source_agreement", "chapter_distribution"), sanctions, by_rule, by_list, multi, entity_map):
-        taken = [c for c in part.columns if c == "query_id" or c not in out.columns]
-        out = out.join(part.select(*taken), "query_id", "left")
+    told = texts.select("query_id")
+    for part in (held, top, confident.select("query_id", "entropy_topk", "cross_source_agreement", "chapter_distribution"), entity_map):
+        told = told.join(part.select(*(c for c in part.columns if c == "query_id" or c not in told.columns)), "query_id", "left")
+    out = clean.select("query_id", "text").join(told.withColumnRenamed("query_id", "text"), "text", "left")
+    for part in (sanctions, by_rule, by_list, multi):
+        out = out.join(part, "query_id", "left")
     metrics = F.struct("top1_score", "top1_minus_top2", "entropy_topk", "chapter_consensus", "cross_source_agreement")
     classification = F.struct(
         "top_candidates", "chapter_distribution", metrics.alias("confidence_metrics"), "abstained", "abstain_reason", "fallback_level", "fallback_code", "multi_commodity"
