@@ -128,8 +128,14 @@ def entity_index(codes: DataFrame, gazetteer: DataFrame) -> DataFrame:
 
 def embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The default embedding: hashed words with signs, of length one (all
-    zero without words).  A ``pandas_udf`` of a model can stand in for it."""
-    placed = F.transform(words(text), lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("i"), F.when(F.pmod(F.hash(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    zero without words).  A word's place is the first half, its sign the parity of the
+    second half, of the first 16 digits of its MD5, so any engine can give the
+    same vectors.  A ``pandas_udf`` of a model can stand in for it."""
+
+    def part(w: Column, start: int) -> Column:
+        return F.conv(F.substring(F.md5(w), start, 8), 16, 10).cast("long")
+
+    placed = F.transform(words(text), lambda w: F.struct((part(w, 1) % dimensions).alias("i"), F.when(part(w, 9) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
 
     def summed(own: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(own, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))

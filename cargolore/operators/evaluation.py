@@ -223,16 +223,19 @@ def seeded_sample(rows: DataFrame, stratum: str, key: str, per: int, target: int
 def perturb(rows: DataFrame, nouns: Column, seed: int = 42) -> DataFrame:
     """F23, T: ``description, hs_code`` as they are (``real``) and changed: a noun
     dropped, or the code exchanged with that of another row of the same chapter
-    or of the next one in a seeded order."""
+    or of the next one in a seeded order.
+
+    The next row comes from places over the whole table, so a chapter is no task."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("description")))
     chapter = F.substring("hs_code", 1, 2)
     base = rows.select("description", "hs_code", order.alias("__o"), chapter.alias("__c"), F.array_intersect(F.split("description", " "), nouns).alias("__nouns"))
     real = base.select("description", "hs_code", F.lit("real").alias("kind"))
-    pick = F.element_at("__nouns", (F.pmod(F.xxhash64("__o"), F.size("__nouns")) + 1).cast("int"))
+    pick = F.element_at("__nouns", (F.conv(F.substring("__o", 1, 8), 16, 10).cast("long") % F.size("__nouns") + 1).cast("int"))
     dropped = base.where("size(__nouns) > 0").select(F.array_join(F.array_remove(F.split("description", " "), pick), " ").alias("description"), "hs_code", F.lit("drop_noun").alias("kind"))
-    inside = Window.partitionBy("__c").orderBy("__o")
-    swapped = base.withColumn("__s", F.lead("hs_code").over(inside)).where("__s <> hs_code").select("description", F.col("__s").alias("hs_code"), F.lit("in_chapter_swap").alias("kind"))
-    heads = base.groupBy("__c").agg(F.min_by("hs_code", "__o").alias("__h"))
+    placed = numbered(base.where("__o IS NOT NULL AND __c IS NOT NULL"), [F.col(c) for c in ("__c", "__o", "description", "hs_code")], "__at")
+    after = placed.select((F.col("__at") - 1).alias("__at"), F.col("__c"), F.col("hs_code").alias("__s"))
+    swapped = placed.join(after, ["__at", "__c"]).where("__s <> hs_code").select("description", F.col("__s").alias("hs_code"), F.lit("in_chapter_swap").alias("kind"))
+    heads = base.groupBy("__c").agg(F.min_by("hs_code", F.struct("__o", "description", "hs_code")).alias("__h"))
     heads = heads.withColumn("__n", F.coalesce(F.lead("__h").over(Window.orderBy("__c")), F.first("__h").over(Window.orderBy("__c")))).select("__c", "__n")
     crossed = base.join(F.broadcast(heads), "__c").where("substring(__n, 1, 2) <> __c").select("description", F.col("__n").alias("hs_code"), F.lit("cross_chapter_swap").alias("kind"))
     return real.unionByName(dropped).unionByName(swapped).unionByName(crossed)

@@ -75,7 +75,20 @@ def _listwise(t: Tables) -> DataFrame:
 
 def _perturbed(t: Tables) -> DataFrame:
     gold = t["codes"].select("description", "hs_code")
-    return ev.perturb(gold, F.array(*(F.lit(x) for x in ("steel", "copper", "brass", "plated")))).groupBy("kind").agg(F.count("*").alias("n"))
+    return ev.perturb(gold, F.array(*map(F.lit, _NOUNS)))
+
+
+_NOUNS = ("steel", "copper", "brass", "plated")
+_PERTURBED = f"""WITH b AS (SELECT description, hs_code, md5('42:' || description) AS o, substring(hs_code, 1, 2) AS c, string_split(description, ' ') AS w FROM codes),
+n AS (SELECT *, list_filter(w, lambda x, i: x IN {_NOUNS} AND list_position(w, x) = i) AS nouns FROM b),
+d AS (SELECT *, nouns[('0x' || substring(o, 1, 8))::BIGINT % len(nouns) + 1] AS noun FROM n WHERE len(nouns) > 0),
+s AS (SELECT *, lead(hs_code) OVER (PARTITION BY c ORDER BY o, description, hs_code) AS other FROM b),
+h AS (SELECT c, hs_code AS head FROM b QUALIFY row_number() OVER (PARTITION BY c ORDER BY o, description, hs_code) = 1),
+x AS (SELECT c, coalesce(lead(head) OVER (ORDER BY c), first(head) OVER (ORDER BY c)) AS other FROM h)
+SELECT description, hs_code, 'real' AS kind FROM b
+UNION ALL SELECT array_to_string(list_filter(w, lambda x: x <> noun), ' '), hs_code, 'drop_noun' FROM d
+UNION ALL SELECT description, other, 'in_chapter_swap' FROM s WHERE other <> hs_code
+UNION ALL SELECT description, other, 'cross_chapter_swap' FROM b JOIN x USING (c) WHERE substring(other, 1, 2) <> c"""
 
 
 def _sample(t: Tables) -> DataFrame:
@@ -125,7 +138,7 @@ QUERIES = {
         _sample,
         """WITH n AS (SELECT p_partkey, substring(hs_code, 1, 2) AS chapter, md5('42:' || p_partkey) AS o, row_number() OVER (PARTITION BY substring(hs_code, 1, 2) ORDER BY md5('42:' || p_partkey), p_partkey) AS i FROM codes)
         SELECT p_partkey, chapter FROM n WHERE i <= 2 ORDER BY o, p_partkey LIMIT 100"""),
-    "synthetic_perturbation": (_perturbed, None),
+    "synthetic_perturbation": (_perturbed, _PERTURBED),
     "isotonic_fit": (lambda t: ev.isotonic(t["record"]), None),
     "ltr_gbt": (_ltr, None),
     "ndcg": (

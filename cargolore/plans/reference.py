@@ -58,14 +58,14 @@ def _replayed(t: Tables) -> DataFrame:
 
 def _materialized(t: Tables) -> DataFrame:
     config = t.spark.createDataFrame([("EU", True, 0.5, "split_lists"), ("BIS", True, 0.6, "with_aliases"), ("KW:metals", True, 0.7, "description_only"), ("KW:foods", False, 0.7, "description_only")], "source string, enabled boolean, default_threshold double, phrase_strategy string")
-    aliases = t["part"].where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("alias"))
+    aliases = t["part"].select(F.col("p_partkey").alias("id"), F.upper("p_name").alias("alias"))
     return tm.materialized_rules(t["goods"], t["rules"], aliases, config)
 
 
 _MATERIALIZED = """WITH ro AS (SELECT DISTINCT id, rule_origin, rule_destination FROM rules WHERE active),
 co AS (SELECT * FROM (VALUES ('EU', 0.5::DOUBLE), ('BIS', 0.6), ('KW:metals', 0.7)) AS x(source, threshold)),
 ma AS (SELECT g.source || ':' || source_record_id || '::' || coalesce(rule_origin, '*') || '->' || coalesce(rule_destination, '*') AS name, 'sanctions_source:' || g.source AS created_by, description AS phrase, threshold, g.id,
-       CASE WHEN g.source = 'BIS' AND g.id % 10 = 0 THEN 2 WHEN g.source = 'EU' AND g.id % 10 = 0 THEN 2 ELSE 1 END AS n_phrases
+       CASE WHEN g.source IN ('BIS', 'EU') THEN 2 ELSE 1 END AS n_phrases
        FROM goods AS g JOIN co ON co.source = g.source LEFT JOIN ro ON ro.id = g.id WHERE sys_to IS NULL)
 """
 
@@ -98,8 +98,10 @@ def _keywords(t: Tables) -> DataFrame:
 
 
 def _crosswalk(t: Tables) -> DataFrame:
-    controls = t["part"].groupBy(F.regexp_replace("p_brand", "#", " # ").alias("control_code")).agg(F.count("*").alias("n_parts"))
-    walk = t["codes"].join(t["part"].select("p_partkey", F.lower("p_brand").alias("control_code")), "p_partkey").where("p_partkey % 7 = 0").select("control_code", F.concat("hs_code", F.lit("; 12")).alias("hs_code"))
+    """Brands are controls that the crosswalk knows, makers are controls that it does not."""
+    codes = F.explode(F.array(F.regexp_replace("p_brand", "#", " # "), F.concat(F.lit("maker of "), "p_brand"))).alias("control_code")
+    controls = t["part"].select(codes).groupBy("control_code").agg(F.count("*").alias("n_parts"))
+    walk = t["codes"].join(t["part"].select("p_partkey", F.lower("p_brand").alias("control_code")), "p_partkey").select("control_code", F.concat("hs_code", F.lit("; 12")).alias("hs_code"))
     return src.with_crosswalk(controls, walk).select("control_code", "n_parts", F.size("hs_codes").alias("n_codes"), F.array_join("hs_codes", ",").alias("codes"))
 
 
@@ -110,9 +112,11 @@ def _routes(t: Tables) -> DataFrame:
 
 
 def _absent(t: Tables) -> DataFrame:
-    old = t["codes"].where("p_partkey % 2 = 0").select("hs_code", "title")
-    new = t["codes"].select("hs_code", F.upper("title").alias("title"))
-    return tm.insert_absent(new, old, ["hs_code"]).groupBy("hs_code").agg(F.count("*").alias("n"), F.min("title").alias("title"))
+    """A third of the keys has a null in its second part."""
+    keyed = t["codes"].select("p_partkey", "hs_code", F.expr("CASE WHEN p_size % 3 > 0 THEN p_size % 3 END").alias("variant"), "title")
+    old = keyed.where("p_partkey % 2 = 0").drop("p_partkey")
+    new = keyed.drop("p_partkey").withColumn("title", F.upper("title"))
+    return tm.insert_absent(new, old, ["hs_code", "variant"]).groupBy("hs_code", "variant").agg(F.count("*").alias("n"), F.min("title").alias("title"))
 
 
 def _upsert_codes(t: Tables) -> DataFrame:
@@ -257,12 +261,17 @@ QUERIES = {
         SELECT arg_min(k, pos) AS keyword, min(pos) AS pos, substring(sha1(lower(k)), 1, 12) AS record FROM k GROUP BY lower(k)"""),
     "crosswalk_join": (
         _crosswalk,
-        """WITH w AS (SELECT p_brand, string_agg(DISTINCT hs_code, ',' ORDER BY hs_code) AS codes, count(DISTINCT hs_code) AS n FROM (SELECT p_brand, hs_code FROM codes JOIN part USING (p_partkey) WHERE p_partkey % 7 = 0 UNION ALL SELECT p_brand, '12' FROM part WHERE p_partkey % 7 = 0) GROUP BY 1)
-        SELECT replace(p_brand, '#', ' # ') AS control_code, count(*) AS n_parts, coalesce(any_value(w.n), 0)::INT AS n_codes, coalesce(any_value(codes), '') AS codes FROM part LEFT JOIN w USING (p_brand) GROUP BY 1"""),
+        """WITH w AS (SELECT p_brand, string_agg(DISTINCT hs_code, ',' ORDER BY hs_code) AS codes, count(DISTINCT hs_code) AS n FROM (SELECT p_brand, hs_code FROM codes JOIN part USING (p_partkey) UNION ALL SELECT p_brand, '12' FROM part) GROUP BY 1)
+        SELECT replace(p_brand, '#', ' # ') AS control_code, count(*) AS n_parts, coalesce(any_value(w.n), 0)::INT AS n_codes, coalesce(any_value(codes), '') AS codes FROM part LEFT JOIN w USING (p_brand) GROUP BY 1
+        UNION ALL SELECT 'maker of ' || p_brand, count(*), 0, '' FROM part GROUP BY 1"""),
     "country_rules": (
         _routes,
         """SELECT iso, NULL::VARCHAR AS rule_origin, iso AS rule_destination FROM iso WHERE n_nationkey % 4 IN (0, 2) UNION ALL SELECT iso, iso, NULL FROM iso WHERE n_nationkey % 4 IN (1, 2) UNION ALL SELECT iso, NULL, NULL FROM iso WHERE n_nationkey % 4 = 3"""),
-    "insert_absent": (_absent, "WITH o AS (SELECT hs_code, title FROM codes WHERE p_partkey % 2 = 0), n AS (SELECT hs_code, upper(min(title)) AS title FROM codes WHERE hs_code NOT IN (SELECT hs_code FROM o) GROUP BY 1) SELECT hs_code, count(*) AS n, min(title) AS title FROM (FROM o UNION ALL FROM n) GROUP BY 1"),
+    "insert_absent": (
+        _absent,
+        """WITH k AS (SELECT p_partkey, hs_code, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END AS variant, title FROM codes), o AS (SELECT hs_code, variant, title FROM k WHERE p_partkey % 2 = 0),
+        n AS (SELECT hs_code, variant, upper(min(title)) AS title FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.hs_code = k.hs_code AND o.variant IS NOT DISTINCT FROM k.variant) GROUP BY 1, 2)
+        SELECT hs_code, variant, count(*) AS n, min(title) AS title FROM (FROM o UNION ALL FROM n) GROUP BY 1, 2"""),
     "upsert_codes": (_upsert_codes, "SELECT hs_code, CASE WHEN p_partkey % 3 = 0 THEN upper(title) ELSE title END AS title FROM codes"),
     "rule_versions": (
         _versions,
@@ -278,8 +287,8 @@ QUERIES = {
         lambda t: tm.can_cut_over(t["goods"].withColumn("v2", F.when(F.col("id") % 100 != 5, F.col("description"))), "v2"),
         "SELECT count(*) AS n_current, count(*) FILTER (id % 100 = 5) AS n_missing, count(*) FILTER (id % 100 = 5) = 0 AS ready FROM goods WHERE sys_to IS NULL"),
     "feedback_to_gold": (
-        lambda t: sinks.feedback_to_gold(t["feedback"].withColumn("corrected_code", F.when(F.col("event_id") % 3 == 0, F.lit("123456"))), t["result"].select("result_id", F.col("result_id").alias("query_id")), t["shipment"].where("query_id % 10 = 1").select(F.expr("cast((query_id - 1) / 10 as bigint)").alias("query_id"), "text")),
-        "SELECT DISTINCT text AS description, '123456' AS hs_code FROM feedback JOIN shipment ON l_orderkey = result_id WHERE kind = 'override' AND event_id % 3 = 0 AND query_id % 10 = 1 AND result_id IN (SELECT result_id FROM result)"),
+        lambda t: sinks.feedback_to_gold(t["feedback"].withColumn("corrected_code", F.when(F.col("event_id") % 3 == 0, F.lit("123456"))), t["result"].select("result_id", F.col("result_id").alias("query_id")), t["shipment"].select(F.col("l_orderkey").alias("query_id"), "text")),
+        "SELECT DISTINCT text AS description, '123456' AS hs_code FROM feedback JOIN shipment ON l_orderkey = result_id WHERE kind = 'override' AND event_id % 3 = 0 AND result_id IN (SELECT result_id FROM result)"),
     "adversarial_set": (
         lambda t: sinks.adversarial_set(t["goods"], t["codes"].where("p_partkey % 2 = 0").select("hs_code", F.upper("description").alias("description"))).select("description", "label", F.array_join("expected_hs_codes", ",").alias("codes")),
         """WITH p AS (SELECT description, unnest(hs_codes) AS hs_code FROM goods WHERE sys_to IS NULL)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolore.plans import evaluation, rankings, reference, results, screenings, texts
+from cargolore.plans import evaluation, files, rankings, reference, results, screenings, texts
 from cargolore.plans.tables import Tables, sql
 
-_MODULES = (results, texts, rankings, reference, screenings, evaluation)
+_MODULES = (results, texts, rankings, reference, screenings, evaluation, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,6 +74,7 @@ QUERIES = {
     "rule_scope_heatmap": (
         lambda t: d.route_counts(t["rules"].where("active").select(F.col("rule_origin").alias("origin"), F.col("rule_destination").alias("destination")), "*"),
         "SELECT coalesce(rule_origin, '*') AS origin, coalesce(rule_destination, '*') AS destination, count(*) AS n FROM rules WHERE active GROUP BY 1, 2"),
+    "commodities_by_source": (lambda t: d.count_by(t["goods"], "source"), "SELECT source, count(*) AS n FROM goods GROUP BY 1"),
     "source_counts": (lambda t: d.count_by(t["goods"].where("sys_to IS NULL"), "source"), "SELECT source, count(*) AS n FROM goods WHERE sys_to IS NULL GROUP BY 1"),
     "level_counts": (lambda t: d.count_by(t["taxonomy"], "level"), "SELECT level, count(*) AS n FROM taxonomy GROUP BY 1"),
     "examples_by_source": (lambda t: d.count_by(t["documents"], "source"), "SELECT source, count(*) AS n FROM documents GROUP BY 1"),

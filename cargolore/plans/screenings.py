@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolore.functions.predicates import CONDITIONS
+from cargolore.functions.text import STOP_WORDS
 from cargolore.operators import entities, screen
 from cargolore.operators.dashboards import run_plan
 from cargolore.operators.fulltext import cover_density
@@ -61,8 +62,16 @@ def _cover(t: Tables) -> DataFrame:
 
 
 def _embedded(t: Tables) -> DataFrame:
-    v = t["taxonomy"].where("level < 6").select("hs_code", entities.embed(F.col("description"), 64).alias("v"))
-    return v.select("hs_code", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"), F.size("v").alias("n"))
+    """The components that are not zero."""
+    v = t["taxonomy"].select("hs_code", F.posexplode(entities.embed(F.col("description"), 64)).alias("i", "x"))
+    return v.where("x <> 0").select("hs_code", "i", F.round("x", 6).alias("x"))
+
+
+_HASHED = f"""WITH w AS (SELECT hs_code, unnest(string_split_regex(lower(description), '[^a-z0-9]+')) AS w FROM taxonomy),
+s AS (SELECT hs_code, ('0x' || substring(md5(w), 1, 8))::BIGINT % 64 AS i, sum(1 - 2 * (('0x' || substring(md5(w), 9, 8))::BIGINT % 2)) AS x
+  FROM w WHERE w <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in sorted(STOP_WORDS))}) GROUP BY ALL),
+n AS (SELECT hs_code, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1)
+SELECT hs_code, i::INT AS i, round(x / norm, 6)::DOUBLE AS x FROM s JOIN n USING (hs_code) WHERE x <> 0"""
 
 
 def catalogue(t: Tables) -> DataFrame:
@@ -109,7 +118,7 @@ QUERIES = {
         """WITH t AS (SELECT item_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM benchmark), p AS (SELECT item_id, i, w[i] AS w FROM t, unnest(range(1, len(w) + 1)) AS u(i) WHERE w[i] IN ('the', 'of')),
         n AS (SELECT *, lead(i) OVER x AS j, lead(w) OVER x AS v FROM p WINDOW x AS (PARTITION BY item_id ORDER BY i))
         SELECT item_id, round(coalesce((SELECT count(*) FROM p WHERE p.item_id = t.item_id AND w = 'the'), 0) * 0.1::DOUBLE, 6) AS one, round(coalesce((SELECT sum(0.1::DOUBLE / (j - i)) FROM n WHERE n.item_id = t.item_id AND v <> w), 0), 6) AS two FROM t"""),
-    "hashed_embedding": (_embedded, "SELECT hs_code, 1.0::DOUBLE AS norm, 64 AS n FROM taxonomy WHERE level < 6"),
+    "hashed_embedding": (_embedded, _HASHED),
     "run_plan": (
         _plan,
         """SELECT 's' || n.n_nationkey AS source, CASE WHEN n.n_nationkey % 4 = 1 THEN 'no_files' WHEN n.n_nationkey % 2 = 0 AND coalesce(o.n_nationkey % 3, 0) <= 0 THEN 'dependency_empty' ELSE 'run' END AS action

@@ -75,6 +75,8 @@ def _party_sql(x: str) -> str:
 
 
 _NAMED = "CASE s_suppkey % 4 WHEN 0 THEN s_name || ' Holdings Ltd.' WHEN 1 THEN 'Foo ' || s_name || ' S.p.A.' WHEN 2 THEN s_name || ' Trading GmbH, Inc' ELSE 'Lee' END"
+_ACCENTED = _NAMED.replace("'Foo '", "'Fóö ø '").replace("'Lee'", "'Señora Zoë SA'")
+_FOLDED = f"regexp_replace(strip_accents({_ACCENTED}), '[^\\x00-\\x7F]', '', 'g')"
 
 
 def _decomposed(t):  # noqa: ANN001, ANN202
@@ -124,7 +126,7 @@ QUERIES = {
         lambda t: t["codes"].select("p_partkey", F.array_join(codes.level_codes(codes.split_codes(F.expr("concat(hs_code, ' ; ', substring(hs_code, 1, 4), '/', hs_code, ',12.3, ')"))), ",").alias("codes")),
         "SELECT p_partkey, hs_code || ',' || substring(hs_code, 1, 4) AS codes FROM codes"),
     "code_prefixes": (lambda t: t["codes"].select("p_partkey", F.array_join(codes.prefixes(F.col("hs_code")), ",").alias("prefixes")), "SELECT p_partkey, substring(hs_code, 1, 2) || ',' || substring(hs_code, 1, 4) || ',' || hs_code AS prefixes FROM codes"),
-    "normalize_party": (lambda t: t["supplier"].select("s_suppkey", text.normalize_party(F.expr(_NAMED), fold=False).alias("party")), f"SELECT s_suppkey, {_party_sql(_NAMED)} AS party FROM supplier"),
+    "normalize_party": (lambda t: t["supplier"].select("s_suppkey", text.normalize_party(F.expr(_ACCENTED)).alias("party")), f"SELECT s_suppkey, {_party_sql(_FOLDED)} AS party FROM supplier"),
     "is_short_name": (lambda t: t["supplier"].select("s_suppkey", text.is_short_name(F.expr(_NAMED)).alias("short")), f"SELECT s_suppkey, len(string_split_regex({_NAMED}, '\\s+')) < 2 OR length(replace({_NAMED}, ' ', '')) < 4 AS short FROM supplier"),
     "fold_unicode": (lambda t: t["documents"].select("doc_id", text.fold_unicode(F.col("text")).alias("folded")), "SELECT doc_id, regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents"),
     "trigram_similarity": (
