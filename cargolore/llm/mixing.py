@@ -154,9 +154,10 @@ def source_targets(totals: DataFrame, weights: DataFrame | None = None, max_repe
 def _solve(max_repeats: int):  # noqa: ANN202
     def run(patterns: pa.Table, sources: pa.Table) -> pa.Table:
         quotas = dict(zip(sources["number"].to_pylist(), sources["quota"].to_pylist(), strict=True))
-        order = patterns.sort_by("pno")
-        rows = list(zip(order["n"].to_pylist(), order["numbers"].to_pylist(), strict=True))
-        return pa.table({"pno": order["pno"], "words": pa.array(route(rows, dict(sorted(quotas.items())), max_repeats), pa.int64())})
+        # several flows may be cheapest: the order by sources, not by arrival, makes reruns agree
+        rows = sorted(zip(patterns["numbers"].to_pylist(), patterns["n"].to_pylist(), patterns["pno"].to_pylist(), strict=True))
+        words = route([(n, numbers) for numbers, n, _ in rows], dict(sorted(quotas.items())), max_repeats)
+        return pa.table({"pno": pa.array([pno for *_, pno in rows], pa.int64()), "words": pa.array(words, pa.int64())})
 
     return run
 
@@ -267,6 +268,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def memberships(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, sources``: documents that belong to their source and, if they
+    name a language, to the collection of that language."""
+    own = F.filter(F.array(F.concat(F.lit("source:"), F.coalesce("source", F.lit("none"))), F.concat(F.lit("language:"), "lang")), lambda s: s.isNotNull())
+    return docs.select("doc_id", n_words(F.col("text")).alias("n"), own.alias("sources"))
+
+
+def overlap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of overlapping sources, mixed by the flow: ``doc_id, size, pattern,
+    repeats, taken``."""
+    sized = materialize(memberships(spark.read.parquet(f"{sf_dir}/documents.parquet")), "memberships")
+    mixed = mix(sized, "sources", size=F.col("n"))
+    return mixed.select("doc_id", "size", F.array_join("pattern", ",").alias("pattern"), "repeats", "taken")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || doc_id) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source),

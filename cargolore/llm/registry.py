@@ -37,6 +37,7 @@ _QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op12_centroid_clustering": (centroid_clustering.query, centroid_clustering.SQL),
     "op13_exact_search": (exact_search.query, exact_search.SQL),
     "llm_word_totals": (token_counts.words_query, token_counts.WORDS_SQL),
+    "llm_overlap_mixing": (mixing.overlap_query, None),
     "llm_page_language": (language_id.pages_query, None),
 }
 
