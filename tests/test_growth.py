@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
+from cargolore.operators import retrieval
 
 
 def most_rows(spark, df):
@@ -32,3 +33,13 @@ def test_upsert_codes_keeps_lines_of_one_code(spark, tmp_path):
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
     got, want = contract.queries()["upsert_codes"](spark, str(tmp_path)).toPandas(), con.sql(contract.oracle_sql()["upsert_codes"]).df()
     assert plain(got) == plain(want)
+
+
+def test_entity_topk_meets_equal_sets_once(spark):
+    """300 queries of the same pairs, 300 codes of the same; weights whose sums differ by order are ties."""
+    asked = spark.createDataFrame([(q, t, "x") for q in range(300) for t in ("a", "b", "c")], "query_id int, entity_type string, entity_value string")
+    index = [(f"{c:06d}", t, "x", w) for c in range(300) for t, w in zip("abc", (0.1, 0.2, 0.3) if c % 2 else (0.3, 0.2, 0.1), strict=True)]
+    codes = spark.createDataFrame(index, "hs_code string, entity_type string, entity_value string, weight double")
+    rows, most = most_rows(spark, retrieval.entity_topk(asked, codes, 4))
+    assert {(r.query_id, r.hs_code, r.pos) for r in rows} == {(q, f"{c:06d}", c) for q in range(300) for c in range(4)}
+    assert most < 3000  # 90,000 pairs of a query and a code
