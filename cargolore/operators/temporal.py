@@ -133,11 +133,17 @@ def upsert(new: DataFrame, old: DataFrame, key: list[str], order: str | None = N
 def expand_prefixes(codes: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``id, hs_codes`` with each code of 2, 4 or 6 digits replaced by
     all six-digit codes below it; what the taxonomy does not have is dropped.
-    The taxonomy's codes are listed under their prefixes, so this is an equi-join."""
+    The taxonomy's codes are listed under their prefixes, so this is an equi-join.
+    Each different set of prefixes is expanded once: its list meets the ids that have the
+    set at the very end, so no pair of an id and a code is ever shuffled."""
     six = taxonomy.where("level = 6").select("hs_code").distinct()
-    below = six.select("hs_code", F.explode(F.array(*(F.substring("hs_code", 1, n) for n in (2, 4, 6)))).alias("prefix")).distinct()
-    each = codes.select("id", F.explode(F.array_distinct("hs_codes")).alias("prefix"))
-    return each.join(below, "prefix").groupBy("id").agg(F.array_sort(F.collect_set("hs_code")).alias("hs_codes"))
+    below = six.select("hs_code", F.explode(F.array_distinct(F.array(*(F.substring("hs_code", 1, n) for n in (2, 4, 6))))).alias("prefix"))
+    below = below.groupBy("prefix").agg(F.collect_list("hs_code").alias("below"))
+    each = codes.select("id", F.explode("hs_codes").alias("prefix"))
+    asked = each.groupBy("id").agg(F.array_sort(F.collect_set("prefix")).alias("prefixes"))
+    parts = asked.select("prefixes").distinct().select("prefixes", F.explode("prefixes").alias("prefix"))
+    lists = parts.join(below, "prefix").groupBy("prefixes").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("below")))).alias("hs_codes"))
+    return asked.join(lists, "prefixes").select("id", "hs_codes")
 
 
 def rollup_codes(lines: DataFrame) -> DataFrame:

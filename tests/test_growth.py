@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
-from cargolore.operators import retrieval
+from cargolore.operators import retrieval, temporal
 
 
 def most_rows(spark, df):
@@ -43,3 +43,11 @@ def test_entity_topk_meets_equal_sets_once(spark):
     rows, most = most_rows(spark, retrieval.entity_topk(asked, codes, 4))
     assert {(r.query_id, r.hs_code, r.pos) for r in rows} == {(q, f"{c:06d}", c) for q in range(300) for c in range(4)}
     assert most < 3000  # 90,000 pairs of a query and a code
+
+
+def test_prefix_expansion_has_no_row_a_pair(spark):
+    codes = spark.range(300).selectExpr("id", "array('01', '0101', '99', '01') AS hs_codes")
+    tree = spark.range(300).selectExpr("lpad(CAST(10000 + id AS STRING), 6, '0') AS hs_code", "6 AS level")
+    rows, most = most_rows(spark, temporal.expand_prefixes(codes, tree))
+    assert {(r.id, tuple(r.hs_codes)) for r in rows} == {(i, tuple(f"{10000 + c:06d}" for c in range(300))) for i in range(300)}
+    assert most < 3000  # 90,000 pairs of an id and a code
