@@ -36,9 +36,11 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def feedback_to_gold(feedback: DataFrame, results: DataFrame, shipments: DataFrame) -> DataFrame:
-    """Overridden results as pending gold rows."""
-    own = feedback.where("kind = 'override' AND corrected_code IS NOT NULL").select("result_id", "corrected_code")
-    return own.join(results.select("result_id", "query_id"), "result_id").join(shipments.select("query_id", "text"), "query_id").select(F.col("text").alias("description"), F.col("corrected_code").alias("hs_code")).distinct()
+    """Overridden results as pending gold rows.  A result's equal corrections are
+    made one before the joins, so a line of a shipment meets each once."""
+    own = feedback.where("kind = 'override' AND corrected_code IS NOT NULL").select("result_id", F.col("corrected_code").alias("hs_code")).distinct()
+    asked = own.join(results.select("result_id", "query_id").distinct(), "result_id").select("query_id", "hs_code").distinct()
+    return asked.join(shipments.select("query_id", "text"), "query_id").select(F.col("text").alias("description"), "hs_code").distinct()
 
 
 def adversarial_set(goods: DataFrame, rulings: DataFrame) -> DataFrame:

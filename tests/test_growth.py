@@ -7,6 +7,7 @@ from test_queries import plain
 
 import __spark_entry__ as contract
 from cargolore.operators import retrieval, temporal
+from cargolore.sources import sinks
 
 
 def most_rows(spark, df):
@@ -51,3 +52,12 @@ def test_prefix_expansion_has_no_row_a_pair(spark):
     rows, most = most_rows(spark, temporal.expand_prefixes(codes, tree))
     assert {(r.id, tuple(r.hs_codes)) for r in rows} == {(i, tuple(f"{10000 + c:06d}" for c in range(300))) for i in range(300)}
     assert most < 3000  # 90,000 pairs of an id and a code
+
+
+def test_feedback_to_gold_meets_equal_texts_once(spark):
+    feedback = spark.range(300).selectExpr("7L AS result_id", "'override' AS kind", "CAST(id % 2 AS STRING) AS corrected_code")
+    results = spark.createDataFrame([(7, 70)], "result_id long, query_id long")
+    shipments = spark.range(300).selectExpr("70L AS query_id", "concat('text ', id % 3) AS text")
+    rows, most = most_rows(spark, sinks.feedback_to_gold(feedback, results, shipments))
+    assert {(r.description, r.hs_code) for r in rows} == {(f"text {t}", str(c)) for t in range(3) for c in range(2)} and len(rows) == 6
+    assert most < 1000  # 90,000 pairs of a correction and a text
