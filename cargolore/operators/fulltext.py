@@ -8,7 +8,7 @@ only for queries that have no rarer one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolore.functions.scores import bound
@@ -67,3 +67,20 @@ def matches(queries: DataFrame, index: DataFrame, key: str = "hs_code", config:
     met = rarest.join(posted, "term").select("query_id", "terms", key).join(index, key)
     whole = met.where(F.forall("terms", lambda t: F.array_contains("words", t)))
     return whole.select("query_id", key, F.round(cover_density(F.col("words"), F.col("terms")), 9).alias("rank"))
+
+
+def best(queries: DataFrame, index: DataFrame, k: int, key: str = "hs_code", config: str = "english") -> DataFrame:
+    """The ``k`` best of :func:`matches` for each query, of equal rank the lesser key, with
+    their ``pos``.  Equal documents cover a query alike, and queries with the same words ask
+    the same.  So different texts meet different documents, the ``k`` best of which are kept by
+    rank and least key, and the ``k`` least keys of each are ranked."""
+    ranked = lambda rows, by, of: rows.withColumn("pos", F.row_number().over(Window.partitionBy(of).orderBy(*by))).where(F.col("pos") <= k)
+    held = ranked(index.select(key, "words"), [F.asc(key)], "words")
+    # a document is named by its least key
+    held = held.withColumn("__least", F.min(key).over(Window.partitionBy("words"))).withColumnRenamed("pos", "__n")
+    asked = queries.select("query_id", "text").groupBy("text").agg(F.min("query_id").alias("query_id"))
+    found = matches(asked, held.where("__n = 1").select(F.col("__least"), "words"), "__least", config)
+    top = ranked(found, [F.desc("rank"), F.asc("__least")], "query_id").drop("pos")
+    rows = ranked(top.join(held.select("__least", key), "__least"), [F.desc("rank"), F.asc(key)], "query_id")
+    of_text = rows.join(asked, "query_id").select("text", key, "rank", (F.col("pos") - 1).cast("long").alias("pos"))
+    return queries.select("query_id", "text").join(of_text, "text").select("query_id", key, "rank", "pos")

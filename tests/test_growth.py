@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
-from cargolore.operators import retrieval, temporal
+from cargolore.operators import fulltext, retrieval, temporal
 from cargolore.sources import sinks
 
 
@@ -61,3 +61,13 @@ def test_feedback_to_gold_meets_equal_texts_once(spark):
     rows, most = most_rows(spark, sinks.feedback_to_gold(feedback, results, shipments))
     assert {(r.description, r.hs_code) for r in rows} == {(f"text {t}", str(c)) for t in range(3) for c in range(2)} and len(rows) == 6
     assert most < 1000  # 90,000 pairs of a correction and a text
+
+
+def test_sparse_topk_meets_equal_texts_once(spark):
+    """300 queries of two texts, 300 documents of three: ties go to the lesser key."""
+    asked = spark.range(300).selectExpr("id AS query_id", "CASE id % 2 WHEN 0 THEN 'red box' ELSE 'box' END AS text")
+    docs = spark.range(300).selectExpr("id AS hs_code", "CASE id % 3 WHEN 0 THEN 'a red box' WHEN 1 THEN 'red steel box' ELSE 'blue box' END AS text")
+    rows, most = most_rows(spark, retrieval.sparse_topk(asked, fulltext.indexed(docs), 4))
+    wanted = {0: [0, 3, 6, 9], 1: [0, 1, 2, 3]}
+    assert {(r.query_id, r.hs_code, r.pos) for r in rows} == {(q, c, i) for q in range(300) for i, c in enumerate(wanted[q % 2])}
+    assert most < 3000  # 75,000 pairs of a query and a document
