@@ -121,6 +121,8 @@ def read_rulings(pages: DataFrame) -> DataFrame:
     classification section count once more and come first).  The id is looked for in
     the title and then in the first 500 characters.  Pages without a goods text or
     without a code are left out."""
+    # few bytes and much work: not to be read in the few tasks that a small file gives
+    pages = pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
     paragraphs = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), 1), _plain)
     longest = F.get(F.array_sort(F.filter(paragraphs, lambda p: F.length(p) > 80), lambda a, b: F.length(b) - F.length(a)), F.lit(0))
     goods = F.coalesce(_section(F.col("html"), GOODS_HEADINGS), longest)

@@ -6,8 +6,8 @@ import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
-from cargolore.operators import fulltext, retrieval, temporal
-from cargolore.sources import sinks
+from cargolore.operators import entities, fulltext, retrieval, temporal
+from cargolore.sources import reference, sinks
 
 
 def most_rows(spark, df):
@@ -71,3 +71,10 @@ def test_sparse_topk_meets_equal_texts_once(spark):
     wanted = {0: [0, 3, 6, 9], 1: [0, 1, 2, 3]}
     assert {(r.query_id, r.hs_code, r.pos) for r in rows} == {(q, c, i) for q in range(300) for i, c in enumerate(wanted[q % 2])}
     assert most < 3000  # 75,000 pairs of a query and a document
+
+
+def test_rulings_of_a_small_file_are_parsed_in_all_tasks(spark):
+    pages = spark.range(0, 400, 1, 1).selectExpr("id AS page_id", "concat('<h2>Goods</h2><p>box ', id, '</p><p>1234.56</p>') AS html")
+    found = reference.read_rulings(pages)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.page_id, r.hs_code) for r in found.collect()} == {(i, "123456") for i in range(400)}
