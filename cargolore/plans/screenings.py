@@ -35,8 +35,8 @@ _TITLED = "SELECT hs_code AS id, title || ' ' || description AS t FROM taxonomy"
 
 def _spans(t: Tables) -> DataFrame:
     text = F.concat("p_type", F.lit(", "), "p_name", F.lit("/"), "p_type", F.lit(" "), "p_brand", F.lit(" ("), "p_name", F.lit(")"))
-    spans = entities.gazetteer_spans(t["part"].select(F.col("p_partkey").alias("query_id"), text.alias("text")), t["gazetteer"])
-    return entities.dedupe_spans(spans).select("query_id", "label", "text", F.col("start").cast("long").alias("start"), "score", F.lower("surface").alias("surface"))
+    spans = entities.distinct_spans(t["part"].select(F.col("p_partkey").alias("query_id"), text.alias("text")), t["gazetteer"])
+    return spans.select("query_id", "label", "text", F.col("start").cast("long").alias("start"), "score", F.lower("surface").alias("surface"))
 
 
 def _index(t: Tables) -> DataFrame:

@@ -78,3 +78,12 @@ def test_rulings_of_a_small_file_are_parsed_in_all_tasks(spark):
     found = reference.read_rulings(pages)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r.page_id, r.hs_code) for r in found.collect()} == {(i, "123456") for i in range(400)}
+
+
+def test_spans_of_equal_texts_are_found_once(spark):
+    texts = spark.range(300).selectExpr("id AS query_id", "CASE id % 2 WHEN 0 THEN 'red box, red box' ELSE 'box' END AS text")
+    terms = spark.createDataFrame([("form", "box", 0.9), ("form", "red box", 0.8)], "label string, term string, score double")
+    found = entities.distinct_spans(texts, terms)
+    assert {(r.query_id, r.text, r.start) for r in found.collect()} == {(i, *(("box", 0) if i % 2 else ("red box", 0))) for i in range(300)}
+    rows, most = most_rows(spark, found.where("text = 'box'"))
+    assert len(rows) == 150 and most <= 300
