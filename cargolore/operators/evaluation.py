@@ -247,6 +247,11 @@ def ranking_rows(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def train_ranker(rows: DataFrame, features: list[str], seed: int = 7):  # noqa: ANN201
-    """Boosted trees on "grade is at least 3"; score with ``probability``."""
-    table = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", (F.col("grade") >= 3).cast("double"))
-    return GBTClassifier(maxIter=10, maxDepth=3, seed=seed).fit(table.select("features", "label"))
+    """Boosted trees on "grade is at least 3"; score with ``probability``.  Rows with equal
+    features and label are one with their number as its weight; the rows are held in as many
+    parts as a shuffle has, so a part stays small."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = rows.withColumn("label", (F.col("grade") >= 3).cast("double"))
+    different = labelled.groupBy(*features, "label").agg(F.count("*").cast("double").alias("weight"))
+    table = VectorAssembler(inputCols=features, outputCol="features").transform(different.repartition(parts, *features, "label"))
+    return GBTClassifier(maxIter=10, maxDepth=3, seed=seed, weightCol="weight").fit(table.select("features", "label", "weight"))

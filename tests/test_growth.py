@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
-from cargolore.operators import entities, fulltext, retrieval, temporal
+from cargolore.operators import entities, evaluation, fulltext, retrieval, temporal
 from cargolore.sources import reference, sinks
 
 
@@ -87,3 +87,19 @@ def test_spans_of_equal_texts_are_found_once(spark):
     assert {(r.query_id, r.text, r.start) for r in found.collect()} == {(i, *(("box", 0) if i % 2 else ("red box", 0))) for i in range(300)}
     rows, most = most_rows(spark, found.where("text = 'box'"))
     assert len(rows) == 150 and most <= 300
+
+
+def test_ranker_learns_equal_rows_once(spark, monkeypatch):
+    seen = []
+
+    class Kept:
+        def __init__(self, **_):
+            pass
+
+        def fit(self, table):
+            seen.append(table)
+
+    monkeypatch.setattr(evaluation, "GBTClassifier", Kept)
+    rows = spark.range(300).selectExpr("CAST(id % 3 AS DOUBLE) AS f", "CAST(id % 3 + 2 AS INT) AS grade")
+    evaluation.train_ranker(rows, ["f"])
+    assert sorted((r.features[0], r.label, r.weight) for r in seen[0].collect()) == [(0.0, 0.0, 100.0), (1.0, 1.0, 100.0), (2.0, 1.0, 100.0)]
