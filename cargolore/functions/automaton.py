@@ -43,6 +43,13 @@ class Automaton:
                 self.fail[to] = self._step(back, word)
                 todo.append(to)
 
+    @classmethod
+    def restored(cls, state: dict) -> Automaton:
+        """The automaton whose ``vars`` are given: a broadcast of these needs no class to be read."""
+        out = cls.__new__(cls)
+        vars(out).update(state)
+        return out
+
     def _step(self, at: int, word: str) -> int:
         while at and word not in self.next[at]:
             at = self.fail[at]

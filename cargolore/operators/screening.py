@@ -78,8 +78,9 @@ def sparse_matches(shipments: DataFrame, goods: DataFrame, rules: DataFrame, k:
     """Goods whose description holds every word of a shipment's ``text`` (as it is,
     stop words too), the ``k`` that best cover them of those whose rules cover the route."""
     index = fulltext.indexed(goods, "description", "id", "simple")
-    found = fulltext.matches(shipments.select("query_id", "text"), index, "id", "simple")
-    routed = applicable(found.join(shipments.select("query_id", "origin", "destination"), "query_id"), rules)
+    # each different text is searched for once
+    found = fulltext.matches(shipments.select(F.col("text").alias("query_id"), "text").distinct(), index, "id", "simple").withColumnRenamed("query_id", "text")
+    routed = applicable(found.join(shipments.select("query_id", "text", "origin", "destination"), "text").drop("text"), rules)
     return rank(routed, [F.desc("rank"), F.asc("id")], k).select("query_id", "id", F.col("rank").alias("similarity"))
 
 

@@ -1,12 +1,16 @@
 """Queries whose work is bounded by what differs, not by pairs of equal rows."""
 
+import datetime as dt
+import pickle
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 from test_queries import plain
 
 import __spark_entry__ as contract
-from cargolore.operators import entities, evaluation, fulltext, retrieval, temporal
+from cargolore.functions.predicates import CONDITIONS
+from cargolore.operators import entities, evaluation, fulltext, retrieval, screen, temporal
 from cargolore.sources import reference, sinks
 
 
@@ -103,3 +107,30 @@ def test_ranker_learns_equal_rows_once(spark, monkeypatch):
     rows = spark.range(300).selectExpr("CAST(id % 3 AS DOUBLE) AS f", "CAST(id % 3 + 2 AS INT) AS grade")
     evaluation.train_ranker(rows, ["f"])
     assert sorted((r.features[0], r.label, r.weight) for r in seen[0].collect()) == [(0.0, 0.0, 100.0), (1.0, 1.0, 100.0), (2.0, 1.0, 100.0)]
+
+
+def test_automaton_reaches_workers_without_the_package(spark, monkeypatch):
+    sent = []
+    whole = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(pickle.dumps(value)) or whole(self, value))
+    texts = spark.createDataFrame([(1, "a red box"), (2, "box")], "query_id int, text string")
+    terms = spark.createDataFrame([("form", "box", 0.9), ("form", "red box", 0.8)], "label string, term string, score double")
+    assert {(r.query_id, r.text) for r in entities.gazetteer_spans(texts, terms).collect()} == {(1, "red box"), (2, "box")}
+    assert len(sent) == 1 and b"cargolore" not in sent[0]
+
+
+def test_screen_finds_sanctions_once_for_equal_texts_and_routes(spark, monkeypatch):
+    seen = []
+    found = screen.sanction_matches
+    monkeypatch.setattr(screen, "sanction_matches", lambda shipments, codes, *rest: seen.append((shipments.count(), codes.count())) or found(shipments, codes, *rest))
+    shipments = spark.range(60).selectExpr("id AS query_id", "CASE id % 3 WHEN 0 THEN 'steel pipe' WHEN 1 THEN 'wire' END AS text", "IF(id % 2 = 0, 'US', NULL) AS origin", "'DE' AS destination", "1D AS value", "'USD' AS currency", "CAST(NULL AS map<string,string>) AS metadata")
+    codes = spark.createDataFrame([("730419", 6, "73", "steel pipe", "steel pipe seamless")], "hs_code string, level int, chapter string, title string, description string")
+    goods = spark.createDataFrame([(7, "EU", "r7", "steel pipe", ["730419"], None, None, dt.datetime(2020, 1, 1), None)], "id long, source string, source_record_id string, description string, hs_codes array<string>, valid_from date, valid_to date, sys_from timestamp, sys_to timestamp")
+    rules = spark.createDataFrame([(7, "US", None, "blocked", True)], "id long, rule_origin string, rule_destination string, restriction_type string, active boolean")
+    own = spark.createDataFrame([], f"rule_id int, phrase string, phrase_group struct<mode:string,phrases:array<string>>, rule_origin string, rule_destination string, threshold double, active boolean, created_by string, conditions struct<{CONDITIONS.replace(' ', ':').replace(',:', ',')}>")
+    terms = spark.createDataFrame([("material", "steel", 0.9)], "label string, term string, score double")
+    got = screen.screen(shipments, codes, goods, rules, own, terms, on=dt.date(2024, 1, 1), versions=screen.version_stamp()).collect()
+    assert sorted(r.query_id for r in got) == list(range(60))
+    assert {r.query_id for r in got if r.sanction_matches} == {i for i in range(60) if i % 2 == 0 and i % 3 < 2}  # vectors find the nearest, however far
+    assert {r.query_id for r in got if r.hs_classification.top_candidates} == {i for i in range(60) if i % 3 == 0}
+    assert seen == [(6, 2)]
