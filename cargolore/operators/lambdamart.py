@@ -41,6 +41,8 @@ PATIENCE = 20
 #: Rounds after which scores are written anew.
 STORE = 25
 UNIT = 2.0**30
+#: Rows of lists of one length that are taken as one matrix, about.
+LIST_CELLS = 65_536
 AT = (1, 3, 5)
 
 
@@ -94,29 +96,54 @@ def ndcg(grades: np.ndarray, scores: np.ndarray, k: int) -> float | None:
 
 def gradients(grades: np.ndarray, scores: np.ndarray, truncation: int) -> tuple[np.ndarray, np.ndarray]:
     """A gradient and a Hessian for each row of a query's list, in ``UNIT``s."""
-    n, gain = len(grades), gains(grades)
-    ideal = np.sort(gain)[::-1][:truncation]
-    total = (ideal * discounts(len(ideal))).sum()
-    g, h = np.zeros(n), np.zeros(n)
-    if n > 1 and total > 0:
-        order = np.argsort(-scores, kind="stable")
+    g, h = gradients_of(grades[None, :], scores[None, :], truncation)
+    return g[0], h[0]
+
+
+def gradients_of(grades: np.ndarray, scores: np.ndarray, truncation: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`gradients` of lists of one length, a row a list."""
+    m, n = grades.shape
+    g, h = np.zeros((m, n)), np.zeros((m, n))
+    ideal = np.sort(gains(grades), axis=1)[:, ::-1][:, :truncation]
+    total = (ideal * discounts(ideal.shape[1])).sum(axis=1)
+    some = np.flatnonzero(total > 0) if n > 1 else np.zeros(0, np.int64)
+    if some.size:
+        order = np.argsort(-scores[some], axis=1, kind="stable")
         disc = np.where(np.arange(n) < truncation, discounts(n), 0.0)
-        sg, ss, sr = gain[order], scores[order], grades[order]
-        top = min(truncation, n)
-        # pairs of places (i, j), i < j, i among the first
-        i, j = np.nonzero((sr[:top, None] != sr[None, :]) & (np.arange(n)[None, :] > np.arange(top)[:, None]))
-        high, low = np.where(sr[i] > sr[j], i, j), np.where(sr[i] > sr[j], j, i)
-        weight = np.abs(sg[i] - sg[j]) * np.abs(disc[i] - disc[j]) / total
-        p = 1 / (1 + np.exp(np.clip(ss[high] - ss[low], -500, 500)))
-        gs, hs = np.zeros(n), np.zeros(n)
-        np.add.at(gs, high, -weight * p)
-        np.add.at(gs, low, weight * p)
-        for side in (high, low):
-            np.add.at(hs, side, weight * p * (1 - p))
-        g[order], h[order] = gs, hs
+        sr, ss = np.take_along_axis(grades[some], order, 1), np.take_along_axis(scores[some], order, 1)
+        sg, total = gains(sr), total[some][:, None]
+        gs, hs = np.zeros(sr.shape), np.zeros(sr.shape)
+        # place i with all later places, i among the first
+        for i in range(min(truncation, n - 1)):
+            own, rest = slice(i, i + 1), slice(i + 1, n)
+            sign = np.sign(sr[:, own] - sr[:, rest])  # 1 where i is the better
+            weight = np.abs(sg[:, own] - sg[:, rest]) * np.abs(disc[i] - disc[rest]) / total
+            p = 1 / (1 + np.exp(np.clip(sign * (ss[:, own] - ss[:, rest]), -500, 500)))
+            slope, bend = sign * weight * p, np.where(sign != 0, weight * p * (1 - p), 0.0)
+            gs[:, i] -= slope.sum(axis=1)
+            hs[:, i] += bend.sum(axis=1)
+            gs[:, rest] += slope
+            hs[:, rest] += bend
+        put = np.zeros(sr.shape)
+        np.put_along_axis(put, order, gs, 1)
+        g[some] = put
+        put = np.zeros(sr.shape)
+        np.put_along_axis(put, order, hs, 1)
+        h[some] = put
     return np.rint(g * UNIT).astype(np.int64), np.rint(h * UNIT).astype(np.int64)
 
 
+def ndcg_of_lists(grades: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """:func:`ndcg` of lists of one length, a row a list; NaN where there is none."""
+    if not grades.shape[1]:
+        return np.full(len(grades), np.nan)
+    best = np.sort(gains(grades), axis=1)[:, ::-1][:, :k]
+    own = np.take_along_axis(gains(grades), np.argsort(-scores, axis=1, kind="stable"), 1)[:, :k]
+    disc = discounts(best.shape[1])
+    total = (best * disc).sum(axis=1)
+    return np.where(best.any(axis=1), (own * disc).sum(axis=1) / np.where(total, total, 1.0), np.nan)
+
+
 def best_split(hist: np.ndarray, min_rows: int) -> tuple[float, int, int] | None:
     """Gain, feature and cut of a node's best split; ``hist`` is (3, features, bins) of
     gradients, Hessians and rows.  Ties go to the lesser feature, then cut."""
@@ -173,16 +200,35 @@ def lists_of(rows: DataFrame, features: list[str], edges: list[list[float]], que
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [bin_rows(np.array(x), edges).tobytes() for x in batch.column("x").to_pylist()]
-            grades = [np.array(g) for g in batch.column("grade").to_pylist()]
+            x, grade = batch.column("x"), batch.column("grade").flatten().to_numpy()
+            size = np.diff(x.offsets.to_numpy())
+            bins = bin_rows(x.flatten().flatten().to_numpy().reshape(-1, len(edges)), edges)
+            ends = np.append(0, np.cumsum(size * len(edges))).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
-                "held": batch.column("held"), "bins": pa.array(bins, pa.binary()), "grades": pa.array([g.tobytes() for g in grades], pa.binary()),
-                "scores": pa.array([np.zeros(len(g)).tobytes() for g in grades], pa.binary()),
+                "held": batch.column("held"), "bins": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bins))]),
+                "grades": _lists(grade, size), "scores": _lists(np.zeros(len(grade)), size),
             })
 
     return stored(lists.mapInArrow(run, "held boolean, bins binary, grades binary, scores binary"), "ranking-lists")
 
 
+def _ends(column: pa.Array) -> np.ndarray:
+    """Where the values of a binary column begin and end in its bytes."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _bytes(column: pa.Array) -> memoryview:
+    """The bytes of a binary column, its values one after the other."""
+    ends = _ends(column)
+    return memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]] if len(column) else memoryview(b"")
+
+
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A binary column of lists of ``size`` values of 8 bytes."""
+    ends = np.append(0, np.cumsum(size * 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _advanced(lists: DataFrame, trees: list[Tree], width: int, truncation: int | None) -> DataFrame:
     """Lists with the trees' scores added; with a ``truncation``, their gradients and NDCG too."""
     kinds = "held boolean, bins binary, grades binary, scores binary"
@@ -190,22 +236,23 @@ def _advanced(lists: DataFrame, trees: list[Tree], width: int, truncation: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("scores", "g", "h", *(f"ndcg{k}" for k in AT))}
-            kept = {c: batch.column(c).to_pylist() for c in ("bins", "grades", "scores")}
-            table = np.frombuffer(b"".join(kept["bins"]), np.uint8).reshape(-1, width)
-            grown = np.frombuffer(b"".join(kept["scores"])) + sum((t.scores(table) for t in trees), np.zeros(len(table)))
-            ends = np.cumsum([len(g) // 8 for g in kept["grades"]])
-            for grades, score in zip(kept["grades"], np.split(grown, ends[:-1]) if len(ends) else [], strict=True):
-                grade = np.frombuffer(grades)
-                out["scores"].append(score.tobytes())
-                if truncation is not None:
-                    for name, values in zip("gh", gradients(grade, score, truncation), strict=True):
-                        out[name].append(values.tobytes())
-                    for k in AT:
-                        out[f"ndcg{k}"].append(ndcg(grade, score, k))
-            columns = {n: batch.column(n) for n in ("held", "bins", "grades")} | {"scores": pa.array(out["scores"], pa.binary())}
+            bins, grade, grown = (np.frombuffer(_bytes(batch.column(c)), t) for c, t in (("bins", np.uint8), ("grades", np.float64), ("scores", np.float64)))
+            grown = grown + sum((t.scores(bins.reshape(-1, width)) for t in trees), np.zeros(len(grown)))
+            size = np.diff(_ends(batch.column("grades"))) // 8
+            columns = {n: batch.column(n) for n in ("held", "bins", "grades")} | {"scores": _lists(grown, size)}
             if truncation is not None:
-                columns |= {n: pa.array(out[n], pa.binary()) for n in "gh"} | {f"ndcg{k}": pa.array(out[f"ndcg{k}"], pa.float64()) for k in AT}
+                g, h = np.zeros(len(grade), np.int64), np.zeros(len(grade), np.int64)
+                found = {k: np.full(len(size), np.nan) for k in AT}
+                start = np.cumsum(size) - size
+                # lists of one length are one matrix
+                for n in np.unique(size):
+                    own = np.flatnonzero(size == n)
+                    for part in np.array_split(own, -(-len(own) * int(n) // LIST_CELLS) or 1):
+                        at = start[part][:, None] + np.arange(n)[None, :]
+                        g[at], h[at] = gradients_of(grade[at], grown[at], truncation)
+                        for k in AT:
+                            found[k][part] = ndcg_of_lists(grade[at], grown[at], k)
+                columns |= {"g": _lists(g, size), "h": _lists(h, size)} | {f"ndcg{k}": pa.array(found[k], from_pandas=True) for k in AT}
             yield pa.RecordBatch.from_pydict(columns)
 
     return lists.mapInArrow(run, schema)
@@ -216,20 +263,27 @@ def histograms(state: DataFrame, tree: Tree, parts: dict[int, tuple[int, int]] |
     none), or for each open leaf of the rows that its split would send left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        nodes = list(parts or [0])
+        slot = np.full(len(tree.feature), -1)
+        slot[nodes] = np.arange(len(nodes))
+        feature, cut = (np.array([parts[n][i] for n in nodes] if parts else [0]) for i in (0, 1))
+        sums = np.zeros((len(nodes), 3, width, bins), np.int64)
         for batch in batches:
-            table = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
-            g, h = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64) for c in "gh")
-            at = tree.nodes(table)
-            for node in parts or [0]:
-                own = np.ones(len(at), bool) if parts is None else (at == node) & (table[:, parts[node][0]] <= parts[node][1])
-                own = np.flatnonzero(own)
-                if own.size:
-                    hist = sums.setdefault(node, np.zeros((3, width, bins), np.int64))
-                    for f in range(width):
-                        for kind, value in enumerate((g[own], h[own], np.ones(own.size, np.int64))):
-                            np.add.at(hist[kind, f], table[own, f], value)
-        for node, hist in sums.items():
+            table = np.frombuffer(_bytes(batch.column("bins")), np.uint8).reshape(-1, width)
+            g, h = (np.frombuffer(_bytes(batch.column(c)), np.int64) for c in "gh")
+            at = slot[tree.nodes(table)]
+            own = np.flatnonzero(at >= 0)
+            if parts is not None:
+                own = own[table[own, feature[at[own]]] <= cut[at[own]]]
+            # whole numbers in two halves, so that sums of doubles are exact
+            halves = [(kind, scale, part.astype(float)) for kind, x in ((0, g[own]), (1, h[own])) for scale, part in ((1 << 20, x >> 20), (1, x & 0xFFFFF))]
+            for f in range(width):
+                key = at[own] * bins + table[own, f]
+                count = lambda values=None: np.bincount(key, values, len(nodes) * bins).reshape(len(nodes), bins).astype(np.int64)  # noqa: B023, E731
+                sums[:, 2, f] += count()
+                for kind, scale, part in halves:
+                    sums[:, kind, f] += count(part) * scale
+        for node, hist in zip(nodes, sums, strict=True):
             f, b = np.nonzero(hist[2])
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array(np.full(len(f), node, np.int32)), "f": pa.array(f.astype(np.int32)), "b": pa.array(b.astype(np.int32)),

@@ -131,3 +131,24 @@ def test_ndcg():
     want = (1 + 0 + 7 / 2) / (7 + 1 / np.log2(3))
     assert abs(lm.ndcg(grades, scores, 3) - want) < 1e-12
     assert lm.ndcg(np.zeros(3), scores, 3) is None
+
+
+def test_lists_of_one_length_are_one_matrix(spark, monkeypatch):
+    """As list by list, to the last unit; a task calls for each length, not for each list."""
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 40):
+        grades, scores = r.integers(0, 5, (30, n)).astype(float), np.round(r.normal(size=(30, n)), 1)
+        grades[0] = 0
+        g, h = lm.gradients_of(grades, scores, 4)
+        for i in range(30):
+            pg, ph = plain_gradients(grades[i], scores[i], 4) if grades[i].any() else (np.zeros(n), np.zeros(n))
+            assert np.allclose(g[i] / lm.UNIT, pg, atol=1e-8 * n) and np.allclose(h[i] / lm.UNIT, ph, atol=1e-8 * n)
+            one, many = lm.ndcg(grades[i], scores[i], 3), lm.ndcg_of_lists(grades[i : i + 1], scores[i : i + 1], 3)[0]
+            assert np.isnan(many) if one is None else abs(one - many) < 1e-12
+    calls = spark.sparkContext.accumulator(0)
+    found = lm.gradients_of
+    monkeypatch.setattr(lm, "gradients_of", lambda *x: (calls.add(1), found(*x))[1])
+    rows = spark.range(400).selectExpr("id DIV 4 AS query_id", "CAST(id % 3 AS INT) AS grade", "CAST(id % 5 AS DOUBLE) AS a").coalesce(1)
+    lists = lm.lists_of(rows, ["a"], [[0.0, 1.0, 2.0, 3.0]], "query_id", "grade", 0)
+    state = lm._advanced(lists.coalesce(1), [], 1, lm.TRUNCATION).collect()
+    assert len(state) == 100 and calls.value == 1
