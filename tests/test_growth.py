@@ -134,3 +134,18 @@ def test_screen_finds_sanctions_once_for_equal_texts_and_routes(spark, monkeypat
     assert {r.query_id for r in got if r.sanction_matches} == {i for i in range(60) if i % 2 == 0 and i % 3 < 2}  # vectors find the nearest, however far
     assert {r.query_id for r in got if r.hs_classification.top_candidates} == {i for i in range(60) if i % 3 == 0}
     assert seen == [(6, 2)]
+
+
+def test_confidence_reads_candidates_once(spark):
+    rows = spark.range(12).selectExpr(
+        "id DIV 4 AS query_id", "id % 4 AS place", "concat('0', id % 4, '01') AS hs_code", "IF(id >= 8, NULL, concat('0', id % 2)) AS chapter", "(4 - id % 4) / 10D AS score",
+        "named_struct('dense', 0.5D, 'sparse', 0.1D, 'cross_encoder', 0.5D) AS score_components",
+    )
+    out = retrieval.confidence(rows)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1  # two before, one of them for chapters
+    got = {r.query_id: r for r in out.collect()}
+    assert set(got) == {0, 1, 2}
+    for q in (0, 1):
+        assert (got[q].top1_score, got[q].top1_minus_top2, got[q].top_code, got[q].cross_source_agreement) == (0.4, 0.1, "0001", True)
+        assert got[q].entropy_topk == 1.2799 and got[q].chapter_consensus == 0.6 and got[q].chapter_distribution == {"00": 0.6, "01": 0.4}
+    assert got[2].chapter_consensus == 0.0 and got[2].chapter_distribution is None and got[2].entropy_topk == 1.2799
