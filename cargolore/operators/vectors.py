@@ -7,7 +7,7 @@ search their own cell; of the others they visit those that may hold a row nearer
 the ``k``-th found there.  So no cell that could matter is left out, and the result is exact.
 
 Cells are cut into blocks of rows, and a cell's queries into blocks too; a pair of blocks is
-a task's group and one matrix product.  What reaches the driver is the sample and a row
+a task's group, and a matrix product for each strip of its queries.  What reaches the driver is the sample and a row
 a cell; no query does.
 """
 
@@ -29,6 +29,8 @@ from cargolore.sources.scratch import stored
 CELLS, CELL_ROWS = 256, 512
 #: Rows and queries of a tile, about.
 TILE_ROWS, TILE_QUERIES = 4096, 2048
+#: Queries of a tile that are compared at a time.
+STRIP_QUERIES = 256
 SEED = 13
 #: More than the error of a distance made from a cosine in double precision.
 MARGIN = 1e-6
@@ -127,7 +129,9 @@ def _tile(k: int, types: tuple[pa.DataType, pa.DataType], filtered: bool):  # no
         if not len(q) or not len(c):
             return pa.table([pa.array([], types[0]), pa.array([], types[1]), pa.array([], pa.float64())], names=names)
         unit = _matrix(table["u"].combine_chunks())
-        value = unit[q] @ unit[c].T
+        one, two = (table[n].combine_chunks() for n in ("query_id", "hs_code"))
+        place = np.empty(len(c), np.int64)
+        place[pc.sort_indices(two.take(pa.array(c)), null_placement="at_start").to_numpy()] = np.arange(len(c))
         if filtered:
             lists = table["keys"].to_pylist()
             slot: dict[str, int] = {}
@@ -137,17 +141,22 @@ def _tile(k: int, types: tuple[pa.DataType, pa.DataType], filtered: bool):  # no
             has = np.zeros((len(lists), len(slot) + 1), np.float32)
             for i, own in enumerate(lists):
                 has[i, [slot[x] for x in own or [] if x is not None and x in slot]] = 1
-            value = np.where(has[q] @ has[c].T > 0, value, -2.0)
-        least = np.partition(value, -k, axis=1)[:, -k] if value.shape[1] > k else np.full(len(value), -2.0)
-        row, col = np.nonzero((value > -1.5) & (value >= least[:, None] - 1e-11))
-        one, two = (table[n].combine_chunks() for n in ("query_id", "hs_code"))
-        place = np.empty(len(c), np.int64)
-        place[pc.sort_indices(two.take(pa.array(c)), null_placement="at_start").to_numpy()] = np.arange(len(c))
-        order = np.lexsort((place[col], -np.round(value[row, col], 12), row))
-        row, col = row[order], col[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col = row[first], col[first]
-        return pa.table([one.take(pa.array(q[row])), two.take(pa.array(c[col])), pa.array(value[row, col])], names=names)
+        rows, cols, values = [], [], []
+        for start in range(0, len(q), STRIP_QUERIES):
+            asked = q[start : start + STRIP_QUERIES]
+            value = unit[asked] @ unit[c].T
+            if filtered:
+                value = np.where(has[asked] @ has[c].T > 0, value, -2.0)
+            least = np.partition(value, -k, axis=1)[:, -k] if value.shape[1] > k else np.full(len(value), -2.0)
+            row, col = np.nonzero((value > -1.5) & (value >= least[:, None] - 1e-11))
+            order = np.lexsort((place[col], -np.round(value[row, col], 12), row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            rows.append(row[first] + start)
+            cols.append(col[first])
+            values.append(value[row[first], col[first]])
+        row, col, value = (np.concatenate(x) for x in (rows, cols, values))
+        return pa.table([one.take(pa.array(q[row])), two.take(pa.array(c[col])), pa.array(value)], names=names)
 
     return run
 

@@ -1,6 +1,9 @@
 """Exact vector search over cells against all pairs."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +73,25 @@ def test_no_query_reaches_the_driver(spark, monkeypatch):
     found = retrieval.dense_topk(asked, corpus, 3)
     assert max(most) <= 50 and "Cartesian" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     assert found.count() == 180_000
+
+
+@pytest.mark.parametrize("k", [3, 70])
+def test_queries_are_compared_in_strips(spark, monkeypatch, k):
+    monkeypatch.setattr(vectors, "STRIP_QUERIES", 3)
+    rows, queries, corpus, asked = tables(spark, 300, 30)
+    got = {}
+    for r in retrieval.dense_topk(asked, corpus, k, ("of", "on")).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append(r.hs_code)
+    assert got == all_pairs(rows, queries, k, ("of", "on"))
+
+
+def test_a_tile_takes_no_memory_by_pairs():
+    unit = vectors.unit_rows(np.random.default_rng(1).normal(size=(6144, 16)))[0]
+    asks = np.arange(6144) < 2048
+    ids = [pa.array([i if a == own else None for i, a in enumerate(asks)], pa.int64()) for own in (True, False)]
+    table = pa.table({"asks": asks, "query_id": ids[0], "hs_code": ids[1], "keys": pa.nulls(6144, pa.list_(pa.string())), "u": pa.array(list(unit), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    found = vectors._tile(10, (pa.int64(), pa.int64()), False)(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 20480 and most < 64e6  # all pairs are 67 MB, and were held more than once
