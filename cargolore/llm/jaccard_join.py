@@ -294,10 +294,12 @@ def jaccard_join(docs: DataFrame, *, words: int = WORDS, threshold: float = THRE
     member = member.select("doc_id", "rep", "copies")
 
     cut = F.array(*(F.substring("sign", b * band_rows + 1, band_rows) for b in range(bands)))
-    banded = texts.select("rep", "sign", F.posexplode(cut).alias("band", "bucket"))
+    # signatures go only to the rows of a band that share its bucket, by the text's key
+    banded = texts.select("h1", "h2", "rep", F.posexplode(cut).alias("band", "bucket"))
     sizes = banded.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     sizes = materialize(sizes.select("band", "bucket", "m", F.ceil(F.col("m") / BUCKET_DOCS).cast("int").alias("blocks")), "buckets")
     met = hot_join(banded, sizes, ["band", "bucket"], "m", F.xxhash64("rep"))
+    met = met.join(texts.select("h1", "h2", "sign").hint("shuffle_merge"), ["h1", "h2"])
     met = met.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     met = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     met = met.select("band", "bucket", "rep", "sign", "block", F.least("block", "o").cast("int").alias("low"), F.greatest("block", "o").cast("int").alias("high"))

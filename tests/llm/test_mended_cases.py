@@ -118,3 +118,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_jaccard_bands_are_met_without_signatures(spark, monkeypatch):
+    """A band's row has 125 bytes less before its bucket is known to be shared."""
+    from cargolore.llm import jaccard_join as jj
+
+    seen, plain = [], jj.hot_join
+    monkeypatch.setattr(jj, "hot_join", lambda left, *rest, **named: seen.append(left.columns) or plain(left, *rest, **named))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(6)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in jj.jaccard_join(docs).collect()) == [(i, i - i % 2) for i in range(6)]
+    assert [c for c in seen if "bucket" in c] and all("sign" not in c for c in seen if "bucket" in c)
