@@ -143,8 +143,12 @@ def merge_matches(paths: dict[str, DataFrame], goods: DataFrame, queries: DataFr
     rows = None
     for name, path in paths.items():
         value = F.col("similarity").cast("double") if "similarity" in path.columns else F.lit(1.0)
-        own = rank(path.select("query_id", "id", value.alias("v")), [F.desc("v"), F.asc("id")]).withColumn("path", F.lit(name))
+        own = path.select("query_id", "id", value.alias("v"), F.lit(name).alias("path"))
         rows = own if rows is None else rows.unionByName(own)
+    # dealt once, for all sorts and sums of a query; these take much more memory than the bytes that are
+    # shuffled, so partitions are not to be put together
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    rows = rank(rows, [F.desc("v"), F.asc("id")], key=["query_id", "path"])
     own = {p: F.coalesce(F.max(F.when(F.col("path") == p, F.col("v"))), F.lit(0.0)) for p in ("dense", "sparse", "alias")}
     out = rows.groupBy("query_id", "id").agg(
         *(v.alias(p) for p, v in own.items()), F.bool_or(F.col("path") == "structured").alias("structured_match"), F.sum(1.0 / (k + F.col("pos") + 1)).alias("__rrf")
@@ -153,11 +157,12 @@ def merge_matches(paths: dict[str, DataFrame], goods: DataFrame, queries: DataFr
     virtual = F.when(F.col("structured_match"), 1.0 / (k + 1)).otherwise(0.0)
     fused = F.col("__rrf") + virtual if mode == "rrf" else F.greatest("dense", "sparse", "alias") + F.when(F.col("structured_match"), 0.3).otherwise(0.0)
     out = rank(out.withColumn("rrf_score", F.round(fused, 6)).drop("__rrf"), [F.desc("rrf_score"), F.asc("id")])
-    out = out.join(goods, "id", "left")
     ce = F.lit(0.0)
     if queries is not None:
+        # before the join on goods, while rows lie by query
         out = out.join(queries.select("query_id", F.col("text").alias("__q")), "query_id", "left")
         ce = F.when(F.col("pos") < head, sigmoid(scorer(F.col("__q"), F.col("description")))).otherwise(0.0)
+    out = out.join(goods, "id", "left")
     out = out.withColumn("cross_encoder", F.coalesce(ce, F.lit(0.0)))
     return out.withColumn("similarity", F.round(F.greatest("dense", "cross_encoder", "alias"), 4)).drop("__q")
 

@@ -10,7 +10,7 @@ from test_queries import plain
 
 import __spark_entry__ as contract
 from cargolore.functions.predicates import CONDITIONS
-from cargolore.operators import entities, evaluation, fulltext, retrieval, screen, temporal
+from cargolore.operators import entities, evaluation, fulltext, retrieval, screen, screening, temporal
 from cargolore.sources import reference, sinks
 
 
@@ -149,3 +149,16 @@ def test_confidence_reads_candidates_once(spark):
         assert (got[q].top1_score, got[q].top1_minus_top2, got[q].top_code, got[q].cross_source_agreement) == (0.4, 0.1, "0001", True)
         assert got[q].entropy_topk == 1.2799 and got[q].chapter_consensus == 0.6 and got[q].chapter_distribution == {"00": 0.6, "01": 0.4}
     assert got[2].chapter_consensus == 0.0 and got[2].chapter_distribution is None and got[2].entropy_topk == 1.2799
+
+
+def test_merged_paths_stay_dealt_by_query(spark):
+    """Small partitions are not put together: sorts and sums of a query take more memory than is shuffled."""
+    one = spark.range(300).selectExpr("id DIV 30 AS query_id", "id % 30 AS id", "id % 7 / 7D AS similarity")
+    goods = spark.range(30).selectExpr("id", "concat('good ', id) AS description")
+    queries = spark.range(10).selectExpr("id AS query_id", "'good' AS text")
+    got = screening.merge_matches({"structured": one.where("id < 3").select("query_id", "id"), "dense": one}, goods, queries)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = got.collect()
+    assert len(rows) == 300 and {r.query_id for r in rows if r.pos == 0 and r.structured_match} == set(range(10))
+    # one for all paths, one for the queries
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(query_id") <= 2
