@@ -92,3 +92,25 @@ def test_aliases_against_all_pairs(spark, floor):
     assert {(x.query_id, x.id): round(x.similarity, 9) for x in got.collect()} == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("often", [1, 1024])
+def test_aliases_are_final_in_their_tile(spark, monkeypatch, often):
+    """Many names of a query, cut by strips, and many aliases of a good; nothing is shuffled after the tiles."""
+    for name, value in (("TILE_TEXTS", 16), ("STRIP_NAMES", 3), ("OFTEN_PAIRS", often)):
+        monkeypatch.setattr(screening, name, value)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 4)))
+    names = [(None if i % 9 == 8 else i % 9, f"{word()} {word()} {word()}") for i in range(90)] + [(i, f"{word()} {word()} x") for i in range(10, 30)] + [(5, "??? !!!")]
+    aliases = [(f"g{i % 7}", f"{word()} {word()}") for i in range(60)] + [("none", "?"), (None, "ab abc")]
+    got = screening.alias_matches(spark.createDataFrame(names, "query_id int, name string"), spark.createDataFrame(aliases, "id string, alias string"), 0.3)
+    want = {}
+    for q, name in names:
+        for i, alias in aliases:
+            a, b = grams(name), grams(alias)
+            if len("".join(name.split())) >= 4 and a and b and (like := len(a & b) / len(a | b)) >= 0.3:
+                want[q, i] = max(want.get((q, i), 0), like)
+    rows = got.collect()
+    assert {(x.query_id, x.id): x.similarity for x in rows} == want and len(rows) == len(want) > 100
+    above, tile, _ = got._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")
+    assert tile and "Aggregate" not in above and "Join" not in above
