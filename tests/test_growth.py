@@ -1,7 +1,9 @@
 """Queries whose work is bounded by what differs, not by pairs of equal rows."""
 
 import datetime as dt
+import math
 import pickle
+import random
 
 import duckdb
 import pyarrow as pa
@@ -162,3 +164,27 @@ def test_merged_paths_stay_dealt_by_query(spark):
     assert len(rows) == 300 and {r.query_id for r in rows if r.pos == 0 and r.structured_match} == set(range(10))
     # one for all paths, one for the queries
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(query_id") <= 2
+
+
+def test_entity_topk_makes_no_row_a_pair_of_sets(spark, monkeypatch):
+    """All sets differ and share one frequent pair; tiles of any size give the same as all pairs compared."""
+    r = random.Random(5)
+    asked = {q: {("brand", "x"), ("name", str(r.randrange(12))), ("form", str(q % 9))} for q in range(108)} | {900: {("none", "x")}}
+    index = [(f"{c:06d}", t, v, w) for c in range(900) for t, v, w in [("brand", "x", 0.1), ("name", str(c % 12), r.choice([0.2, 0.7, 0.0])), ("form", str(c % 7), 0.3), ("form", str(c % 7), 0.1 * (c % 3)), ("own", str(c), 1.0)]]
+    index += [("000950", "none", "x", None), ("000951", "none", "x", -1.0), ("000952", "none", "x", 0.0), ("000953", "no", "nex", 9.0), ("000954", "none", "x", 0.5)]
+    queries = spark.createDataFrame([(q, *p) for q, own in asked.items() for p in own], "query_id int, entity_type string, entity_value string")
+    codes = spark.createDataFrame(index, "hs_code string, entity_type string, entity_value string, weight double")
+    want = set()
+    for q, own in asked.items():
+        total = {}
+        for c, t, v, w in index:
+            if (t, v) in own:
+                total[c] = total.get(c, 0.0) + w if w is not None else total.get(c, -math.inf)
+        best = sorted(total, key=lambda c: (-round(total[c], 9), c))[:5]
+        want |= {(q, c, i, None if total[c] == -math.inf else round(total[c], 6)) for i, c in enumerate(best)}
+    for sizes in ((32_768, 4096), (100, 30)):
+        monkeypatch.setattr(retrieval, "TILE_CODES", sizes[0])
+        monkeypatch.setattr(retrieval, "TILE_QUERIES", sizes[1])
+        rows, most = most_rows(spark, retrieval.entity_topk(queries, codes, 5))
+        assert {(x.query_id, x.hs_code, x.pos, None if x.weight is None else round(x.weight, 6)) for x in rows} == want
+        assert most < 20_000  # 97,200 pairs of sets that share the brand
