@@ -6,13 +6,16 @@ import pickle
 import random
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
 from test_queries import plain
 
 import __spark_entry__ as contract
 from cargolore.functions.predicates import CONDITIONS
-from cargolore.operators import entities, evaluation, fulltext, retrieval, screen, screening, temporal
+from cargolore.operators import entities, evaluation, fulltext, retrieval, screen, screening, temporal, vectors
 from cargolore.sources import reference, sinks
 
 
@@ -166,6 +169,39 @@ def test_merged_paths_stay_dealt_by_query(spark):
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(query_id") <= 2
 
 
+def test_vectors_of_goods_are_not_broadcast(spark):
+    """Each different description is embedded once, and no join sends vectors to all executors."""
+    goods = spark.range(400).selectExpr("id", "concat('steel box ', id % 4) AS description")
+    rules = spark.range(400).selectExpr("id", "'US' AS rule_origin", "CAST(NULL AS STRING) AS rule_destination", "id % 2 = 0 AS active")
+    asked = spark.createDataFrame([(1, "steel box 2", "US", "DE"), (2, "steel box 2", "FR", "DE")], "query_id int, text string, origin string, destination string")
+    made, kept, plain_rows = spark.sparkContext.accumulator(0), [], vectors._rows
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        made.add(len(texts))
+        return texts.map(lambda t: [float(ord(t[-1]) - 47), 1.0])
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vectors, "_rows", lambda df, vector, keys: (kept.append(df), plain_rows(df, vector, keys))[1])
+        shipped = asked.withColumn("q", embed(F.col("text")))
+        got = screening.dense_matches(shipped, goods, rules, 3, embed).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(1, 2), (1, 6), (1, 10)]
+    assert made.value <= 2 * 2 + 4  # 400 goods; a shipment's vector is also asked for by a filter
+    assert "Broadcast" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_descriptions_are_searched_once(spark):
+    goods = spark.range(300).selectExpr("id", "concat('red box', repeat(' x', CAST(id % 3 AS INT))) AS description").unionByName(spark.createDataFrame([(None, "red box"), (900, None)], "id long, description string"))
+    rules = spark.range(300).selectExpr("id", "CAST(NULL AS STRING) AS rule_origin", "CAST(NULL AS STRING) AS rule_destination", "id >= 6 AS active")
+    asked = spark.createDataFrame([(1, "box", "US", "DE"), (2, "x red", None, None), (3, "", "US", "DE")], "query_id int, text string, origin string, destination string")
+    found, searched = fulltext.matches, []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fulltext, "matches", lambda q, index, *more: (searched.append(index.count()), found(q, index, *more))[1])
+        got = screening.sparse_matches(asked, goods, rules, 4).collect()
+    assert sorted((r.query_id, r.id) for r in got) == [(1, 6), (1, 7), (1, 8), (1, 9), (2, 7), (2, 8), (2, 10), (2, 11)]
+    assert searched[0] <= 4  # 300 goods
+
+
 def test_entity_topk_makes_no_row_a_pair_of_sets(spark, monkeypatch):
     """All sets differ and share one frequent pair; tiles of any size give the same as all pairs compared."""
     r = random.Random(5)
