@@ -15,6 +15,12 @@ Gradients are summed as whole numbers (``UNIT`` of one), so neither the order of
 partitions nor a task that is run again can change a tree.  The driver sees only
 histograms, whose size is leaves x features x bins.
 
+Rows with the same bins have the same score, whatever the trees.  Where there are at most
+``CELLS`` different rows of bins, a round is one job instead: the driver keeps a score for each,
+tasks take the gradients of lists of these and sum them by row of bins, and the tree is grown
+from these sums.  Lists without any grade have no gradient then and are not read again; their rows count.
+The trees are the same.
+
 Defined cases: a missing feature counts as 0, a missing grade as 0; rows without a
 query are left out; a query whose grades are all equal has no gradient and no NDCG;
 a table without gradients gives a model of no trees, which scores all rows 0.  A query's
@@ -43,6 +49,8 @@ STORE = 25
 UNIT = 2.0**30
 #: Rows of lists of one length that are taken as one matrix, about.
 LIST_CELLS = 65_536
+#: Different rows of bins up to which a tree is grown from their sums.
+CELLS = 16_384
 AT = (1, 3, 5)
 
 
@@ -175,12 +183,20 @@ class Ranker:
     def column(self, *features: Column) -> Column:
         """The score of a row (``fuse`` takes it as its ``model``), by default of the named columns."""
         edges, trees = self.edges, self.trees
+        known: dict[bytes, float] = {}
 
         @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
             x = np.stack([c.fillna(0.0).to_numpy(float) for c in columns], axis=1)
-            bins = bin_rows(x, edges)
-            return pd.Series(sum((t.scores(bins) for t in trees), np.zeros(len(x))))
+            # equal rows of bins are scored once
+            own, at, table = distinct_bins(bin_rows(x, edges))
+            new = [i for i, b in enumerate(own) if b not in known]
+            if len(known) + len(new) > CELLS:
+                known.clear()
+                new = range(len(own))
+            for i, value in zip(new, sum((t.scores(table[new]) for t in trees), np.zeros(len(new))), strict=True):
+                known[own[i]] = value
+            return pd.Series(np.array([known[b] for b in own] or [0.0])[at])
 
         return score(*(c.cast("double") for c in features or map(F.col, self.features)))
 
@@ -190,6 +206,13 @@ def bin_rows(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:
     return np.stack([np.searchsorted(np.array(e), x[:, i], side="left") for i, e in enumerate(edges)], axis=1).astype(np.uint8)
 
 
+def distinct_bins(bins: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different rows of ``bins`` as bytes, which of them each row is, and as a table."""
+    flat = np.ascontiguousarray(bins).view(np.dtype((np.void, bins.shape[1]))).ravel()
+    _, first, at = np.unique(flat, return_index=True, return_inverse=True)
+    return [flat[i].tobytes() for i in first], at, bins[first]
+
+
 def lists_of(rows: DataFrame, features: list[str], edges: list[list[float]], query: str, grade: str, held_out: int) -> DataFrame:
     """One row a query: whether it is held out, and its rows' bins, grades and scores, written."""
     values = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
@@ -297,10 +320,124 @@ def histograms(state: DataFrame, tree: Tree, parts: dict[int, tuple[int, int]] |
     return found
 
 
-def grow(state: DataFrame, width: int, bins: int, leaves: int, rate: float, min_rows: int) -> Tree | None:
+def cells_of(lists: DataFrame, width: int) -> tuple[list[bytes], np.ndarray] | None:
+    """The different rows of bins and how many rows that are not held out have each; none if
+    there are more than ``CELLS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, _ = distinct_bins(np.frombuffer(_bytes(batch.column("bins")), np.uint8).reshape(-1, width))
+            fitted = np.repeat(~batch.column("held").to_numpy(zero_copy_only=False), np.diff(_ends(batch.column("bins"))) // width)
+            yield pa.RecordBatch.from_pydict({"bins": pa.array(own, pa.binary()), "n": pa.array(np.bincount(at[fitted], minlength=len(own)).astype(np.int64))})
+
+    counted = lists.mapInArrow(run, "bins binary, n bigint").groupBy("bins").agg(F.sum("n").alias("n"))
+    found = sorted((bytes(r.bins), r.n) for r in counted.limit(CELLS + 1).collect())
+    return None if len(found) > CELLS else ([b for b, _ in found], np.array([n for _, n in found], np.int64))
+
+
+class _Lists:
+    """Training on lists with a score for each row."""
+
+    def __init__(self, lists: DataFrame, width: int, bins: int, truncation: int, held_out: int) -> None:
+        self.lists, self.width, self.bins, self.truncation, self.held_out, self.done = lists, width, bins, truncation, held_out, 0
+
+    def seen(self, trees: list[Tree]) -> dict[str, float | None]:
+        """NDCG after ``trees``; their gradients are held until :meth:`left`."""
+        if len(trees) - self.done >= STORE:
+            self.lists, self.done = stored(_advanced(self.lists, trees[self.done :], self.width, None), "ranking-lists"), len(trees)
+        self.state = _advanced(self.lists, trees[self.done :], self.width, self.truncation).persist(StorageLevel.DISK_ONLY)
+        return self.state.where("held" if self.held_out else "true").agg(*(F.avg(f"ndcg{k}").alias(f"ndcg{k}") for k in AT)).first().asDict()
+
+    def histograms(self, tree: Tree, parts: dict[int, tuple[int, int]] | None) -> dict[int, np.ndarray]:
+        return histograms(self.state, tree, parts, self.width, self.bins)
+
+    def left(self) -> None:
+        self.state.unpersist()
+
+
+class _Cells:
+    """Training with a score for each different row of bins; a round is one job."""
+
+    def __init__(self, lists: DataFrame, cells: tuple[list[bytes], np.ndarray], width: int, bins: int, truncation: int, held_out: int) -> None:
+        names, self.rows = cells
+        self.table = np.frombuffer(b"".join(names), np.uint8).reshape(-1, width)
+        self.bins, self.truncation, self.held_out, self.done = bins, truncation, held_out, 0
+        self.scores = np.zeros(len(names))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = {b: i for i, b in enumerate(names)}
+            for batch in batches:
+                own, at, _ = distinct_bins(np.frombuffer(_bytes(batch.column("bins")), np.uint8).reshape(-1, width))
+                cell = np.array([number[b] for b in own], np.int64)[at]
+                grade, size = np.frombuffer(_bytes(batch.column("grades")), np.float64), np.diff(_ends(batch.column("grades"))) // 8
+                graded = np.logical_or.reduceat(grade != 0, np.cumsum(size) - size) if len(size) else np.zeros(0, bool)
+                rows = np.repeat(graded, size)
+                yield pa.RecordBatch.from_pydict({"held": batch.column("held").filter(pa.array(graded)), "cells": _lists(cell[rows], size[graded]), "grades": _lists(grade[rows], size[graded])})
+
+        self.lists = stored(lists.mapInArrow(run, "held boolean, cells binary, grades binary"), "ranking-cells")
+
+    def seen(self, trees: list[Tree]) -> dict[str, float | None]:
+        if len(trees) - self.done >= STORE:
+            self.scores, self.done = self._scores(trees), len(trees)
+        scores, truncation, held_out = self._scores(trees), self.truncation, self.held_out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, seen = np.zeros((2, len(scores)), np.int64), np.zeros((2, len(AT)), np.int64)
+            for batch in batches:
+                cell, grade = (np.frombuffer(_bytes(batch.column(c)), t) for c, t in (("cells", np.int64), ("grades", np.float64)))
+                size, held = np.diff(_ends(batch.column("grades"))) // 8, batch.column("held").to_numpy(zero_copy_only=False)
+                start = np.cumsum(size) - size
+                for n in np.unique(size):
+                    own = np.flatnonzero(size == n)
+                    for part in np.array_split(own, -(-len(own) * int(n) // LIST_CELLS) or 1):
+                        at = start[part][:, None] + np.arange(n)[None, :]
+                        fitted, asked = at[~held[part]], at[held[part]] if held_out else at
+                        for kind, x in enumerate(gradients_of(grade[fitted], scores[cell[fitted]], truncation)):
+                            # whole numbers in two halves, so that sums of doubles are exact
+                            for scale, half in ((1 << 20, x >> 20), (1, x & 0xFFFFF)):
+                                sums[kind] += np.bincount(cell[fitted].ravel(), half.ravel().astype(float), len(scores)).astype(np.int64) * scale
+                        for i, k in enumerate(AT):
+                            value = ndcg_of_lists(grade[asked], scores[cell[asked]], k)
+                            value = value[~np.isnan(value)]
+                            seen[:, i] += int(np.rint(value * UNIT).sum()), len(value)
+            some = np.flatnonzero(sums.any(axis=0))
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(np.append(some, -1 - np.arange(len(AT))).astype(np.int32)),
+                **{c: pa.array(np.append(sums[i, some], seen[i])) for i, c in enumerate(("one", "two"))},
+            })
+
+        sums = self.lists.mapInArrow(run, "key int, one bigint, two bigint").groupBy("key").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
+        self.sums = np.stack([np.zeros(len(scores), np.int64), np.zeros(len(scores), np.int64), self.rows])
+        now: dict[str, float | None] = {f"ndcg{k}": None for k in AT}
+        for r in sums.collect():  # a row a cell
+            if r.key >= 0:
+                self.sums[:2, r.key] = r.one, r.two
+            elif r.two:
+                now[f"ndcg{AT[-1 - r.key]}"] = r.one / UNIT / r.two
+        return now
+
+    def _scores(self, trees: list[Tree]) -> np.ndarray:
+        return self.scores + sum((t.scores(self.table) for t in trees[self.done :]), np.zeros(len(self.scores)))
+
+    def histograms(self, tree: Tree, parts: dict[int, tuple[int, int]] | None) -> dict[int, np.ndarray]:
+        at, out = tree.nodes(self.table), {}
+        for node in parts or [0]:
+            own = at == node
+            if parts is not None:
+                own &= self.table[:, parts[node][0]] <= parts[node][1]
+            out[node] = np.zeros((3, self.table.shape[1], self.bins), np.int64)
+            for f in range(self.table.shape[1]):
+                np.add.at(out[node][:, f].T, self.table[own, f], self.sums[:, own].T)
+        return out
+
+    def left(self) -> None:
+        pass
+
+
+def grow(engine: _Lists | _Cells, leaves: int, rate: float, min_rows: int) -> Tree | None:
     """One tree, leaf by leaf, the leaf of largest gain first (the older on ties)."""
     tree = Tree()
-    hist = {0: histograms(state, tree, None, width, bins)[0]}
+    hist = {0: engine.histograms(tree, None)[0]}
     best = {0: best_split(hist[0], min_rows)}
     halves: dict[int, np.ndarray] = {}
     while len(best) < leaves:
@@ -309,7 +446,7 @@ def grow(state: DataFrame, width: int, bins: int, leaves: int, rate: float, min_
             break
         node = max(able, key=lambda n: (best[n][0], -n))
         if node not in halves:  # of all open leaves at once, as most will be split
-            halves |= histograms(state, tree, {n: best[n][1:] for n in able if n not in halves}, width, bins)
+            halves |= engine.histograms(tree, {n: best[n][1:] for n in able if n not in halves})
         _, feature, cut = best.pop(node)
         below = tree.split(node, feature, cut)
         lower = halves.pop(node)
@@ -334,27 +471,19 @@ def fit(
     edges = [sorted(set(e)) for e in found]
     width, n_bins = len(features), 1 + max(map(len, edges), default=0)
     lists = lists_of(rows, features, edges, query, grade, held_out)
+    cells = cells_of(lists, width)
+    engine = _Lists(lists, width, n_bins, truncation, held_out) if cells is None else _Cells(lists, cells, width, n_bins, truncation, held_out)
     trees: list[Tree] = []
     history: list[dict[str, float]] = []
-    done, kept = 0, 0
-    while len(trees) < rounds:
-        if len(trees) - done >= STORE:
-            lists, done = stored(_advanced(lists, trees[done:], width, None), "ranking-lists"), len(trees)
-        state = _advanced(lists, trees[done:], width, truncation).persist(StorageLevel.DISK_ONLY)
-        now = state.where("held" if held_out else "true").agg(*(F.avg(f"ndcg{k}").alias(f"ndcg{k}") for k in AT)).first().asDict()
-        history.append(now)
+    while True:
+        history.append(engine.seen(trees))
         mean = [sum(x[f"ndcg{k}"] or 0.0 for k in AT) for x in history]
         kept = max(range(len(mean)), key=lambda i: (mean[i], -i))
-        tree = grow(state, width, n_bins, leaves, rate, min_rows) if len(trees) - kept < patience else None
-        state.unpersist()
+        tree = grow(engine, leaves, rate, min_rows) if len(trees) < rounds and len(trees) - kept < patience else None
+        engine.left()
         if tree is None:
             break
         trees.append(tree)
-    else:
-        last = _advanced(lists, trees[done:], width, truncation).where("held" if held_out else "true")
-        history.append(last.agg(*(F.avg(f"ndcg{k}").alias(f"ndcg{k}") for k in AT)).first().asDict())
-        mean = [sum(x[f"ndcg{k}"] or 0.0 for k in AT) for x in history]
-        kept = max(range(len(mean)), key=lambda i: (mean[i], -i))
     return Ranker(features, edges, trees[:kept] if held_out else trees, history)
 
 

@@ -152,3 +152,22 @@ def test_lists_of_one_length_are_one_matrix(spark, monkeypatch):
     lists = lm.lists_of(rows, ["a"], [[0.0, 1.0, 2.0, 3.0]], "query_id", "grade", 0)
     state = lm._advanced(lists.coalesce(1), [], 1, lm.TRUNCATION).collect()
     assert len(state) == 100 and calls.value == 1
+
+
+def test_a_round_is_one_job_where_bins_are_few(spark, monkeypatch):
+    """The same trees, scores and NDCG as with a score for each row, and no job for a level of a tree."""
+    rows = spark.createDataFrame([(q, g * (q % 3 > 0), a, b, None) for q, g, a, b, _ in table(4, 120)] + [(900, 2, 0.5, 0.5, None), (901, 2, 0.1, 0.9, None)], SCHEMA).repartition(3)
+    fitted = lambda held: lm.fit(rows, ["a", "b", "c"], rounds=30, leaves=6, rate=0.3, bins=9, held_out=held, patience=5)
+    counted, plain = [], lm.histograms
+    monkeypatch.setattr(lm, "histograms", lambda *x: (counted.append(1), plain(*x))[1])
+    for held in (0, 4):
+        got = fitted(held)
+        assert not counted and got.trees
+        with monkeypatch.context() as patch:
+            patch.setattr(lm, "CELLS", 3)
+            want = fitted(held)
+        assert counted and got.trees == want.trees
+        assert np.allclose([list(x.values()) for x in got.history], [list(x.values()) for x in want.history], atol=1e-8)
+        counted.clear()
+        one, two = ([r.s for r in rows.select(m.column().alias("s")).collect()] for m in (got, want))
+        assert np.allclose(one, two, atol=1e-12)
