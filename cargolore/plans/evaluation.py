@@ -9,6 +9,7 @@ from cargolore.functions.codes import grade
 from cargolore.operators import evaluation as ev
 from cargolore.operators import lambdamart
 from cargolore.plans.tables import Tables
+from cargolore.sources.scratch import stored
 
 
 def _ranked(t: Tables) -> DataFrame:
@@ -68,8 +69,9 @@ def _ltr(t: Tables) -> DataFrame:
 
 def _listwise(t: Tables) -> DataFrame:
     """A listwise ranker fitted on graded lines and its scores of them."""
-    rows = _grades(t).join(t["ranked"], ["query_id", "place"]).withColumns({"f1": F.col("place").cast("double"), "f2": F.length("hs_code").cast("double"), "f3": F.substring("hs_code", 1, 2).cast("double")})
-    model = lambdamart.fit(rows, ["f1", "f2", "f3"], rounds=5)
+    rows = stored(_grades(t).join(t["ranked"], ["query_id", "place"]), "graded-lines")  # read three times
+    rows = rows.withColumns({"f1": F.col("place").cast("double"), "f2": F.length("hs_code").cast("double"), "f3": F.substring("hs_code", 1, 2).cast("double")})
+    model = lambdamart.fit(rows, ["f1", "f2", "f3"])
     return rows.select("query_id", "place", "hs_code", model.column().alias("score"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from cargolore.operators import lambdamart as lm
 
 
@@ -171,3 +172,19 @@ def test_a_round_is_one_job_where_bins_are_few(spark, monkeypatch):
         counted.clear()
         one, two = ([r.s for r in rows.select(m.column().alias("s")).collect()] for m in (got, want))
         assert np.allclose(one, two, atol=1e-12)
+
+
+def test_registered_ranker_is_trained_whole(spark, monkeypatch):
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(rows, features, **named):
+        asked.append(named)
+        raise Stop
+
+    monkeypatch.setattr(lm, "fit", fit)
+    with pytest.raises(Stop):
+        contract.queries()["ltr_lambdamart"](spark, "/root/testdata/sf0.001")
+    assert asked == [{}]  # neither rounds nor rows are cut
