@@ -47,8 +47,9 @@ SIZE = 35
 GRAM = 8
 #: Words of a reference shard, about: its automaton takes some 60 MB.
 SHARD_WORDS = 100_000
-#: Words that one task streams through a shard, about.
-TASK_WORDS = 300_000
+#: Words that one task streams through a shard, about.  To build a shard's automaton takes as
+#: long as to stream some 700,000 words, so that fewer words a task build it more often than they save.
+TASK_WORDS = 2_000_000
 #: Loads of up to so many shards are sent to all executors, with the large groups
 #: (a group needs a shard's words, so at most ``SIZE`` times as many): some 28 MB.
 BROADCAST_SHARDS = 50_000
@@ -258,12 +259,12 @@ class SuffixAutomaton:
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p >= 0 and w not in go[p]:
-                go[p][w] = state
+            while p >= 0:
+                q = go[p].setdefault(w, state)
+                if q != state:
+                    link[state] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
+                    break
                 p = link[p]
-            if p >= 0:
-                q = go[p][w]
-                link[state] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
             last = state
 
     def _clone(self, p: int, q: int, w) -> int:  # noqa: ANN001

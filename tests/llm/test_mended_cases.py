@@ -6,8 +6,9 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from cargolore.llm import decontaminate, language_id, line_dedup, pii, toxicity
+from cargolore.llm import decontaminate, language_id, line_dedup, pii, substring_dedup, toxicity
 
 # op1
 
@@ -129,3 +130,19 @@ def test_jaccard_bands_are_met_without_signatures(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(6)], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in jj.jaccard_join(docs).collect()) == [(i, i - i % 2) for i in range(6)]
     assert [c for c in seen if "bucket" in c] and all("sign" not in c for c in seen if "bucket" in c)
+
+
+def test_a_shard_is_not_built_again_for_few_words(spark, monkeypatch):
+    """650,000 words that visit one shard are streamed through one automaton."""
+    shared = " ".join(f"word{i:04d}" for i in range(5000))
+    docs = spark.range(130).select(F.col("id").alias("doc_id"), F.concat(F.lit(shared + " own"), F.col("id").cast("string")).alias("text"))
+    built, plain = spark.sparkContext.accumulator(0), substring_dedup._match
+
+    def match(size):
+        run = plain(size)
+        return lambda reference, passages: (built.add(int(bool(reference.num_rows and passages.num_rows))), run(reference, passages))[1]
+
+    monkeypatch.setattr(substring_dedup, "_match", match)
+    got = substring_dedup.dedup_substrings(docs).collect()
+    assert {(r.doc_id, r.text, r.n_words, r.n_removed) for r in got} == {(i, f"own{i}", 5001, 5000) for i in range(130)}
+    assert built.value == 1
